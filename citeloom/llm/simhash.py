@@ -14,7 +14,6 @@ So fingerprints within 4 bits share a key, and pairs that share one are verified
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -58,7 +57,6 @@ def syndromes(words: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(1)
 def error_patterns() -> np.ndarray:
     """By syndrome: the error patterns of up to 4 bits, the least first (the primary's); -1 where there are fewer than six."""
     table, used = np.full((2048, 6), -1, np.int64), np.zeros(2048, np.int64)
@@ -70,9 +68,12 @@ def error_patterns() -> np.ndarray:
     return table
 
 
+ERRORS = error_patterns()
+
+
 def wide_keys(words: np.ndarray) -> np.ndarray:
     """(n, 6): indices (0..4095) of the codewords within 4 bits of each word, the primary first; -1 fills up."""
-    errors = error_patterns()[syndromes(words)]
+    errors = ERRORS[syndromes(words)]
     return np.where(errors < 0, -1, (words.astype(np.int64)[:, None] ^ errors) >> 11)
 
 
