@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, simhash
+from . import language_id, quality_rules, simhash, toxicity
 from .common import table
+from .language_id import fold
+
+
+def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = (fold(4) == 2).alias("held_out")
+    scorer = toxicity.fit(docs.where(~held), table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, scorer)
+    return found.select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +26,17 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op8_simhash_golay": op8_simhash_golay}
+def op10_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = (fold(3) == 1).alias("held_out")
+    found = language_id.identify(docs, language_id.train(docs.where(~held)))
+    return found.select("doc_id", held, "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_toxicity_nnpu": op1_toxicity_nnpu,
+    "op4_quality_rules": op4_quality_rules,
+    "op8_simhash_golay": op8_simhash_golay,
+    "op10_language_cross_parsing": op10_language_cross_parsing,
+}
 ORACLES: dict[str, str] = {}
