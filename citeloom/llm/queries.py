@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rules, simhash, toxicity
-from .common import table
+from . import language_id, quality_rules, simhash, token_files, toxicity
+from .common import Scratch, table
 from .language_id import fold
 
 
@@ -22,6 +22,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op6_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = Scratch(spark, "op6").path("files")
+    token_files.write(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("cells").alias("ids_crc32"))
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -36,6 +44,7 @@ def op10_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity_nnpu": op1_toxicity_nnpu,
     "op4_quality_rules": op4_quality_rules,
+    "op6_token_huffman": op6_token_huffman,
     "op8_simhash_golay": op8_simhash_golay,
     "op10_language_cross_parsing": op10_language_cross_parsing,
 }
