@@ -65,3 +65,15 @@ def arrow_rows(fields: list[tuple[str, pa.DataType]], each: Callable[..., tuple]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=schema)
 
     return run
+
+
+def share(spark: SparkSession, thing: object) -> Callable[[], object]:
+    """Broadcasts an object by its fields (a broadcast, unlike a function, travels by class name); call to get it back."""
+    kind, fields = type(thing), spark.sparkContext.broadcast(vars(thing))
+
+    def get() -> object:
+        made = object.__new__(kind)
+        vars(made).update(fields.value)
+        return made
+
+    return get

@@ -163,10 +163,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Null text and text without a letter: ``und`` with score 0.  A tie goes to the alphabetically first language.
     The model travels to the executors as a broadcast of bounded size (``SAMPLE`` symbols a language).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = common.share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = shared.value
+        judge = shared()
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 ids, words = batch.column(0).slice(a, 1024), batch.column(1).slice(a, 1024).to_pylist()

@@ -172,10 +172,10 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str, parts: i
     counts = {int(r.id): int(r.n) for r in id_counts(tokens).collect()}
     lengths = code_lengths(counts)
     spark.createDataFrame([(int(i), int(b)) for i, b in sorted(lengths.items())], "id long, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
-    shared = spark.sparkContext.broadcast(Codebook(lengths))
+    shared = common.share(spark, Codebook(lengths))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = shared.value
+        book = shared()
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
@@ -220,7 +220,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     number is set when writing); totals of blocks are summed within their part.
     """
     lengths = {int(r.id): int(r.bits) for r in spark.read.parquet(f"{folder}/codebook").collect()}
-    shared = spark.sparkContext.broadcast(Codebook(lengths))
+    shared = common.share(spark, Codebook(lengths))
     before, total = {}, 0
     for part, n in sorted(tuple(r) for r in spark.read.parquet(f"{folder}/parts").select("part", "n_tokens").collect()):
         before[part] = total
@@ -232,7 +232,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     starts = spark.sparkContext.broadcast(before)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = shared.value
+        book = shared()
         for batch in batches:
             for row in range(batch.num_rows):
                 x = {c: batch.column(k)[row].as_py() for k, c in enumerate(("part", "block", "doc_ids", "lengths", "payload", "checkpoints", "before"))}

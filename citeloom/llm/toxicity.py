@@ -155,12 +155,13 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """(doc_id, score) of every document from its whole text alone; null and empty texts get the bias's score."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    shared = common.share(docs.sparkSession, scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = shared()
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([shared.value(t) for t in part.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([judge(t) for t in part.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     return common.texts(docs).mapInArrow(run, "doc_id long, score double")
