@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     rows among the labelled.  Null labels and labels of unknown documents are ignored.
     """
     known = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    counts = docs.select("doc_id").join(known, "doc_id", "left").agg(F.count("toxic"), F.count_if("toxic = 1"), F.count(F.lit(1))).first()
+    counts = docs.select("doc_id").join(known, "doc_id", "left").agg(F.count("toxic"), F.count_if(F.col("toxic") == 1), F.count(F.lit(1))).first()
     n_known, n_toxic, n_all = counts
     if not n_toxic:
         return Scorer(np.zeros(WIDTH), -3.0, [])
