@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, quality_rules, simhash, token_files, toxicity
+from . import html_text, language_id, mixing, quality_rules, simhash, token_files, toxicity
 from .common import Scratch, table
 from .language_id import fold
 
@@ -18,6 +18,10 @@ def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_html_text_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_mixing_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = mixing.replicate(table(spark, sf_dir, "documents"))
     return mixing.shuffle(copies).select("doc_id", "source", "copy", "n_copies", F.round("place", 12).alias("place"))
@@ -48,6 +52,7 @@ def op10_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity_nnpu": op1_toxicity_nnpu,
+    "op2_html_text_ratio": op2_html_text_ratio,
     "op3_mixing_poisson": op3_mixing_poisson,
     "op4_quality_rules": op4_quality_rules,
     "op6_token_huffman": op6_token_huffman,
