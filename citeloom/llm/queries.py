@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_id, mixing, quality_rules, simhash, token_files, toxicity
+from . import decontamination, html_text, language_id, mixing, quality_rules, simhash, token_files, toxicity
 from .common import Scratch, table
 from .language_id import fold
 
@@ -43,6 +43,10 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = (fold(3) == 1).alias("held_out")
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_token_huffman": op6_token_huffman,
     "op8_simhash_golay": op8_simhash_golay,
+    "op9_decontamination_simhash": op9_decontamination_simhash,
     "op10_language_cross_parsing": op10_language_cross_parsing,
 }
 ORACLES: dict[str, str] = {"op3_mixing_poisson": mixing.ORACLE}
