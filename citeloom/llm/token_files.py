@@ -12,17 +12,20 @@ The file format is a folder of two Parquet datasets, so that any store that Spar
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-END, MOST_BITS, STRIDE, BLOCK_TOKENS, CACHE = 2, 20, 128, 1 << 18, 300_000  #: end id, longest code, ids a checkpoint, ids a block, pieces a worker remembers
+END, MOST_BITS, STRIDE, BLOCK_TOKENS, CACHE = 2, 20, 128, 1 << 18, 800_000  #: end id, longest code, ids a checkpoint, ids a block, pieces a worker remembers
 
 
 def code_lengths(counts: dict[int, int], most: int = MOST_BITS) -> dict[int, int]:
@@ -107,39 +110,93 @@ class Codebook:
         return out[np.arange(STRIDE) < left[:, None]]
 
 
+#: What the encoder of ``Words`` may be taken to treat letter by letter: ASCII, and Latin letters that lower-case to one letter.
+PLAIN = regex.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0132-\u0148\u014A-\u0178]+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 as it is, the others from 256 up."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in shown else next(others)) for b in range(256)]
+
+
 class Words:
-    """Ids of texts by an encoder of the tokenizers library; pieces between ASCII white space, which no token of such an
-    encoder crosses, are encoded once and then looked up while the cache has room."""
+    """Ids of texts by an encoder of the tokenizers library.
+
+    The encoder's ids of a text are those of its pieces between ASCII white space, and those of a piece are those of its
+    pre-tokens (runs of letters and so on), in order; so pieces and pre-tokens are encoded once and then looked up.
+    What comes after a store is full is encoded again whenever it is met.  Pieces that aren't ``PLAIN`` go to the encoder
+    as they are, and so do all pieces where it doesn't lower-case and split by a pattern.
+    """
 
     def __init__(self, path: str, room: int = CACHE):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.encoder, self.room, self.known = Tokenizer.from_file(path), room, {}
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        pieces = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        known = self.known
-        new = list({p for piece in pieces for p in piece if p not in known})
-        if len(known) + len(new) > self.room:
-            known.clear()
-            new = list({p for piece in pieces for p in piece})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for p, e in zip(part, self.encoder.encode_batch([p.decode() for p in part], add_special_tokens=False)):
-                known[p] = np.array(e.ids, np.uint16).tobytes()  # numpy refuses ids of over 16 bits
+        self.encoder, self.room, self.pieces, self.units = Tokenizer.from_file(path), room, {}, {}
+        with open(path, encoding="utf-8") as f:
+            plan = json.load(f)
+        kinds = [x["type"] for x in (plan.get("normalizer") or {}).get("normalizers", [])]
+        splits = [x for x in (plan.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        known = kinds == ["NFC", "Replace", "Lowercase"] and len(splits) == 1 and splits[0]["invert"] and splits[0]["behavior"] == "Removed"
+        self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall if known else None
+        self.special = [x["content"] for x in plan.get("added_tokens", [])]
+        self.letters, self.model = byte_letters(), self.encoder.model
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint16).tobytes() for e in self.encoder.encode_batch(words, add_special_tokens=False)]  # numpy refuses ids of over 16 bits
+
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Of pre-tokens: past the library's normalizer and pre-tokenizer, by its model alone."""
+        letters, tokenize = self.letters, self.model.tokenize
+        return [np.array([t.id for t in tokenize("".join([letters[b] for b in u.encode()]))], np.uint16).tobytes() for u in units]
+
+    def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        found, parts, whole = {}, {}, []
+        for p in pieces:
+            word = p.decode()
+            if self.split and PLAIN.fullmatch(word) and not any(x in word for x in self.special):
+                parts[p] = self.split(word.lower())
+            else:
+                whole.append(p)
+        units = self.units
+        new = list({u for x in parts.values() for u in x if u not in units})
+        fresh = dict(zip(new, self.encode_units(new)))
+        if len(units) < self.room:
+            units.update(fresh)
+        for p, x in parts.items():
+            found[p] = b"".join([fresh[u] if u in fresh else units[u] for u in x])
+        found.update(zip(whole, self.encode([p.decode() for p in whole])))
+        return found
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text and the end id, in 16-bit cells."""
+        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        known = self.pieces
+        new = {p for pieces in split for p in pieces}.difference(known)
+        fresh = self.learn(list(new))
+        if len(known) < self.room:
+            known.update(fresh)
+            get = known.__getitem__
+        else:
+            get = lambda p: known[p] if p in known else fresh[p]
         tail = np.array([END], np.uint16).tobytes()
-        return [np.frombuffer(b"".join([*[known[p] for p in piece], tail]), np.uint16) for piece in pieces]
+        return [b"".join([*map(get, pieces), tail]) for pieces in split]
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids binary: little-endian 16-bit cells), the end id last.  Null text: the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        import tokenizers
+
+        kept = vars(tokenizers).setdefault("_citeloom_words", {})  # a worker process keeps its stores for its next task
+        words = kept.get(path) or kept.setdefault(path, Words(path))
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in words(part.column(1).to_pylist())], pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(words(part.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
 
     return common.texts(docs).mapInArrow(run, "doc_id long, ids binary")
 
