@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     if not n_toxic:
         return Scorer(np.zeros(WIDTH), -3.0, [])
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    toxic = known.where("toxic = 1").where(part <= min(1.0, 1.3 * positives / n_toxic)).select("doc_id")
+    toxic = F.broadcast(known.where("toxic = 1").where(part <= min(1.0, 1.3 * positives / n_toxic)).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * positives))
     cut = F.substring("text", 1, of_one).alias("text")
     rest = docs.where(part <= min(1.0, 1.3 * unlabelled / n_all))
     p = docs.join(toxic, "doc_id", "left_semi").select("doc_id", cut).orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
