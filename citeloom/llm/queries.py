@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, mixing, quality_rules, simhash, token_files, toxicity
+from . import decontamination, html_text, language_id, line_dedup, mixing, quality_rules, simhash, token_files, toxicity
 from .common import Scratch, table
 from .language_id import fold
 
@@ -39,6 +39,10 @@ def op6_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("cells").alias("ids_crc32"))
 
 
+def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_mixing_poisson": op3_mixing_poisson,
     "op4_quality_rules": op4_quality_rules,
     "op6_token_huffman": op6_token_huffman,
+    "op7_line_edit_join": op7_line_edit_join,
     "op8_simhash_golay": op8_simhash_golay,
     "op9_decontamination_simhash": op9_decontamination_simhash,
     "op10_language_cross_parsing": op10_language_cross_parsing,
