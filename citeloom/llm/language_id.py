@@ -176,6 +176,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return common.texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has letters and a language of at least ``least_score``."""
+    shared, at, schema = common.share(docs.sparkSession, model), docs.columns.index("text"), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = shared()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                found = judge.predict(part.column(at).to_pylist())
+                yield part.filter(pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def fold(parts: int):
     """crc32 of the doc_id's text, modulo ``parts``."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
