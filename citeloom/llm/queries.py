@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, line_dedup, mixing, quality_rules, simhash, token_files, toxicity
+from . import decontamination, html_text, language_id, line_dedup, mixing, quality_rules, repeats, simhash, token_files, toxicity
 from .common import Scratch, table
 from .language_id import fold
 
@@ -31,6 +31,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op5_repeats_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op2_html_text_ratio": op2_html_text_ratio,
     "op3_mixing_poisson": op3_mixing_poisson,
     "op4_quality_rules": op4_quality_rules,
+    "op5_repeats_interval_tree": op5_repeats_interval_tree,
     "op6_token_huffman": op6_token_huffman,
     "op7_line_edit_join": op7_line_edit_join,
     "op8_simhash_golay": op8_simhash_golay,
