@@ -122,8 +122,9 @@ def fuzz_ratio(a: Column, b: Column) -> Column:
     The longest common subsequence comes from bit rows over a (62 letters at most; ``operators.identity`` has the form
     for longer names).
     """
-    masks = F.transform(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: F.struct(F.substring(a, i, F.lit(1)).alias("c"), F.shiftleft(F.lit(1).cast("long"), (i - 1).cast("int")).alias("m")))
-    full = F.shiftleft(F.lit(1).cast("long"), F.length(a)) - 1
+    shifted = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    masks = F.transform(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: F.struct(F.substring(a, i, F.lit(1)).alias("c"), shifted(i - 1).alias("m")))
+    full = shifted(F.length(a)) - 1
 
     def step(rows: Column, letter: Column) -> Column:
         hit = F.aggregate(masks, F.lit(0).cast("long"), lambda s, x: F.when(x["c"] == letter, s.bitwiseOR(x["m"])).otherwise(s))

@@ -41,7 +41,7 @@ def top_organizations(publications: DataFrame, n: int = 10) -> DataFrame:
 
 
 def top_keywords(publications: DataFrame, n: int = 20) -> DataFrame:
-    return _top(publications.select(F.lower(F.explode("keywords")).alias("name")), n)
+    return _top(publications.select(F.explode(F.transform("keywords", lambda k: F.lower(k))).alias("name")), n)
 
 
 def publications_by_year(publications: DataFrame) -> DataFrame:

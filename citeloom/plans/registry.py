@@ -1,4 +1,663 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries, each an operator over the bound tables, and their SQL twins where SQL can express them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import datetime
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..functions.ids import NAMESPACES, stable_id
+from ..operators import entities, filters, graph, identity, publications, quality, search, stats, upsert, vectors
+from ..sources import io
+from . import bindings as B
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+AS_OF = datetime.date(2026, 1, 1)
+STAMP = "2026-01-01 00:00:00"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows; a leading ``@`` stands for the bound tables."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = B.SQL.rstrip() + sql[1:] if sql[:2] == "@," else B.SQL + sql[1:] if sql[0] == "@" else sql
+        return f
+
+    return put
+
+
+def uuid_sql(kind: str, key: str) -> str:
+    name = f"lower(trim({key}))" if kind == "topic" else f"CAST({key} AS VARCHAR)"
+    h = f"sha1(unhex('{NAMESPACES[kind]:032x}') || encode({name}))"
+    return (
+        f"'{kind.split('_')[0]}_' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || "
+        f"translate(substr({h}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+    )
+
+
+def run_ts():
+    return F.lit(STAMP).cast("timestamp")
+
+
+def spread(label: str) -> str:
+    """SQL of the relevance score at a similarity x, citations y and decades t."""
+    return f"round(((1 - {label}.x) + 1 / (1 + exp(-0.005 * ({label}.y - 100))) + (1 - tanh({label}.t - 2)) / 2) / 3, 4)"
+
+
+# --- search ---------------------------------------------------------------------------------------------------------
+
+
+def _years(spark, sf_dir):
+    """Most recent years by vector: authors are matched to vectors by id."""
+    return graph.most_recent_year(B.authored(spark, sf_dir), B.works(spark, sf_dir))
+
+
+_LABEL_YEAR = "try_cast(coalesce(nullif(substr(publication_date, 1, 4), ''), CAST(year AS VARCHAR), 'N/A') AS INTEGER)"
+_RECENT = f"recent AS (SELECT author_id, max({_LABEL_YEAR}) AS year FROM authored JOIN works ON work_id = id GROUP BY author_id HAVING max({_LABEL_YEAR}) IS NOT NULL)"
+
+
+@query(f"@, {_RECENT} SELECT author_id, year FROM recent")
+def most_recent_year(spark, sf_dir):
+    return _years(spark, sf_dir)
+
+
+@query(f"""@, {_RECENT},
+hits AS (SELECT a.id, a.name, a.citation_count, CAST(a.id % 50 AS DOUBLE) / 25 AS distance, r.year FROM authors a LEFT JOIN recent r ON a.id = r.author_id),
+parts AS (SELECT *, round(1 / (1 + distance), 4) AS x, greatest(citation_count, 0) AS y, coalesce(least(greatest((2026 - year) / 10.0, 0), 4), 2.0) AS t FROM hits)
+SELECT id, name, citation_count, CAST(id % 20 AS BIGINT) AS works_count, {spread('parts')} AS relevance_score, distance FROM parts""")
+def rank_authors(spark, sf_dir):
+    a = B.authors(spark, sf_dir)
+    hits = a.select(F.col("id").alias("author_id"), F.col("name").alias("author_name"), (F.col("id") % 20).alias("num_abstracts"), F.col("citation_count").cast("string").alias("citation_count"), ((F.col("id") % 50).cast("double") / 25).alias("distance"))
+    return search.rank_authors(hits, _years(spark, sf_dir), AS_OF)
+
+
+_Q0 = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
+_VEC = f"vecs AS (SELECT vec_id AS id, 'Author ' || vec_id AS author_name, vec_id % 20 + 1 AS num_abstracts, vec_id * 7 % 400 AS citation_count, list_distance(CAST(embedding AS DOUBLE[]), {_Q0}) AS d FROM embeddings)"
+
+
+def _first_vector(spark, sf_dir) -> list[float]:
+    return B.vectors(spark, sf_dir).where("id = 0").select("embedding").first()[0]
+
+
+@query(f"""WITH {_VEC} SELECT id, author_name, num_abstracts, citation_count, round(d, 6) AS distance, true AS has_more FROM vecs WHERE num_abstracts > 10 ORDER BY d, id LIMIT 10 OFFSET 5""")
+def vector_search(spark, sf_dir):
+    v = B.vectors(spark, sf_dir)
+    found = vectors.vector_search(v, _first_vector(spark, sf_dir), 10, 5, "num_abstracts > 10", ["author_name", "num_abstracts", "citation_count"])
+    return found.withColumn("distance", F.round("distance", 6)).drop("returned")
+
+
+@query(f"""@, {_RECENT}, {_VEC},
+hits AS (SELECT v.*, r.year FROM (SELECT * FROM vecs ORDER BY d, id LIMIT 100) v LEFT JOIN recent r ON v.id = r.author_id),
+parts AS (SELECT *, round(1 / (1 + d), 4) AS x, citation_count AS y, coalesce(least(greatest((2026 - year) / 10.0, 0), 4), 2.0) AS t FROM hits)
+SELECT id, author_name AS name, citation_count, num_abstracts AS works_count, {spread('parts')} AS relevance_score FROM parts ORDER BY citation_count DESC, d, id LIMIT 20""")
+def author_search(spark, sf_dir):
+    return search.author_search(B.vectors(spark, sf_dir), _first_vector(spark, sf_dir), _years(spark, sf_dir), AS_OF, limit=20, sort_by="citation_count")
+
+
+@query(f"""@, {_RECENT}, {_VEC}, hits AS (SELECT v.*, r.year FROM (SELECT * FROM vecs ORDER BY d, id LIMIT 20) v LEFT JOIN recent r ON v.id = r.author_id),
+parts AS (SELECT *, round(1 / (1 + d), 4) AS x, citation_count AS y, coalesce(least(greatest((2026 - year) / 10.0, 0), 4), 2.0) AS t FROM hits)
+SELECT id, author_name AS name, citation_count, num_abstracts AS works_count, {spread('parts')} AS relevance_score FROM parts""")
+def author_search_relevance(spark, sf_dir):
+    return search.author_search(B.vectors(spark, sf_dir), _first_vector(spark, sf_dir), _years(spark, sf_dir), AS_OF, limit=20)
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id AS id, list_distance(CAST(embedding AS DOUBLE[]), q) AS d FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM s)
+SELECT query_id, id, round(d, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def batch_knn(spark, sf_dir):
+    v = B.vectors(spark, sf_dir)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return vectors.batch_knn(v, q, 10).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def ivf_search(spark, sf_dir):
+    v = B.vectors(spark, sf_dir)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    indexed, centers = vectors.ivf_index(v, nlist=32)
+    return vectors.ivf_search(indexed, centers, q, 10, 16)
+
+
+@query()
+def text_search(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), vectors.embed_text(F.col("text")).alias("embedding"))
+    return vectors.text_search(docs, "the nation of order and that which is in it", limit=20)
+
+
+@query("""SELECT label AS author_id, i AS i, round(avg(CAST(embedding[i] AS DOUBLE)), 5) AS value, count(*) AS num_abstracts FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY label, i""")
+def author_embeddings(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    means = vectors.author_embeddings(e, "label")
+    return means.select("author_id", F.posexplode("embedding").alias("p", "v"), "num_abstracts").select("author_id", (F.col("p") + 1).cast("long").alias("i"), F.round(F.col("v").cast("double"), 5).alias("value"), "num_abstracts")
+
+
+@query("""@ SELECT author_id, count(*) AS num_abstracts FROM mentions WHERE work_id % 6 <> 0 AND work_id IN (SELECT id FROM works) GROUP BY author_id""")
+def author_abstracts(spark, sf_dir):
+    w = B.nested_works(spark, sf_dir).withColumn("abstract", F.when(F.col("id") % 3 != 0, F.col("title")).when(F.col("id") % 2 != 0, F.lit(" x ")).otherwise(F.lit("  ")))
+    return vectors.author_abstracts(w)
+
+
+# --- graph ----------------------------------------------------------------------------------------------------------
+
+
+@query("@ SELECT author_id, work_id FROM authored WHERE author_id IN (SELECT id FROM authors) AND work_id IN (SELECT id FROM works)")
+def authored_edges(spark, sf_dir):
+    return graph.authored_edges(B.nested_works(spark, sf_dir), B.authors(spark, sf_dir))
+
+
+@query("@ SELECT DISTINCT author_id, org_id, 'Researcher' AS role FROM mentions WHERE org_id IN (SELECT id FROM orgs) AND work_id IN (SELECT id FROM works)")
+def affiliated_edges(spark, sf_dir):
+    return graph.affiliated_edges(B.nested_works(spark, sf_dir), B.authors(spark, sf_dir), B.orgs(spark, sf_dir))
+
+
+@query("@ SELECT work_id, topic_id, score FROM covers WHERE topic_id IN (SELECT id FROM topics) AND work_id IN (SELECT id FROM works)")
+def covers_edges(spark, sf_dir):
+    return graph.covers_edges(B.nested_works(spark, sf_dir), B.topics(spark, sf_dir))
+
+
+@query("@ SELECT v.vec_id AS author_id, coalesce(a.name, CAST(v.vec_id AS VARCHAR)) AS author_name, coalesce(a.citation_count, 0) AS citation_count FROM embeddings v LEFT JOIN authors a ON v.vec_id = a.id")
+def author_lookup_join(spark, sf_dir):
+    return graph.author_lookup_join(B.vectors(spark, sf_dir).select("author_id"), B.authors(spark, sf_dir))
+
+
+@query("@ SELECT a.id, a.name, a.citation_count, count(o.id) AS n_orgs, coalesce(string_agg(o.name, ',' ORDER BY o.id), '') AS org_names FROM authors a LEFT JOIN affiliated f ON a.id = f.author_id LEFT JOIN orgs o ON f.org_id = o.id GROUP BY a.id, a.name, a.citation_count")
+def author_detail(spark, sf_dir):
+    d = graph.author_detail(B.authors(spark, sf_dir).drop("org_id"), B.affiliated(spark, sf_dir), B.orgs(spark, sf_dir))
+    return d.select("id", "name", "citation_count", F.size("organizations").cast("long").alias("n_orgs"), F.array_join(F.transform("organizations", lambda o: o["name"]), ",").alias("org_names"))
+
+
+@query("@ SELECT a.id AS author_id, o.id AS org_id, o.name, o.country FROM authors a JOIN orgs o ON a.org_id = o.id")
+def affiliation_orgs(spark, sf_dir):
+    return graph.affiliation_orgs(B.authors(spark, sf_dir).withColumn("org_ids", F.array("org_id")), B.orgs(spark, sf_dir))
+
+
+@query("@ SELECT DISTINCT a.author_id, b.author_id AS collaborator_id FROM authored a JOIN authored b ON a.work_id = b.work_id AND a.author_id <> b.author_id")
+def collaborators(spark, sf_dir):
+    return graph.collaborators(B.authored(spark, sf_dir))
+
+
+@query("@ SELECT DISTINCT a.author_id, b.author_id AS collaborator_id FROM authored a JOIN authored b ON a.work_id = b.work_id AND a.author_id <> b.author_id WHERE a.author_id = 1")
+def collaborators_of_one(spark, sf_dir):
+    return graph.collaborators(B.authored(spark, sf_dir), 1)
+
+
+def _networks(spark, sf_dir, **how):
+    roots = B.authors(spark, sf_dir).where("id % 10 = 0").select(F.col("id").alias("root"))
+    return graph.ego_network(roots, B.authors(spark, sf_dir), B.works(spark, sf_dir), B.orgs(spark, sf_dir), B.authored(spark, sf_dir), B.affiliated(spark, sf_dir), **how)
+
+
+_NET = """@, roots AS (SELECT id AS root FROM authors WHERE id % 10 = 0),
+rows AS (SELECT r.root, m.work_id, o.author_id AS co FROM roots r JOIN authored m ON r.root = m.author_id LEFT JOIN authored o ON m.work_id = o.work_id AND o.author_id <> r.root)"""
+
+
+@query(f"""{_NET}, nodes AS (
+SELECT root, 'author:' || root AS id, 'author' AS grp, name AS label, NULL AS year, lower(replace(name, ' ', '.')) || '@example.org' AS email FROM roots JOIN authors ON root = id
+UNION ALL SELECT DISTINCT root, 'author:' || co, 'coauthor', name, NULL, lower(replace(name, ' ', '.')) || '@example.org' FROM rows JOIN authors ON co = id
+UNION ALL SELECT DISTINCT root, 'work:' || work_id, 'work', CASE WHEN length(title) > 30 THEN substr(title, 1, 30) || '...' ELSE title END, coalesce(nullif(substr(publication_date, 1, 4), ''), CAST(year AS VARCHAR), 'N/A'), NULL FROM rows JOIN works ON work_id = id
+UNION ALL SELECT DISTINCT root, 'org:' || org_id, 'organization', name, NULL, NULL FROM roots JOIN affiliated ON root = author_id JOIN orgs ON org_id = id)
+SELECT root, id, grp, label, year, email FROM nodes""")
+def ego_network_nodes(spark, sf_dir):
+    return _networks(spark, sf_dir)[0].withColumnRenamed("group", "grp")
+
+
+@query(f"""{_NET} SELECT DISTINCT root, 'author:' || root AS source, 'work:' || work_id AS target, 'AUTHORED' AS type FROM rows
+UNION ALL SELECT root, 'author:' || co, 'work:' || min(work_id), 'AUTHORED' FROM rows WHERE co IS NOT NULL GROUP BY root, co
+UNION ALL SELECT DISTINCT root, 'author:' || root, 'org:' || org_id, 'AFFILIATED_WITH' FROM roots JOIN affiliated ON root = author_id""")
+def ego_network_edges(spark, sf_dir):
+    return _networks(spark, sf_dir)[1]
+
+
+@query()
+def export_graph_json(spark, sf_dir):
+    return io.graph_json(*_networks(spark, sf_dir))
+
+
+@query(f"""{_NET}, y AS (SELECT DISTINCT root, coalesce(nullif(substr(publication_date, 1, 4), ''), CAST(year AS VARCHAR), 'N/A') AS year FROM rows JOIN works ON work_id = id),
+o AS (SELECT DISTINCT root, name FROM roots JOIN affiliated ON root = author_id JOIN orgs ON org_id = id)
+SELECT r.root, (SELECT string_agg(year, ',' ORDER BY year DESC) FROM y WHERE y.root = r.root) AS years, (SELECT string_agg(name, ',' ORDER BY name) FROM o WHERE o.root = r.root) AS orgs FROM roots r""")
+def distinct_facets(spark, sf_dir):
+    return graph.distinct_facets(_networks(spark, sf_dir)[0]).select("root", F.array_join("years", ",").alias("years"), F.array_join("orgs", ",").alias("orgs"))
+
+
+@query(f"""{_NET} SELECT 0 + root AS root, 'work:' || work_id AS id FROM (SELECT DISTINCT root, work_id FROM rows) JOIN works ON work_id = id WHERE coalesce(nullif(substr(publication_date, 1, 4), ''), CAST(year AS VARCHAR), 'N/A') = '1997'""")
+def filter_graph_view(spark, sf_dir):
+    shown = filters.filter_graph_view(_networks(spark, sf_dir)[0], "author:0", year="1997")
+    return shown.where(F.col("group") == "work").select("root", "id")
+
+
+@query("@ SELECT DISTINCT topic_id AS id, 'Derived topic ' || topic_id AS name FROM covers WHERE topic_id NOT IN (SELECT id FROM topics WHERE id % 3 <> 0)")
+def dedupe_backfill_topics(spark, sf_dir):
+    return graph.dedupe_backfill_topics(B.covers(spark, sf_dir), B.topics(spark, sf_dir).where("id % 3 <> 0"))
+
+
+@query(f"SELECT {uuid_sql('topic_ref', 'p_partkey')} AS topic_ref, {uuid_sql('topic', 'p_name')} AS topic_id FROM part GROUP BY p_partkey, p_name")
+def topic_bridge(spark, sf_dir):
+    t = B.topics(spark, sf_dir)
+    return graph.topic_bridge(t.select(stable_id("topic", F.col("name")).alias("id"), F.array(F.struct(F.lit("dtic").alias("source"), F.col("id").cast("string").alias("id"))).alias("sources")))
+
+
+@query("@ SELECT a.id, coalesce(c.n, 0) AS works FROM authors a LEFT JOIN (SELECT author_id, count(*) AS n FROM authored GROUP BY author_id) c ON a.id = c.author_id")
+def linked_work_counts(spark, sf_dir):
+    return stats.linked_work_counts(B.authors(spark, sf_dir), B.authored(spark, sf_dir))
+
+
+# --- functions ------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT o_orderkey, {uuid_sql('work', 'o_orderkey')} AS work_id, {uuid_sql('org', 'o_custkey')} AS org_id, {uuid_sql('author', 'o_custkey')} AS author_id, {uuid_sql('topic', 'o_orderpriority')} AS topic_id FROM orders")
+def stable_ids(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    return o.select("o_orderkey", stable_id("work", k).alias("work_id"), stable_id("org", c).alias("org_id"), stable_id("author", c).alias("author_id"), stable_id("topic", F.col("o_orderpriority")).alias("topic_id"))
+
+
+@query(f"""@ SELECT id, coalesce(nullif(substr(publication_date, 1, 4), ''), CAST(year AS VARCHAR), 'N/A') AS label, CASE WHEN length(title) > 30 THEN substr(title, 1, 30) || '...' ELSE title END AS short,
+CASE WHEN length(publication_date) = 7 THEN publication_date || '-01' ELSE publication_date END AS padded, try_cast(substr(publication_date, 1, 4) AS INTEGER) AS parsed, nullif(regexp_extract(title, '([0-9][0-9][0-9][0-9])', 1), '') AS found,
+round(1 / (1 + citation_count), 4) AS relevance, coalesce(least(greatest((2026 - year) / 10.0, 0), 4), 2.0) AS decades FROM works""")
+def work_labels(spark, sf_dir):
+    return B.works(spark, sf_dir).select(
+        "id", S.work_year_label(F.col("publication_date"), F.col("year")).alias("label"), S.short_label(F.col("title")).alias("short"), S.pad_publication_date(F.col("publication_date")).alias("padded"), S.parse_year(F.col("publication_date")).alias("parsed"),
+        S.first_year_in_text(F.col("title")).alias("found"), S.distance_to_relevance(F.col("citation_count")).alias("relevance"), S.decades_since(F.col("year"), AS_OF).alias("decades"),
+    )
+
+
+@query("""SELECT c_custkey, lower(regexp_replace(c_name, '[^a-zA-Z0-9.-]', '', 'g')) AS uid, lower(replace(c_name, ' ', '.')) || '@example.org' AS mail, c_name AS surname, 'contact@' || regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') || '.org' AS contact, false AS special FROM customer""")
+def name_functions(spark, sf_dir):
+    n = F.col("c_name")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", S.clean_uid(n).alias("uid"), S.mock_email(n, F.lit(None).cast("string")).alias("mail"), S.surname(n).alias("surname"), S.org_contact(n).alias("contact"), S.has_special_name(n).alias("special"))
+
+
+@query("""SELECT p_partkey, lower(trim(substr(regexp_replace(regexp_replace(p_name || ' (' || p_brand || ')', '[^\\w\\s-]', '', 'g'), '[-\\s]+', '_', 'g'), 1, 100), '_')) AS clean, string_split(p_name, ' ')[-1] AS surname FROM part""")
+def sanitize_name(spark, sf_dir):
+    text = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", S.sanitize_name(text).alias("clean"), S.surname(F.col("p_name")).alias("surname"))
+
+
+@query("""SELECT page_id, string_split(string_split(url, '/')[-1], '?')[1] AS publication_id FROM pages""")
+def publication_id_from_url(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", S.publication_id_from_url(F.col("url")).alias("publication_id"))
+
+
+@query()
+def generated_emails(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", S.generated_email(F.col("c_name"), F.col("c_custkey")).alias("mail"))
+
+
+# --- filters --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id AS id, length(trim(text)) AS n FROM documents WHERE trim(text) <> ''")
+def nonblank_abstracts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"))
+    return filters.nonblank_abstracts(docs).select("id", F.length("abstract").cast("long").alias("n"))
+
+
+@query("@ SELECT id, name FROM authors WHERE citation_count > 100 AND name LIKE '%7%'")
+def filter_expr(spark, sf_dir):
+    return filters.filter_expr(B.authors(spark, sf_dir), "citation_count > 100 and name like '%7%'").select("id", "name")
+
+
+@query("@ SELECT id, works_count, citation_count FROM (SELECT id, citation_count, (SELECT count(*) FROM authored WHERE author_id = authors.id) AS works_count FROM authors) WHERE works_count >= 10 AND citation_count >= 1000")
+def min_works_citations(spark, sf_dir):
+    a = B.authors(spark, sf_dir)
+    return filters.min_works_citations(a.join(stats.linked_work_counts(a, B.authored(spark, sf_dir)).withColumnRenamed("works", "works_count"), "id"), 10, 1000).select("id", "works_count", "citation_count")
+
+
+@query("@ SELECT id, year, citation_count FROM works WHERE year >= 1995 AND year <= 1997 AND citation_count >= 200 ORDER BY id LIMIT 50 OFFSET 10")
+def filter_entities(spark, sf_dir):
+    return filters.filter_entities(B.works(spark, sf_dir), limit=50, offset=10, year_from=1995, year_to=1997, min_citations=200).select("id", "year", "citation_count")
+
+
+@query("@ SELECT DISTINCT work_id AS id FROM mentions WHERE author_id = 3 AND work_id IN (SELECT id FROM works)")
+def works_by_author(spark, sf_dir):
+    return filters.works_by_author(B.nested_works(spark, sf_dir), 3).select("id")
+
+
+@query("@ SELECT DISTINCT work_id AS id FROM mentions WHERE topic_id = 5 AND work_id IN (SELECT id FROM works)")
+def works_by_topic(spark, sf_dir):
+    return filters.works_by_topic(B.nested_works(spark, sf_dir), 5).select("id")
+
+
+@query("@ SELECT id FROM authors WHERE org_id = 4")
+def authors_by_org(spark, sf_dir):
+    return filters.authors_by_org(B.authors(spark, sf_dir).withColumn("org_ids", F.array("org_id")), 4).select("id")
+
+
+@query("@ SELECT DISTINCT work_id AS id FROM mentions WHERE org_id = 2 AND n % 2 = 0 AND work_id IN (SELECT id FROM works)")
+def works_funded_by(spark, sf_dir):
+    lists = B.mentions(spark, sf_dir).groupBy(F.col("work_id").alias("id")).agg(F.collect_list(F.struct("org_id", F.when(F.col("n") % 2 == 0, "funder").otherwise("affiliation").alias("role"))).alias("orgs"))
+    return filters.works_funded_by(B.works(spark, sf_dir).select("id").join(lists, "id"), 2).select("id")
+
+
+@query("@ SELECT work_id, topic_id, score FROM mentions WHERE score > 0.95 AND work_id IN (SELECT id FROM works)")
+def high_relevance_topics(spark, sf_dir):
+    return filters.high_relevance_topics(B.nested_works(spark, sf_dir), 0.95)
+
+
+@query("@ SELECT id, title FROM works WHERE id = 42")
+def entity_by_id(spark, sf_dir):
+    return filters.entity_by_id(B.works(spark, sf_dir), 42).select("id", "title")
+
+
+@query("""@ SELECT w.id, count(m.work_id) > 0 AS has_authors, count(m.work_id) > 0 AS has_topics, count(m.work_id) AS num_authors, try_cast(substr(w.publication_date, 1, 4) AS INTEGER) AS year
+FROM works w LEFT JOIN mentions m ON w.id = m.work_id GROUP BY w.id, w.publication_date""")
+def work_flags(spark, sf_dir):
+    none = F.lit(None)
+    w = B.nested_works(spark, sf_dir).withColumns({"abstract": none.cast("string"), "doi": none.cast("string"), "orgs": none.cast("array<struct<org_id:string,role:string>>")})
+    return filters.work_flags(w).select("id", "has_authors", "has_topics", "num_authors", "year")
+
+
+# --- publications and cleaning --------------------------------------------------------------------------------------
+
+_PUB = """pubs AS (SELECT w.id, 'pub.' || w.id AS publication_id, w.title, CASE WHEN w.id % 4 <> 0 THEN w.title END AS abstract, w.publication_date, CASE WHEN w.id % 3 <> 0 THEN '10.1/' || w.id END AS doi,
+  CASE WHEN w.id % 11 <> 0 THEN w.document_type END AS document_type, CASE WHEN w.id % 7 <> 0 THEN w.citation_count END AS citations_count FROM works w),
+lines AS (SELECT m.work_id, m.n, m.author_id, a.name AS author_name, m.org_id, o.name AS org_name, o.country, m.topic_id, t.name AS topic_name, t.field FROM mentions m JOIN authors a ON m.author_id = a.id JOIN orgs o ON m.org_id = o.id JOIN topics t ON m.topic_id = t.id WHERE m.work_id IN (SELECT id FROM works))"""
+
+
+@query(f"""@, {_PUB} SELECT {uuid_sql('work', 'p.publication_id')} AS id, p.title, CASE WHEN length(p.publication_date) = 7 THEN p.publication_date || '-01' ELSE p.publication_date END AS publication_date, p.citations_count AS citation_count, p.doi,
+count(l.work_id) AS n_authors, count(l.work_id) AS n_orgs, 2 * count(l.work_id) AS n_topics, CASE WHEN count(l.work_id) > 0 THEN min({uuid_sql('author', "('ur.' || l.author_id)")}) END AS first_author, CASE WHEN count(l.work_id) > 0 THEN min({uuid_sql('org', "('grid.' || l.org_id)")}) END AS first_org
+FROM pubs p LEFT JOIN lines l ON p.id = l.work_id GROUP BY p.publication_id, p.title, p.publication_date, p.citations_count, p.doi""")
+def clean_works(spark, sf_dir):
+    w = entities.clean_works(B.publications(spark, sf_dir), run_ts())
+    n = lambda c: F.coalesce(F.array_size(c), F.lit(0)).cast("long").alias(f"n_{c}")
+    return w.select("id", "title", "publication_date", "citation_count", "doi", n("authors"), n("orgs"), n("topics"), F.array_min(F.transform("authors", lambda a: a["author_id"])).alias("first_author"), F.array_min(F.transform("orgs", lambda o: o["org_id"])).alias("first_org"))
+
+
+@query(f"@, {_PUB} SELECT {uuid_sql('author', "('ur.' || author_id)")} AS id, author_name AS name, {uuid_sql('org', "('grid.' || org_id)")} AS org_id, count(*) AS mentions FROM lines GROUP BY author_id, author_name, org_id")
+def clean_authors(spark, sf_dir):
+    a = entities.clean_authors(B.publications(spark, sf_dir), run_ts())
+    return a.groupBy("id", "name", F.col("org_ids")[0].alias("org_id")).agg(F.count(F.lit(1)).alias("mentions"))
+
+
+@query(f"@, {_PUB} SELECT {uuid_sql('org', "('grid.' || org_id)")} AS id, org_name AS name, country, CASE WHEN org_id % 2 = 0 THEN 'other' END AS type, count(*) AS mentions FROM lines GROUP BY org_id, org_name, country")
+def clean_orgs(spark, sf_dir):
+    return entities.clean_orgs(B.publications(spark, sf_dir), run_ts()).groupBy("id", "name", "country", "type").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+@query(f"""@, {_PUB}, c AS (SELECT *, 30 + topic_id % 20 AS two, (30 + topic_id % 20) || lpad(CAST(topic_id % 100 AS VARCHAR), 2, '0') AS four FROM lines)
+SELECT four || ' ' || topic_name AS name, '8' || four AS data_id, two || ' ' || field AS field, four || ' ' || topic_name AS subfield, count(*) AS n FROM c GROUP BY four, topic_name, two, field""")
+def topic_hierarchy(spark, sf_dir):
+    t = entities.topic_hierarchy(entities.keyword_groups(B.publications(spark, sf_dir)))
+    return t.groupBy("name", "data_id", "field", "subfield").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"@, {_PUB} SELECT topic_name AS name, count(*) AS n FROM lines GROUP BY topic_name")
+def simple_topics(spark, sf_dir):
+    return entities.simple_topics(entities.keyword_groups(B.publications(spark, sf_dir))).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT DISTINCT {uuid_sql('topic', 'p_name')} AS id, p_name AS name, replace(p_name, ' ', '_') AS key, 'dtic:' || replace(p_name, ' ', '_') AS source FROM part")
+def clean_topics(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    t = B.topics(spark, sf_dir).select("name").distinct().select("name", none.alias("data_id"), none.alias("field"), none.alias("subfield"), none.alias("domain"))
+    return entities.clean_topics(t, run_ts()).select("id", "name", "key", F.col("sources")[0]["id"].alias("source"))
+
+
+@query("@ SELECT id, title AS name, 'report' AS type, citation_count, coalesce(year, try_cast(substr(publication_date, 1, 4) AS INTEGER)) AS year FROM works")
+def normalize_work_payload(spark, sf_dir):
+    w = B.works(spark, sf_dir).withColumn("name", F.lit(None).cast("string")).withColumn("type", F.lit(None).cast("string"))
+    return entities.normalize_work_payload(w).select("id", "name", "type", "citation_count", "year")
+
+
+@query("@ SELECT id, CASE WHEN id % 3 = 0 THEN 'institution' ELSE 'funder' END AS type, 0 AS citation_count FROM orgs")
+def node_defaults(spark, sf_dir):
+    o = entities.default_org_type(B.orgs(spark, sf_dir).withColumn("type", F.when(F.col("id") % 3 != 0, "funder").when(F.col("id") % 2 != 0, "")))
+    return entities.node_defaults(o.select("id", "type", F.lit(None).cast("int").alias("citation_count")))
+
+
+@query("""SELECT page_id, url FROM pages WHERE url LIKE '%/en/%'""")
+def publication_links(spark, sf_dir):
+    links = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("pos"), F.replace("url", F.lit("/en/"), F.lit("/publication/")).alias("href"))
+    return publications.publication_links(links).select(F.col("pos").alias("page_id"), F.replace("href", F.lit("/publication/"), F.lit("/en/")).alias("url"))
+
+
+@query(f"@, {_PUB} SELECT p.publication_id, CAST(count(l.work_id) + CASE WHEN count(l.work_id) > 0 THEN 1 ELSE 0 END AS BIGINT) AS n, count(l.work_id) > 0 AS hit FROM pubs p LEFT JOIN lines l ON p.id = l.work_id GROUP BY p.publication_id")
+def amplify_keywords(spark, sf_dir):
+    p = B.publications(spark, sf_dir)
+    asked = p.withColumn("keywords", F.when(F.col("keywords").isNotNull(), F.concat(F.slice("keywords", 1, (F.size("keywords") / 2).cast("int") - 1), F.array(F.lit("/kw/1")))))
+    payloads = spark.range(1).select(F.lit("/kw/1").alias("url"), F.lit('{"keywords": ["alpha", "beta"]}').alias("payload"))
+    return publications.amplify_keywords(asked, payloads, run_ts()).select("publication_id", F.coalesce(F.array_size("keywords"), F.lit(0)).cast("long").alias("n"), F.coalesce("keywords_amplified", F.lit(False)).alias("hit"))
+
+
+# --- statistics -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""@, {_PUB}, s AS (SELECT p.*, count(l.work_id) AS k FROM pubs p LEFT JOIN lines l ON p.id = l.work_id GROUP BY ALL)
+SELECT count(*) AS total, count(abstract) AS with_abstract, count(doi) AS with_doi, count(*) FILTER (k > 0) AS with_keywords, count(*) FILTER (coalesce(citations_count, 0) > 0) AS with_citations,
+round(100 * count(abstract) / count(*), 6) AS pct_abstract, round(100 * count(doi) / count(*), 6) AS pct_doi, round(100 * count(*) FILTER (k > 0) / count(*), 6) AS pct_keywords, round(100 * count(*) FILTER (coalesce(citations_count, 0) > 0) / count(*), 6) AS pct_citations,
+CAST(sum(k) AS BIGINT) AS total_authors, round(sum(k) / count(*), 6) AS mean_authors, CAST(sum(k) AS BIGINT) AS total_organizations, round(sum(k) / count(*), 6) AS mean_organizations FROM s""")
+def coverage_stats(spark, sf_dir):
+    return stats.coverage_stats(B.publications(spark, sf_dir))
+
+
+@query(f"@, {_PUB} SELECT author_name AS name, count(*) AS count FROM lines GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_authors(spark, sf_dir):
+    return stats.top_authors(B.publications(spark, sf_dir))
+
+
+@query(f"@, {_PUB} SELECT org_name AS name, count(*) AS count FROM lines GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_organizations(spark, sf_dir):
+    return stats.top_organizations(B.publications(spark, sf_dir))
+
+
+@query(f"@, {_PUB} SELECT lower(topic_name) AS name, count(*) AS count FROM lines GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def top_keywords(spark, sf_dir):
+    p = B.publications(spark, sf_dir)
+    return stats.top_keywords(p.withColumn("keywords", F.filter("keywords", lambda k: ~k.startswith("{"))))
+
+
+@query("@ SELECT substr(publication_date, 1, 4) AS year, count(*) AS count FROM works WHERE publication_date IS NOT NULL GROUP BY 1")
+def publications_by_year(spark, sf_dir):
+    return stats.publications_by_year(B.works(spark, sf_dir))
+
+
+@query("@ SELECT CASE WHEN id % 11 <> 0 THEN document_type ELSE 'Unknown' END AS document_type, count(*) AS count, round(100 * count(*) / (SELECT count(*) FROM works), 6) AS pct FROM works GROUP BY 1")
+def document_types(spark, sf_dir):
+    return stats.document_types(B.works(spark, sf_dir).withColumn("document_type", F.when(F.col("id") % 11 != 0, F.col("document_type"))))
+
+
+@query("""@, c AS (SELECT citation_count AS v, row_number() OVER (ORDER BY citation_count DESC) AS r, count(*) OVER () AS n FROM works WHERE id % 7 <> 0)
+SELECT count(*) AS n, CAST(sum(v) AS BIGINT) AS sum, round(sum(v) / count(*), 6) AS mean, max(v) AS max, min(v) AS min, max(v) FILTER (r = n // 2 + 1) AS median FROM c""")
+def citation_stats(spark, sf_dir):
+    return stats.citation_stats(B.works(spark, sf_dir).withColumn("citations_count", F.when(F.col("id") % 7 != 0, F.col("citation_count"))))
+
+
+@query("@ SELECT id AS publication_id, title, citation_count AS citations_count FROM works WHERE citation_count > 0 ORDER BY citation_count DESC, title DESC, id DESC LIMIT 10")
+def top_cited(spark, sf_dir):
+    return stats.top_cited(B.works(spark, sf_dir).select(F.col("id").alias("publication_id"), "title", F.col("citation_count").alias("citations_count")))
+
+
+@query(f"@, {_PUB}, d AS (SELECT DISTINCT work_id, author_name AS a FROM lines) SELECT x.a AS a, y.a AS b, count(*) AS shared FROM d x JOIN d y ON x.work_id = y.work_id AND x.a < y.a GROUP BY 1, 2 ORDER BY 3 DESC, 1 DESC, 2 DESC LIMIT 10")
+def collaboration_pairs(spark, sf_dir):
+    return stats.collaboration_pairs(B.publications(spark, sf_dir))
+
+
+@query("@ SELECT 'authors' AS kind, count(*) AS n FROM authors UNION ALL SELECT 'works', count(*) FROM works UNION ALL SELECT 'authored', count(*) FROM authored UNION ALL SELECT 'covers', count(*) FROM covers")
+def node_counts(spark, sf_dir):
+    return stats.node_counts(authors=B.authors(spark, sf_dir), works=B.works(spark, sf_dir), authored=B.authored(spark, sf_dir), covers=B.covers(spark, sf_dir))
+
+
+@query("@ SELECT count(DISTINCT author_id) AS entities, count(author_id) AS mentions FROM mentions")
+def extraction_stats(spark, sf_dir):
+    return stats.extraction_stats(B.mentions(spark, sf_dir), "author_id")
+
+
+@query(f"""@, {_PUB}, l AS (SELECT work_id, string_agg(author_name, '; ' ORDER BY n, author_name, author_id, org_name, topic_name) AS a, string_agg(org_name, '; ' ORDER BY n, author_name, author_id, org_name, topic_name) AS o FROM lines GROUP BY work_id)
+SELECT p.publication_id, p.title, coalesce(p.abstract, '') AS abstract, coalesce(p.publication_date, '') AS publication_date, coalesce(p.doi, '') AS doi, coalesce(p.document_type, '') AS document_type, coalesce(CAST(p.citations_count AS VARCHAR), '') AS citations_count, coalesce(l.a, '') AS authors, coalesce(l.o, '') AS organizations
+FROM pubs p LEFT JOIN l ON p.id = l.work_id""")
+def export_publications_csv(spark, sf_dir):
+    return io.csv_rows(B.publications(spark, sf_dir)).drop("url", "keywords")
+
+
+@query()
+def write_sorted_jsonl(spark, sf_dir):
+    return io.sorted_json(B.works(spark, sf_dir))
+
+
+# --- directory ------------------------------------------------------------------------------------------------------
+
+
+def _directory(spark, sf_dir):
+    names = B.directory_names(spark, sf_dir)
+    return names.select(S.clean_uid(F.col("name")).alias("uid"), F.col("name").alias("cn"), S.surname(F.col("name")).alias("sn"), F.lit("Org").alias("o"), "mail")
+
+
+@query("WITH d AS (SELECT c_name AS cn, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) END AS mail FROM customer UNION ALL SELECT DISTINCT p_name, p_name FROM part) SELECT count(*) AS total, count(mail) AS with_email, count(*) - count(mail) AS without_email FROM d")
+def identity_stats(spark, sf_dir):
+    return identity.identity_stats(_directory(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT c_name AS cn, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) || '@example.org' END AS mail FROM customer UNION ALL SELECT DISTINCT p_name, replace(p_name, ' ', '.') || '@example.org' FROM part)
+SELECT upper(cn) AS query, cn, mail FROM d WHERE cn IN (SELECT p_name FROM part WHERE p_partkey < 200)""")
+def identity_exact(spark, sf_dir):
+    asked = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 200").select(F.upper("p_name").alias("name"))
+    return identity.identity_lookup(_directory(spark, sf_dir), asked).where("exact").select("query", "cn", "mail")
+
+
+@query()
+def identity_lookup(spark, sf_dir):
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 50 = 0").select(F.concat("c_name", F.lit("x")).alias("name"))
+    return identity.identity_lookup(_directory(spark, sf_dir), asked)
+
+
+@query()
+def build_directory(spark, sf_dir):
+    a = B.authors(spark, sf_dir).select("name", F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("uid"), F.lit(None).cast("string").alias("org_name"))
+    return identity.build_directory(a, ["Org A", "Org B", "Org C"])
+
+
+@query("SELECT DISTINCT n_name AS name FROM nation")
+def org_name_list(spark, sf_dir):
+    return identity.org_name_list(B.orgs(spark, sf_dir))
+
+
+# --- merges and quality ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT user_id, event_type, value, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(last_updated, '%Y-%m-%d %H:%M:%S') AS last_updated FROM (
+SELECT user_id, min(ts) OVER w AS created_at, max(ts) OVER w AS last_updated, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, value DESC) AS r FROM events WINDOW w AS (PARTITION BY user_id)) WHERE r = 1""")
+def upsert_entities(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return upsert.upsert_entities(e, "user_id", "ts", ["event_type", "value"]).select("user_id", "event_type", "value", text("created_at"), text("last_updated"))
+
+
+@query("@ SELECT id, name, CASE WHEN id % 4 = 0 THEN citation_count + 1 WHEN id % 2 = 0 THEN citation_count END AS citation_count FROM (SELECT id, name, citation_count FROM authors WHERE id % 2 = 0 OR id % 3 = 0) WHERE id % 2 = 0 OR id % 12 = 0")
+def upsert_nodes(spark, sf_dir):
+    a = B.authors(spark, sf_dir).select("id", "name", "citation_count")
+    return upsert.upsert_nodes(a.where("id % 2 = 0"), a.where("id % 4 = 0").select("id", (F.col("citation_count") + 1).alias("citation_count")))
+
+
+@query("""SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 AND vec_id % 3 = 0 THEN 'updated' WHEN vec_id % 3 = 0 THEN 'created' ELSE 'kept' END AS status FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""")
+def upsert_vectors(spark, sf_dir):
+    v = B.vectors(spark, sf_dir).select("id", "embedding", "num_abstracts", "citation_count")
+    return upsert.upsert_vectors(v.where("id % 2 = 0"), v.where("id % 3 = 0"), 64)[0].select("id", "status")
+
+
+@query("""@, v AS (SELECT vec_id AS author_id, CASE WHEN vec_id % 2 = 0 THEN CAST(vec_id AS VARCHAR) ELSE 'Author ' || vec_id END AS author_name, vec_id * 7 % 4 AS citation_count FROM embeddings)
+SELECT v.author_id, CASE WHEN v.author_id % 2 = 0 AND a.name IS NOT NULL THEN a.name ELSE v.author_name END AS author_name, CASE WHEN v.citation_count = 0 AND a.citation_count > 0 THEN a.citation_count ELSE v.citation_count END AS citation_count,
+v.author_id % 2 = 0 AND a.name IS NOT NULL AS name_fixed, coalesce(v.citation_count = 0 AND a.citation_count > 0, false) AS citations_fixed FROM v LEFT JOIN authors a ON v.author_id = a.id""")
+def metadata_repair(spark, sf_dir):
+    v = B.vectors(spark, sf_dir).select("author_id", F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).otherwise(F.col("author_name")).alias("author_name"), (F.col("id") * 7 % 4).alias("citation_count"))
+    return upsert.metadata_repair(v, B.authors(spark, sf_dir))
+
+
+@query("@ SELECT id, name, 0 AS h_index FROM authors")
+def add_column_default(spark, sf_dir):
+    return upsert.add_column_default(B.authors(spark, sf_dir).select("id", "name"), "h_index")
+
+
+@query("SELECT url AS path FROM pages WHERE page_id % 3 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) GROUP BY url")
+def incremental_files(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), "page_id")
+    return upsert.incremental_files(p, p.where("page_id % 3 = 0").select("path", F.lit("processed").alias("status")))
+
+
+@query("@ SELECT w.id, count(DISTINCT m.author_id) AS new_authors FROM works w LEFT JOIN mentions m ON w.id = m.work_id AND m.author_id % 2 = 1 GROUP BY w.id")
+def new_vs_seen(spark, sf_dir):
+    return upsert.new_vs_seen(B.nested_works(spark, sf_dir), B.authors(spark, sf_dir).where("id % 2 = 0"))
+
+
+@query("@ SELECT author_id AS id, string_agg(DISTINCT CAST(org_id AS VARCHAR), ',' ORDER BY CAST(org_id AS VARCHAR)) AS orgs FROM mentions WHERE org_id IS NOT NULL GROUP BY author_id")
+def union_org_ids(spark, sf_dir):
+    m = B.mentions(spark, sf_dir).where("org_id is not null").select(F.col("author_id").alias("id"), F.array(F.col("org_id").cast("string")).alias("org_ids"))
+    return upsert.union_org_ids(m).select("id", F.array_join("org_ids", ",").alias("orgs"))
+
+
+@query("SELECT user_id AS id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def last_write_wins(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("id"), "event_id", "ts", "value")
+    return upsert.last_write_wins(e, F.col("ts"), F.col("event_id")).drop("ts")
+
+
+@query("SELECT user_id AS id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+def keep_first(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("id"), "event_id", "ts", "value")
+    return publications.first_per_key(e, "id", F.col("ts"), F.col("event_id")).drop("ts")
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 5")
+def limit_records(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return io.limit_per_file(e, 5, "event_id", F.col("user_id")).select("event_id", "user_id")
+
+
+@query(f"""@ SELECT id, CASE WHEN id % 5 = 0 THEN 'id pattern' WHEN id % 7 = 0 THEN 'citation_count below 0' ELSE '' END AS errors FROM authors""")
+def validate_entities(spark, sf_dir):
+    key = F.col("id").cast("string")
+    a = B.authors(spark, sf_dir).select(F.when(F.col("id") % 5 == 0, key).otherwise(stable_id("author", key)).alias("id"), "name", F.when((F.col("id") % 7 == 0) & (F.col("id") % 5 != 0), -1).otherwise(1).alias("citation_count"), F.col("id").alias("uid"))
+    return quality.validate_entities(a, "author").select(F.col("uid").alias("id"), F.array_join("errors", ",").alias("errors"))
+
+
+@query("""@, m AS (SELECT * FROM mentions WHERE work_id IN (SELECT id FROM works))
+SELECT DISTINCT 'work.author' AS source, CAST(author_id AS VARCHAR) AS ref FROM m WHERE author_id % 3 = 0 UNION ALL SELECT DISTINCT 'work.author.org', CAST(org_id AS VARCHAR) FROM m WHERE org_id % 2 = 0
+UNION ALL SELECT DISTINCT 'work.topic', CAST(topic_id AS VARCHAR) FROM m WHERE topic_id % 5 = 0 UNION ALL SELECT DISTINCT 'author.org', CAST(org_id AS VARCHAR) FROM authors WHERE org_id % 2 = 0 AND id % 3 <> 0""")
+def referential_integrity(spark, sf_dir):
+    a = B.authors(spark, sf_dir).where("id % 3 <> 0").withColumn("org_ids", F.array("org_id"))
+    return quality.referential_integrity(B.nested_works(spark, sf_dir), a, B.orgs(spark, sf_dir).where("id % 2 <> 0"), B.topics(spark, sf_dir).where("id % 5 <> 0"))
+
+
+@query("""@ SELECT w.id, coalesce(bool_and(m.author_id % 3 <> 0), true) AS all_authors_present, coalesce(bool_and(m.org_id % 2 <> 0), true) AS all_orgs_present, coalesce(bool_and(m.topic_id % 5 <> 0), true) AS all_topics_present FROM works w LEFT JOIN mentions m ON w.id = m.work_id GROUP BY w.id""")
+def all_refs_present(spark, sf_dir):
+    return quality.all_refs_present(B.nested_works(spark, sf_dir), B.authors(spark, sf_dir).where("id % 3 <> 0"), B.orgs(spark, sf_dir).where("id % 2 <> 0"), B.topics(spark, sf_dir).where("id % 5 <> 0"))
+
+
+def _subset_input(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    w = B.nested_works(spark, sf_dir).withColumns({"abstract": F.when(F.col("id") % 4 != 0, F.col("title")), "doi": F.when(F.col("id") % 3 != 0, F.col("title")), "orgs": F.transform("authors", lambda a: F.struct(a["org_id"].alias("org_id"), F.lit("affiliation").alias("role")))})
+    a = B.authors(spark, sf_dir).withColumns({"org_ids": F.array("org_id"), "works_count": F.col("id") % 3, "email": none})
+    return w, a, B.orgs(spark, sf_dir), B.topics(spark, sf_dir)
+
+
+@query("""@, l AS (SELECT DISTINCT work_id FROM mentions) SELECT (SELECT count(*) FROM works) AS works, (SELECT count(*) FROM works WHERE id % 4 = 0) AS works_missing_abstract, (SELECT count(*) FROM works WHERE id % 3 = 0) AS works_missing_doi,
+(SELECT count(*) FROM works WHERE id NOT IN (SELECT work_id FROM l)) AS works_no_authors, (SELECT count(*) FROM authors) AS authors, (SELECT count(*) FROM authors WHERE id % 3 = 0) AS authors_zero_works, (SELECT count(*) FROM authors WHERE citation_count = 0) AS authors_zero_citations,
+(SELECT count(*) FROM authors WHERE id IN (SELECT author_id FROM mentions WHERE work_id IN (SELECT id FROM works))) AS authors_with_works, (SELECT count(*) FROM topics WHERE id IN (SELECT topic_id FROM mentions WHERE work_id IN (SELECT id FROM works))) AS topics_referenced""")
+def subset_analysis(spark, sf_dir):
+    return quality.subset_analysis(*_subset_input(spark, sf_dir)).select("works", "works_missing_abstract", "works_missing_doi", "works_no_authors", "authors", "authors_zero_works", "authors_zero_citations", "authors_with_works", "topics_referenced")
+
+
+@query()
+def linked_subset(spark, sf_dir):
+    return quality.linked_subset(*_subset_input(spark, sf_dir))["works"].select("id", "category")
+
+
+@query("@, w AS (SELECT * FROM works ORDER BY citation_count DESC, id LIMIT 25 OFFSET 50) SELECT id, citation_count, true AS has_more, CAST(25 AS BIGINT) AS returned FROM w")
+def paginate(spark, sf_dir):
+    return vectors.paginate(B.works(spark, sf_dir).select("id", "citation_count"), [F.desc("citation_count"), F.col("id")], 25, 50)
+
+
+@query()
+def shard_stats(spark, sf_dir):
+    return io.shard_stats(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("lang"))
+
+
+@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
+def stream_load_stats(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("n"))
