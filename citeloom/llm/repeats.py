@@ -173,12 +173,12 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve(rows: list, out: list) -> None:
         if len(rows) < 2:
             return
-        best: dict[int, set] = {}
+        best: dict[int, tuple[int, int]] = {}  # a row's repeats all hold its anchor: together they are one range
         for before, after, members in maximal_repeats([(r[1], r[2]) for r in rows]):
             for k in members:
-                best.setdefault(k, set()).add((before, after))
-        for k, found in best.items():
-            out.extend((rows[k][3], rows[k][4] - before, rows[k][4] + after) for before, after in found)
+                b, a = best.get(k, (0, 0))
+                best[k] = max(b, before), max(a, after)
+        out.extend((rows[k][3], rows[k][4] - before, rows[k][4] + after) for k, (before, after) in best.items())
 
     for batch in batches:
         out: list = []
