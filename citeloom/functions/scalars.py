@@ -28,7 +28,7 @@ def parse_year(text: Column) -> Column:
 def decades_since(year: Column, as_of: datetime.date) -> Column:
     """Decades from a year (a number or text) to ``as_of``, from 0 to 4; 2 where there is no year."""
     age = (F.lit(as_of.year) - year.try_cast("int")) / 10
-    return F.coalesce(F.least(F.greatest(age, F.lit(0.0)), F.lit(4.0)), F.lit(2.0))
+    return F.when(age.isNull(), F.lit(2.0)).otherwise(F.least(F.greatest(age, F.lit(0.0)), F.lit(4.0)))  # least and greatest skip nulls
 
 
 def author_relevance(similarity: Column, citations: Column, decades: Column, digits: int = 4) -> Column:

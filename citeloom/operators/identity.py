@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import clean_uid, fuzz_ratio, generated_email, surname, truthy
 from .publications import first_per_key
@@ -13,7 +14,7 @@ from .publications import first_per_key
 FEW = 100_000
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _long_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The ratio of names of any length: bit rows in whole Python integers."""
 

@@ -134,14 +134,15 @@ def linked_subset(works: DataFrame, authors: DataFrame, orgs: DataFrame, topics:
     """A stratified sample of works by category and id, with the authors, organizations and topics that they refer to;
     each is filled up to ``target`` by id.  Categories are picked one after the other, each from what is left.
     """
-    flags = work_flags(works).join(all_refs_present(works, authors, orgs, topics), "id")
-    picked = None
-    for name, quota, condition in categories:
-        left = flags if picked is None else flags.join(picked.select("id"), "id", "left_anti")
-        found = left.where(condition).orderBy("num_authors", "id").limit(quota).select("id", F.lit(name).alias("category"))
-        picked = found if picked is None else picked.unionByName(found)
-    rest = works.select("id").join(picked.select("id"), "id", "left_anti").orderBy("id").select("id", F.lit("fill").alias("category"))
-    picked = _filled(picked, rest, target)
+    flags = work_flags(works).join(all_refs_present(works, authors, orgs, topics), "id").persist()
+    picks: dict = {}
+    for name, quota, condition in categories:  # a few ids each, so later categories need no deep plan
+        left = flags.where(~F.col("id").isin(list(picks))) if picks else flags
+        picks |= {r.id: name for r in left.where(condition).orderBy("num_authors", "id").limit(quota).select("id").collect()}
+    spare = (flags.where(~F.col("id").isin(list(picks))) if picks else flags).orderBy("id").limit(max(0, target - len(picks)))
+    picks |= {r.id: "fill" for r in spare.select("id").collect()}
+    flags.unpersist()
+    picked = works.sparkSession.createDataFrame(list(picks.items()), f"id {works.schema['id'].dataType.simpleString()}, category string")
     chosen = works.join(picked, "id")
 
     def linked(nodes: DataFrame, refs: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def most_recent_year(spark, sf_dir):
 
 @query(f"""@, {_RECENT},
 hits AS (SELECT a.id, a.name, a.citation_count, CAST(a.id % 50 AS DOUBLE) / 25 AS distance, r.year FROM authors a LEFT JOIN recent r ON a.id = r.author_id),
-parts AS (SELECT *, round(1 / (1 + distance), 4) AS x, greatest(citation_count, 0) AS y, coalesce(least(greatest((2026 - year) / 10.0, 0), 4), 2.0) AS t FROM hits)
+parts AS (SELECT *, round(1 / (1 + distance), 4) AS x, greatest(citation_count, 0) AS y, CASE WHEN year IS NULL THEN 2.0 ELSE least(greatest((2026 - year) / 10.0, 0), 4) END AS t FROM hits)
 SELECT id, name, citation_count, CAST(id % 20 AS BIGINT) AS works_count, {spread('parts')} AS relevance_score, distance FROM parts""")
 def rank_authors(spark, sf_dir):
     a = B.authors(spark, sf_dir)
@@ -94,14 +94,14 @@ def vector_search(spark, sf_dir):
 
 @query(f"""@, {_RECENT}, {_VEC},
 hits AS (SELECT v.*, r.year FROM (SELECT * FROM vecs ORDER BY d, id LIMIT 100) v LEFT JOIN recent r ON v.id = r.author_id),
-parts AS (SELECT *, round(1 / (1 + d), 4) AS x, citation_count AS y, coalesce(least(greatest((2026 - year) / 10.0, 0), 4), 2.0) AS t FROM hits)
+parts AS (SELECT *, round(1 / (1 + d), 4) AS x, citation_count AS y, CASE WHEN year IS NULL THEN 2.0 ELSE least(greatest((2026 - year) / 10.0, 0), 4) END AS t FROM hits)
 SELECT id, author_name AS name, citation_count, num_abstracts AS works_count, {spread('parts')} AS relevance_score FROM parts ORDER BY citation_count DESC, d, id LIMIT 20""")
 def author_search(spark, sf_dir):
     return search.author_search(B.vectors(spark, sf_dir), _first_vector(spark, sf_dir), _years(spark, sf_dir), AS_OF, limit=20, sort_by="citation_count")
 
 
 @query(f"""@, {_RECENT}, {_VEC}, hits AS (SELECT v.*, r.year FROM (SELECT * FROM vecs ORDER BY d, id LIMIT 20) v LEFT JOIN recent r ON v.id = r.author_id),
-parts AS (SELECT *, round(1 / (1 + d), 4) AS x, citation_count AS y, coalesce(least(greatest((2026 - year) / 10.0, 0), 4), 2.0) AS t FROM hits)
+parts AS (SELECT *, round(1 / (1 + d), 4) AS x, citation_count AS y, CASE WHEN year IS NULL THEN 2.0 ELSE least(greatest((2026 - year) / 10.0, 0), 4) END AS t FROM hits)
 SELECT id, author_name AS name, citation_count, num_abstracts AS works_count, {spread('parts')} AS relevance_score FROM parts""")
 def author_search_relevance(spark, sf_dir):
     return search.author_search(B.vectors(spark, sf_dir), _first_vector(spark, sf_dir), _years(spark, sf_dir), AS_OF, limit=20)
@@ -122,7 +122,7 @@ def ivf_search(spark, sf_dir):
     v = B.vectors(spark, sf_dir)
     q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
     indexed, centers = vectors.ivf_index(v, nlist=32)
-    return vectors.ivf_search(indexed, centers, q, 10, 16)
+    return vectors.ivf_search(indexed, centers, q, 10, 24)
 
 
 @query()
@@ -260,7 +260,7 @@ def stable_ids(spark, sf_dir):
 
 @query(f"""@ SELECT id, coalesce(nullif(substr(publication_date, 1, 4), ''), CAST(year AS VARCHAR), 'N/A') AS label, CASE WHEN length(title) > 30 THEN substr(title, 1, 30) || '...' ELSE title END AS short,
 CASE WHEN length(publication_date) = 7 THEN publication_date || '-01' ELSE publication_date END AS padded, try_cast(substr(publication_date, 1, 4) AS INTEGER) AS parsed, nullif(regexp_extract(title, '([0-9][0-9][0-9][0-9])', 1), '') AS found,
-round(1 / (1 + citation_count), 4) AS relevance, coalesce(least(greatest((2026 - year) / 10.0, 0), 4), 2.0) AS decades FROM works""")
+round(1 / (1 + citation_count), 4) AS relevance, CASE WHEN year IS NULL THEN 2.0 ELSE least(greatest((2026 - year) / 10.0, 0), 4) END AS decades FROM works""")
 def work_labels(spark, sf_dir):
     return B.works(spark, sf_dir).select(
         "id", S.work_year_label(F.col("publication_date"), F.col("year")).alias("label"), S.short_label(F.col("title")).alias("short"), S.pad_publication_date(F.col("publication_date")).alias("padded"), S.parse_year(F.col("publication_date")).alias("parsed"),
