@@ -74,7 +74,7 @@ class Model:
             table = suffix_automaton(np.array([self.letters[ord(c)] for c in samples[lang] if ord(c) in self.letters], np.int64), width)
             self.roots.append(sum(map(len, tables)))
             tables.append(np.where(table > 0, table + self.roots[-1], -1).astype(np.int32))
-        self.moves = np.concatenate(tables)
+        self.moves = np.concatenate(tables) if tables else np.zeros((0, width), np.int32)
         self.moves[:, 0] = -1
         self.code = np.zeros(max(self.letters, default=0) + 2, np.uint8)
         for c, k in self.letters.items():
@@ -105,20 +105,21 @@ class Model:
         for k, p in enumerate(parts):
             grid[: len(p), k] = p
         alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left").tolist()
-        count = np.ones((len(parts), len(self.langs)), np.int64)  # the last phrase of each part
+        count = np.zeros((len(parts), len(self.langs)), np.int64)
         width = self.moves.shape[1]
         flat = self.moves.ravel()
         for j, root in enumerate(self.roots):
             state, total = np.full(len(parts), root, np.int32), np.zeros(len(parts), np.int32)
-            first = self.moves[root]
+            first = np.maximum(self.moves[root], root)
+            alone = (self.moves[root] < 0).astype(np.int32)  # letters that no phrase of this language holds
             for step in range(sizes[0]):
                 n = alive[step]
                 c = grid[step, :n]
                 now = flat[state[:n] * np.int64(width) + c]
                 ended = now < 0
-                total[:n] += ended
-                state[:n] = np.where(ended, np.maximum(first[c], root), now)
-            count[:, j] += total
+                total[:n] += (ended & (state[:n] != root)) + alone[c]
+                state[:n] = np.where(ended, first[c], now)
+            count[:, j] += total + (state != root)
         return count
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
