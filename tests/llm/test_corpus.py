@@ -176,7 +176,7 @@ def test_decontamination(spark):
                     want[i, j] = (sim, a)
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontamination.matches(spark, docs_frame(spark, rows), b).collect()}
-    assert got == pytest.approx(want) and len(want) >= 15
+    assert got == want and len(want) >= 10
     clean = decontamination.clean(spark, docs_frame(spark, rows), b)
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in want} and clean.columns == docs_frame(spark, rows).columns
     assert decontamination.matches(spark, docs_frame(spark, rows), b.limit(0)).count() == 0 and decontamination.clean(spark, docs_frame(spark, ODD), b).count() == len(ODD)
