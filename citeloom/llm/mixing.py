@@ -27,7 +27,8 @@ def source_rates(docs: DataFrame, targets: DataFrame | None = None, smoothing: f
 
     ``targets`` (source, weight) gives the weights; without it, a source's weight is its amount of text to the power
     ``smoothing``, which lifts small sources.  The mixture holds ``volume`` times the corpus's code points in all.
-    Sources that targets lack, or with a negative, null or no weight, get rate 0.  Null is a source like others.
+    Sources that targets lack, or with a negative or null weight, get rate 0; weights of sources without
+    documents don't count.  Null is a source like others.
     """
     amount = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("n_chars"))
     if targets is None:

@@ -113,3 +113,30 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), with_text: bool = True)
     run = common.arrow_rows(fields, lambda doc_id, text: judge(doc_id, text, rules)[: len(fields)])
     kinds = {pa.int64(): "long", pa.bool_(): "boolean", pa.string(): "string"}
     return common.texts(docs).mapInArrow(run, ", ".join(f"{n} {kinds[t]}" for n, t in fields))
+
+
+def _sql_list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+#: The same counts and verdicts in SQL, by the default rules.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w, unnest(range(len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')))) AS i FROM d),
+n AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars FROM w GROUP BY doc_id),
+g AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER s || ' ' || lead(w, 2) OVER s AS g FROM w WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g WHERE g IS NOT NULL) WHERE k > 1),
+r AS (SELECT doc_id, count(DISTINCT i) AS n_repeat_words FROM again GROUP BY doc_id),
+split AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS k, len(string_split(t, chr(10))) AS n_lines FROM d),
+marked AS (SELECT *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS marks, (length(line) - length(replace(line, '!!', ''))) / 2 AS shouts FROM split),
+judged AS (SELECT *, n > 0 AND (marks > 0.3 * n AND marks >= 3 OR n >= 3 AND shouts > 0.8 * n OR n < 12 AND (NOT regexp_matches(line, '\p{{L}}')
+  OR len(list_filter({_sql_list(BOILERPLATE)}, lambda b: contains(lower(line), b))) > 0
+  OR n >= 3 AND k < n_lines - 1 AND NOT regexp_matches(line, '[.!?…。！？:;]["''”’»)\]]*\s*$') AND NOT regexp_matches(line, '^\p{{Lu}}'))) AS fails FROM marked),
+l AS (SELECT doc_id, count(line) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines, count(*) FILTER (fails) AS n_failed_lines, coalesce(sum(n) FILTER (fails), 0) AS n_lost_words FROM judged GROUP BY doc_id),
+a AS (SELECT d.doc_id, coalesce(n.n_words, 0) AS n_words, coalesce(n.word_chars, 0) AS word_chars, length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, l.n_dup_lines, coalesce(r.n_repeat_words, 0) AS n_repeat_words, l.n_failed_lines, l.n_lost_words
+  FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_lost_words <= 0.5 * n_words AS kept,
+  CAST(n_failed_lines AS BIGINT) AS n_failed_lines, CAST(n_lost_words AS BIGINT) AS n_lost_words
+FROM a
+"""

@@ -75,4 +75,4 @@ QUERIES = {
     "op9_decontamination_simhash": op9_decontamination_simhash,
     "op10_language_cross_parsing": op10_language_cross_parsing,
 }
-ORACLES: dict[str, str] = {"op3_mixing_poisson": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_mixing_poisson": mixing.ORACLE, "op4_quality_rules": quality_rules.ORACLE}

@@ -189,7 +189,7 @@ def test_mixing(spark):
     out = mixing.replicate(df, targets).groupBy("source").agg(F.sum(F.length("text")).alias("n")).collect()
     total = sum(len(t) for _, t in rows)
     amounts = {r.source: r.n for r in out}
-    assert set(amounts) == {"s0", "s1"} and amounts["s0"] == pytest.approx(6 / 13 * total, rel=0.1) and amounts["s1"] == pytest.approx(3 / 13 * total, rel=0.1)
+    assert set(amounts) == {"s0", "s1"} and amounts["s0"] == pytest.approx(6 / 9 * total, rel=0.1) and amounts["s1"] == pytest.approx(3 / 9 * total, rel=0.1)
     again = mixing.mix(df, targets)
     assert again.columns == df.columns and sorted(map(tuple, again.collect())) == sorted(map(tuple, mixing.mix(df.repartition(3), targets).collect()))
     assert mixing.mix(docs_frame(spark, ODD)).count() >= 0 and mixing.mix(df.limit(0)).count() == 0
