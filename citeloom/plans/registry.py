@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +15,7 @@ from ..functions import scalars as S
 from ..functions.ids import NAMESPACES, stable_id
 from ..operators import entities, filters, graph, identity, publications, quality, search, stats, upsert, vectors
 from ..sources import io
+from ..streaming import watch
 from . import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -658,6 +662,27 @@ def shard_stats(spark, sf_dir):
     return io.shard_stats(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("lang"))
 
 
-@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
+# --- streams --------------------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _state_folder(spark) -> str:
+    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "citeloom-streams")
+    return f"{top}/{uuid.uuid4().hex}"
+
+
+@query("SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'processed' END AS status, count(*) AS n FROM events GROUP BY 1")
 def stream_load_stats(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    events = _event_stream(spark, sf_dir).withColumn("_corrupt", F.when(F.col("event_type") == "error", F.col("props")))
+    return watch.run_once(watch.stream_load_stats(events), _state_folder(spark))
+
+
+@query(ORACLES["upsert_entities"])
+def stream_upsert(spark, sf_dir):
+    merged = watch.run_once(watch.stream_upsert(_event_stream(spark, sf_dir), "user_id", "ts", ["event_type", "value"]), _state_folder(spark))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return merged.select("user_id", "event_type", "value", text("created_at"), text("last_updated"))

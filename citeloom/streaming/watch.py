@@ -34,3 +34,13 @@ def stream_upsert(stream: DataFrame, key: str, ts: str, fields: list[str]) -> Da
 def stream_load_stats(stream: DataFrame) -> DataFrame:
     """(status, n): running counts of parsed and failed documents."""
     return stream.groupBy(F.when(F.col("_corrupt").isNull(), "processed").otherwise("failed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_once(df: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs a streaming aggregate over what is there now, and reads its last state from ``folder``."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out")
+
+    df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.parquet(f"{folder}/out")
