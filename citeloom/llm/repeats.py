@@ -241,20 +241,33 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return whole.unionByName(met).unionByName(crowded)
 
 
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
+def _join_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [[{"a": a, "b": b} for a, b in joined([(r["a"], r["b"]) for r in x])] for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, SPANS)], ["doc_id", "ranges"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 512):
             out = []
             for i, text, ranges in zip(*(c.to_pylist() for c in batch.slice(k, 512).columns)):
                 t = bytes_of(text)
-                spans: list[list[int]] = []
-                for r in sorted((r["a"], min(r["b"], len(t))) for r in ranges or ()):
-                    if r[0] >= r[1]:
-                        continue
-                    if spans and r[0] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], r[1])
-                    else:
-                        spans.append([*r])
+                spans = [(r["a"], min(r["b"], len(t))) for r in ranges or () if r["a"] < len(t)]
                 cuts = [0, *(x for s in spans for x in s), len(t)]
                 kept = b"".join(t[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
                 out.append((i, len(t), len(t) - len(kept), len(spans), kept))
@@ -270,7 +283,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     versions, and a range found in one is cut from all of them.
     """
     scratch = common.Scratch(spark, "cut")
-    ranges = scratch.save(repeated_ranges(spark, docs).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("ranges")))
+    found = repeated_ranges(spark, docs).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))  # bounded by the text
+    ranges = scratch.save(found.mapInArrow(_join_ranges, "doc_id long, ranges array<struct<a: int, b: int>>"))
     n = ranges.agg(F.count(F.lit(1)), F.sum(F.size("ranges"))).first()
     ranges = ranges.withColumnRenamed("doc_id", "_doc")
     ranges = F.broadcast(ranges) if n[0] <= FEW and (n[1] or 0) <= 4 * FEW else ranges
