@@ -17,6 +17,7 @@ PUBLICATION = (
 AUTHOR_METRICS = "id string, orcid array<string>, sources array<struct<id: string, label: string, value: string, meta: array<struct<id: string, value: double>>>>"
 ENTITIES = {"authors": AUTHOR, "works": WORK, "orgs": ORG, "topics": TOPIC}
 EMBEDDING_DIM = 384
+#: Kinds of organizations, roles in a work, names of sources.
 ORG_TYPES = ("institution", "funder", "publisher", "other")
 ROLES = ("funder", "publisher", "affiliation", "other")
 SOURCE_NAMES = ("ror", "openalex", "crossref", "dtic", "orcid", "other")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..schemas import ENTITIES, PUBLICATION
 
 
+#: Fixed value: names of the shards of an entity.
+SHARDS = "dtic_{entity}_*.jsonl.gz"
+
+
 def _found(spark: SparkSession, glob: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(glob)
     matched = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
@@ -15,9 +19,9 @@ def _found(spark: SparkSession, glob: str) -> bool:
 
 
 def read_entity_shards(spark: SparkSession, folder: str, entity: str, strict: bool = False) -> DataFrame:
-    """All ``dtic_<entity>_*.jsonl.gz`` of a folder.  Blank lines, bad lines and unreadable files are skipped, unless
+    """All ``SHARDS`` of an entity in a folder.  Blank lines, bad lines and unreadable files are skipped, unless
     ``strict``; no file: an empty table."""
-    glob, schema = f"{folder}/dtic_{entity}_*.jsonl.gz", ENTITIES[entity]
+    glob, schema = f"{folder}/{SHARDS.format(entity=entity)}", ENTITIES[entity]
     if not _found(spark, glob):
         return spark.createDataFrame([], schema)
     reader = spark.read.schema(schema)
