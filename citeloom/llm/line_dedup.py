@@ -13,24 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .components import components
 
 TAU, LEAST = 2, 16
 #: Broadcast up to so many ids of lines to verify; beyond, Spark joins by shuffle.
 FEW = 500_000
 #: Sixteen letters, whose counts (modulo 4) make a line's signature.
 LETTERS = "etanoirshdlcumgw"
+BLANK = " \t\r\x0b\x0c"
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line): the non-blank lines, trimmed of ASCII white space."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return each.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).where("line <> ''")
+def lines_of(docs: DataFrame, *more: F.Column) -> DataFrame:
+    """(doc_id, line_no, line), and ``more`` of the row: the non-blank lines, trimmed of ASCII white space."""
+    each = docs.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return each.withColumn("line", F.btrim("line", F.lit(BLANK))).where("line <> ''")
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(line, size, sig, n, doc_id, line_no): each text once, with length, signature, number of rows and first place."""
-    keyed = lines.groupBy("line", F.length("line").alias("size"), signature().alias("sig"))  # keys, so that they are made once
-    return keyed.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("f")).select("line", "size", "sig", "n", "f.doc_id", "f.line_no")
+    """(line, size, sig): each text once, with length and signature."""
+    return lines.select("line", F.length("line").alias("size"), signature().alias("sig")).distinct()  # made once, before the shuffle
 
 
 def segment(length: F.Column, i: int, tau: int) -> tuple[F.Column, F.Column]:
@@ -87,42 +88,81 @@ def signature_gap(a: str, b: str) -> F.Column:
     return out
 
 
+def row_hash() -> F.Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64("text").alias("row")
+
+
+def few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def near_texts(spark: SparkSession, docs: DataFrame, tau: int, least: int) -> DataFrame:
+    """(u, v, a, b, distance): hashes and first places (doc_id, line_no, row) of every two texts within ``tau`` edits."""
+    scratch = Scratch(spark, "lines")
+    lines = lines_of(docs, row_hash())
+    heads = distinct_lines(lines).where(F.col("size") >= least).withColumn("h", F.xxhash64("line"))
+    index = heads.select(F.explode(F.array(*index_cells(tau))).alias("key"), F.col("h").alias("h_i"), F.col("sig").alias("sig_i"))
+    probe = heads.select(F.explode(F.array(*probe_cells(tau))).alias("key"), F.col("h").alias("h_p"), F.col("sig").alias("sig_p")).where("key is not null")
+    met = probe.join(index, (probe["key"] == index["key"]) & (F.col("h_i") != F.col("h_p")) & (signature_gap("sig_i", "sig_p") <= 2 * tau))
+    pairs = scratch.save(met.select(F.least("h_i", "h_p").alias("u"), F.greatest("h_i", "h_p").alias("v")).distinct())
+    ids = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct())
+    held = lines.withColumn("h", F.xxhash64("line")).join(few(ids), "h")
+    texts = scratch.save(held.groupBy("h", "line").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("x")))
+    left, right = (texts.select(F.col("h").alias(h), F.col("x").alias(c), F.col("line").alias(f"text_{c}")) for h, c in ("ua", "vb"))
+    near = pairs.join(left, "u").join(right, "v").withColumn("distance", F.levenshtein("text_a", "text_b", tau)).where("distance >= 0")
+    return scratch.save(near.select("u", "v", "a", "b", "distance"))
+
+
 def links(spark: SparkSession, docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     """(doc_a, line_a, doc_b, line_b, distance): pairs of different line texts within ``tau`` edits, by their first places.
 
     Place a comes before place b.  Lines of fewer than ``least`` code points are compared for equality alone.  Null
-    texts have no lines.  All pairs are found, none dropped; exact copies meet as one row and make no pairs.
+    texts have no lines.  All pairs are found, none dropped; exact copies meet as one row and make no pairs.  Texts are
+    told apart by 64-bit hashes.
     """
-    scratch = Scratch(spark, "lines")
-    lines = lines_of(docs.select("doc_id", "text"))
-    heads = distinct_lines(lines).where(F.col("size") >= least)
-    tagged = heads.select("line", "size", "doc_id", F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("sig")).alias("tag"))
-    index = tagged.select(F.explode(F.array(*index_cells(tau))).alias("key"), F.col("doc_id").alias("doc_i"), F.col("tag").alias("tag_i"))
-    probe = tagged.select(F.explode(F.array(*probe_cells(tau))).alias("key"), F.col("doc_id").alias("doc_p"), F.col("tag").alias("tag_p")).where("key is not null")
-    apart = (F.col("doc_i") != F.col("doc_p")) | (F.shiftright("tag_i", 32) != F.shiftright("tag_p", 32))
-    met = probe.join(index, (probe["key"] == index["key"]) & apart & (signature_gap("tag_i", "tag_p") <= 2 * tau))
-    place = lambda d, t: F.struct(F.col(d).alias("doc_id"), F.shiftright(t, 32).cast("int").alias("line_no"))
-    i, p = place("doc_i", "tag_i"), place("doc_p", "tag_p")
-    pairs = scratch.save(met.select(F.least(i, p).alias("a"), F.greatest(i, p).alias("b")).distinct())
-    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().select("x.doc_id", "x.line_no"))
-    chosen = F.broadcast(ids) if ids.count() <= FEW else ids
-    texts = scratch.save(lines.join(chosen, ["doc_id", "line_no"]).select(F.struct("doc_id", "line_no").alias("x"), "line"))
-    left, right = (texts.select(F.col("x").alias(c), F.col("line").alias(f"text_{c}")) for c in "ab")
-    near = pairs.join(left, "a").join(right, "b").withColumn("distance", F.levenshtein("text_a", "text_b", tau)).where("distance >= 0")
-    return near.select(F.col("a.doc_id").alias("doc_a"), F.col("a.line_no").alias("line_a"), F.col("b.doc_id").alias("doc_b"), F.col("b.line_no").alias("line_b"), "distance").distinct()
+    near = near_texts(spark, docs, tau, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    return near.select(F.col("a.doc_id").alias("doc_a"), F.col("a.line_no").alias("line_a"), F.col("b.doc_id").alias("doc_b"), F.col("b.line_no").alias("line_b"), "distance")
+
+
+def linked_texts(spark: SparkSession, near: DataFrame) -> DataFrame:
+    """(h, k, late, class_id, stays) of each text with a link: number of links, whether one leads to an earlier text, the
+    smallest hash that links reach, and whether its first place is its class's first."""
+    scratch = Scratch(spark, "classes")
+    end = lambda h, x, o: F.struct(F.col(h).alias("h"), F.col(x).alias("x"), (F.col(o) < F.col(x)).cast("int").alias("late"))
+    ends = near.select(F.explode(F.array(end("u", "a", "b"), end("v", "b", "a"))).alias("e")).select("e.*")
+    each = ends.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max("late").alias("late"), F.min("x").alias("x"))
+    classed = scratch.save(each.join(components(spark, near.select("u", "v")).select(F.col("node").alias("h"), F.col("component").alias("class_id")), "h"))
+    firsts = classed.groupBy("class_id").agg(F.min("x").alias("first"))
+    return scratch.save(classed.join(firsts, "class_id").select("h", "k", "late", "class_id", (F.col("x") == F.col("first")).alias("stays")))
 
 
 def report(spark: SparkSession, docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
-    """One row per doc_id: n_lines (not blank), n_first (whose text stands nowhere before), n_near (first ones linked to
-    a text whose first place is earlier) and n_links (links of the first ones).  Rows that repeat a doc_id count together.
+    """One row per doc_id (null is one as well); rows that repeat a doc_id count together.
+
+    * n_lines (not blank), n_first (whose text stands nowhere before), n_near (first ones linked to a text whose first
+      place is earlier) and n_links (links of the first ones): these add up to the corpus's figures.
+    * n_linked and n_line_links: lines, first or not, whose text has a link, and the links of all of them.
+    * class_ids: the classes (texts joined by links, over any number of steps) of these lines, in order.  Documents that
+      share an id hold lines of one class.
+    * text: the document without the lines whose text, or one of its class, has an earlier place; blank lines stay.
+      Different rows of one doc_id are joined by a newline, equal ones are one.  Null where all its texts are null.
     """
-    lines = lines_of(docs.select("doc_id", "text"))
-    size = docs.groupBy("doc_id").agg(F.sum(F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "")), F.lit(0))).cast("long").alias("n_lines"))
-    marks = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"))
-    first = marks.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("f")).groupBy("f.doc_id").agg(F.count(F.lit(1)).alias("n_first"))
-    found = links(spark, docs, tau, least)
-    end = lambda c, late: F.struct(F.col(f"doc_{c}").alias("doc_id"), F.col(f"line_{c}").alias("line_no"), F.lit(late).alias("late"))
-    ends = found.select(F.explode(F.array(end("a", 0), end("b", 1))).alias("x")).select("x.*")
-    near = ends.groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("k"), F.max("late").alias("late")).groupBy("doc_id").agg(F.sum("late").alias("n_near"), F.sum("k").alias("n_links"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return size.join(first, "doc_id", "left").join(near, "doc_id", "left").select("doc_id", "n_lines", zero("n_first"), zero("n_near"), zero("n_links"))
+    docs = docs.select("doc_id", "text")
+    near = linked_texts(spark, near_texts(spark, docs, tau, least))
+    near = few(near)
+    marks = lines_of(docs, row_hash()).select("doc_id", "line_no", "row", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+    n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != ""))
+    whole = docs.select("doc_id", row_hash(), "text", F.coalesce(F.when(F.col("text").isNotNull(), n_lines), F.lit(0)).cast("long").alias("n_lines"))
+    first = marks.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("f")).join(near, "h", "left")
+    first = first.select("f.doc_id", "f.row", F.when(F.coalesce("stays", F.lit(True)), F.col("f.line_no")).alias("line_no"), F.lit(1).cast("long").alias("n_first"), F.col("late").cast("long").alias("n_near"), F.col("k").alias("n_links"))
+    linked = marks.join(near, "h").groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n_linked"), F.sum("k").alias("n_line_links"), F.collect_set("class_id").alias("classes"))
+    parts = whole.unionByName(first, True).unionByName(linked, True).repartition("doc_id")  # dealt once for both groupings
+    counts = ["n_lines", "n_first", "n_near", "n_links", "n_linked", "n_line_links"]
+    rows = parts.groupBy("doc_id", "row").agg(F.first("text", True).alias("text"), F.sort_array(F.collect_list("line_no")).alias("stay"), F.flatten(F.collect_list("classes")).alias("classes"), *(F.sum(c).alias(c) for c in counts))
+    before = F.slice(F.concat(F.array(F.lit(-1)), F.col("stay")), 1, F.size("stay"))
+    gaps = F.transform(F.arrays_zip(F.col("stay").alias("at"), before.alias("last")), lambda z: F.concat(F.array_repeat(F.lit(False), z["at"] - z["last"] - 1), F.array(F.lit(True))))
+    cut = F.when(F.col("text").isNotNull(), F.struct("row", "text", F.flatten(gaps).alias("stays")))  # line_no is a place in stays
+    grouped = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(cut)).alias("cut"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("class_ids"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts))
+    left = lambda r: F.array_join(F.filter(F.split(r["text"], "\n"), lambda x, k: F.coalesce(F.get(r["stays"], k), F.lit(False)) | (F.btrim(x, F.lit(BLANK)) == "")), "\n")
+    return grouped.select("doc_id", *counts, "class_ids", F.when(F.size("cut") > 0, F.array_join(F.transform("cut", left), "\n")).alias("text"))

@@ -147,6 +147,17 @@ def test_line_links(spark, tau):
     assert line_dedup.report(spark, docs_frame(spark, rows).limit(0)).count() == 0
 
 
+def test_line_report_of_copies(spark):
+    line, other, third = "the quick brown fox jumps over it", "the quick brown fax jumps over it", "the quick brown fax jumps ower it!"
+    rows = [(k, f"{line}\n\n  own line number {k * 1111111} of it {'xyzw'[k] * 9}") for k in range(4)] + [(9, f"{other}\nshort"), (12, third), (7, None), (None, line), (20, "short\n \nz"), (21, ""), (9, other + "\nelse")]
+    got = {r.doc_id: r for r in line_dedup.report(spark, docs_frame(spark, rows)).collect()}
+    assert len(got) == 10 and [got[k].n_linked for k in (0, 1, 2, 3, 9, 12, None, 7, 20)] == [1, 1, 1, 1, 2, 1, 1, 0, 0]
+    assert [got[k].n_line_links for k in (0, 3, 9, 12, None)] == [1, 1, 4, 1, 1] and got[3].n_links == 0
+    assert len({tuple(got[k].class_ids) for k in (0, 1, 2, 3, 9, 12, None)}) == 1 and len(got[0].class_ids) == 1 and got[20].class_ids == []
+    assert got[None].text == line and [got[k].text for k in (0, 3)] == [r[1].split("\n", 1)[1] for r in (rows[0], rows[3])]
+    assert sorted(got[9].text.split("\n")) == ["else", "short"] and got[12].text == "" and got[7].text is None and got[20].text == " \nz" and got[21].text == ""
+
+
 def shingles(t):
     w = t.lower().split()
     return [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
