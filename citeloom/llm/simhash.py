@@ -26,6 +26,8 @@ from . import common
 from .components import components
 
 RADIUS = 4
+#: Broadcast up to so many groups; beyond, Spark joins by shuffle.
+FEW = 500_000
 #: Fixed value: generator polynomial of the (23, 12) Golay code.
 GOLAY = 0b110001110101
 #: First bit and width of each segment.
@@ -100,11 +102,10 @@ def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        prints = batch.column(1).to_numpy().view(np.uint64)
-        for a in range(0, len(ids), 4096):
+        prints = batch.column(0).to_numpy().view(np.uint64)
+        for a in range(0, len(prints), 4096):
             rows, keys = golay_keys(prints[a : a + 4096])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[a : a + 4096][rows]), pa.array(prints[a : a + 4096][rows].view(np.int64))], ["key", "doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[a : a + 4096][rows].view(np.int64))], ["key", "fp"])
 
 
 def bucket_links(ids: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[list, list]:
@@ -147,7 +148,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
+        prints = batch.column(1).to_numpy()
+        now = [batch.column(0).to_numpy(), prints, prints.view(np.uint64)]  # a fingerprint is the node's own number
         hold = now if hold is None else [np.concatenate(x) for x in zip(hold, now)]
         cut = int(np.searchsorted(hold[0], hold[0][-1]))
         if cut:
@@ -158,28 +160,53 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long: the fingerprint's 64 bits)."""
-    return common.texts(docs).mapInArrow(common.arrow_rows([("doc_id", pa.int64()), ("fp", pa.int64())], lambda i, t: (i, int(np.uint64(fingerprint(t)).astype(np.int64)))), "doc_id long, fp long")
+    """(doc_id, fp long: the fingerprint's 64 bits, mark: Spark's xxhash64 of the text of a row without a doc_id)."""
+
+    def each(i: int | None, t: str | None) -> tuple:
+        mark = None if i is not None else 42 if t is None else _signed(xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), 42))
+        return i, _signed(fingerprint(t)), mark
+
+    return common.texts(docs).mapInArrow(common.arrow_rows([("doc_id", pa.int64()), ("fp", pa.int64()), ("mark", pa.int64())], each), "doc_id long, fp long, mark long")
+
+
+def _signed(n: int) -> int:
+    return int(np.uint64(n).astype(np.int64))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id): fingerprints link at 4 or fewer differing bits.
 
-    component_id is the smallest doc_id reachable over links, the document itself included.  Null and empty texts and
-    texts without a word have fingerprint zero and link like others.  Rows that repeat a doc_id each stay.  Documents of
-    one fingerprint meet as one row (a partial aggregate), so a group of exact copies costs one row a task.
+    component_id is the smallest doc_id reachable over links, the document itself included; rows without a doc_id link
+    like others, and a group of such rows alone has a null component_id.  Null and empty texts and texts without a word
+    have fingerprint zero and link like others.  Rows that repeat a doc_id each stay.  Fingerprints are what links join:
+    documents of one fingerprint meet as one row (a partial aggregate), so a group of exact copies costs one row a task.
     """
     scratch = common.Scratch(spark, "simhash")
-    prints = scratch.save(fingerprints(docs))
-    distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fp"))
-    keyed = distinct.mapInArrow(_keyed, "key long, doc_id long, fp long")
-    links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verified, "u long, v long").distinct()
-    groups = components(spark, links)
-    of_print = distinct.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", F.coalesce("component", "doc_id").alias("component_id"))
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(spark, scratch.save(fingerprints(docs))).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(spark: SparkSession, prints: DataFrame) -> DataFrame:
+    """``prints`` with ``component_id`` and ``node``, the least fingerprint of the group."""
+    scratch = common.Scratch(spark, "simhash")
+    distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))  # min passes over nulls
+    links = distinct.select("fp").mapInArrow(_keyed, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(_verified, "u long, v long").distinct()
+    linked = scratch.save(distinct.join(components(spark, links).select(F.col("node").alias("fp"), F.col("component").alias("node")), "fp"))
+    firsts = scratch.save(linked.groupBy("node").agg(F.min("first").alias("component_id")))
+    joined = linked.join(F.broadcast(firsts) if firsts.count() <= FEW else firsts, "node").select("fp", "node", "component_id")
+    of_print = distinct.join(joined, "fp", "left").select("fp", F.coalesce("node", "fp").alias("node"), F.when(F.col("node").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    return prints.join(of_print, "fp")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is their group's smallest, with all their columns; a repeated doc_id keeps its rows."""
-    keep = near_duplicates(spark, docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_kept_id"], "left_semi")
+    """The documents whose doc_id is their group's smallest, with all their columns; a repeated doc_id keeps its rows.
+
+    Of a group without any doc_id, one row stays: that of the smallest fingerprint and, of its texts, the smallest hash.
+    """
+    scratch = common.Scratch(spark, "simhash")
+    grouped = scratch.save(_grouped(spark, scratch.save(fingerprints(docs))))
+    keep = grouped.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    named = docs.join(keep, docs["doc_id"] == keep["_kept_id"], "left_semi")
+    lone = grouped.where("component_id is null").groupBy("node").agg(F.min(F.struct("fp", "mark")).alias("m")).select(F.col("m.mark").alias("_kept_mark"))
+    rows = docs.where("doc_id is null").join(lone, F.xxhash64("text") == F.col("_kept_mark"), "left_semi")
+    one = rows.groupBy("text").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("x")).select("x.*")
+    return named.unionByName(one)

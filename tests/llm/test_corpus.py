@@ -79,6 +79,19 @@ def test_simhash_groups(spark):
     assert simhash.near_duplicates(spark, docs_frame(spark, rows).limit(0)).count() == 0
 
 
+def test_simhash_null_ids(spark):
+    alone = [(None, text(60)) for _ in range(3)]
+    shared = text(60)
+    rows = [(3, shared), (None, shared), (1, text(60)), (None, None), (2, "")] + alone + alone[:1]
+    got = simhash.near_duplicates(spark, docs_frame(spark, rows)).collect()
+    prints = {f"{simhash.fingerprint(t):016x}": i for i, t in rows if i is not None}
+    assert len(got) == len(rows) and all(r.component_id == prints.get(r.fingerprint) for r in got)
+    kept = simhash.one_of_each_group(spark, docs_frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(3, shared), (1, rows[2][1]), (2, "")] + alone, key=repr)
+    assert simhash.near_duplicates(spark, docs_frame(spark, ODD)).count() == len(ODD)
+    assert sum(r.doc_id is None for r in simhash.one_of_each_group(spark, docs_frame(spark, ODD)).collect()) == 1
+
+
 def removed(rows, span):
     seen = Counter(t[s : s + span] for _, t in rows for s in range(len(t) - span + 1))
     out = {}
