@@ -30,8 +30,9 @@ def lines_of(docs: DataFrame, *more: F.Column) -> DataFrame:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(line, size, sig): each text once, with length and signature."""
-    return lines.select("line", F.length("line").alias("size"), signature().alias("sig")).distinct()  # made once, before the shuffle
+    """(line, size, sig, n): each text once, with length, signature and number of rows."""
+    keyed = lines.groupBy("line", F.length("line").alias("size"), signature().alias("sig"))  # keys, so that they are made once
+    return keyed.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line_no")).alias("f")).drop("f")  # a struct: sorted once, as hashing makes the keys again
 
 
 def segment(length: F.Column, i: int, tau: int) -> tuple[F.Column, F.Column]:
