@@ -22,6 +22,8 @@ from . import common
 #: Bounds of the sample that the automata are built from: symbols a language, and symbols of one document in it.
 SAMPLE, OF_ONE = 40_000, 1_000
 BLOCK, LANES, ALPHABET = 256, 8192, 250
+#: Levels: documents of ``BLOCK`` symbols or more that one needs, factor over their median, phrases that any text may have besides.
+ENOUGH, SLACK, SHORT = 20, 2.25, 3
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -66,6 +68,7 @@ class Model:
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
+        self.levels: dict[str, float] = {}
         common_letters = Counter("".join(samples.values())).most_common(ALPHABET - 1)
         self.letters = {ord(c): k + 1 for k, (c, _) in enumerate(sorted(common_letters))}  # 0: a letter that no sample has
         width = len(self.letters) + 1
@@ -124,17 +127,34 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score): score is 1 - fewest / (fewest + next fewest) phrases, so 0.5 says that two are alike."""
+        return [(lang, score) for lang, score, _ in self.judge(texts)]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, score, whether the text reads like it: no more phrases than its ``levels`` allow; True without one)."""
         coded = [self.encode(t or "") for t in texts]
         counts, out = self.phrases(coded), []
         for row, code in zip(counts, coded):
             if not len(code) or not self.langs:
-                out.append(("und", 0.0))
+                out.append(("und", 0.0, False))
                 continue
             order = np.argsort(row, kind="stable")  # ties: the first in alphabetical order
             best, second = int(row[order[0]]), int(row[order[1]]) if len(order) > 1 else 2 * int(row[order[0]])
-            out.append((self.langs[order[0]], second / (best + second)))
+            lang = self.langs[order[0]]
+            level = self.levels.get(lang)
+            out.append((lang, second / (best + second), level is None or best <= level * len(code) + SHORT))
         return out
 
+    def learn_levels(self, held: dict[str, list[str]]) -> None:
+        """Phrases a symbol that a language's own text may need: the median of its documents in ``held``, which no
+        automaton has seen, times ``SLACK``.  A language with fewer than ``ENOUGH`` of them gets the largest other level."""
+        for lang, texts in held.items():
+            coded = [c for c in map(self.encode, texts) if len(c) >= BLOCK]
+            if lang in self.langs and len(coded) >= ENOUGH:
+                counts = self.phrases(coded)[:, self.langs.index(lang)]
+                self.levels[lang] = SLACK * float(np.median([n / len(c) for n, c in zip(counts.tolist(), coded)]))
+        if self.levels:
+            self.levels = {lang: self.levels.get(lang, max(self.levels.values())) for lang in self.langs}
+
 
 def train(labelled: DataFrame, sample: int = SAMPLE, of_one: int = OF_ONE) -> Model:
     """Automata from ``labelled`` (doc_id, text, lang): per language at most ``sample`` symbols of text, at most
@@ -152,10 +172,16 @@ def train(labelled: DataFrame, sample: int = SAMPLE, of_one: int = OF_ONE) -> Mo
     one = known.where(point <= share[F.col("lang")]).select("lang", F.col("text").substr(1, 2 * of_one).alias("part"), F.xxhash64("doc_id").alias("h"))
     best = one.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("r") <= rows)
     samples: dict[str, str] = {}
+    held: dict[str, list[str]] = {}
     for lang, part in best.orderBy("lang", "r").select("lang", "part").collect():
         had = samples.get(lang, "")
-        samples[lang] = (had + " " + symbols(part)[:of_one])[:sample] if len(had) < sample else had
-    return Model({k: v for k, v in samples.items() if v.strip()})
+        if len(had) < sample:
+            samples[lang] = (had + " " + symbols(part)[:of_one])[:sample]
+        else:
+            held.setdefault(lang, []).append(symbols(part)[:of_one])
+    model = Model({k: v for k, v in samples.items() if v.strip()})
+    model.learn_levels(held)
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -178,7 +204,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has letters and a language of at least ``least_score``."""
+    """The rows of ``docs``, with all their columns, whose text has letters, a language of at least ``least_score``
+    (0.5 takes ties), and no more phrases than the language's level allows: letter junk and unknown languages go."""
     shared, at, schema = common.share(docs.sparkSession, model), docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +213,8 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) ->
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                found = judge.predict(part.column(at).to_pylist())
-                yield part.filter(pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_()))
+                found = judge.judge(part.column(at).to_pylist())
+                yield part.filter(pa.array([lang != "und" and sound and score >= least_score for lang, score, sound in found], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
 

@@ -1,5 +1,6 @@
 """Operators that judge a text alone: quality rules, HTML text, language, toxicity."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -124,6 +125,17 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(frame(spark), empty).collect()} == {"und"}
 
 
+def test_language_junk_goes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs.select("doc_id", "text", "lang").where(language_id.fold(3) != 1))
+    letters = random.Random(3)
+    junk = ["".join(letters.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n)) for n in (60, 300, 3000)]
+    junk += ["Pohjois-Suomessa sijaitseva kaupunki tunnetaan laajoista metsistään ja kylmistä talvistaan", "привет мир это обычный русский текст " * 8]
+    assert language_id.keep_identified(frame(spark, list(enumerate(junk))), model).count() == 0
+    clean = docs.where(language_id.fold(3) == 1)
+    assert language_id.keep_identified(clean, model).count() == clean.where("text rlike '\\\\p{L}'").count() > 0
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
