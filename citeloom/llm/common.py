@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -67,6 +69,11 @@ def arrow_rows(fields: list[tuple[str, pa.DataType]], each: Callable[..., tuple]
     return run
 
 
+def worker_state() -> dict:
+    """What a Python worker process keeps from task to task.  (Functions travel by value, so module globals don't stay.)"""
+    return sys.modules.setdefault("_citeloom_worker_state", types.ModuleType("_citeloom_worker_state")).__dict__.setdefault("kept", {})
+
+
 def share(spark: SparkSession, thing: object) -> Callable[[], object]:
     """Broadcasts an object by its fields (a broadcast, unlike a function, travels by class name); call to get it back."""
     kind, fields = type(thing), spark.sparkContext.broadcast(vars(thing))

@@ -2,128 +2,203 @@
 
 A suffix automaton of labelled text per language knows every string that the text holds.  A document is parsed, from
 left to right, into the longest phrases that a language's text holds (a letter it lacks is a phrase of its own); phrases
-a symbol estimate the cross entropy (Ziv and Merhav), and the language that needs the fewest wins.  Parsing restarts at
-fixed blocks, so that the blocks of many documents can be walked together, one symbol a step, in numpy.
+a symbol estimate the cross entropy (Ziv and Merhav), and the language that needs the fewest wins.  Many documents are
+walked together, one symbol a step, in numpy.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds of the sample that the automata are built from: symbols a language, and symbols of one document in it.
-SAMPLE, OF_ONE = 40_000, 1_000
-BLOCK, LANES, ALPHABET = 256, 8192, 250
-#: Levels: documents of ``BLOCK`` symbols or more that one needs, factor over their median, phrases that any text may have besides.
-ENOUGH, SLACK, SHORT = 20, 2.25, 3
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Bounds of the sample that the automata are built from: symbols a language, of one document in it, of all languages.
+SAMPLE, OF_ONE, IN_ALL = 40_000, 1_000, 2_000_000
+#: Symbols of a text that a lane parses.
+BLOCK = 512
+#: Levels: symbols of documents that count, documents that one needs, factor over their median, phrases that any text may have besides.
+LONG, ENOUGH, SLACK, SHORT = 256, 20, 2.25, 3
+LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def symbols(text: str) -> str:
-    """Lower case; every run of what isn't a letter is one space."""
-    return NOT_LETTERS.sub(" ", text).strip().lower()
+    """Lower case; every run of what is neither a letter nor a mark on one is one space; empty without a letter."""
+    return " ".join(LETTERS.findall(text.lower())) if LETTER.search(text) else ""
 
 
-def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
-    """Transitions [state, symbol] of the smallest automaton that knows all substrings of ``text``; 0 is the start, and
-    also what a missing transition leads to (no real one leads there)."""
-    moves = np.zeros((2 * len(text) + 2, width), np.int32)
+def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
+    """Transitions, by state and symbol, of the smallest automaton that knows all substrings of ``text``; 0 is the start."""
+    moves: list[dict[int, int]] = [{}]
     link, size = [-1], [0]
     at = 0
-    for c in text.tolist():
+    for c in text:
         new = len(size)
+        moves.append({})
         size.append(size[at] + 1)
         link.append(0)
         p = at
-        while p >= 0 and not moves[p, c]:
-            moves[p, c] = new
+        while p >= 0 and c not in moves[p]:
+            moves[p][c] = new
             p = link[p]
         if p >= 0:
-            q = int(moves[p, c])
+            q = moves[p][c]
             if size[p] + 1 == size[q]:
                 link[new] = q
             else:
                 twin = len(size)
                 size.append(size[p] + 1)
                 link.append(link[q])
-                moves[twin] = moves[q]
-                while p >= 0 and moves[p, c] == q:
-                    moves[p, c] = twin
+                moves.append(dict(moves[q]))
+                while p >= 0 and moves[p].get(c) == q:
+                    moves[p][c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         at = new
-    return moves[: len(size)]
+    return moves
+
+
+class Table:
+    """Transitions key -> value in one open-addressed table: as many cells as two to four times their number."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        left, slot = np.arange(len(keys)), self.place(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            _, one = np.unique(slot[free], return_index=True)  # of several for a cell, one gets it
+            put = np.flatnonzero(free)[one]
+            self.keys[slot[put]], self.values[slot[put]] = keys[left[put]], values[left[put]]
+            stays = np.ones(len(left), bool)
+            stays[put] = False
+            left, slot = left[stays], (slot[stays] + 1) & ((1 << self.bits) - 1)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, -1 where there is none."""
+        slot = self.place(keys)
+        there = self.keys[slot]
+        same = there == keys
+        out = np.where(same, self.values[slot], -1)
+        left = np.flatnonzero(same < (there >= 0))  # a cell of another key: look further
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
 
 
 class Model:
-    """The automata of all languages in one table of transitions."""
+    """The automata of all languages.  Every letter of the samples has a symbol; 0 is a letter that none of them has.
+
+    A state is written as its number times the number of symbols, so that state + symbol is a key of the table.
+    """
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         self.levels: dict[str, float] = {}
-        common_letters = Counter("".join(samples.values())).most_common(ALPHABET - 1)
-        self.letters = {ord(c): k + 1 for k, (c, _) in enumerate(sorted(common_letters))}  # 0: a letter that no sample has
-        width = len(self.letters) + 1
-        tables, self.roots = [], []
+        letters = sorted(set("".join(samples.values())))
+        self.width = len(letters) + 1
+        self.code = np.zeros(ord(letters[-1]) + 2 if letters else 2, np.int32)
+        self.code[[ord(c) for c in letters]] = np.arange(1, self.width)
+        keys, values, self.roots, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
         for lang in self.langs:
-            table = suffix_automaton(np.array([self.letters[ord(c)] for c in samples[lang] if ord(c) in self.letters], np.int64), width)
-            self.roots.append(sum(map(len, tables)))
-            tables.append(np.where(table > 0, table + self.roots[-1], -1).astype(np.int32))
-        self.moves = np.concatenate(tables) if tables else np.zeros((0, width), np.int32)
-        self.moves[:, 0] = -1
-        self.code = np.zeros(max(self.letters, default=0) + 2, np.uint8)
-        for c, k in self.letters.items():
-            self.code[c] = k
+            moves = suffix_automaton(self.code[[ord(c) for c in samples[lang]]].tolist())
+            sizes = np.fromiter(map(len, moves), np.int64, len(moves))
+            keys.append((np.repeat(np.arange(len(moves)), sizes) + n) * self.width + np.fromiter(chain.from_iterable(moves), np.int64))
+            values.append((np.fromiter(chain.from_iterable(m.values() for m in moves), np.int64) + n) * self.width)
+            self.roots.append(n * self.width)
+            n += len(moves)
+        self.table = Table(np.concatenate(keys), np.concatenate(values))
 
     def encode(self, text: str) -> np.ndarray:
         points = np.frombuffer(symbols(text).encode("utf-32-le", "replace"), np.uint32)
         return self.code[np.minimum(points, len(self.code) - 1)]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """(text, language): phrases that each text falls into."""
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
-        owner, parts = [], []
-        for k, t in enumerate(texts):
-            for a in range(0, len(t), BLOCK):
-                owner.append(k)
-                parts.append(t[a : a + BLOCK])
-        order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
-        for a in range(0, len(order), LANES):
-            group = [parts[k] for k in order[a : a + LANES]]
-            np.add.at(out, [owner[k] for k in order[a : a + LANES]], self._walk(group))
+        """(text, language): phrases that each text falls into, each text parsed whole from its start.
+
+        A lane is a block of a text under a language; all lanes take a symbol a step.  A block's parse starts at its
+        first symbol as if a phrase began there, and the parse of the block before goes on into it until both begin a
+        phrase at the same symbol: from there on they are one.  So a text's phrases are those of its blocks less what a
+        block has before that symbol.  A text whose parses do not meet within a block is parsed by itself.
+        """
+        langs, out = len(self.langs), np.zeros((len(texts), len(self.langs)), np.int64)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        if not langs or not sizes.sum():
+            return out
+        flat, offsets = np.concatenate(texts).astype(np.int64), np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(texts)), -(-sizes // BLOCK))
+        nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        at, end = offsets[owner] + BLOCK * nth, (offsets + sizes)[owner]
+        length = np.minimum(BLOCK, end - at)
+        order = np.argsort(-length, kind="stable")  # those that have ended are always the last lanes
+        owner, at, end, length = (np.repeat(x[order], langs) for x in (owner, at, end, length))
+        j = np.tile(np.arange(langs), len(order))
+        root, row = np.array(self.roots, np.int64)[j], j * self.width
+        first = np.stack([self.table.find(r + np.arange(self.width)) for r in self.roots])  # by language and symbol
+        first = np.where(first < 0, np.array(self.roots)[:, None], first).ravel()
+        state, count, begins = root.copy(), np.zeros(len(at), np.int64), np.zeros(len(flat) * langs, bool)
+
+        def step(m, places: np.ndarray) -> np.ndarray:
+            """Takes a symbol in some lanes; tells which begin a phrase with it.  A letter that no sample has is a phrase."""
+            c = flat[places]
+            now = self.table.find(state[m] + c)
+            new = (state[m] == root[m]) | (now < 0)
+            state[m] = np.where(new, first[row[m] + c], now)
+            return new
+
+        alive = np.searchsorted(-length, -np.arange(length[0]), side="left").tolist()
+        for k in range(length[0]):
+            m = slice(0, alive[k])
+            new = step(m, at[m] + k)
+            count[m] += new
+            begins[(at[m] + k) * langs + j[m]] = new
+        lanes, place = np.arange(len(at)), at + BLOCK
+        ahead, alone = place < end, set()
+        lanes, place = lanes[ahead], place[ahead]
+        while len(lanes):  # on into the next block, until both begin a phrase at one symbol
+            new = step(lanes, place)
+            met = new & begins[place * langs + j[lanes]]
+            count[lanes] += new & ~met
+            place = place + ~met
+            done = met | (place >= end[lanes])
+            for lane, p in zip(lanes[done].tolist(), place[done].tolist()):
+                start = at[lane] + BLOCK
+                count[lane] -= np.count_nonzero(begins[start * langs + j[lane] : p * langs + j[lane] : langs])
+            lost = ~done & (place >= at[lanes] + 2 * BLOCK)
+            alone.update(zip(owner[lanes[lost]].tolist(), j[lanes[lost]].tolist()))
+            lanes, place = lanes[~done & ~lost], place[~done & ~lost]
+        np.add.at(out, (owner, j), count)
+        for k, lang in alone:
+            out[k, lang] = self.walk(texts[k].tolist(), self.roots[lang])
         return out
 
-    def _walk(self, parts: list[np.ndarray]) -> np.ndarray:
-        """Parts come with the longest first: those that have ended are always the last lanes."""
-        sizes = np.array([len(p) for p in parts])
-        grid = np.zeros((sizes[0], len(parts)), np.uint8)
-        for k, p in enumerate(parts):
-            grid[: len(p), k] = p
-        alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left").tolist()
-        count = np.zeros((len(parts), len(self.langs)), np.int64)
-        width = self.moves.shape[1]
-        flat = self.moves.ravel()
-        for j, root in enumerate(self.roots):
-            state, total = np.full(len(parts), root, np.int32), np.zeros(len(parts), np.int32)
-            first = np.maximum(self.moves[root], root)
-            alone = (self.moves[root] < 0).astype(np.int32)  # letters that no phrase of this language holds
-            for step in range(sizes[0]):
-                n = alive[step]
-                c = grid[step, :n]
-                now = flat[state[:n] * np.int64(width) + c]
-                ended = now < 0
-                total[:n] += (ended & (state[:n] != root)) + alone[c]
-                state[:n] = np.where(ended, first[c], now)
-            count[:, j] += total + (state != root)
-        return count
+    def walk(self, text: list[int], root: int) -> int:
+        """Phrases of one text under one language, by itself."""
+        if "moves" not in vars(self):
+            used = self.table.keys >= 0
+            self.moves = dict(zip(self.table.keys[used].tolist(), self.table.values[used].tolist()))
+        get, at, n = self.moves.get, root, 0
+        for c in text:
+            now = get(at + c)
+            if at == root or now is None:
+                n += 1
+                now = get(root + c, root)
+            at = now
+        return n
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score): score is 1 - fewest / (fewest + next fewest) phrases, so 0.5 says that two are alike."""
@@ -148,7 +223,7 @@ class Model:
         """Phrases a symbol that a language's own text may need: the median of its documents in ``held``, which no
         automaton has seen, times ``SLACK``.  A language with fewer than ``ENOUGH`` of them gets the largest other level."""
         for lang, texts in held.items():
-            coded = [c for c in map(self.encode, texts) if len(c) >= BLOCK]
+            coded = [c for c in map(self.encode, texts) if len(c) >= LONG]
             if lang in self.langs and len(coded) >= ENOUGH:
                 counts = self.phrases(coded)[:, self.langs.index(lang)]
                 self.levels[lang] = SLACK * float(np.median([n / len(c) for n, c in zip(counts.tolist(), coded)]))
@@ -156,17 +231,20 @@ class Model:
             self.levels = {lang: self.levels.get(lang, max(self.levels.values())) for lang in self.langs}
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, of_one: int = OF_ONE) -> Model:
+def train(labelled: DataFrame, sample: int = SAMPLE, of_one: int = OF_ONE, in_all: int = IN_ALL) -> Model:
     """Automata from ``labelled`` (doc_id, text, lang): per language at most ``sample`` symbols of text, at most
     ``of_one`` of a document, documents in the order of a hash of their id.  Null labels and null texts teach nothing.
 
-    The rows that reach the driver are bounded: 4 * sample / of_one a language, cut to ``of_one`` code points.
+    All samples together have at most ``in_all`` symbols (beyond 50 languages each gets an equal part), and so the
+    automata at most three times as many transitions, 50 bytes each at most.  The rows that reach the driver are
+    bounded: 4 * sample / of_one a language, cut to 2 * ``of_one`` code points.
     """
-    rows = 4 * sample // of_one
     known = labelled.where("lang is not null and text is not null")
     counts = dict(known.groupBy("lang").count().collect())
     if not counts:
         return Model({})
+    sample = max(of_one, min(sample, in_all // len(counts)))
+    rows = 4 * sample // of_one
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * rows / n))))
     point = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     one = known.where(point <= share[F.col("lang")]).select("lang", F.col("text").substr(1, 2 * of_one).alias("part"), F.xxhash64("doc_id").alias("h"))
@@ -188,7 +266,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every document from its whole text alone; no shuffle.
 
     Null text and text without a letter: ``und`` with score 0.  A tie goes to the alphabetically first language.
-    The model travels to the executors as a broadcast of bounded size (``SAMPLE`` symbols a language).
+    The model travels to the executors as a broadcast whose size the bounds of the sample bound.
     """
     shared = common.share(docs.sparkSession, model)
 

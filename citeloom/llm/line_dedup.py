@@ -1,10 +1,14 @@
 """Line near-duplicates within an edit distance, by a segment-partition join (Li et al., Pass-Join) in DataFrame functions.
 
-A line is cut into TAU + 1 even segments.  A line within TAU edits of it holds one of them unchanged, at a position that
-the two lengths and the edits before and after bound.  So each distinct line puts its own segments into an index keyed
-by (length, segment number, text), and probes the index of every length down to TAU shorter with the substrings at
-those positions.  What meets is verified by Spark's banded ``levenshtein`` with a threshold.  (A bit-parallel form needs
-word operations in a loop over letters, which built-in functions don't offer at a fair cost; the band does the same.)
+Lines of 16 letters or more match within two edits, of 8 to 15 letters within one, shorter ones only if equal: one edit
+for eight letters of the shorter line, two at most.  A line with t edits is cut into t + 1 even segments.  A line within
+t edits of it holds one of them unchanged, at a position that the two lengths and the edits before and after bound.  So
+each distinct line puts its own segments into an index keyed by (length, segment number, text), and probes the index of
+every length down to t shorter with the substrings at those positions.
+
+What meets is verified by a banded bit-parallel automaton: bit k of word e tells whether the prefixes that end on
+diagonal k of the band are within e edits; a letter moves all diagonals at once by shifts, ands and ors.  Common
+beginnings and ends are cut off before.
 """
 
 from __future__ import annotations
@@ -15,11 +19,13 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import components
 
-TAU, LEAST = 2, 16
+TAU, LETTERS_AN_EDIT = 2, 8
 #: Broadcast up to so many ids of lines to verify; beyond, Spark joins by shuffle.
 FEW = 500_000
 #: Sixteen letters, whose counts (modulo 4) make a line's signature.
 LETTERS = "etanoirshdlcumgw"
+#: Lines of more letters get no signature: they hardly ever share a segment with a line that isn't near.
+SIGNED = 96
 BLANK = " \t\r\x0b\x0c"
 
 
@@ -29,46 +35,40 @@ def lines_of(docs: DataFrame, *more: F.Column) -> DataFrame:
     return each.withColumn("line", F.btrim("line", F.lit(BLANK))).where("line <> ''")
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(line, size, sig, n): each text once, with length, signature and number of rows."""
-    keyed = lines.groupBy("line", F.length("line").alias("size"), signature().alias("sig"))  # keys, so that they are made once
-    return keyed.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line_no")).alias("f")).drop("f")  # a struct: sorted once, as hashing makes the keys again
+def edits(length: F.Column, tau: int) -> F.Column:
+    """How many edits a line of this length allows."""
+    return F.least(F.lit(tau), F.floor(length / LETTERS_AN_EDIT).cast("int"))
 
 
-def segment(length: F.Column, i: int, tau: int) -> tuple[F.Column, F.Column]:
-    """(start from 0, size) of segment i of a line: the last ones take what division leaves over."""
-    base, over = F.floor(length / (tau + 1)).cast("int"), (length % (tau + 1)).cast("int")
-    longer = F.lit(tau + 1) - over  # the first segment of size base + 1
-    return base * i + F.greatest(F.lit(0), F.lit(i) - longer), base + (F.lit(i) >= longer).cast("int")
+def specs(tau: int, probes: bool) -> F.Column:
+    """One row (t, shorter, i, move) for each key a line makes: of its own segments, or of places where a segment i of a
+    line of t edits, ``shorter`` by so much, may stand ``move`` letters further on.  The bounds are match-aware from both ends."""
+    rows = []
+    for t in range(1, tau + 1):
+        for shorter in range(t + 1 if probes else 1):
+            for i in range(t + 1):
+                low, high = (max(-i, shorter - (t - i)), min(i, shorter + (t - i))) if probes else (0, 0)
+                rows += [F.struct(F.lit(t).alias("t"), F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(m).alias("move")) for m in range(low, high + 1)]
+    return F.array(*rows)
 
 
-def cell(length: F.Column, i: int, start: F.Column, size: F.Column) -> F.Column:
-    return F.xxhash64(length, F.lit(i), F.substring(F.col("line"), start + 1, size))
-
-
-def index_cells(tau: int) -> list[F.Column]:
-    length = F.col("size")
-    return [cell(length, i, *segment(length, i, tau)) for i in range(tau + 1)]
-
-
-def probe_cells(tau: int) -> list[F.Column]:
-    """Substrings where an equal or shorter line's segment may stand: the match-aware bounds from both ends."""
-    out = []
-    for shorter in range(tau + 1):
-        length = F.col("size") - shorter
-        for i in range(tau + 1):
-            start, size = segment(length, i, tau)
-            for move in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1):
-                at = start + move
-                out.append(F.when((at >= 0) & (at + size <= F.col("size")), cell(length, i, at, size)))
-    return out
+def keys_of(heads: DataFrame, tau: int, probes: bool, name: str) -> DataFrame:
+    """(key, h_<name>, sig_<name>): the keys of distinct lines.  A row a key, each by the same small expression."""
+    each = heads.select("line", "size", "h", "sig", F.inline(specs(tau, probes)))
+    length, t, i = F.col("size") - F.col("shorter"), F.col("t"), F.col("i")
+    each = each.where(edits(length, tau) == t)
+    base, longer = F.floor(length / (t + 1)).cast("int"), t + 1 - length % (t + 1)  # segments from number ``longer`` on are one longer
+    start = base * i + F.greatest(F.lit(0), i - longer) + F.col("move")
+    wide = base + (i >= longer).cast("int")
+    fits = (start >= 0) & (start + wide <= F.col("size"))
+    return each.where(fits).select(F.xxhash64(length, i, F.substring(F.col("line"), start + 1, wide)).alias("key"), F.col("h").alias(f"h_{name}"), F.col("sig").alias(f"sig_{name}"))
 
 
 def signature() -> F.Column:
-    """Two bits for each letter's count, 32 in all."""
+    """Two bits for each letter's count, 32 in all; null for long lines."""
     whole = F.octet_length("line")
     counts = [whole - F.octet_length(F.replace("line", F.lit(c))) for c in LETTERS]
-    return sum((F.shiftleft((c % 4).cast("long"), 2 * k) for k, c in enumerate(counts)), F.lit(0).cast("long"))
+    return F.when(F.col("size") <= SIGNED, sum((F.shiftleft((c % 4).cast("long"), 2 * k) for k, c in enumerate(counts)), F.lit(0).cast("long")))
 
 
 def signature_gap(a: str, b: str) -> F.Column:
@@ -98,31 +98,76 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def near_texts(spark: SparkSession, docs: DataFrame, tau: int, least: int) -> DataFrame:
-    """(u, v, a, b, distance): hashes and first places (doc_id, line_no, row) of every two texts within ``tau`` edits."""
+def shared_head(a: F.Column, b: F.Column) -> F.Column:
+    """Letters that two texts begin with alike: bisection by powers of two."""
+    most = F.least(F.length(a), F.length(b))
+
+    def add(n: F.Column, p: F.Column) -> F.Column:
+        return F.when((n + p <= most) & (F.substring(a, n + 1, p) == F.substring(b, n + 1, p)), n + p).otherwise(n)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), F.lit(0), add)
+
+
+def letters(c: str) -> F.Column:
+    return F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
+
+
+def bit_parallel_distance(a: str, b: str, tau: int) -> F.Column:
+    """Edit distance of text columns a (letters in ``_a``) and b, -1 if over ``tau``: a band of 2 tau + 1 diagonals, one word of bits an edit count."""
+    width = 2 * tau + 1
+    band = F.lit((1 << width) - 1)
+    # for each letter of b, the diagonals of the band on which a has the same one
+    equal = F.transform(letters(b), lambda c, j: sum((F.when(F.get(F.col("_a"), j + k - tau) == c, 1 << k).otherwise(0) for k in range(1, width)), F.when(F.get(F.col("_a"), j - tau) == c, 1).otherwise(0)))
+
+    def step(was: F.Column, m: F.Column) -> F.Column:
+        now = [was["e0"].bitwiseAND(m)]
+        for e in range(1, tau + 1):
+            stay, less = was[f"e{e}"].bitwiseAND(m), was[f"e{e - 1}"]
+            now.append(stay.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(now[-1], 1)).bitwiseAND(band))  # match, replace, insert, delete
+        return F.struct(*(x.alias(f"e{e}") for e, x in enumerate(now)))
+
+    start = F.struct(*(F.lit(((2 << e) - 1) << tau & ((1 << width) - 1)).alias(f"e{e}") for e in range(tau + 1)))
+    end = F.length(a) - F.length(b) + tau
+    reached = lambda s: F.coalesce(*(F.when(F.call_function("shiftright", s[f"e{e}"], end).bitwiseAND(F.lit(1)) == 1, e) for e in range(tau + 1)), F.lit(-1))
+    walked = F.aggregate(equal, start, step, reached)
+    return F.when((end >= 0) & (end < width), walked).otherwise(-1)
+
+
+def near_texts(spark: SparkSession, docs: DataFrame, tau: int) -> DataFrame:
+    """(u, v, a, b, distance): hashes and first places (doc_id, line_no, row) of every two texts within reach."""
     scratch = Scratch(spark, "lines")
     lines = lines_of(docs, row_hash())
-    heads = distinct_lines(lines).where(F.col("size") >= least).withColumn("h", F.xxhash64("line"))
-    index = heads.select(F.explode(F.array(*index_cells(tau))).alias("key"), F.col("h").alias("h_i"), F.col("sig").alias("sig_i"))
-    probe = heads.select(F.explode(F.array(*probe_cells(tau))).alias("key"), F.col("h").alias("h_p"), F.col("sig").alias("sig_p")).where("key is not null")
-    met = probe.join(index, (probe["key"] == index["key"]) & (F.col("h_i") != F.col("h_p")) & (signature_gap("sig_i", "sig_p") <= 2 * tau))
+    heads = lines.select("line").distinct().withColumns({"size": F.length("line"), "h": F.xxhash64("line")}).withColumn("sig", signature())
+    index, probe = keys_of(heads, tau, False, "i"), keys_of(heads, tau, True, "p")
+    alike = F.coalesce(signature_gap("sig_i", "sig_p") <= 2 * tau, F.lit(True))
+    met = probe.join(index, (probe["key"] == index["key"]) & (F.col("h_i") != F.col("h_p")) & alike)
     pairs = scratch.save(met.select(F.least("h_i", "h_p").alias("u"), F.greatest("h_i", "h_p").alias("v")).distinct())
     ids = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct())
     held = lines.withColumn("h", F.xxhash64("line")).join(few(ids), "h")
     texts = scratch.save(held.groupBy("h", "line").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("x")))
     left, right = (texts.select(F.col("h").alias(h), F.col("x").alias(c), F.col("line").alias(f"text_{c}")) for h, c in ("ua", "vb"))
-    near = pairs.join(left, "u").join(right, "v").withColumn("distance", F.levenshtein("text_a", "text_b", tau)).where("distance >= 0")
-    return scratch.save(near.select("u", "v", "a", "b", "distance"))
+    both = pairs.join(left, "u").join(right, "v")
+    return scratch.save(verified(both, tau).select("u", "v", "a", "b", "distance"))
+
+
+def verified(pairs: DataFrame, tau: int) -> DataFrame:
+    """The pairs (text_a, text_b) within reach, with their distance."""
+    allowed = edits(F.least(F.length("text_a"), F.length("text_b")), tau)
+    cut = pairs.withColumn("_allowed", allowed)
+    for turn in range(2):  # common beginnings go, then, of the reversed rest, common ends
+        cut = cut.withColumn("_n", shared_head(F.col("text_a"), F.col("text_b")))
+        cut = cut.withColumns({c: F.reverse(F.substring(F.col(c), F.col("_n") + 1, F.length(c))) for c in ("text_a", "text_b")})
+    cut = cut.withColumn("_a", letters("text_a"))
+    return cut.withColumn("distance", bit_parallel_distance("text_a", "text_b", tau)).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("_allowed"))).drop("_a", "_n", "_allowed")
 
 
-def links(spark: SparkSession, docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
-    """(doc_a, line_a, doc_b, line_b, distance): pairs of different line texts within ``tau`` edits, by their first places.
+def links(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> DataFrame:
+    """(doc_a, line_a, doc_b, line_b, distance): pairs of different line texts within reach, by their first places.
 
-    Place a comes before place b.  Lines of fewer than ``least`` code points are compared for equality alone.  Null
-    texts have no lines.  All pairs are found, none dropped; exact copies meet as one row and make no pairs.  Texts are
-    told apart by 64-bit hashes.
+    Place a comes before place b.  Null texts have no lines.  All pairs are found, none dropped; exact copies meet as
+    one row and make no pairs.  Texts are told apart by 64-bit hashes.
     """
-    near = near_texts(spark, docs, tau, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    near = near_texts(spark, docs, tau).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
     return near.select(F.col("a.doc_id").alias("doc_a"), F.col("a.line_no").alias("line_a"), F.col("b.doc_id").alias("doc_b"), F.col("b.line_no").alias("line_b"), "distance")
 
 
@@ -138,7 +183,7 @@ def linked_texts(spark: SparkSession, near: DataFrame) -> DataFrame:
     return scratch.save(classed.join(firsts, "class_id").select("h", "k", "late", "class_id", (F.col("x") == F.col("first")).alias("stays")))
 
 
-def report(spark: SparkSession, docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
+def report(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> DataFrame:
     """One row per doc_id (null is one as well); rows that repeat a doc_id count together.
 
     * n_lines (not blank), n_first (whose text stands nowhere before), n_near (first ones linked to a text whose first
@@ -150,9 +195,8 @@ def report(spark: SparkSession, docs: DataFrame, tau: int = TAU, least: int = LE
       Different rows of one doc_id are joined by a newline, equal ones are one.  Null where all its texts are null.
     """
     docs = docs.select("doc_id", "text")
-    near = linked_texts(spark, near_texts(spark, docs, tau, least))
-    near = few(near)
-    marks = lines_of(docs, row_hash()).select("doc_id", "line_no", "row", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+    near = few(linked_texts(spark, near_texts(spark, docs, tau)))
+    marks = Scratch(spark, "marks").save(lines_of(docs, row_hash()).select("doc_id", "line_no", "row", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2")))
     n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != ""))
     whole = docs.select("doc_id", row_hash(), "text", F.coalesce(F.when(F.col("text").isNotNull(), n_lines), F.lit(0)).cast("long").alias("n_lines"))
     first = marks.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("f")).join(near, "h", "left")

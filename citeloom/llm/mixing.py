@@ -53,7 +53,7 @@ def poisson_steps(rates: DataFrame) -> DataFrame:
 
 
 def replicate(docs: DataFrame, targets: DataFrame | None = None, smoothing: float = 0.7, volume: float = 1.0, seed: int = SEED) -> DataFrame:
-    """Each document as often as its count says, with its columns and (``copy``, ``n_copies``, ``place``).
+    """(row, copy, n_copies, place): each document as often as its count says; ``row`` holds its columns, under any names.
 
     Rows that repeat a doc_id get the same count.  Empty and null texts count no code points but are repeated like the
     rest of their source.  ``place`` is the hash that ``shuffle`` orders by.  The table of sources is
@@ -64,25 +64,22 @@ def replicate(docs: DataFrame, targets: DataFrame | None = None, smoothing: floa
     largest = rates.agg(F.count(F.lit(1)), F.max("rate")).first()
     if largest[0] * ((largest[1] or 0) + 100) <= 100 * FEW_SOURCES:
         steps = F.broadcast(steps)
-    placed = docs.join(steps, F.col("source").eqNullSafe(F.col("_source")))
-    u = point(F.lit(seed), F.col("doc_id"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    placed = rows.join(steps, F.col("row.source").eqNullSafe(F.col("_source")))
+    u = point(F.lit(seed), F.col("row.doc_id"))
     counted = placed.withColumn("n_copies", F.when(F.col("rate") > 0, F.size(F.filter("steps", lambda c: c <= u))).otherwise(0))
     copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    return copies.select(*docs.columns, "copy", "n_copies", point(F.lit(seed + 1), F.col("doc_id"), F.col("copy")).alias("place"))
+    return copies.select("row", "copy", "n_copies", point(F.lit(seed + 1), F.col("row.doc_id"), F.col("copy")).alias("place"))
 
 
 def shuffle(copies: DataFrame) -> DataFrame:
-    """Copies in the order of ``place`` over all partitions (a range partitioning and a sort inside)."""
-    return copies.orderBy("place", "doc_id", "copy")
+    """Copies, with all that they hold, in the order of ``place`` over all partitions (a range partitioning and a sort inside)."""
+    return copies.orderBy("place", "row.doc_id", "copy")
 
 
 def mix(docs: DataFrame, targets: DataFrame | None = None, **how) -> DataFrame:
-    """The replicated and shuffled documents with the columns of ``docs`` alone.
-
-    Columns named copy, n_copies, place, rate or steps in ``docs`` would clash: they are kept under their own names.
-    """
-    needed = docs.select("doc_id", "text", "source", F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
-    return shuffle(replicate(needed, targets, **how)).select("_row.*")
+    """The replicated and shuffled documents with the columns of ``docs`` alone."""
+    return shuffle(replicate(docs, targets, **how)).select("row.*")
 
 
 ORACLE = f"""
@@ -96,10 +93,10 @@ logs AS (
   SELECT source, rate, k, sum(CASE WHEN k = 0 THEN -rate ELSE ln(rate) - ln(greatest(k, 1)) END) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS log_p
   FROM each WHERE rate > 0),
 steps AS (SELECT source, k, sum(exp(log_p)) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS cdf FROM logs),
-points AS (SELECT doc_id, source, ('0x' || substr(md5('{SEED}|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
-counted AS (SELECT p.doc_id, p.source, count(*) AS n_copies FROM points p JOIN steps s ON p.source IS NOT DISTINCT FROM s.source AND s.cdf <= p.u GROUP BY p.doc_id, p.source),
-copies AS (SELECT doc_id, source, n_copies, unnest(generate_series(1, n_copies)) AS copy FROM counted)
-SELECT doc_id, source, CAST(copy AS INT) AS copy, CAST(n_copies AS INT) AS n_copies,
+points AS (SELECT doc_id, source, text, ('0x' || substr(md5('{SEED}|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+counted AS (SELECT p.doc_id, p.source, p.text, count(*) AS n_copies FROM points p JOIN steps s ON p.source IS NOT DISTINCT FROM s.source AND s.cdf <= p.u GROUP BY p.doc_id, p.source, p.text),
+copies AS (SELECT doc_id, source, text, n_copies, unnest(generate_series(1, n_copies)) AS copy FROM counted)
+SELECT doc_id, source, text, CAST(copy AS INT) AS copy, CAST(n_copies AS INT) AS n_copies,
   round(('0x' || substr(md5('{SEED + 1}|' || doc_id || '|' || copy), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE, 12) AS place
 FROM copies
 """

@@ -21,7 +21,7 @@ BOILERPLATE = (
 )
 #: What may end a sentence, and what may close after it.
 ENDS, CLOSERS = ".!?…。！？:;", "\"'”’»)]"
-LETTER = regex.compile(r"\p{L}")
+LETTER, CAPITAL = regex.compile(r"\p{L}"), regex.compile(r"\p{Lu}")
 
 
 @dataclass(frozen=True)
@@ -37,10 +37,13 @@ class Rules:
     most_repeat_pct: int = 50
 
 
+def n_words(line: str) -> int:
+    return len(line.encode("utf-8", "replace").split())  # bytes split at \x20 and \x09-\x0D alone
+
+
 def line_fails(line: str, rules: Rules = Rules(), last: bool = False) -> str | None:
     """The first rule that a line fails, or None.  A line without a word passes (it holds no text)."""
-    words = line.split()
-    n = len(words)
+    n = n_words(line)
     if not n:
         return None
     marks = sum(map(line.count, SYMBOLS))
@@ -55,7 +58,7 @@ def line_fails(line: str, rules: Rules = Rules(), last: bool = False) -> str | N
         low = line.lower()
         if any(x in low for x in BOILERPLATE):
             return "boilerplate"
-        if n >= 3 and not last and line.rstrip().rstrip(CLOSERS)[-1:] not in ENDS and not line[:1].isupper():
+        if n >= 3 and not last and line.rstrip(WHITE).rstrip(CLOSERS)[-1:] not in ENDS and not CAPITAL.match(line):
             return "no sentence"
     return None
 
@@ -89,7 +92,7 @@ def judge(doc_id: int, text: str | None, rules: Rules) -> tuple:
     for k, line in enumerate(lines):
         if line_fails(line, rules, k == len(lines) - 1):
             failed += 1
-            lost += len(line.encode("utf-8", "replace").split())
+            lost += n_words(line)
         else:
             kept.append(line)
     keep = not failed_base and lost <= rules.max_loss * n
@@ -131,7 +134,7 @@ split AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(
 marked AS (SELECT *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS marks, (length(line) - length(replace(line, '!!', ''))) / 2 AS shouts FROM split),
 judged AS (SELECT *, n > 0 AND (marks > 0.3 * n AND marks >= 3 OR n >= 3 AND shouts > 0.8 * n OR n < 12 AND (NOT regexp_matches(line, '\p{{L}}')
   OR len(list_filter({_sql_list(BOILERPLATE)}, lambda b: contains(lower(line), b))) > 0
-  OR n >= 3 AND k < n_lines - 1 AND NOT regexp_matches(line, '[.!?…。！？:;]["''”’»)\]]*\s*$') AND NOT regexp_matches(line, '^\p{{Lu}}'))) AS fails FROM marked),
+  OR n >= 3 AND k < n_lines - 1 AND NOT regexp_matches(line, '[.!?…。！？:;]["''”’»)\]]*[\x20\x09-\x0D]*$') AND NOT regexp_matches(line, '^\p{{Lu}}'))) AS fails FROM marked),
 l AS (SELECT doc_id, count(line) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines, count(*) FILTER (fails) AS n_failed_lines, coalesce(sum(n) FILTER (fails), 0) AS n_lost_words FROM judged GROUP BY doc_id),
 a AS (SELECT d.doc_id, coalesce(n.n_words, 0) AS n_words, coalesce(n.word_chars, 0) AS word_chars, length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, l.n_dup_lines, coalesce(r.n_repeat_words, 0) AS n_repeat_words, l.n_failed_lines, l.n_lost_words
   FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id))

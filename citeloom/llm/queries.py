@@ -24,7 +24,7 @@ def op2_html_text_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = mixing.replicate(table(spark, sf_dir, "documents"))
-    return mixing.shuffle(copies).select("doc_id", "source", "copy", "n_copies", F.round("place", 12).alias("place"))
+    return mixing.shuffle(copies).select("row.doc_id", "row.source", "copy", "n_copies", F.round("place", 12).alias("place"), "row.text")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op6_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(spark, table(spark, sf_dir, "documents"))
+    return line_dedup.report(spark, table(spark, sf_dir, "documents")).drop("text")  # the cleaned text is the operator's; a digest needs no texts moved
 
 
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

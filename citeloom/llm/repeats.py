@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from . import common
 
 SPAN, GRAM, CROWD = 200, 64, 2_000
-#: Bytes that are hashed at a time: documents are taken whole, up to about so many together.
+#: Bytes that are hashed at a time: short documents together, a longer one in overlapping parts.
 CHUNK = 1 << 20
 #: Up to so many documents' ranges are broadcast to the texts; beyond, both are shuffled.
 FEW = 300_000
 FACTOR = 0x9E3779B97F4A7C15 | 1
+#: The bits of a hash that rank a string; a string's place breaks ties in the others.
+HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -69,10 +71,8 @@ def segments(texts: list[bytes], span: int = SPAN, gram: int = GRAM) -> tuple[np
     up, down = powers(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
     count = len(data) - gram + 1
-    place_bits = np.uint64(max(1, int(len(data)).bit_length()))
-    place = np.arange(count, dtype=np.uint64)
-    order = (mixed((sums[gram:] - sums[:count]) * down[:count]) >> place_bits << place_bits) | place
-    least = sliding_least(order, span - gram + 1) & ((np.uint64(1) << place_bits) - np.uint64(1))
+    order = (mixed((sums[gram:] - sums[:count]) * down[:count]) & HIGH) | np.arange(count, dtype=np.uint64)
+    least = sliding_least(order, span - gram + 1) & ~HIGH
     owner = np.repeat(np.arange(len(texts)), windows)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + starts[owner]
     anchor = least[at].astype(np.int64)
@@ -93,30 +93,32 @@ def bytes_of(text: str | None) -> bytes:
 def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashed = xxhash.xxh3_64_intdigest
 
-    def flush(ids: list, texts: list[bytes]) -> pa.RecordBatch:
+    def flush(ids: list, bases: list[int], texts: list[bytes]) -> pa.RecordBatch:
         who, lo, hi, anchor = segments(texts)
+        base = np.array(bases, np.int64)[who]
         keys, whole = np.zeros(len(who), np.uint64), np.zeros(len(who), np.uint64)
         for k, (w, a, b, p) in enumerate(zip(who.tolist(), lo.tolist(), hi.tolist(), anchor.tolist())):
             t = texts[w]
             keys[k], whole[k] = hashed(t[p : p + GRAM]), hashed(t[a : b + SPAN], (p - a) & 0xFFFF)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()).take(pa.array(who)), *(pa.array(x.astype(np.int32)) for x in (lo, hi, anchor)), pa.array(keys.view(np.int64)), pa.array(whole.view(np.int64))],
+            [pa.array(ids, pa.int64()).take(pa.array(who)), *(pa.array((x + base).astype(np.int32)) for x in (lo, hi, anchor)), pa.array(keys.view(np.int64)), pa.array(whole.view(np.int64))],
             ["doc_id", "lo", "hi", "anchor", "key", "seg"],
         )
 
-    ids, texts, size = [], [], 0
+    ids, bases, texts, size = [], [], [], 0
     for batch in batches:
         for i, t in zip(batch.column(0), batch.column(1)):
             raw = bytes_of(t.as_py())
-            if len(raw) >= SPAN:
+            for base in range(0, len(raw) - SPAN + 1, CHUNK):  # a long text in parts, each with the windows that start in it
                 ids.append(i.as_py())
-                texts.append(raw)
-                size += len(raw)
+                bases.append(base)
+                texts.append(raw[base : base + CHUNK + SPAN - 1])
+                size += len(texts[-1])
                 if size >= CHUNK:
-                    yield flush(ids, texts)
-                    ids, texts, size = [], [], 0
+                    yield flush(ids, bases, texts)
+                    ids, bases, texts, size = [], [], [], 0
     if ids:
-        yield flush(ids, texts)
+        yield flush(ids, bases, texts)
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -229,7 +231,8 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kinds = scratch.save(shared.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "lo", "hi", "anchor")).alias("one")))
     copied = kinds.where("n > 1").select("key", "seg")
     whole = shared.join(copied, ["key", "seg"], "left_semi").select("doc_id", F.col("lo").alias("a"), (F.col("hi") + SPAN).alias("b"))
-    mixed_keys = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    # a written table: joined with it, a key with many kinds is a shuffle partition that Spark can split
+    mixed_keys = scratch.save(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     meeting = kinds.join(mixed_keys, "key").select("one.doc_id", F.struct("key", "one.lo", "one.hi", "one.anchor", "kinds").alias("part"))
     asked = meeting.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))  # a document's own segments: bounded by its text
     contexts = scratch.save(texts.join(asked, "doc_id").select("doc_id", "text", "parts").mapInArrow(_contexts, "key long, back binary, front binary, doc_id long, anchor int, lo int, hi int, kinds long"))

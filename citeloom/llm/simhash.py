@@ -28,6 +28,8 @@ from .components import components
 RADIUS = 4
 #: Broadcast up to so many groups; beyond, Spark joins by shuffle.
 FEW = 500_000
+#: Buckets of more fingerprints are cut further.
+CROWD = 1_000
 #: Fixed value: generator polynomial of the (23, 12) Golay code.
 GOLAY = 0b110001110101
 #: First bit and width of each segment.
@@ -111,9 +113,22 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bucket_links(ids: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[list, list]:
     """Links that join each set of a bucket's fingerprints within reach (steps of ``radius``) of one another.
 
-    A search outwards from each fingerprint, against those not reached yet: n - 1 links at most, not all pairs.
+    A search outwards from each fingerprint, against those not reached yet: n - 1 links at most, not all pairs.  Large
+    buckets are cut into smaller ones first.
     """
     us, vs, rest = [], [], np.arange(len(ids))
+    if len(ids) > CROWD:
+        vary = np.bitwise_or.reduce(prints) ^ np.bitwise_and.reduce(prints)
+        bits = np.flatnonzero(np.unpackbits(np.array([vary]).view(np.uint8), bitorder="little"))
+        if len(bits) > radius + 1:  # those within the radius agree on one of radius + 1 parts of the bits that vary
+            for part in np.array_split(bits, radius + 1):
+                value = prints & np.bitwise_or.reduce(np.uint64(1) << part.astype(np.uint64))
+                order = np.argsort(value, kind="stable")
+                for same in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+                    if len(same) > 1:
+                        u, v = bucket_links(ids[same], prints[same], radius)
+                        us, vs = us + u, vs + v
+            return us, vs
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):

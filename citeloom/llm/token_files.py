@@ -3,8 +3,8 @@
 The file format is a folder of two Parquet datasets, so that any store that Spark reads and writes will do:
 
 ``codebook``  id, bits: the code length of every id that occurs.  Codes are canonical: by (bits, id), counting up.
-``blocks``    part, block, doc_ids, lengths, payload, checkpoints: some documents in ascending doc_id order, their
-              numbers of ids, the bit stream (first bit of a code first, most significant bit of a byte first; each
+``blocks``    part, block, before, doc_ids, lengths, payload, checkpoints: the ids of the part before this block, some
+              documents in ascending doc_id order, their numbers of ids, the bit stream (first bit of a code first, most significant bit of a byte first; each
               document from a whole byte on) and the bit offset of every ``STRIDE``-th id of each document, where a
               decoder may start.
 ``parts``     part, n_tokens: how many ids each part holds; parts follow one another in doc_id order.
@@ -12,20 +12,23 @@ The file format is a folder of two Parquet datasets, so that any store that Spar
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-END, MOST_BITS, STRIDE, BLOCK_TOKENS, CACHE = 2, 20, 128, 1 << 18, 800_000  #: end id, longest code, ids a checkpoint, ids a block, pieces a worker remembers
+#: End id, longest code, ids a checkpoint, ids a block, pieces a worker remembers, new pieces encoded at a time.
+END, MOST_BITS, STRIDE, BLOCK_TOKENS, CACHE, TOGETHER = 2, 20, 128, 1 << 18, 800_000, 4_000
 
 
 def code_lengths(counts: dict[int, int], most: int = MOST_BITS) -> dict[int, int]:
@@ -110,7 +113,7 @@ class Codebook:
         return out[np.arange(STRIDE) < left[:, None]]
 
 
-#: What the encoder of ``Words`` may be taken to treat letter by letter: ASCII, and Latin letters that lower-case to one letter.
+#: Words of these letters alone are lower-cased letter by letter, and normal form C leaves them as they are: Latin ones.
 PLAIN = regex.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0132-\u0148\u014A-\u0178]+")
 
 
@@ -121,152 +124,206 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(others)) for b in range(256)]
 
 
+class Store:
+    """Runs of ids by number."""
+
+    def __init__(self, kind: type):
+        self.number: dict[str, int] = {}
+        self.starts, self.sizes, self.used, self.ids = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), 0, np.zeros(1 << 14, kind)
+
+    def add(self, names: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, k = len(self.number), self.used
+        while n + len(names) > len(self.starts):
+            self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        while k + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[k : k + len(ids)] = ids
+        self.sizes[n : n + len(names)], self.starts[n : n + len(names)] = sizes, k + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.number.update(zip(names, range(n, n + len(names))))
+
+    def find(self, names: list[str]) -> np.ndarray:
+        """Numbers, -1 where unknown."""
+        return np.fromiter(map(self.number.get, names, itertools.repeat(-1)), np.int64, len(names))
+
+    def runs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all runs one after another, ends of the runs with 0 in front)."""
+        sizes = self.sizes[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[np.arange(ends[-1], dtype=np.int32) + np.repeat(self.starts[numbers] - ends[:-1].astype(np.int32), sizes)], ends
+
+
 class Words:
     """Ids of texts by an encoder of the tokenizers library.
 
-    The encoder's ids of a text are those of its pieces between ASCII white space, and those of a piece are those of its
-    pre-tokens (runs of letters and so on), in order; so pieces and pre-tokens are encoded once and then looked up.
-    What comes after a store is full is encoded again whenever it is met.  Pieces that aren't ``PLAIN`` go to the encoder
-    as they are, and so do all pieces where it doesn't lower-case and split by a pattern.
+    Where an encoder drops white space (which is tried out on a few strings), its ids of a text are those of its pieces
+    between ASCII white space, in order.  So Arrow cuts and numbers the pieces of a batch, only pieces not met before go
+    to the library, many at a time, and numpy puts the ids of all pieces in place.  Where it lower-cases and then takes
+    what matches a pattern, pieces of ``PLAIN`` letters share their matches ("units"), which go to the library's model.
+    What is kept is bounded: a full store starts anew.  Any other encoder gets whole texts.
     """
 
     def __init__(self, path: str, room: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.encoder, self.room, self.pieces, self.units = Tokenizer.from_file(path), room, {}, {}
+        self.encoder, self.room = Tokenizer.from_file(path), room
+        self.kind = cell_type(self.encoder.get_vocab_size())
+        plain = lambda t: self.encoder.encode(t, add_special_tokens=False).ids
+        self.by_piece = all(plain(t) == [i for w in t.split() for i in plain(w)] for t in (" a", "a b", "a  b\n", "A. b!\tC's 12", "\x0b\xe9 e\u0301 "))
         with open(path, encoding="utf-8") as f:
             plan = json.load(f)
         kinds = [x["type"] for x in (plan.get("normalizer") or {}).get("normalizers", [])]
         splits = [x for x in (plan.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
         known = kinds == ["NFC", "Replace", "Lowercase"] and len(splits) == 1 and splits[0]["invert"] and splits[0]["behavior"] == "Removed"
-        self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall if known else None
+        self.split = regex.compile(splits[0]["pattern"]["Regex"] + "|\n").findall if known else None
         self.special = [x["content"] for x in plan.get("added_tokens", [])]
         self.letters, self.model = byte_letters(), self.encoder.model
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint16).tobytes() for e in self.encoder.encode_batch(words, add_special_tokens=False)]  # numpy refuses ids of over 16 bits
-
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        """Of pre-tokens: past the library's normalizer and pre-tokenizer, by its model alone."""
-        letters, tokenize = self.letters, self.model.tokenize
-        return [np.array([t.id for t in tokenize("".join([letters[b] for b in u.encode()]))], np.uint16).tobytes() for u in units]
-
-    def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        found, parts, whole = {}, {}, []
-        for p in pieces:
-            word = p.decode()
-            if self.split and PLAIN.fullmatch(word) and not any(x in word for x in self.special):
-                parts[p] = self.split(word.lower())
-            else:
-                whole.append(p)
-        units = self.units
-        new = list({u for x in parts.values() for u in x if u not in units})
-        fresh = dict(zip(new, self.encode_units(new)))
-        if len(units) < self.room:
-            units.update(fresh)
-        for p, x in parts.items():
-            found[p] = b"".join([fresh[u] if u in fresh else units[u] for u in x])
-        found.update(zip(whole, self.encode([p.decode() for p in whole])))
-        return found
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text and the end id, in 16-bit cells."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        known = self.pieces
-        new = {p for pieces in split for p in pieces}.difference(known)
-        fresh = self.learn(list(new))
-        if len(known) < self.room:
-            known.update(fresh)
-            get = known.__getitem__
-        else:
-            get = lambda p: known[p] if p in known else fresh[p]
-        tail = np.array([END], np.uint16).tobytes()
-        return [b"".join([*map(get, pieces), tail]) for pieces in split]
+        self.pieces, self.units = Store(self.kind), Store(self.kind)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Numbers new pieces: first those that are plain, then the others."""
+        plain = [p for p in pieces if (p.isascii() and p.isprintable() or PLAIN.fullmatch(p)) and not any(map(p.__contains__, self.special))] if self.split else []
+        if plain:
+            found = self.split("\n".join(plain).lower())
+            inner = [u for u in found if u != "\n"]
+            fresh = [u for u in dict.fromkeys(inner) if u not in self.units.number]
+            letters, tokenize = self.letters, self.model.tokenize
+            made = [[t.id for t in tokenize("".join([letters[b] for b in u.encode()]))] for u in fresh]
+            self.units.add(fresh, np.fromiter(map(len, made), np.int64, len(made)), np.fromiter(itertools.chain.from_iterable(made), np.int64))
+            ids, ends = self.units.runs(self.units.find(inner))
+            breaks = np.fromiter((u == "\n" for u in found), bool, len(found))
+            last = np.append(np.cumsum(~breaks)[breaks], len(inner))  # units up to the end of each piece
+            self.pieces.add(plain, np.diff(ends[last], prepend=0), ids)
+        done = self.pieces.number
+        others = [p for p in pieces if p not in done]
+        for a in range(0, len(others), TOGETHER):  # as one text, whose offsets tell the pieces apart
+            part = others[a : a + TOGETHER]
+            made = self.encoder.encode(" ".join(part), add_special_tokens=False)
+            first = np.concatenate([[0], np.cumsum([len(p) + 1 for p in part])])
+            at = np.fromiter((x for x, _ in made.offsets), np.int64, len(made.ids))
+            self.pieces.add(part, np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(part)), np.array(made.ids, self.kind))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id, one after another; their numbers of ids)."""
+        texts = texts.fill_null("")
+        if not self.by_piece:
+            rows = [[*e.ids, END] for e in self.encoder.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for r in rows for i in r], self.kind), np.array([len(r) for r in rows], np.int64)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if max(len(self.pieces.number), len(self.units.number)) > self.room:
+            self.pieces, self.units = Store(self.kind), Store(self.kind)
+        number = self.pieces.find(names)
+        if (new := np.flatnonzero(number < 0)).size:
+            fresh = [names[k] for k in new.tolist()]
+            self.learn(fresh)
+            number[new] = self.pieces.find(fresh)
+        ids, ends = self.pieces.runs(number[coded.indices.to_numpy()])
+        counts = np.diff(ends[split.offsets.to_numpy() - split.offsets[0].as_py()])
+        out = np.full(len(ids) + len(counts), END, self.kind)
+        out[np.arange(len(ids), dtype=np.int32) + np.repeat(np.arange(len(counts), dtype=np.int32), counts)] = ids
+        return out, counts + 1
+
+
+def cell_type(vocabulary: int) -> type:
+    return np.uint16 if vocabulary <= 1 << 16 else np.uint32
+
+
+def cells(batch: pa.RecordBatch, column: int, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in batch.column(column).to_pylist()]
+
+
+TOKENS = "doc_id long, ids binary, counts binary"
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids binary: little-endian 16-bit cells), the end id last.  Null text: the end id alone."""
+    """(doc_id, ids, counts): ids of a document in little-endian cells, the end id last.  Null text: the end id alone.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tokenizers
+    A task's last row has ids null, and in ``counts`` how often the task has met each id (64-bit cells).
+    """
 
-        kept = vars(tokenizers).setdefault("_citeloom_words", {})  # a worker process keeps its stores for its next task
-        words = kept.get(path) or kept.setdefault(path, Words(path))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = common.worker_state()  # a worker process keeps its store for its next task
+        words = state.get(path) or state.setdefault(path, Words(path))
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(words(part.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                ids, sizes = words(part.column(1))
+                seen = np.bincount(ids, minlength=len(total))
+                seen[: len(total)] += total
+                total = seen
+                offsets = np.concatenate([[0], np.cumsum(sizes * ids.itemsize)])
+                made = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), made.cast(pa.binary()), pa.nulls(len(sizes), pa.binary())], ["doc_id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, ids binary")
+    return common.texts(docs).mapInArrow(run, TOKENS)
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
-    """(id, n) over all documents; a task sends one row for each id it has seen."""
+    """(id, n) over all documents, from the tasks' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                total += np.bincount(np.frombuffer(b"".join(batch.column(0).slice(a, 1024).to_pylist()), np.uint16), minlength=1 << 16)
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total[ids])], ["id", "n"])
+            for n in cells(batch, 0, np.int64):
+                ids = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(n[ids])], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("counts").where("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-BLOCKS = "part int, block int, doc_ids array<long>, lengths array<long>, payload binary, checkpoints array<long>"
+BLOCKS = "part int, block int, before long, doc_ids array<long>, lengths array<long>, payload binary, checkpoints array<long>"
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str, folder: str, parts: int | None = None) -> None:
     """Encodes every text of ``docs`` (doc_id, text) and writes the files to ``folder``, in ascending doc_id order.
 
-    Rows of one doc_id (or null, which comes first) stand in the order of their bits.  The driver gets one count
-    for each id of the vocabulary, never documents.
+    Rows of one doc_id (or null, which comes first) stand in the order of their ids' bytes.  Texts are tokenized once
+    and shuffled once, as ids; each part then encodes its own.  The driver gets one count for each id of the vocabulary,
+    never documents.
     """
+    from tokenizers import Tokenizer
+
     scratch = common.Scratch(spark, "tokens")
+    kind = cell_type(Tokenizer.from_file(path).get_vocab_size())
     tokens = scratch.save(tokenize(docs, path))
     counts = {int(r.id): int(r.n) for r in id_counts(tokens).collect()}
     lengths = code_lengths(counts)
     spark.createDataFrame([(int(i), int(b)) for i, b in sorted(lengths.items())], "id long, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
     shared = common.share(spark, Codebook(lengths))
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = shared()
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                cells = [np.frombuffer(x, np.uint16).astype(np.int64) for x in part.column(1).to_pylist()]
-                done = [book.encode(x) for x in cells]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in done], pa.binary()), pa.array([len(x) for x in cells], pa.int64()), pa.array([m.tolist() for _, m in done], pa.list_(pa.int64()))], ["doc_id", "bits", "n", "marks"])
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, size = TaskContext.get().partitionId(), 0, 0
+        part, block, before, size, book = TaskContext.get().partitionId(), 0, 0, 0, shared()
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
             starts = np.cumsum([0, *(8 * len(r[1]) for r in rows)])
-            marks = np.concatenate([np.array(r[3], np.int64) + a for r, a in zip(rows, starts)])
-            made = [part], [block], [[r[0] for r in rows]], [[r[2] for r in rows]], [b"".join(r[1] for r in rows)], [marks]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())))], ["part", "block", "doc_ids", "lengths", "payload", "checkpoints"])
+            marks = np.concatenate([r[3] + a for r, a in zip(rows, starts)])
+            made = [part], [block], [before], [[r[0] for r in rows]], [[r[2] for r in rows]], [b"".join(r[1] for r in rows)], [marks]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, kinds)], ["part", "block", "before", "doc_ids", "lengths", "payload", "checkpoints"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.append(row)
-                size += row[2]
-                if size >= BLOCK_TOKENS:
-                    yield flush()
-                    block, size, rows = block + 1, 0, []
+            for a in range(0, batch.num_rows, 512):
+                some = batch.slice(a, 512)
+                for doc_id, ids in zip(some.column(0).to_pylist(), cells(some, 1, kind)):
+                    bits, marks = book.encode(ids)
+                    rows.append((doc_id, bits, len(ids), marks))
+                    size += len(ids)
+                    if size >= BLOCK_TOKENS:
+                        yield flush()
+                        block, before, size, rows = block + 1, before + size, 0, []
         if rows:
             yield flush()
 
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     first = F.col("doc_id").asc_nulls_first()
-    squeezed = scratch.save(tokens.mapInArrow(squeeze, "doc_id long, bits binary, n long, marks array<long>"))
-    scratch.drop(tokens)
-    ordered = squeezed.repartitionByRange(n, first).sortWithinPartitions(first, "bits")
+    ordered = tokens.where("ids is not null").select("doc_id", "ids").repartitionByRange(n, first).sortWithinPartitions(first, "ids")
     ordered.mapInArrow(pack, BLOCKS).write.parquet(f"{folder}/blocks")
-    scratch.drop(squeezed)
+    scratch.drop(tokens)
     spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("n_tokens")).coalesce(1).write.parquet(f"{folder}/parts")
 
 
@@ -274,7 +331,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, cells binary: little-endian 32-bit ids) of the documents of a folder, decoded block by block.
 
     start: the ids of all documents before it.  The driver gets the code lengths and the totals of the parts (their
-    number is set when writing); totals of blocks are summed within their part.
+    number is set when writing).  A block is decoded where it is read: no shuffle.
     """
     lengths = {int(r.id): int(r.bits) for r in spark.read.parquet(f"{folder}/codebook").collect()}
     shared = common.share(spark, Codebook(lengths))
@@ -282,17 +339,14 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     for part, n in sorted(tuple(r) for r in spark.read.parquet(f"{folder}/parts").select("part", "n_tokens").collect()):
         before[part] = total
         total += n
-    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    in_block = F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")
-    offsets = blocks.select("part", "block", in_block.alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = blocks.join(offsets.select("part", "block", F.coalesce("before", F.lit(0)).alias("before")), ["part", "block"])
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").select("part", "before", "doc_ids", "lengths", "payload", "checkpoints")
     starts = spark.sparkContext.broadcast(before)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = shared()
         for batch in batches:
             for row in range(batch.num_rows):
-                x = {c: batch.column(k)[row].as_py() for k, c in enumerate(("part", "block", "doc_ids", "lengths", "payload", "checkpoints", "before"))}
+                x = {c: batch.column(k)[row].as_py() for k, c in enumerate(("part", "before", "doc_ids", "lengths", "payload", "checkpoints"))}
                 sizes = np.array(x["lengths"], np.int64)
                 ids = book.decode(x["payload"], np.array(x["checkpoints"], np.int64), sizes)
                 ends = np.cumsum(sizes)
@@ -301,5 +355,5 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "cells"],
                 )
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, cells binary")
+    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, cells binary")
 

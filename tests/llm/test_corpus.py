@@ -66,6 +66,17 @@ def test_golay_keys_meet():
     assert all(keys[0][k] & keys[1][k] for k in range(300))
 
 
+def test_bucket_links(monkeypatch):
+    rng = np.random.default_rng(4)
+    prints = np.unique(np.concatenate([rng.integers(0, 1 << 20, 300, dtype=np.uint64), np.uint64(1 << 40) + rng.integers(0, 1 << 12, 200, dtype=np.uint64), np.arange(60, dtype=np.uint64)]))
+    ids = np.arange(len(prints))
+    near = [(a, b) for a in ids for b in ids[:a] if (int(prints[a]) ^ int(prints[b])).bit_count() <= 4]
+    for crowd in (1_000, 20):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        found = list(zip(*simhash.bucket_links(ids, prints)))
+        assert groups_of(ids, found) == groups_of(ids, near)
+
+
 def test_simhash_groups(spark):
     base = [text(60) for _ in range(12)]
     rows = [(k, R.choice(base) + (" tail" if k % 5 == 0 else "")) for k in range(80)] + [(i, t) for i, t in ODD if i is not None for i in [i + 1000]]
@@ -118,6 +129,15 @@ def test_repeats_odd_rows(spark):
     assert repeats.remove_repeats(spark, docs_frame(spark, ODD).limit(0)).count() == 0
 
 
+def test_repeats_in_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 1_000)
+    shared = text(300)
+    rows = [(1, text(500) + " " + shared + " " + text(700)), (2, shared[3:] + text(200) + shared[:400]), (3, text(2000)), (4, "q " * 2500)]
+    want = removed([(i, t.encode()) for i, t in rows], 200)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(spark, docs_frame(spark, rows)).collect()}
+    assert got == want and want[3][1] == 0
+
+
 def test_interval_tree():
     words = sorted([b"banana", b"bandana", b"ban", b"can", b"candle", b"x"])
     tree = {(words[a : b + 1][0], b - a + 1, n) for a, b, n in repeats.interval_tree(words)}
@@ -137,7 +157,7 @@ def distance(a, b):
 
 @pytest.mark.parametrize("tau", [1, 2])
 def test_line_links(spark, tau):
-    base = ["".join(R.choice("abcdé ") for _ in range(R.randint(14, 40))) for _ in range(25)]
+    base = ["".join(R.choice("abcdé ") for _ in range(R.randint(6, 40))) for _ in range(40)] + ["".join(R.choice("abcdé ") for _ in range(n)) for n in (94, 97, 140)]
 
     def edited(s):
         s = list(s)
@@ -146,14 +166,17 @@ def test_line_links(spark, tau):
             s[p : p + R.randint(0, 1)] = R.choice(["", "a", "é", "d"])
         return "".join(s)
 
-    rows = [(k, "\n".join(edited(R.choice(base)) for _ in range(5))) for k in range(30)] + [(100, None), (101, ""), (102, "\n \n")]
+    short = ["Page one", "Page on", "page one", "a b", "a c", "abc", "Chapter three", "Chapter thre", "Chaptr three"]
+    rows = [(k, "\n".join([*(edited(R.choice(base)) for _ in range(5)), R.choice(short)])) for k in range(40)] + [(100, None), (101, ""), (102, "\n \n")]
     first = {}
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             if line.strip(" \t\r\x0b\x0c"):
                 first.setdefault(line.strip(" \t\r\x0b\x0c"), (i, k))
-    items = [x for x in first.items() if len(x[0]) >= 16]
-    want = {(*min(p, q), *max(p, q), d) for n, (a, p) in enumerate(items) for b, q in items[:n] if abs(len(a) - len(b)) <= tau and (d := distance(a, b)) <= tau}
+    items = list(first.items())
+    reach = lambda a, b: min(tau, min(len(a), len(b)) // 8)
+    want = {(*min(p, q), *max(p, q), d) for n, (a, p) in enumerate(items) for b, q in items[:n] if abs(len(a) - len(b)) <= reach(a, b) and (d := distance(a, b)) <= reach(a, b)}
+    assert {(first[a], first[b]) for a, b in (("Chapter three", "Chapter thre"), ("Chapter three", "Chaptr three")) if a in first and b in first} <= {(x[:2], x[2:4]) for x in want} | {(x[2:4], x[:2]) for x in want}
     assert want and {tuple(r) for r in line_dedup.links(spark, docs_frame(spark, rows), tau).collect()} == want
     report = {r.doc_id: r for r in line_dedup.report(spark, docs_frame(spark, rows), tau).collect()}
     assert len(report) == len(rows) and sum(r.n_first for r in report.values()) == len(first) and sum(r.n_links for r in report.values()) == 2 * len(want) and report[100].n_lines == 0
@@ -171,13 +194,28 @@ def test_line_report_of_copies(spark):
     assert sorted(got[9].text.split("\n")) == ["else", "short"] and got[12].text == "" and got[7].text is None and got[20].text == " \nz" and got[21].text == ""
 
 
-def shingles(t):
+def test_bit_parallel_distance(spark):
+    pairs = []
+    for k in range(600):
+        a = "".join(R.choice("abé𝄞") for _ in range(R.randint(0, 40)))
+        b = list(a)
+        for _ in range(R.randint(0, 5)):
+            p = R.randint(0, len(b))
+            b[p : p + R.randint(0, 1)] = R.choice(["", "a", "é", "x"])
+        pairs.append((k, a, "".join(b)))
+    df = spark.createDataFrame(pairs, "k int, text_a string, text_b string").withColumn("_a", line_dedup.letters("text_a"))
+    for tau in (1, 2, 3):
+        got = {r.k: r.d for r in df.select("k", line_dedup.bit_parallel_distance("text_a", "text_b", tau).alias("d")).collect()}
+        assert got == {k: d if (d := distance(a, b)) <= tau else -1 for k, a, b in pairs}
+
+
+def shingles(t, n=5):
     w = t.lower().split()
-    return [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    return [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
 
 
 def test_decontamination(spark):
-    items = [(k, text(R.randint(20, 50))) for k in range(15)] + [(90, "too short item"), (91, None), (92, "dup " * 30)]
+    items = [(k, text(R.randint(20, 50))) for k in range(15)] + [(90, "too Short item"), (91, None), (92, "dup " * 30), (93, " "), (94, "alone"), (95, "five words are in it"), (None, "no id")]
     rows = [(k, text(R.randint(5, 80))) for k in range(40)]
     for k, (_, t) in enumerate(items[:15]):
         words = t.split()
@@ -185,12 +223,15 @@ def test_decontamination(spark):
             words[len(words) // 2] = "edited"
         rows.append((100 + k, text(30) + " " + " ".join(words).upper() + " " + text(20)))
         rows.append((200 + k, " ".join(words[: len(words) // 2]) + " " + text(30)))
-    rows += [(300, "dup " * 40), (301, None), (302, ""), (303, items[0][1])]
+    rows += [(300, "dup " * 40), (301, None), (302, ""), (303, items[0][1]), (304, "this is a too short item here"), (305, "too short\nITEM"), (306, "too short"), (307, "alone"), (308, "five words are in it too"), (300, "dup " * 40), (300, items[2][1])]
     want = {}
     for i, t in rows:
-        s = shingles(t or "")
         for j, item in items:
-            c = Counter(shingles(item or ""))
+            width = min(5, len((item or "").split()))
+            if j is None or not width:
+                continue
+            s = shingles(t or "", width)
+            c = Counter(shingles(item or "", width))
             n = sum(c.values())
             for a in range(max(1, len(s) - n + 1) if n and s else 0):
                 w = Counter(s[a : a + n])
@@ -200,17 +241,58 @@ def test_decontamination(spark):
                     want[i, j] = (sim, a)
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontamination.matches(spark, docs_frame(spark, rows), b).collect()}
-    assert got == want and len(want) >= 10
+    assert got == want and len(want) >= 10 and {(304, 90), (305, 90), (307, 94), (308, 95), (300, 2)} <= set(want) and (306, 90) not in want
     clean = decontamination.clean(spark, docs_frame(spark, rows), b)
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in want} and clean.columns == docs_frame(spark, rows).columns
     assert decontamination.matches(spark, docs_frame(spark, rows), b.limit(0)).count() == 0 and decontamination.clean(spark, docs_frame(spark, ODD), b).count() == len(ODD)
 
 
+def test_decontamination_index(spark):
+    """The multi-index alone finds all fingerprints within the radius, and few others; the radius finds windows of similarity 0.8."""
+    rng = np.random.default_rng(8)
+    prints = rng.integers(-(1 << 63), 1 << 63, 40, dtype=np.int64)
+    rows = []
+    for k, p in enumerate(prints.tolist()):
+        for d in range(0, 24):
+            q = p
+            for b in rng.choice(64, d, replace=False).tolist():
+                q ^= (1 << b) - (1 << 64) * (b == 63)
+            rows.append((k, d, p, q))
+    D = decontamination
+    df = spark.createDataFrame(rows, "k int, d int, p long, q long")
+    hit = F.lit(False)
+    for b, (x, y) in enumerate(zip(D.blocks("p"), D.blocks("q"))):
+        hit = hit | F.array_contains(D.near_values(x, D.RADIUS // D.BLOCKS), y)
+    got = df.select("k", "d", hit.alias("hit"), F.size(F.array_distinct(D.near_values(D.blocks("p")[0], 3))).alias("n")).collect()
+    assert all(r.hit for r in got if r.d <= D.RADIUS) and got[0].n == 1 + 16 + 120 + 560
+    far = spark.range(20000).select(F.xxhash64("id").alias("p"), F.xxhash64("id", F.lit(1)).alias("q")).select(hit.alias("hit"))
+    assert far.where("hit").count() < 1200  # 4 blocks, 697 of 65,536 values each
+    found = total = 0
+    for _ in range(40):  # windows of exactly the wanted similarity: 41 of 46 shingles alike
+        item = [f"i{x}" for x in rng.integers(0, 10**6, 50)]
+        window = list(item)
+        window[int(rng.integers(8, 42))] = "other"
+        a, b = ([hash_of(w[k : k + 5]) for k in range(46)] for w in (item, window))
+        found += sum((print_of(a) >> c & 1) != (print_of(b) >> c & 1) for c in range(64)) <= D.RADIUS
+        total += 1
+    assert found >= 0.9 * total
+
+
+def hash_of(words):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(" ".join(words))
+
+
+def print_of(hashes):
+    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
 def test_mixing(spark):
     rows = [(k, "x" * (1 + k % 50)) for k in range(3000)]
     df = docs_frame(spark, rows)
     targets = spark.createDataFrame([("s0", 6.0), ("s1", 3.0), ("s2", 0.0), ("none", 4.0)], "source string, weight double")
-    out = mixing.replicate(df, targets).groupBy("source").agg(F.sum(F.length("text")).alias("n")).collect()
+    out = mixing.replicate(df, targets).select("row.*").groupBy("source").agg(F.sum(F.length("text")).alias("n")).collect()
     total = sum(len(t) for _, t in rows)
     amounts = {r.source: r.n for r in out}
     assert set(amounts) == {"s0", "s1"} and amounts["s0"] == pytest.approx(6 / 9 * total, rel=0.1) and amounts["s1"] == pytest.approx(3 / 9 * total, rel=0.1)
@@ -219,6 +301,17 @@ def test_mixing(spark):
     assert mixing.mix(docs_frame(spark, ODD)).count() >= 0 and mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_clashing_names(spark, tmp_path):
+    names = ("rate", "steps", "place", "copy", "n_copies", "row", "_source", "k")
+    df = docs_frame(spark, [(k, f"text {k}") for k in range(200)] + ODD).withColumns({c: F.lit(f"own {c}") for c in names})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op3_mixing_poisson(spark, str(tmp_path)).collect()
+    plain = mixing.shuffle(mixing.replicate(docs_frame(spark, [(k, f"text {k}") for k in range(200)] + ODD))).collect()
+    assert sorted(((r.doc_id, r.copy, r.text) for r in got), key=repr) == sorted(((r.row.doc_id, r.copy, r.row.text) for r in plain), key=repr)
+    mixed = mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert mixed.columns == df.columns and {tuple(r[c] for c in names) for r in mixed.collect()} == {tuple(f"own {c}" for c in names)}
+
+
 def test_poisson_steps(spark):
     import math
 
@@ -252,18 +345,36 @@ def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    rows = [*[(i, t) for i, t in ODD if i is not None], (9, "Don't İstanbul ΣΑΣ <|endoftext|>x ŉ ſ 12,5% é"), (-3, "first of all"), *[(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id between 20 and 60").collect()]]
+    rows = [*ODD, (9, "Don't İstanbul ΣΑΣ <|endoftext|>x ŉ ſ 12,5% é"), (-3, "first of all"), *[(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id between 20 and 60").collect()]]
     token_files.write(spark, docs_frame(spark, rows), path, f"{tmp_path}/f", parts=3)
     got = token_files.read(spark, f"{tmp_path}/f").orderBy("start").collect()
     encoder, at = Tokenizer.from_file(path), 0
-    for r, (i, t) in zip(got, sorted(rows), strict=True):
+    for r, (i, t) in zip(got, sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
         ids = [*encoder.encode(t or "", add_special_tokens=False).ids, 2]
         assert (r.doc_id, r.start, r.n_tokens) == (i, at, len(ids)) and np.frombuffer(r.cells, "<u4").tolist() == ids
         at += len(ids)
+    assert spark.read.parquet(f"{tmp_path}/f/blocks").select("part").distinct().count() == 3
     token_files.write(spark, docs_frame(spark, rows).limit(0), path, f"{tmp_path}/e")
     assert token_files.read(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_words_equal_the_library(monkeypatch):
+    import pyarrow as pa
+
+    texts = [None, "", " ", "a\x1cb", "<|endoftext|>x <|startoftext|>", "x" * 5000]
+    parts = [*map(chr, range(33, 127)), *(chr(R.randint(0xA0, 0x3000)) for _ in range(400)), " ", "  \n", "'s", "'LL", "\u0301", "<|endoftext|>", "12"]
+    texts += ["".join(R.choice(parts) for _ in range(R.randint(1, 30))) for _ in range(1500)]
+    for name, room in (("word_bpe_49k.json", 1_000_000), ("word_bpe_49k.json", 50), ("byte_bpe_50k.json", 50)):
+        words = token_files.Words(public_tokenizers.path(name), room)
+        assert words.by_piece == name.startswith("word")
+        for some in (texts, texts[::-1], texts[:9]):
+            ids, sizes = words(pa.array(some, pa.string()))
+            ends = np.cumsum(sizes)
+            for t, a, b in zip(some, ends - sizes, ends):
+                assert ids[a:b].tolist() == [*words.encoder.encode(t or "", add_special_tokens=False).ids, 2]
+    assert token_files.cell_type(1 << 16) == np.uint16 and token_files.cell_type((1 << 16) + 1) == np.uint32
+
+
 def test_queries_cover_every_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op5_repeats_interval_tree", "op6_token_huffman", "op7_line_edit_join", "op8_simhash_golay"):

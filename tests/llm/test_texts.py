@@ -50,6 +50,20 @@ def test_quality_lines():
     assert quality_rules.line_fails("A plain sentence stands here.") is None and quality_rules.line_fails("  ") is None
 
 
+def test_quality_agrees_with_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "one\u00a0two three###\nHome\u00a0| News | x\n" + "Fine words stand here in a row. " * 20), (2, "ⅷ lines without end\nǅ title case here\nÉ capital here now\nx" + " word" * 60), (3, "a b c \v\nA. \u2003b\n" + "w1 w2. " * 40), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    out = con.execute(quality_rules.ORACLE)
+    names = [d[0] for d in out.description]
+    want = {r[0]: r for r in out.fetchall()}
+    got = quality_rules.clean_lines(spark.read.parquet(f"{tmp_path}/documents.parquet"), with_text=False).collect()
+    assert len(got) == 5 and all(tuple(r[c] for c in names) == want[r.doc_id] for r in got)
+
+
 def test_quality_odd_rows(spark):
     got = sorted(map(tuple, quality_rules.clean_lines(frame(spark)).collect()), key=repr)
     assert len(got) == len(ODD) and [r[1] for r in got if r[0] in (1, 2, 3)] == [0, 0, 0] and sum(r[0] == 4 for r in got) == 2
@@ -64,6 +78,45 @@ def test_html():
     assert html_text.main_text(page) == "Head & line\nFirst paragraph © with bold words in it.\nBe."
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
     assert html_text.main_text("just some text") == "just some text"
+    assert html_text.main_text("<p>E <math><mi>=</mi><mn>m</mn></math> x<br>y") == "E =m x y"  # math is text, br white space
+
+
+HEAD = "<ul><li><a href=/>Home</a></li><li><a href=/n>News of the day</a></li><li><a href=/c>Contact</a></li></ul>"
+BODY = "<h1>A title for it</h1><p>The first paragraph of the article is long enough to look like prose, and goes on for a while.</p><p>Short one.</p><p>Another paragraph that has a good number of words, as articles have, until it ends here.</p>"
+TEXT = "A title for it\nThe first paragraph of the article is long enough to look like prose, and goes on for a while.\nShort one.\nAnother paragraph that has a good number of words, as articles have, until it ends here."
+FOOT = "<footer>&copy; 2020 somebody, all rights reserved in all the world</footer>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><nav>{HEAD}</nav><div id=x>{BODY}</div>{FOOT}",
+        f"<body><div>{HEAD}</div><div>{BODY}</div><div>{HEAD}</div>",  # nothing but ratios tells
+        f"<body><nav>{HEAD}</nav><div class='content has-sidebar'>{BODY}</div>{FOOT}",
+        f"<body class=no-sidebar><div class='layout-with-sidebar page nav-open'><nav>{HEAD}</nav>{BODY}</div>{FOOT}",
+        f"<body><form action=/><nav>{HEAD}</nav><div>{BODY}</div>{FOOT}</form>",
+        f"<body><div class=sidebar><nav>{HEAD}</nav><div>{BODY}</div></div>",
+        f"<body><nav>{HEAD}</nav>{BODY}{FOOT}",
+        f"<body><nav>{HEAD}</nav><article>{BODY}<div id=comments><p>I liked this article a lot, really a lot, and so will you all my friends out there.</p></div></article>{FOOT}",
+        f"<body><nav>{HEAD}</nav><div class=post>{BODY.replace('<p>', '<div>').replace('</p>', '</div>')}</div>{FOOT}",
+        f"<body><div class=ad>Buy a thing here and now because it is cheap.</div><main>{BODY}</main><aside><p>Related reading that is quite long and stands here to be read by nobody at all.</p></aside>{FOOT}",
+        f"<body>{'<div>' * 3000}{BODY}{'</div>' * 3000}",
+    ],
+)
+def test_html_without_article_tags(page):
+    assert html_text.main_text(page) == TEXT
+
+
+def test_html_ratio_decides(monkeypatch):
+    page = f"<body><div>{HEAD}</div><div>{BODY}</div><div>{HEAD}</div>"
+    monkeypatch.setattr(html_text, "smooth", lambda ratios, sigma: ratios * 0 + 1)
+    assert html_text.main_text(page) != TEXT
+
+
+def test_html_long_pages():
+    assert html_text.main_text("<p>" * 20000 + "a") == "a" and html_text.main_text("<b>" * 50000 + "a") == "a"
+    assert html_text.main_text("<p>" + "x " * 500000) == ("x " * 500000).strip()
+    assert html_text.main_text("<div>x" * 20000).count("x") > 0
 
 
 def test_html_pages(spark):
@@ -85,7 +138,7 @@ def test_html_odd_rows(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
-def test_suffix_automaton_parse():
+def test_suffix_automaton_parse(monkeypatch):
     model = language_id.Model({"aa": "abracadabra", "bb": "the cat sat on the mat"})
 
     def phrases(text, sample):
@@ -98,12 +151,18 @@ def test_suffix_automaton_parse():
         return n
 
     for text in ("abra cadabra", "the mat", "xyz", "catabra"):
-        coded = model.encode(text)
-        known = "".join(chr(c) for c in coded)
-        samples = ["".join(chr(c) for c in model.encode(s)) for s in ("abracadabra", "the cat sat on the mat")]
-        got = model.phrases([coded])[0].tolist()
-        for g, s in zip(got, samples):
-            assert g == phrases(known, s)
+        got = model.phrases([model.encode(text)])[0].tolist()
+        assert got == [phrases(text, s) for s in ("abracadabra", "the cat sat on the mat")]
+    letters = random.Random(1)
+    samples = {"aa": "".join(letters.choice("abc") for _ in range(400)), "ja": "".join(chr(0x4E00 + letters.randrange(3000)) for _ in range(4000)), "zh": "".join(chr(0x4E00 + 3000 + letters.randrange(3000)) for _ in range(4000))}
+    wide = language_id.Model(samples)
+    texts = ["".join(letters.choice(letters.choice(list(samples.values()))) for _ in range(letters.randrange(1, 900))) for _ in range(40)] + [samples["zh"][100:400] + "x" * 600, "q", "ab" * 700]
+    for block in (4, 64, 512):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        for text, got in zip(texts, wide.phrases([wide.encode(t) for t in texts]).tolist()):
+            assert got == [phrases(text, samples[lang]) for lang in wide.langs]
+    assert [x[0] for x in wide.predict([samples["zh"][50:90], samples["ja"][50:60]])] == ["zh", "ja"]
+    assert [x[0] for x in wide.predict(["½ ² ₃ ①", "\u0301", "1a"])] == ["und", "und", "aa"] and language_id.symbols("हिन्दी भाषा½X_y") == "हिन्दी भाषा x y"
     assert model.predict(["the cat", "123 !?", None, ""])[0][0] == "bb" and [x[0] for x in model.predict(["123 !?", None, ""])] == ["und"] * 3
 
 
@@ -154,6 +213,14 @@ def test_toxicity_odd_rows(spark):
     toxicity.fit(frame(spark).select("doc_id", "text").limit(0), labels.limit(0))
 
 
+@pytest.mark.parametrize("n", [1, 3, 4, 8, 20])
+@pytest.mark.filterwarnings("error")
+def test_nnpu_of_few_texts(n):
+    toxic = [f"awful word{k} text" for k in range(n)]
+    s = toxicity.Scorer(*toxicity.train(toxic, [f"fine text {k} word{k % 7}" for k in range(200)], n / (200 + n)), toxic)
+    assert s("fine text") < 0.3 and s("") < 0.3
+
+
 def test_nnpu_learns_planted_words():
     toxic = [f"word{k} filler{k % 7} awful" for k in range(60)]
     other = [f"word{k} filler{k % 5} fine" for k in range(300)] + toxic[:20]
