@@ -152,13 +152,16 @@ def near_texts(spark: SparkSession, docs: DataFrame, tau: int) -> DataFrame:
 
 def verified(pairs: DataFrame, tau: int) -> DataFrame:
     """The pairs (text_a, text_b) within reach, with their distance."""
-    allowed = edits(F.least(F.length("text_a"), F.length("text_b")), tau)
-    cut = pairs.withColumn("_allowed", allowed)
+    # generators of one row keep each step apart: as plain columns, a filter on the distance would be made of copies of all of them
+    once = lambda df, name, x: df.select("*", F.explode(F.array(x)).alias(name))
+    cut = pairs.withColumns({"_x": F.col("text_a"), "_y": F.col("text_b")})
     for turn in range(2):  # common beginnings go, then, of the reversed rest, common ends
-        cut = cut.withColumn("_n", shared_head(F.col("text_a"), F.col("text_b")))
-        cut = cut.withColumns({c: F.reverse(F.substring(F.col(c), F.col("_n") + 1, F.length(c))) for c in ("text_a", "text_b")})
-    cut = cut.withColumn("_a", letters("text_a"))
-    return cut.withColumn("distance", bit_parallel_distance("text_a", "text_b", tau)).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("_allowed"))).drop("_a", "_n", "_allowed")
+        cut = once(cut, "_n", shared_head(F.col("_x"), F.col("_y")))
+        rest = [F.reverse(F.substring(F.col(c), F.col("_n") + 1, F.length(c))).alias(c) for c in ("_x", "_y")]
+        cut = cut.select(*pairs.columns, F.inline(F.array(F.struct(*rest))))
+    cut = once(once(cut, "_a", letters("_x")), "distance", bit_parallel_distance("_x", "_y", tau))
+    allowed = edits(F.least(F.length("text_a"), F.length("text_b")), tau)
+    return cut.where((F.col("distance") >= 0) & (F.col("distance") <= allowed)).drop("_x", "_y", "_a")
 
 
 def links(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> DataFrame:
