@@ -179,22 +179,32 @@ class Words:
         self.split = regex.compile(splits[0]["pattern"]["Regex"] + "|\n").findall if known else None
         self.special = [x["content"] for x in plan.get("added_tokens", [])]
         self.letters, self.model = byte_letters(), self.encoder.model
+        self.forget()
+
+    def forget(self) -> None:
         self.pieces, self.units = Store(self.kind), Store(self.kind)
+        self.units.add(["\n"], np.zeros(1, np.int64), np.zeros(0, self.kind))  # number 0: what stands between pieces
 
     def learn(self, pieces: list[str]) -> None:
         """Numbers new pieces: first those that are plain, then the others."""
-        plain = [p for p in pieces if (p.isascii() and p.isprintable() or PLAIN.fullmatch(p)) and not any(map(p.__contains__, self.special))] if self.split else []
+        plain = [p for p in pieces if p.isascii() and p.isprintable() or PLAIN.fullmatch(p)] if self.split else []
+        whole = "\n".join(plain)
+        if any(map(whole.__contains__, self.special)):
+            plain = [p for p in plain if not any(map(p.__contains__, self.special))]
+            whole = "\n".join(plain)
         if plain:
-            found = self.split("\n".join(plain).lower())
-            inner = [u for u in found if u != "\n"]
-            fresh = [u for u in dict.fromkeys(inner) if u not in self.units.number]
-            letters, tokenize = self.letters, self.model.tokenize
-            made = [[t.id for t in tokenize("".join([letters[b] for b in u.encode()]))] for u in fresh]
-            self.units.add(fresh, np.fromiter(map(len, made), np.int64, len(made)), np.fromiter(itertools.chain.from_iterable(made), np.int64))
-            ids, ends = self.units.runs(self.units.find(inner))
-            breaks = np.fromiter((u == "\n" for u in found), bool, len(found))
-            last = np.append(np.cumsum(~breaks)[breaks], len(inner))  # units up to the end of each piece
-            self.pieces.add(plain, np.diff(ends[last], prepend=0), ids)
+            found = self.split(whole.lower())
+            number = self.units.find(found)
+            if (new := np.flatnonzero(number < 0)).size:
+                names = [found[k] for k in new.tolist()]
+                fresh = list(dict.fromkeys(names))
+                letters, tokenize = self.letters, self.model.tokenize
+                made = [[t.id for t in tokenize("".join([letters[b] for b in u.encode()]))] for u in fresh]
+                self.units.add(fresh, np.fromiter(map(len, made), np.int64, len(made)), np.fromiter(itertools.chain.from_iterable(made), np.int64))
+                number[new] = self.units.find(names)
+            ids, ends = self.units.runs(number)
+            last = np.append(ends[np.flatnonzero(number == 0)], len(ids))  # of each piece
+            self.pieces.add(plain, np.diff(last, prepend=0), ids)
         done = self.pieces.number
         others = [p for p in pieces if p not in done]
         for a in range(0, len(others), TOGETHER):  # as one text, whose offsets tell the pieces apart
@@ -212,9 +222,9 @@ class Words:
             return np.array([i for r in rows for i in r], self.kind), np.array([len(r) for r in rows], np.int64)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = strings(coded.dictionary)
         if max(len(self.pieces.number), len(self.units.number)) > self.room:
-            self.pieces, self.units = Store(self.kind), Store(self.kind)
+            self.forget()
         number = self.pieces.find(names)
         if (new := np.flatnonzero(number < 0)).size:
             fresh = [names[k] for k in new.tolist()]
@@ -227,6 +237,13 @@ class Words:
         return out, counts + 1
 
 
+def strings(pieces: pa.Array) -> list[str]:
+    """A list of strings without white space: joined by Arrow and split by Python, many times as fast as one by one."""
+    if not len(pieces):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), "\n")[0].as_py().split("\n")
+
+
 def cell_type(vocabulary: int) -> type:
     return np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
@@ -249,8 +266,8 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
         words = state.get(path) or state.setdefault(path, Words(path))
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
                 ids, sizes = words(part.column(1))
                 seen = np.bincount(ids, minlength=len(total))
                 seen[: len(total)] += total
