@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import types
@@ -24,10 +25,14 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see.  Only where the session names none (tests), a local one is set."""
+    """The folder all executors see.  Only a session on one machine (tests) may leave it unset and gets a local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "citeloom-checkpoints")
+        folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "citeloom-checkpoints")
     return folder.rstrip("/")
 
 

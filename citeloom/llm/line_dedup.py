@@ -22,9 +22,8 @@ from .components import components
 TAU, LETTERS_AN_EDIT = 2, 8
 #: Broadcast up to so many ids of lines to verify; beyond, Spark joins by shuffle.
 FEW = 500_000
-#: Sixteen letters, whose counts (modulo 4) make a line's signature; longer lines have the counts (modulo 256) of the
-#: first four, which tell as much there and cost less.  A bit marks the longer ones.
-LETTERS, FOUR, LONGER, MARK = "etanoirshdlcumgw", 4, 96, 1 << 40
+#: Sixteen letters, whose counts (modulo 4) make a line's signature.
+LETTERS = "etanoirshdlcumgw"
 BLANK = " \t\r\x0b\x0c"
 
 
@@ -63,21 +62,11 @@ def keys_of(heads: DataFrame, tau: int, probes: bool, name: str) -> DataFrame:
     return each.where(fits).select(F.xxhash64(length, i, F.substring(F.col("line"), start + 1, wide)).alias("key"), F.col("h").alias(f"h_{name}"), F.col("sig").alias(f"sig_{name}"))
 
 
-def signature() -> F.Column:
-    """Two bits for each of the letters' counts, or eight bits for each of four."""
-    whole = F.octet_length("line")
-    counts = [(whole - F.octet_length(F.replace("line", F.lit(c)))).cast("long") for c in LETTERS]
-    short = sum((F.shiftleft(c % 4, 2 * k) for k, c in enumerate(counts)), F.lit(0).cast("long"))
-    return F.when(F.col("size") <= LONGER, short).otherwise(sum((F.shiftleft(c % 256, 8 * k) for k, c in enumerate(counts[:FOUR])), F.lit(MARK)))
-
-
-def alike(a: str, b: str, edits: int) -> F.Column:
-    """Whether two signatures allow so few edits, each of which changes two counts by one at most; unlike kinds always do."""
-    field = lambda c, k: F.shiftrightunsigned(F.col(c), 8 * k).bitwiseAND(F.lit(255))
-    gaps = [F.abs(field(a, k) - field(b, k)) for k in range(FOUR)]
-    far = sum(F.least(g, 256 - g) for g in gaps) > 2 * edits
-    long_a, long_b = F.col(a) >= MARK, F.col(b) >= MARK
-    return F.when(long_a & long_b, ~far).when(long_a | long_b, True).otherwise(signature_gap(a, b) <= 2 * edits)
+def signature(line: str) -> F.Column:
+    """Two bits for each letter's count, 32 in all."""
+    whole = F.octet_length(line)
+    counts = [whole - F.octet_length(F.replace(line, F.lit(c))) for c in LETTERS]
+    return sum((F.shiftleft((c % 4).cast("long"), 2 * k) for k, c in enumerate(counts)), F.lit(0).cast("long"))
 
 
 def signature_gap(a: str, b: str) -> F.Column:
@@ -146,9 +135,10 @@ def near_texts(spark: SparkSession, docs: DataFrame, tau: int) -> DataFrame:
     """(u, v, a, b, distance): hashes and first places (doc_id, line_no, row) of every two texts within reach."""
     scratch = Scratch(spark, "lines")
     lines = lines_of(docs, row_hash())
-    heads = lines.select("line").distinct().withColumns({"size": F.length("line"), "h": F.xxhash64("line")}).withColumn("sig", signature())
+    # a generator of one row, so that signatures are made once, before the shuffle, and not again for each use
+    heads = lines.select("line", F.explode(F.array(signature("line"))).alias("sig")).distinct().withColumns({"size": F.length("line"), "h": F.xxhash64("line")})
     index, probe = keys_of(heads, tau, False, "i"), keys_of(heads, tau, True, "p")
-    met = probe.join(index, (probe["key"] == index["key"]) & (F.col("h_i") != F.col("h_p")) & alike("sig_i", "sig_p", tau))
+    met = probe.join(index, (probe["key"] == index["key"]) & (F.col("h_i") != F.col("h_p")) & (signature_gap("sig_i", "sig_p") <= 2 * tau))
     pairs = scratch.save(met.select(F.least("h_i", "h_p").alias("u"), F.greatest("h_i", "h_p").alias("v")).distinct())
     ids = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct())
     held = lines.withColumn("h", F.xxhash64("line")).join(few(ids), "h")
