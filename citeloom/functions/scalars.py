@@ -116,23 +116,41 @@ def grid_id(affiliation: Column) -> Column:
     return F.coalesce(direct, truthy(F.regexp_extract(links, r"(grid\.[A-Za-z0-9.]+)", 1)))
 
 
+#: Letters of a name that one word of bits holds; what an addition carries over goes to the next word.
+WORD = 62
+
+
 def fuzz_ratio(a: Column, b: Column) -> Column:
     """100 times the normalized Indel similarity, 200 LCS / (length a + length b), to two digits; case counts.
 
-    The longest common subsequence comes from bit rows over a (62 letters at most; ``operators.identity`` has the form
-    for longer names).
+    The longest common subsequence comes from bit rows over a, in as many words of ``WORD`` bits as it needs.
     """
     shifted = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
-    masks = F.transform(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: F.struct(F.substring(a, i, F.lit(1)).alias("c"), shifted(i - 1).alias("m")))
-    full = shifted(F.length(a)) - 1
+    zero = F.lit(0).cast("long")
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1)), F.lit(WORD)), lambda k: F.substring(a, k, F.lit(WORD)))
 
-    def step(rows: Column, letter: Column) -> Column:
-        hit = F.aggregate(masks, F.lit(0).cast("long"), lambda s, x: F.when(x["c"] == letter, s.bitwiseOR(x["m"])).otherwise(s))
-        u = rows.bitwiseAND(hit)
-        return (rows + u).bitwiseOR(rows - u).bitwiseAND(full)
+    def word(text: Column) -> Column:
+        """The letters of a part with their bits, and the bits of all of them."""
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.struct(F.substring(text, i, F.lit(1)).alias("c"), shifted(i - 1).alias("m")))
+        return F.struct(each.alias("letters"), (shifted(F.length(text)) - 1).alias("full"), F.length(text).alias("n"))
 
-    rows = F.aggregate(F.split(b, ""), full, step)
-    lcs = F.when((F.length(a) > 0) & (F.length(b) > 0), F.length(a) - F.bit_count(rows)).otherwise(0)
+    words = F.transform(parts, word)
+
+    def step(rows: Column, letter: Column) -> Column:
+        def one(s: Column, w: Column) -> Column:
+            hit = F.aggregate(w["at"]["letters"], zero, lambda m, x: F.when(x["c"] == letter, m.bitwiseOR(x["m"])).otherwise(m))
+            u = w["row"].bitwiseAND(hit)
+            total = w["row"] + u + s["carry"]
+            now = total.bitwiseOR(w["row"] - u).bitwiseAND(w["at"]["full"])
+            carry = F.when(total > w["at"]["full"], F.lit(1).cast("long")).otherwise(zero)
+            return F.struct(carry.alias("carry"), F.concat(s["rows"], F.array(now)).alias("rows"))
+
+        start = F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("rows"))
+        return F.aggregate(F.zip_with(rows, words, lambda r, w: F.struct(r.alias("row"), w.alias("at"))), start, one, lambda s: s["rows"])
+
+    rows = F.aggregate(F.split(b, ""), F.transform(words, lambda w: w["full"]), step)
+    left = F.aggregate(rows, F.lit(0), lambda n, r: n + F.bit_count(r))
+    lcs = F.when((F.length(a) > 0) & (F.length(b) > 0), F.length(a) - left).otherwise(0)
     total = F.length(a) + F.length(b)
     return F.round(F.when(total == 0, F.lit(100.0)).otherwise(200.0 * lcs / F.greatest(total, F.lit(1))), 2)
 

@@ -74,9 +74,13 @@ def work_flags(works: DataFrame) -> DataFrame:
     from ..functions.scalars import parse_year
 
     filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
-    count = lambda c: F.coalesce(F.array_size(c), F.lit(0))
+    def count(c: str, key: str) -> F.Column:
+        """Different ids that aren't empty."""
+        ids = F.filter(F.transform(c, lambda x: x[key]), lambda i: F.coalesce(F.trim(i.cast("string")), F.lit("")) != "")
+        return F.coalesce(F.array_size(F.array_distinct(ids)), F.lit(0))
+
     return works.select(
-        "id", filled("abstract").alias("has_abstract"), filled("doi").alias("has_doi"), (count("authors") > 0).alias("has_authors"), (count("topics") > 0).alias("has_topics"), (count("orgs") > 0).alias("has_orgs"),
+        "id", filled("abstract").alias("has_abstract"), filled("doi").alias("has_doi"), (count("authors", "author_id") > 0).alias("has_authors"), (count("topics", "topic_id") > 0).alias("has_topics"), (count("orgs", "org_id") > 0).alias("has_orgs"),
         F.coalesce(F.exists("authors", lambda a: F.coalesce(F.trim(a["org_id"].cast("string")), F.lit("")) == ""), F.lit(False)).alias("has_author_missing_org"),
-        count("authors").cast("long").alias("num_authors"), parse_year(F.col("publication_date")).alias("year"),
+        count("authors", "author_id").cast("long").alias("num_authors"), parse_year(F.col("publication_date")).alias("year"),
     )

@@ -2,42 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import clean_uid, fuzz_ratio, generated_email, surname, truthy
 from .publications import first_per_key
 
-#: Lookups are counted; up to so many names are sent to every task.
+#: Names of a block of a lookup, which is sent to every task.
 FEW = 100_000
 
 
-@F.pandas_udf(DoubleType())
-def _long_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The ratio of names of any length: bit rows in whole Python integers."""
-
-    def one(x: str, y: str) -> float:
-        if not x and not y:
-            return 100.0
-        full = (1 << len(x)) - 1
-        at: dict[str, int] = {}
-        for k, c in enumerate(x):
-            at[c] = at.get(c, 0) | 1 << k
-        rows = full
-        for c in y:
-            u = rows & at.get(c, 0)
-            rows = ((rows + u) | (rows - u)) & full
-        return round(200 * (len(x) - rows.bit_count()) / (len(x) + len(y)), 2)
-
-    return pd.Series([one(x or "", y or "") for x, y in zip(a, b)])
-
-
-def name_ratio(a: Column, b: Column, any_length: bool = False) -> Column:
-    return _long_ratio(a, b) if any_length else fuzz_ratio(a, b)
-
-
 def org_name_list(orgs: DataFrame) -> DataFrame:
     """Distinct names; one default where there are none."""
     names = orgs.select("name").where(truthy(F.col("name")).isNotNull()).distinct()
@@ -60,20 +34,31 @@ def build_directory(authors: DataFrame, org_names: list[str], file_order: Column
     return first_per_key(entries.where("uid <> ''"), "uid", F.col("_o"), F.col("cn")).drop("_o")
 
 
-def identity_lookup(directory: DataFrame, names: DataFrame, top: int = 10, any_length: bool = False) -> DataFrame:
+def exact_entries(directory: DataFrame, names: DataFrame) -> DataFrame:
+    """(query, cn, mail): the entry of each name, case aside, the first of several: an equi-join of any size."""
+    asked = names.select(F.col("name").alias("query")).where("query is not null").distinct()
+    found = directory.join(asked, F.lower("cn") == F.lower("query"))
+    return first_per_key(found, "query", F.col("cn"), F.col("uid")).select("query", "cn", "mail")
+
+
+def identity_lookup(directory: DataFrame, names: DataFrame, top: int = 10, block: int = FEW) -> DataFrame:
     """(query, cn, mail, score, exact): the exact entry of each name, case aside, and the ``top`` most similar entries
-    with an address; the exact entry's name is left out of those after the cut."""
+    with an address; the exact entry's name is left out of those after the cut.
+
+    Names are counted and, where they are more than ``block``, dealt into blocks by hash; each block is sent to every
+    task and meets the whole directory there.
+    """
     asked = names.select(F.col("name").alias("query")).where("query is not null").distinct()
-    if asked.count() > FEW:
-        raise ValueError(f"look up {FEW} names or fewer at a time")
-    asked = F.broadcast(asked)
-    exact = directory.join(asked, F.lower("cn") == F.lower("query"))
-    exact = first_per_key(exact, "query", F.col("cn"), F.col("uid")).select("query", "cn", "mail", F.lit(100.0).alias("score"), F.lit(True).alias("exact"))
+    exact = exact_entries(directory, names).select("query", "cn", "mail", F.lit(100.0).alias("score"), F.lit(True).alias("exact"))
     mailed = directory.where("mail is not null").groupBy("cn").agg(F.max_by("mail", "uid").alias("mail"))
-    scored = mailed.join(asked, F.lit(True)).withColumn("score", name_ratio(F.col("query"), F.col("cn"), any_length))  # queries against all rows
-    best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cn"))).where(F.col("_r") <= top)
-    similar = best.join(exact.select("query", F.col("cn").alias("_cn")), "query", "left").where("_cn is null or cn <> _cn").select("query", "cn", "mail", "score", F.lit(False).alias("exact"))
-    return exact.unionByName(similar)
+    n, out = max(1, -(-asked.count() * 5 // (4 * block))), exact  # room for uneven blocks
+    for k in range(n):
+        some = asked.where(F.pmod(F.xxhash64("query"), F.lit(n)) == k) if n > 1 else asked
+        scored = mailed.join(F.broadcast(some), F.lit(True)).withColumn("score", fuzz_ratio(F.col("query"), F.col("cn")))  # a block of queries against all rows
+        best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cn"))).where(F.col("_r") <= top)
+        similar = best.join(exact.select("query", F.col("cn").alias("_cn")), "query", "left").where("_cn is null or cn <> _cn")
+        out = out.unionByName(similar.select("query", "cn", "mail", "score", F.lit(False).alias("exact")))
+    return out
 
 
 def lookup_messages(found: DataFrame) -> DataFrame:

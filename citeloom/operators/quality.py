@@ -83,14 +83,15 @@ def is_fully_linked(missing: DataFrame) -> DataFrame:
 def all_refs_present(works: DataFrame, authors: DataFrame, orgs: DataFrame, topics: DataFrame) -> DataFrame:
     """(id, all_authors_present, all_orgs_present, all_topics_present): true where a work has no such reference."""
 
-    def present(path: str, nodes: DataFrame, name: str) -> DataFrame:
-        refs = works.select("id", F.explode(path).alias("ref")).where("ref is not null")
+    def present(paths: list[str], nodes: DataFrame, name: str) -> DataFrame:
+        refs = works.select("id", F.explode(F.concat(*(F.coalesce(F.col(p), F.array().cast(works.select(paths[0]).schema[0].dataType)) for p in paths))).alias("ref")).where("ref is not null")
         known = nodes.select(F.col("id").alias("ref"), F.lit(True).alias("_k"))
         return refs.join(known, "ref", "left").groupBy("id").agg(F.bool_and(F.coalesce("_k", F.lit(False))).alias(name))
 
     out = works.select("id")
-    for path, nodes, name in (("authors.author_id", authors, "all_authors_present"), ("authors.org_id", orgs, "all_orgs_present"), ("topics.topic_id", topics, "all_topics_present")):
-        out = out.join(present(path, nodes, name), "id", "left").withColumn(name, F.coalesce(name, F.lit(True)))
+    of_orgs = ["authors.org_id", *(["orgs.org_id"] if "orgs" in works.columns else [])]  # of its authors and its own
+    for paths, nodes, name in ((["authors.author_id"], authors, "all_authors_present"), (of_orgs, orgs, "all_orgs_present"), (["topics.topic_id"], topics, "all_topics_present")):
+        out = out.join(present(paths, nodes, name), "id", "left").withColumn(name, F.coalesce(name, F.lit(True)))
     return out
 
 
@@ -117,7 +118,7 @@ def subset_analysis(works: DataFrame, authors: DataFrame, orgs: DataFrame, topic
     return out
 
 
-#: Categories of a linked sample: name, quota, condition on ``work_flags`` and ``all_refs_present``.  Earlier ones pick first.
+#: Fixed values.  Categories of a linked sample: name, quota, condition on ``work_flags`` and ``all_refs_present``.  Earlier ones pick first.
 CATEGORIES = (
     ("baseline", 20, "has_abstract and has_doi and has_authors and has_topics and has_orgs and all_authors_present and all_orgs_present and num_authors <= 2"),
     ("missing_abstract", 8, "not has_abstract and has_authors and has_topics and has_orgs and all_authors_present and all_orgs_present and num_authors <= 2"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import l2_distance
 from ..schemas import EMBEDDING_DIM
 
-#: Query tables up to so many rows are broadcast in blocks; more are an error that names the way out.
+#: Queries of a block, which is sent to every task.
 MOST_QUERIES = 50_000
 MODELS: dict[str, tuple[int, Callable[[int], Callable[[list[str]], np.ndarray]] | None]] = {"hashed-bag-of-words": (EMBEDDING_DIM, None)}
 
@@ -47,11 +47,13 @@ def embed_text(text: Column, model: str = "hashed-bag-of-words", encoder: Callab
 
 
 def author_abstracts(works: DataFrame) -> DataFrame:
-    """(author_id, num_abstracts): abstracts that aren't blank, by author, mentions counted."""
+    """(author_id, abstracts, num_abstracts): the abstracts that aren't blank, by author, one a mention, in order of text.
+
+    A list is as long as its author's works; means of vectors come from ``author_embeddings``, which gathers none."""
     from .filters import nonblank_abstracts
 
-    each = nonblank_abstracts(works).select(F.explode("authors.author_id").alias("author_id")).where("author_id is not null")
-    return each.groupBy("author_id").agg(F.count(F.lit(1)).alias("num_abstracts"))
+    each = nonblank_abstracts(works).select("abstract", F.explode("authors.author_id").alias("author_id")).where("author_id is not null")
+    return each.groupBy("author_id").agg(F.sort_array(F.collect_list("abstract")).alias("abstracts"), F.count(F.lit(1)).alias("num_abstracts"))
 
 
 def author_embeddings(vectors: DataFrame, author: str = "author_id", embedding: str = "embedding") -> DataFrame:
@@ -85,14 +87,20 @@ def text_search(vectors: DataFrame, texts: str, limit: int = 10, offset: int = 0
     return vector_search(vectors, hashed_bag_of_words([texts], dim)[0].tolist(), limit, offset, **how)
 
 
-def batch_knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def batch_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = MOST_QUERIES) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest of each query, by distance and id.
 
-    Queries (query_id, embedding) are counted, then sent to every task, which keeps k rows a query; those meet by query.
+    Queries (query_id, embedding) are counted and, where they are more than ``block``, dealt into blocks by hash.  Each
+    block is sent to every task, which keeps k rows a query; those meet by query.
     """
-    n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries: search in parts of {MOST_QUERIES} rows or fewer")
+    n, out = max(1, -(-queries.count() * 5 // (4 * block))), None  # room for uneven blocks
+    for b in range(n):
+        found = _block_knn(vectors, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) if n > 1 else queries, k)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _block_knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rows = queries.orderBy("query_id").collect()
     ids = [r["query_id"] for r in rows]
     matrix = np.array([r["embedding"] for r in rows], np.float64) if rows else np.zeros((0, 0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -142,10 +143,10 @@ def author_embeddings(spark, sf_dir):
     return means.select("author_id", F.posexplode("embedding").alias("p", "v"), "num_abstracts").select("author_id", (F.col("p") + 1).cast("long").alias("i"), F.round(F.col("v").cast("double"), 5).alias("value"), "num_abstracts")
 
 
-@query("""@ SELECT author_id, count(*) AS num_abstracts FROM mentions WHERE work_id % 6 <> 0 AND work_id IN (SELECT id FROM works) GROUP BY author_id""")
+@query("""@ SELECT author_id, count(*) AS num_abstracts, md5(string_agg(CASE WHEN work_id % 3 <> 0 THEN title ELSE 'x' END, '|' ORDER BY CASE WHEN work_id % 3 <> 0 THEN title ELSE 'x' END)) AS abstracts FROM mentions JOIN works ON work_id = id WHERE work_id % 6 <> 0 GROUP BY author_id""")
 def author_abstracts(spark, sf_dir):
     w = B.nested_works(spark, sf_dir).withColumn("abstract", F.when(F.col("id") % 3 != 0, F.col("title")).when(F.col("id") % 2 != 0, F.lit(" x ")).otherwise(F.lit("  ")))
-    return vectors.author_abstracts(w)
+    return vectors.author_abstracts(w).withColumn("abstracts", F.md5(F.array_join("abstracts", "|").cast("binary")))
 
 
 # --- graph ----------------------------------------------------------------------------------------------------------
@@ -193,11 +194,11 @@ def collaborators_of_one(spark, sf_dir):
 
 
 def _networks(spark, sf_dir, **how):
-    roots = B.authors(spark, sf_dir).where("id % 10 = 0").select(F.col("id").alias("root"))
+    roots = B.authors(spark, sf_dir).select(F.col("id").alias("root"))
     return graph.ego_network(roots, B.authors(spark, sf_dir), B.works(spark, sf_dir), B.orgs(spark, sf_dir), B.authored(spark, sf_dir), B.affiliated(spark, sf_dir), **how)
 
 
-_NET = """@, roots AS (SELECT id AS root FROM authors WHERE id % 10 = 0),
+_NET = """@, roots AS (SELECT id AS root FROM authors),
 rows AS (SELECT r.root, m.work_id, o.author_id AS co FROM roots r JOIN authored m ON r.root = m.author_id LEFT JOIN authored o ON m.work_id = o.work_id AND o.author_id <> r.root)"""
 
 
@@ -350,7 +351,7 @@ def entity_by_id(spark, sf_dir):
     return filters.entity_by_id(B.works(spark, sf_dir), 42).select("id", "title")
 
 
-@query("""@ SELECT w.id, count(m.work_id) > 0 AS has_authors, count(m.work_id) > 0 AS has_topics, count(m.work_id) AS num_authors, try_cast(substr(w.publication_date, 1, 4) AS INTEGER) AS year
+@query("""@ SELECT w.id, count(m.author_id) > 0 AS has_authors, count(m.topic_id) > 0 AS has_topics, count(DISTINCT m.author_id) AS num_authors, try_cast(substr(w.publication_date, 1, 4) AS INTEGER) AS year
 FROM works w LEFT JOIN mentions m ON w.id = m.work_id GROUP BY w.id, w.publication_date""")
 def work_flags(spark, sf_dir):
     none = F.lit(None)
@@ -494,10 +495,10 @@ def extraction_stats(spark, sf_dir):
 
 
 @query(f"""@, {_PUB}, l AS (SELECT work_id, string_agg(author_name, '; ' ORDER BY n, author_name, author_id, org_name, topic_name) AS a, string_agg(org_name, '; ' ORDER BY n, author_name, author_id, org_name, topic_name) AS o FROM lines GROUP BY work_id)
-SELECT p.publication_id, p.title, coalesce(p.abstract, '') AS abstract, coalesce(p.publication_date, '') AS publication_date, coalesce(p.doi, '') AS doi, coalesce(p.document_type, '') AS document_type, coalesce(CAST(p.citations_count AS VARCHAR), '') AS citations_count, coalesce(l.a, '') AS authors, coalesce(l.o, '') AS organizations
+SELECT p.publication_id, p.title, coalesce(p.abstract, '') AS abstract, coalesce(p.publication_date, '') AS publication_date, 'https://host/details/publication/' || p.publication_id || '?q=1' AS url, coalesce(p.doi, '') AS doi, coalesce(p.document_type, '') AS document_type, coalesce(CAST(p.citations_count AS VARCHAR), '') AS citations_count, coalesce(l.a, '') AS authors, coalesce(l.o, '') AS organizations
 FROM pubs p LEFT JOIN l ON p.id = l.work_id""")
 def export_publications_csv(spark, sf_dir):
-    return io.csv_rows(B.publications(spark, sf_dir)).drop("url", "keywords")
+    return io.csv_rows(B.publications(spark, sf_dir)).drop("keywords")  # JSON groups among them
 
 
 @query()
@@ -519,10 +520,10 @@ def identity_stats(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT c_name AS cn, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) || '@example.org' END AS mail FROM customer UNION ALL SELECT DISTINCT p_name, replace(p_name, ' ', '.') || '@example.org' FROM part)
-SELECT upper(cn) AS query, cn, mail FROM d WHERE cn IN (SELECT p_name FROM part WHERE p_partkey < 200)""")
+SELECT upper(cn) AS query, cn, mail FROM d WHERE cn IN (SELECT p_name FROM part)""")
 def identity_exact(spark, sf_dir):
-    asked = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 200").select(F.upper("p_name").alias("name"))
-    return identity.identity_lookup(_directory(spark, sf_dir), asked).where("exact").select("query", "cn", "mail")
+    asked = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.upper("p_name").alias("name"))
+    return identity.exact_entries(_directory(spark, sf_dir), asked)
 
 
 @query()
@@ -628,9 +629,10 @@ def referential_integrity(spark, sf_dir):
     return quality.referential_integrity(B.nested_works(spark, sf_dir), a, B.orgs(spark, sf_dir).where("id % 2 <> 0"), B.topics(spark, sf_dir).where("id % 5 <> 0"))
 
 
-@query("""@ SELECT w.id, coalesce(bool_and(m.author_id % 3 <> 0), true) AS all_authors_present, coalesce(bool_and(m.org_id % 2 <> 0), true) AS all_orgs_present, coalesce(bool_and(m.topic_id % 5 <> 0), true) AS all_topics_present FROM works w LEFT JOIN mentions m ON w.id = m.work_id GROUP BY w.id""")
+@query("""@ SELECT w.id, coalesce(bool_and(m.author_id % 3 <> 0), true) AS all_authors_present, coalesce(bool_and(m.org_id % 2 <> 0), true) AND w.id % 9 <> 0 AS all_orgs_present, coalesce(bool_and(m.topic_id % 5 <> 0), true) AS all_topics_present FROM works w LEFT JOIN mentions m ON w.id = m.work_id GROUP BY w.id""")
 def all_refs_present(spark, sf_dir):
-    return quality.all_refs_present(B.nested_works(spark, sf_dir), B.authors(spark, sf_dir).where("id % 3 <> 0"), B.orgs(spark, sf_dir).where("id % 2 <> 0"), B.topics(spark, sf_dir).where("id % 5 <> 0"))
+    own = F.when(F.col("id") % 9 == 0, F.array(F.struct(F.lit(2).cast("long").alias("org_id"), F.lit("funder").alias("role"))))  # an organization that isn't there
+    return quality.all_refs_present(B.nested_works(spark, sf_dir).withColumn("orgs", own), B.authors(spark, sf_dir).where("id % 3 <> 0"), B.orgs(spark, sf_dir).where("id % 2 <> 0"), B.topics(spark, sf_dir).where("id % 5 <> 0"))
 
 
 def _subset_input(spark, sf_dir):
@@ -671,7 +673,11 @@ def _event_stream(spark, sf_dir):
 
 
 def _state_folder(spark) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "citeloom-streams")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = os.path.join(tempfile.gettempdir(), "citeloom-streams")
     return f"{top}/{uuid.uuid4().hex}"
 
 
@@ -686,3 +692,104 @@ def stream_upsert(spark, sf_dir):
     merged = watch.run_once(watch.stream_upsert(_event_stream(spark, sf_dir), "user_id", "ts", ["event_type", "value"]), _state_folder(spark))
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return merged.select("user_id", "event_type", "value", text("created_at"), text("last_updated"))
+
+
+# --- page parsing and other functions -------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN '1 ' || strftime(o_orderdate, '%B %Y') ELSE strftime(o_orderdate, '%d %b %Y') END AS pub_date FROM orders""")
+def normalize_pub_date(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    raw = F.when(F.col("o_orderkey") % 13 == 0, F.lit("  ")).when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" "), F.date_format("o_orderdate", "MMMM yyyy"))).otherwise(F.date_format("o_orderdate", "dd MMM yyyy"))
+    return o.select("o_orderkey", S.normalize_pub_date(raw).alias("pub_date"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'grid.' || c_nationkey WHEN 1 THEN 'grid.' || c_custkey || '.a' WHEN 2 THEN 'grid.7' END AS grid_id FROM customer""")
+def grid_id(spark, sf_dir):
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    kind = F.col("c_custkey") % 4
+    none = F.lit(None).cast("string")
+    affiliation = F.struct(
+        F.when(kind == 0, F.concat(F.lit("grid."), n)).otherwise(F.concat(F.lit("org-"), k)).alias("id"), none.alias("grid_id"), F.when(kind == 1, F.concat(F.lit("/details/grid."), k, F.lit(".a?x=1"))).alias("url"), none.alias("href"), none.alias("link"),
+        F.when(kind == 2, F.create_map(F.lit("self"), F.lit("/x/grid.7/y"))).alias("navigation"),
+    )
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", S.grid_id(affiliation).alias("grid_id"))
+
+
+def _pages(spark, sf_dir):
+    """Page documents of orders: suppliers as authors with an affiliation each, nations as organizations."""
+    m = B.mentions(spark, sf_dir).where("org_id is not null")
+    org = F.col("org_id").cast("string")
+    one = F.struct(
+        "n", "author_id", F.lit("A.").alias("first_name"), F.concat(F.lit("Supplier "), F.col("author_id").cast("string")).alias("last_name"), F.when(F.col("author_id") % 2 == 0, F.concat(F.lit("ur."), F.col("author_id").cast("string"))).alias("researcher_id"),
+        F.array(F.concat(F.lit("0000-"), F.col("author_id").cast("string"))).alias("orcid"), F.array(F.struct(F.concat(F.lit("Nation "), org).alias("name"), F.when(F.col("org_id") % 3 != 0, F.concat(F.lit("grid."), org)).alias("id"))).alias("affiliations"),
+    )
+    details = m.groupBy("work_id").agg(F.array_sort(F.collect_list(one)).alias("d"))
+    w = B.works(spark, sf_dir).join(details, F.col("id") == F.col("work_id"), "left")
+    data = lambda *c: F.struct(F.struct(*c).alias("data"))
+    structure = F.struct(
+        data(F.when(F.col("id") % 5 != 0, F.col("title")).alias("title"), F.lit("").alias("pub_class"), F.col("document_type").alias("pub_class_id"), data(F.col("publication_date").alias("pub_date")).alias("metadata")).alias("publication-header"),
+        data(F.when(F.col("id") % 4 != 0, F.col("title")).alias("abstract")).alias("abstract"), data(F.concat(F.lit("10.1/"), F.col("id").cast("string")).alias("doi")).alias("custom-meta"), data(F.col("d").alias("affiliations_details")).alias("authors"),
+    )
+    entities_ = F.array(F.struct(F.lit("other").alias("key"), F.struct(F.lit("/no").alias("json")).alias("navigation")), F.struct(F.lit("categories-for").alias("key"), F.struct(F.concat(F.lit("/for/"), F.col("id").cast("string")).alias("json")).alias("navigation")))
+    return w.select(F.col("id").cast("string").alias("publication_id"), F.lit("u").alias("url"), F.to_json(F.struct(structure.alias("page_structure"), entities_.alias("entities"))).alias("json"))
+
+
+@query("""@ SELECT CAST(w.id AS VARCHAR) AS publication_id, CASE WHEN w.id % 5 <> 0 THEN w.title ELSE 'Unknown Title' END AS title, CASE WHEN w.id % 4 <> 0 THEN w.title END AS abstract, w.publication_date, '10.1/' || w.id AS doi, w.document_type, '/for/' || w.id AS fields_path,
+count(m.n) AS n_authors, count(DISTINCT m.org_id) AS n_orgs FROM works w LEFT JOIN mentions m ON w.id = m.work_id AND m.org_id IS NOT NULL GROUP BY w.id, w.title, w.publication_date, w.document_type""")
+def extract_publications(spark, sf_dir):
+    p = publications.extract_publications(_pages(spark, sf_dir))
+    n = lambda c: F.coalesce(F.array_size(c), F.lit(0)).cast("long")
+    return p.select("publication_id", "title", "abstract", "publication_date", "doi", "document_type", "fields_path", n("authors").alias("n_authors"), n("organizations").alias("n_orgs"))
+
+
+@query("""@ SELECT CAST(m.work_id AS VARCHAR) AS publication_id, 'A. Supplier ' || m.author_id AS name, CASE WHEN m.author_id % 2 = 0 THEN 'ur.' || m.author_id ELSE '0000-' || m.author_id END AS researcher_id, 'Nation ' || m.org_id AS affiliation, CASE WHEN m.org_id % 3 <> 0 THEN 'grid.' || m.org_id END AS org_id
+FROM mentions m WHERE m.org_id IS NOT NULL AND m.work_id IN (SELECT id FROM works)""")
+def extract_authors(spark, sf_dir):
+    p = publications.extract_publications(_pages(spark, sf_dir)).select("publication_id", F.explode("authors").alias("a"))
+    return p.select("publication_id", "a.name", "a.researcher_id", F.col("a.affiliations")[0].alias("affiliation"), F.get("a.org_ids", F.lit(0)).alias("org_id"))
+
+
+@query("""@ SELECT DISTINCT CAST(m.work_id AS VARCHAR) AS publication_id, 'Nation ' || m.org_id AS name, CASE WHEN m.org_id % 3 <> 0 THEN 'grid.' || m.org_id END AS org_id
+FROM mentions m WHERE m.org_id IS NOT NULL AND m.work_id IN (SELECT id FROM works)""")
+def extract_organizations(spark, sf_dir):
+    return publications.extract_publications(_pages(spark, sf_dir)).select("publication_id", F.inline("organizations")).select("publication_id", "name", "org_id")
+
+
+@query("""@ SELECT id, CASE WHEN id % 3 <> 0 THEN id * 2 END AS works_count, CASE WHEN id % 3 <> 0 THEN id * 5 END AS citation_count, CASE WHEN id % 3 <> 0 THEN 2 ELSE 1 END AS n_sources FROM authors""")
+def author_metrics_enrich(spark, sf_dir):
+    a = B.authors(spark, sf_dir)
+    key = F.col("id").cast("string")
+    rows = a.select("id", key.alias("researcher_id"), F.array(F.struct(F.lit("dtic").alias("source"), key.alias("id"))).alias("sources"))
+    meta = F.array(F.struct(F.lit("h").alias("id"), F.lit(1.0).alias("value")), F.struct(F.lit("citations").alias("id"), (F.col("id") * 5.0).alias("value")))
+    boxes = F.array(F.struct(F.lit("other").alias("id"), F.lit("9").alias("value"), meta.alias("meta")), F.struct(F.lit("publication_plus").alias("id"), (F.col("id") * 2).cast("string").alias("value"), meta.alias("meta")))
+    payloads = a.where("id % 3 <> 0").select(key.alias("researcher_id"), F.to_json(F.struct(F.array(F.lit(""), F.concat(F.lit("0000-"), key)).alias("orcid"), boxes.alias("sources"))).alias("json"))
+    return entities.author_metrics_enrich(rows, payloads).select("id", "works_count", "citation_count", F.size("sources").alias("n_sources"))
+
+
+@query("""SELECT p_partkey, p_brand <> p_name AS two, p_brand AS first FROM part""")
+def unique_preserve_order(spark, sf_dir):
+    values = S.unique_preserve_order(F.array(F.lit(""), "p_brand", F.lit(None).cast("string"), "p_name", "p_brand"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.size(values) == 2).alias("two"), values[0].alias("first"))
+
+
+@query()
+def fuzz_ratio(spark, sf_dir):
+    """Names against long forms of themselves; tests hold the function against brute force."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", S.fuzz_ratio(F.col("p_name"), F.concat_ws(" ", "p_brand", "p_name", "p_type", "p_name", "p_brand")).alias("ratio"))
+
+
+@query()
+def embed_text(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.posexplode(F.slice(vectors.embed_text(F.col("text")), 1, 4)).alias("i", "value"))
+
+
+@query("@ SELECT 'author_' || id AS id, name, citation_count FROM authors")
+def write_entity_shards(spark, sf_dir):
+    """Written as shards and read again."""
+    rows = B.authors(spark, sf_dir).select(F.concat(F.lit("author_"), F.col("id").cast("string")).alias("id"), "name", "citation_count")
+    folder = f"{_state_folder(spark)}/shards"
+    io.write_entity_shards(rows, folder, estimated_bytes=1 << 20, target_bytes=1 << 18)
+    return spark.read.json(folder, schema="id string, name string, citation_count long")

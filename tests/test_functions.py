@@ -1,11 +1,11 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import scalars as S
 from citeloom.functions.ids import stable_id
-from citeloom.operators.identity import name_ratio
 
 
 def one(spark, column):
@@ -66,8 +66,24 @@ def test_names(spark):
     assert one(spark, S.generated_email(F.lit("A. Bee"), F.lit(3))).split("@")[1] in S.DOMAINS
 
 
-@pytest.mark.parametrize("long", [False, True])
 @pytest.mark.parametrize("a, b, ratio", [("John Doe", "Jon Doe", 93.33), ("Jane Doe", "Jan", 54.55), ("abc", "xyz", 0.0), ("", "", 100.0), ("a", "", 0.0)])
-def test_fuzz_ratio(spark, a, b, ratio, long):
-    row = spark.createDataFrame([(a, b)], "a string, b string").select(name_ratio(F.col("a"), F.col("b"), long).alias("x")).first()
+def test_fuzz_ratio(spark, a, b, ratio):
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(S.fuzz_ratio(F.col("a"), F.col("b")).alias("x")).first()
     assert row[0] == pytest.approx(ratio)
+
+
+def test_fuzz_ratio_of_long_names(spark):
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    r = random.Random(4)
+    names = [("".join(r.choice("abcé ") for _ in range(n)), "".join(r.choice("abcé ") for _ in range(r.randint(1, 140)))) for n in [*range(58, 131), 186, 200]]
+    names += [("zzz", names[0][0]), (names[9][0], names[9][0])]
+    got = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(names)], "k int, a string, b string").select("k", S.fuzz_ratio(F.col("a"), F.col("b")).alias("x")).collect()
+    assert all(x.x == pytest.approx(200 * lcs(*names[x.k]) / sum(map(len, names[x.k])), abs=0.006) and x.x <= 100 for x in got)

@@ -175,6 +175,28 @@ def test_identity(spark):
     assert rows(identity.org_name_list(spark.createDataFrame([("",)], "name string"))) == [("DefaultOrg",)]
 
 
+def test_blocks_of_queries(spark):
+    names = [f"Name {k} of {'xyz'[k % 3]}" for k in range(40)]
+    d = spark.createDataFrame([(str(k), n, f"{k}@x") for k, n in enumerate(names)], "uid string, cn string, mail string")
+    asked = spark.createDataFrame([(n.lower() + "s",) for n in names[:20]], "name string")
+    assert rows(identity.identity_lookup(d, asked, top=3), "query", "score", "cn") == rows(identity.identity_lookup(d, asked, top=3, block=6), "query", "score", "cn")
+    v = spark.createDataFrame([(i, [float(i), float(i * i % 7)]) for i in range(30)], "id long, embedding array<float>")
+    q = v.select(F.col("id").alias("query_id"), "embedding")
+    assert rows(vectors.batch_knn(v, q, 3), "query_id", "rank") == rows(vectors.batch_knn(v, q, 3, block=7), "query_id", "rank")
+
+
+def test_flags_count_different_ids(spark):
+    w = spark.createDataFrame(
+        [("w1", [("a1", "o1"), ("a1", "o1"), (None, "o1"), ("", "o1")], [(None, 1.0)], [("", "x")], "t", "d", "2001"), ("w2", [("a2", "o2")], [("t1", 1.0)], [("o9", "funder")], "t", "d", "2001")],
+        "id string, authors array<struct<author_id:string,org_id:string>>, topics array<struct<topic_id:string,score:double>>, orgs array<struct<org_id:string,role:string>>, abstract string, doi string, publication_date string",
+    )
+    assert [(r.num_authors, r.has_authors, r.has_topics, r.has_orgs) for r in filters.work_flags(w).orderBy("id").collect()] == [(1, True, False, False), (1, True, True, True)]
+    of = lambda ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    assert {r.id: r.all_orgs_present for r in quality.all_refs_present(w, of(["a2"]), of(["o2"]), of(["t1"])).collect()}["w2"] is False
+    found = {r.author_id: (r.abstracts, r.num_abstracts) for r in vectors.author_abstracts(w).collect()}
+    assert found["a1"] == (["t", "t"], 2)
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "A", 5), (2, "B", 6)], "id long, name string, cites long")
     new = spark.createDataFrame([(2, 9), (3, 1)], "id long, cites long")
