@@ -10,7 +10,9 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,17 @@ def arrow_rows(fields: list[tuple[str, pa.DataType]], each: Callable[..., tuple]
     return run
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``size`` bytes in a text column; a longer text is a slice alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = min(max(int(np.searchsorted(ends, before + size, side="right")), start + 1), start + rows, batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def worker_state() -> dict:
     """What a Python worker process keeps from task to task.  (Functions travel by value, so module globals don't stay.)"""
     return sys.modules.setdefault("_citeloom_worker_state", types.ModuleType("_citeloom_worker_state")).__dict__.setdefault("kept", {})

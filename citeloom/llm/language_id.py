@@ -21,8 +21,8 @@ from . import common
 
 #: Bounds of the sample that the automata are built from: symbols a language, of one document in it, of all languages.
 SAMPLE, OF_ONE, IN_ALL = 40_000, 1_000, 2_000_000
-#: Symbols of a text that a lane parses.
-BLOCK = 512
+#: Symbols of a text that a lane parses, bytes of texts that are walked together.
+BLOCK, TOGETHER = 512, 1_000_000
 #: Levels: symbols of documents that count, documents that one needs, factor over their median, phrases that any text may have besides.
 LONG, ENOUGH, SLACK, SHORT = 256, 20, 2.25, 3
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
@@ -139,7 +139,7 @@ class Model:
         sizes = np.array([len(t) for t in texts], np.int64)
         if not langs or not sizes.sum():
             return out
-        flat, offsets = np.concatenate(texts).astype(np.int64), np.cumsum(sizes) - sizes
+        flat, offsets = np.concatenate(texts), np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(texts)), -(-sizes // BLOCK))
         nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
         at, end = offsets[owner] + BLOCK * nth, (offsets + sizes)[owner]
@@ -273,8 +273,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared()
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                ids, words = batch.column(0).slice(a, 1024), batch.column(1).slice(a, 1024).to_pylist()
+            for part in common.slices(batch, 1, 1024, TOGETHER):
+                ids, words = part.column(0), part.column(1).to_pylist()
                 found = judge.predict(words)
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -289,8 +289,7 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared()
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
+            for part in common.slices(batch, at, 1024, TOGETHER):
                 found = judge.judge(part.column(at).to_pylist())
                 yield part.filter(pa.array([lang != "und" and sound and score >= least_score for lang, score, sound in found], pa.bool_()))
 

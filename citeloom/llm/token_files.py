@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: End id, longest code, ids a checkpoint, ids a block, pieces a worker remembers, new pieces encoded at a time.
-END, MOST_BITS, STRIDE, BLOCK_TOKENS, CACHE, TOGETHER = 2, 20, 128, 1 << 18, 800_000, 4_000
+#: End id, longest code, ids a checkpoint, ids a block, pieces a worker remembers, new pieces encoded at a time,
+#: bytes of texts that are cut into pieces together.
+END, MOST_BITS, STRIDE, BLOCK_TOKENS, CACHE, TOGETHER, AT_ONCE = 2, 20, 128, 1 << 18, 600_000, 4_000, 8_000_000
 
 
 def code_lengths(counts: dict[int, int], most: int = MOST_BITS) -> dict[int, int]:
@@ -266,8 +267,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
         words = state.get(path) or state.setdefault(path, Words(path))
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
+            for part in common.slices(batch, 1, 2048, AT_ONCE):
                 ids, sizes = words(part.column(1))
                 seen = np.bincount(ids, minlength=len(total))
                 seen[: len(total)] += total
