@@ -29,7 +29,7 @@ from . import common
 
 #: End id, longest code, ids a checkpoint, ids a block, pieces a worker remembers, new pieces encoded at a time,
 #: bytes of texts that are cut into pieces together.
-END, MOST_BITS, STRIDE, BLOCK_TOKENS, CACHE, TOGETHER, AT_ONCE = 2, 20, 128, 1 << 18, 600_000, 4_000, 8_000_000
+END, MOST_BITS, STRIDE, BLOCK_TOKENS, CACHE, TOGETHER, AT_ONCE = 2, 20, 128, 1 << 18, 300_000, 4_000, 8_000_000
 
 
 def code_lengths(counts: dict[int, int], most: int = MOST_BITS) -> dict[int, int]:
