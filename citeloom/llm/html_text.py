@@ -7,8 +7,8 @@
 2. Ratios are smoothed along the page with a Gaussian kernel.  The threshold is a share of their standard deviation:
    lines above it are content.
 3. Lines of one container and one weight are a cluster.  A cluster is chosen if a good part of its text is content and
-   its ratio as a whole is above the threshold; then all its lines are, so that an article keeps its short paragraphs.
-   A content line whose own ratio is above the threshold stays without its cluster.
+   its ratio as a whole is above a share of the page's mean (by letters); then all its lines are, so that an article keeps
+   its short paragraphs.  A content line whose own ratio is above that stays without its cluster.
 """
 
 from __future__ import annotations
@@ -162,12 +162,13 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, majority
     smoothed = smooth(ratios, sigma)
     level = share * smoothed.std()
     content = (smoothed >= level) & full
+    own = 0.8 * share * np.average(ratios, weights=sizes)  # what a cluster needs as a whole, unsmoothed: a share of the mean over all letters
     _, cluster = np.unique(np.stack([owners([x[2] for x in page.lines], page.parents), weights]), axis=1, return_inverse=True)
     cluster = cluster.ravel()
     total = lambda x: np.bincount(cluster, x)
     as_whole = np.log1p(total(weights * sizes) / np.maximum(1, total(tags * full)))
-    good = (total(sizes * content) >= majority * np.maximum(1, total(sizes))) & (as_whole >= level)
-    chosen = good[cluster] | (content & (ratios >= level))
+    good = (total(sizes * content) >= majority * np.maximum(1, total(sizes))) & (as_whole >= own)
+    chosen = good[cluster] | (content & (ratios >= own))
     return "\n".join(x[0] for x, yes in zip(page.lines, chosen) if yes and x[0])
 
 

@@ -109,7 +109,7 @@ def test_html_without_article_tags(page):
 
 def test_html_ratio_decides(monkeypatch):
     page = f"<body><div>{HEAD}</div><div>{BODY}</div><div>{HEAD}</div>"
-    monkeypatch.setattr(html_text, "smooth", lambda ratios, sigma: ratios * 0 + 1)
+    monkeypatch.setattr(html_text.np, "log1p", lambda ratios: ratios * 0 + 1)
     assert html_text.main_text(page) != TEXT
 
 
