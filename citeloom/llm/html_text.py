@@ -162,7 +162,7 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, majority
     smoothed = smooth(ratios, sigma)
     level = share * smoothed.std()
     content = (smoothed >= level) & full
-    own = 0.8 * share * np.average(ratios, weights=sizes)  # what a cluster needs as a whole, unsmoothed: a share of the mean over all letters
+    own = share * np.average(ratios, weights=sizes)  # what a cluster needs as a whole, unsmoothed: a share of the mean over all letters
     _, cluster = np.unique(np.stack([owners([x[2] for x in page.lines], page.parents), weights]), axis=1, return_inverse=True)
     cluster = cluster.ravel()
     total = lambda x: np.bincount(cluster, x)
