@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import has_special_name
@@ -131,33 +131,121 @@ CATEGORIES = (
 )
 
 
-def linked_subset(works: DataFrame, authors: DataFrame, orgs: DataFrame, topics: DataFrame, categories: tuple = CATEGORIES, target: int = 50) -> dict[str, DataFrame]:
-    """A stratified sample of works by category and id, with the authors, organizations and topics that they refer to;
-    each is filled up to ``target`` by id.  Categories are picked one after the other, each from what is left.
+#: Rules that fill up the authors of a linked sample, in this order: condition and how many authors it may add.
+_EDGE_AUTHORS = (("works_count = 0", 6), ("size(org_ids) = 0", 6), ("citation_count = 0 and works_count > 0", 4), ("special", 4), ("true", None))
+
+
+def _clean_ids(*lists: str) -> Column:
+    """The different ids of some lists that aren't blank."""
+    ids = F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(ids, lambda i: F.coalesce(F.trim(i.cast("string")), F.lit("")) != ""))
+
+
+def _outside(column: str, df: DataFrame, known: set) -> Column:
+    """How many of a list's ids aren't in ``known``, a set that a budget bounds."""
+    return F.size(F.array_except(column, F.array(*map(F.lit, sorted(known))).cast(df.schema[column].dataType)))
+
+
+def _pick_works(flags: DataFrame, condition: str, quota: int, picks: dict, seen: dict[str, set], budgets: dict[str, int]) -> list:
+    """Ids of at most ``quota`` works, one after the other: that which refers to the fewest new authors, organizations
+    and topics and keeps within the budgets.  ``seen`` grows.  Works without new references don't change what comes
+    after them, so one job takes all of those that lead."""
+    found: list = []
+    while len(found) < quota:
+        left = flags.where(condition).where(~F.col("id").isin([*picks, *found]))
+        left = left.withColumns({f"new_{k}": _outside(k, flags, seen[k]) for k in seen})
+        for k in seen:
+            left = left.where(F.col(f"new_{k}") <= budgets[k] - len(seen[k]))
+        keys = [*(f"new_{k}" for k in seen), F.when(F.col("num_authors") == 1, 0).otherwise(F.col("num_authors")), ~F.col("has_abstract"), F.coalesce(F.nullif("year", F.lit(0)), F.lit(9999)), "id"]
+        rows = left.orderBy(*keys).limit(quota - len(found)).collect()
+        if not rows:
+            break
+        for r in [r for r in rows if not any(r[f"new_{k}"] for k in seen)] or rows[:1]:
+            found.append(r.id)
+            for k in seen:
+                seen[k] |= set(r[k])
+    return found
+
+
+def _fill_authors(authors: DataFrame, chosen: list, known: set, target: int) -> list:
+    """Ids that fill ``chosen`` up to ``target``: by each rule those with the fewest organizations outside ``known``, which grows."""
+    number = lambda c: (F.coalesce(F.col(c), F.lit(0)) if c in authors.columns else F.lit(0)).alias(c)
+    all_ = authors.select("id", _clean_ids("org_ids").alias("org_ids"), number("works_count"), number("citation_count"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce(has_special_name(F.col("name")), F.lit(False)).alias("special"))
+    extras: list = []
+    for condition, most in _EDGE_AUTHORS:
+        want = min(target - len(chosen) - len(extras), target if most is None else most)
+        if want > 0:
+            left = all_.where(condition).where(~F.col("id").isin([*chosen, *extras]))
+            rows = left.orderBy(_outside("org_ids", all_, known), F.size("org_ids"), "works_count", "name", "id").limit(want).select("id", "org_ids").collect()
+            extras += [r.id for r in rows]
+            known |= {o for r in rows for o in r.org_ids}
+    return extras
+
+
+def linked_subset(works: DataFrame, authors: DataFrame, orgs: DataFrame, topics: DataFrame, categories: tuple = CATEGORIES, target: int = 50, strict: bool = True) -> dict[str, DataFrame]:
+    """A stratified sample of works, with the authors, organizations and topics that they refer to.
+
+    Works (with ``category``) are picked category by category, each time the one that reuses most of what earlier ones
+    refer to, within budgets of linked entities.  The other tables (with ``why``: linked or fill) are filled up to
+    ``target``: authors by rules for edge cases, organizations with a country and topics about information first.
+    Topics that works refer to and that have no row are derived from their id.
+
+    ``strict``: ValueError if a category finds too few works, if they aren't ``target`` in all, or if more entities are
+    linked than ``target``.  Otherwise other works within the budgets fill up, and all linked entities stay.
+
+    The driver holds ids of picked works and of what they refer to, which ``target`` bounds; tables are read by id.
     """
-    flags = work_flags(works).join(all_refs_present(works, authors, orgs, topics), "id").persist()
+    refs = works.select("id", _clean_ids("authors.author_id").alias("authors"), _clean_ids("authors.org_id", "orgs.org_id").alias("orgs"), _clean_ids("topics.topic_id").alias("topics"))
+    flags = work_flags(works).join(all_refs_present(works, authors, orgs, topics), "id").join(refs, "id").persist()
+    budgets = {"authors": max(target - 6, 40), "orgs": max(target - 5, 45), "topics": target}
+    seen: dict[str, set] = {k: set() for k in budgets}
     picks: dict = {}
-    for name, quota, condition in categories:  # a few ids each, so later categories need no deep plan
-        left = flags.where(~F.col("id").isin(list(picks))) if picks else flags
-        picks |= {r.id: name for r in left.where(condition).orderBy("num_authors", "id").limit(quota).select("id").collect()}
-    spare = (flags.where(~F.col("id").isin(list(picks))) if picks else flags).orderBy("id").limit(max(0, target - len(picks)))
-    picks |= {r.id: "fill" for r in spare.select("id").collect()}
+    for name, quota, condition in categories:
+        found = _pick_works(flags, condition, quota if strict else min(quota, target - len(picks)), picks, seen, budgets)
+        if strict and len(found) < quota:
+            raise ValueError(f"category {name} finds {len(found)} of {quota} works")
+        picks |= dict.fromkeys(found, name)
+    if strict and len(picks) != target:
+        raise ValueError(f"{len(picks)} works, not {target}")
+    picks |= dict.fromkeys(_pick_works(flags, "true", target - len(picks), picks, seen, budgets), "fill")
     flags.unpersist()
-    picked = works.sparkSession.createDataFrame(list(picks.items()), f"id {works.schema['id'].dataType.simpleString()}, category string")
-    chosen = works.join(picked, "id")
-
-    def linked(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-        mine = nodes.join(refs.where("id is not null").distinct(), "id", "left_semi").select("id", F.lit("linked").alias("why"))
-        more = nodes.select("id").join(mine.select("id"), "id", "left_anti").orderBy("id").select("id", F.lit("fill").alias("why"))
-        return nodes.join(_filled(mine, more, target), "id")
-
-    a = linked(authors, chosen.select(F.explode("authors.author_id").alias("id")))
-    o = linked(orgs, chosen.select(F.explode("authors.org_id").alias("id")).unionByName(a.select(F.explode("org_ids").alias("id"))))
-    return {"works": chosen, "authors": a, "orgs": o, "topics": linked(topics, chosen.select(F.explode("topics.topic_id").alias("id")))}
 
-
-def _filled(have: DataFrame, more: DataFrame, target: int) -> DataFrame:
-    """All of ``have``, and of ``more`` as many first rows as are wanting."""
-    ranked = more.limit(target).withColumn("_r", F.row_number().over(Window.orderBy("id")))  # target rows at most
-    n = have.agg(F.count(F.lit(1)).alias("_n"))
-    return have.unionByName(ranked.crossJoin(n).where(F.col("_r") <= target - F.col("_n")).drop("_r", "_n"))
+    def marked(nodes: DataFrame, linked: list, extras: list) -> DataFrame:
+        return nodes.where(F.col("id").isin([*linked, *extras])).withColumn("why", F.when(F.col("id").isin(linked), "linked").otherwise("fill"))
+
+    def present(nodes: DataFrame, ids: set) -> list:
+        linked = [r.id for r in nodes.where(F.col("id").isin(list(ids))).select("id").distinct().collect()]
+        if strict and len(linked) > target:
+            raise ValueError(f"{len(linked)} linked entities, more than {target}")
+        return linked
+
+    def filled(nodes: DataFrame, ids: set, *keys: Column) -> DataFrame:
+        linked = present(nodes, ids)
+        more = nodes.where(~F.col("id").isin(linked)).orderBy(*keys, "id").limit(max(0, target - len(linked)))
+        return marked(nodes, linked, [r.id for r in more.select("id").collect()])
+
+    text = lambda df, c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
+    linked = present(authors, seen["authors"])
+    a = marked(authors, linked, _fill_authors(authors, linked, seen["orgs"], target))
+    of_chosen = {o for r in a.select(_clean_ids("org_ids").alias("o")).collect() for o in r.o}
+    derived = _derived_topics(topics, seen["topics"] - set(present(topics, seen["topics"])))
+    picked = works.sparkSession.createDataFrame(list(picks.items()), f"id {works.schema['id'].dataType.simpleString()}, category string")
+    return {
+        "works": works.join(F.broadcast(picked), "id"),  # target rows
+        "authors": a,
+        "orgs": filled(orgs, seen["orgs"] | of_chosen, text(orgs, "country") == "", text(orgs, "country"), text(orgs, "name")),
+        "topics": filled(topics.unionByName(derived, allowMissingColumns=True) if derived is not None else topics, seen["topics"], ~F.lower(text(topics, "field")).contains("information"), text(topics, "field"), text(topics, "name")),
+    }
+
+
+def _derived_topics(topics: DataFrame, ids: set) -> DataFrame | None:
+    """Rows of topics that have none, in the columns of ``topics``."""
+    if not ids:
+        return None
+    made = topics.sparkSession.createDataFrame([(i,) for i in sorted(ids)], f"id {topics.schema['id'].dataType.simpleString()}")
+    key = F.col("id").cast("string")
+    values = {"name": F.concat(F.lit("Derived topic "), F.regexp_replace(key, "^[^_]*_", "")), "field": F.lit("Derived from selected work references")}
+    if "sources" in topics.columns:
+        source = F.to_json(F.array(F.struct(F.lit("dtic").alias("source"), key.alias("id"))))
+        values["sources"] = F.from_json(source, topics.schema["sources"].dataType.simpleString())
+    return made.withColumns({c: v for c, v in values.items() if c in topics.columns})

@@ -118,7 +118,7 @@ def test_integrity(corpus):
     assert {tuple(r) for r in missing.collect()} == {("work.author", "a9"), ("work.author.org", "o9"), ("work.topic", "t9"), ("author.org", "o7")}
     assert not quality.is_fully_linked(missing).first()[0]
     assert {r.id: r.all_authors_present for r in quality.all_refs_present(works, authors, orgs, topics).collect()} == {"w1": False, "w2": True, "w3": True}
-    s = quality.linked_subset(works.withColumns({"abstract": F.lit("x"), "doi": F.lit("d"), "orgs": F.lit(None).cast("array<struct<org_id:string,role:string>>")}), authors, orgs, topics, target=2)
+    s = quality.linked_subset(works.withColumns({"abstract": F.lit("x"), "doi": F.lit("d"), "orgs": F.lit(None).cast("array<struct<org_id:string,role:string>>")}), authors, orgs, topics, target=2, strict=False)
     assert s["works"].count() == 2 and s["authors"].count() >= 2
 
 
@@ -239,3 +239,60 @@ def test_payload_defaults(spark):
     assert (r.title, r.name, r.type, r.citation_count, r.year) == ("N", "N", "report", 0, 2003)
     o = entities.default_org_type(spark.createDataFrame([("o", "")], "id string, type string")).first()
     assert o.type == "institution"
+
+
+@pytest.fixture(scope="module")
+def linked(spark):
+    """Works over few authors, organizations and topics, by a fixed rule."""
+    pick = lambda i, k, n: f"{i * 7919 * k % 10007 % n:02d}"
+    works = [
+        (f"w{i:02d}", "a" if i % 4 else " ", "d" if i % 3 else None, f"{1990 + i}", [(f"a{pick(i, j + 1, 30)}", f"o{pick(i, j + 2, 20)}" if i % 5 else None) for j in range(i % 4)], [(f"o{pick(i, 5, 20)}", "affiliation")] if i % 6 else None, [(f"topic_{pick(i, 3, 12)}", 0.5)] if i % 7 else [])
+        for i in range(45)
+    ]
+    w = spark.createDataFrame(works, "id string, abstract string, doi string, publication_date string, authors array<struct<author_id:string,org_id:string>>, orgs array<struct<org_id:string,role:string>>, topics array<struct<topic_id:string,score:double>>")
+    a = spark.createDataFrame([(f"a{i:02d}", "A-B" if i % 9 == 0 else f"N{i}", [f"o{i % 20:02d}"] if i % 3 else [], i % 4, i % 5) for i in range(30)], "id string, name string, org_ids array<string>, works_count int, citation_count int")
+    o = spark.createDataFrame([(f"o{i:02d}", f"O{i}", "US" if i % 3 == 0 else None) for i in range(20)], "id string, name string, country string")
+    t = spark.createDataFrame([(f"topic_{i:02d}", f"T{i}", "Information science" if i % 2 else "Art") for i in range(8)], "id string, name string, field string")
+    return works, (w, a, o, t)
+
+
+def test_linked_subset_reuses(linked):
+    works, tables = linked
+    quotas = (("one", 4, "has_authors and has_topics"), ("two", 3, "not has_abstract"))
+    got = quality.linked_subset(*tables, categories=quotas, target=12, strict=False)
+    refs = {i: ({x for x, _ in a}, {x for _, x in a if x} | {x for x, _ in o or []}, {x for x, _ in t}) for i, _, _, _, a, o, t in works}
+    info = {w[0]: w for w in works}
+    seen, want = (set(), set(), set()), {}
+
+    def cost(i):
+        n = len(refs[i][0])
+        return (*(len(r - s) for r, s in zip(refs[i], seen)), 0 if n == 1 else n, not info[i][1].strip(), int(info[i][3]), i)
+
+    for name, n, holds in (("one", 4, lambda i: refs[i][0] and refs[i][2]), ("two", 3, lambda i: not info[i][1].strip()), ("fill", 5, lambda i: True)):
+        for _ in range(n):
+            fits = [i for i in refs if i not in want and holds(i) and all(len(r | s) <= m for r, s, m in zip(refs[i], seen, (40, 45, 12)))]
+            want[best := min(fits, key=cost)] = name
+            for r, s in zip(refs[best], seen):
+                s |= r
+    assert {r.id: r.category for r in got["works"].collect()} == want
+    authors = {r.id: r.why for r in got["authors"].collect()}
+    assert {i for i, why in authors.items() if why == "linked"} == seen[0] and len(authors) == max(12, len(seen[0]))
+    assert {r.id for r in got["topics"].collect()} >= seen[2]
+    assert all(r.name == f"Derived topic {r.id[6:]}" for r in got["topics"].collect() if r.id >= "topic_08")
+    orgs = {r.id: r.why for r in got["orgs"].collect()}
+    assert {i for i, why in orgs.items() if why == "linked"} == seen[1] | {o for r in got["authors"].collect() for o in r.org_ids}
+
+
+def test_linked_subset_strict(linked):
+    _, tables = linked
+    with pytest.raises(ValueError, match="missing_everything"):
+        quality.linked_subset(*tables, categories=(("missing_everything", 1, "not has_authors and has_authors"),))
+    with pytest.raises(ValueError, match="2 works, not 50"):
+        quality.linked_subset(*tables, categories=(("any", 2, "true"),))
+
+
+def test_fill_authors(linked):
+    _, (_, authors, _, _) = linked
+    extras = quality._fill_authors(authors, ["a00"], {"o01"}, 9)
+    free = ["a12", "a24"]  # no works; without organizations, by name
+    assert extras[:2] == sorted(free, key=lambda i: f"N{int(i[1:])}") and len(extras) == 8 and len(set(extras)) == 8
