@@ -69,8 +69,9 @@ def document_counts(texts: list[str | None]) -> np.ndarray:
     return counts
 
 
-#: The lift was picked on held-out documents of a 0.1 GB table: 3 caught 86 % of the toxic ones, 2 caught 92 %, 1.5 caught 91 %.
-def telling(positive: list[str | None], unlabelled: list[str | None], lift: float = 2.0, least: float = 0.02) -> np.ndarray:
+#: The lift was picked on sf0.1 within the training folds alone (fit on remainders 1 and 3, validated on 0; never on 2):
+#: F1 at 0.3 was 0.67 for 1.5, 0.54 for 2, 0.75 for 2.5, 0.84 for 3, 0.83 for 3.5, 0.84 for 4.
+def telling(positive: list[str | None], unlabelled: list[str | None], lift: float = 3.0, least: float = 0.02) -> np.ndarray:
     """Which features are in ``least`` of the toxic texts (three at least), at ``lift`` times the unlabelled's rate or more."""
     p, u = document_counts(positive), document_counts(unlabelled)
     return (p >= max(3, least * len(positive))) & ((p + 0.5) / (len(positive) + 1) >= lift * (u + 0.5) / (len(unlabelled) + 1))
