@@ -93,12 +93,18 @@ def worker_state() -> dict:
 
 
 def share(spark: SparkSession, thing: object) -> Callable[[], object]:
-    """Broadcasts an object by its fields (a broadcast, unlike a function, travels by class name); call to get it back."""
-    kind, fields = type(thing), spark.sparkContext.broadcast(vars(thing))
+    """Broadcasts an object by its fields, and fields of this package's classes by theirs; call to get it back.
 
-    def get() -> object:
+    A broadcast, unlike a function, travels by class name, and workers needn't have the package: the classes go with
+    the function that is returned.
+    """
+    ours = __name__.split(".")[0]
+    kinds = {name: type(value) for name, value in vars(thing).items() if type(value).__module__.split(".")[0] == ours}
+    kind, fields = type(thing), spark.sparkContext.broadcast({name: vars(value) if name in kinds else value for name, value in vars(thing).items()})
+
+    def built(kind: type, values: dict) -> object:
         made = object.__new__(kind)
-        vars(made).update(fields.value)
+        vars(made).update(values)
         return made
 
-    return get
+    return lambda: built(kind, {name: built(kinds[name], value) if name in kinds else value for name, value in fields.value.items()})
