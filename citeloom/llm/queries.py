@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hard_negatives, html_text, language_id, line_dedup, mixing, quality_rules, repeats, simhash, token_files, toxicity
+from . import decontamination, divergence, hard_negatives, html_text, language_id, line_dedup, mixing, quality_rules, repeats, simhash, token_files, toxicity
 from .common import Scratch, table
 from .language_id import fold
 
@@ -63,6 +63,10 @@ def op10_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held, "lang_pred", "score")
 
 
+def op11_divergence_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(spark, table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_simhash_golay": op8_simhash_golay,
     "op9_decontamination_simhash": op9_decontamination_simhash,
     "op10_language_cross_parsing": op10_language_cross_parsing,
+    "op11_divergence_transducer": op11_divergence_transducer,
     "op12_hard_negatives_slots": op12_hard_negatives_slots,
 }
-ORACLES: dict[str, str] = {"op3_mixing_poisson": mixing.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op12_hard_negatives_slots": hard_negatives.ORACLE}
+ORACLES: dict[str, str] = {"op3_mixing_poisson": mixing.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op11_divergence_transducer": divergence.ORACLE, "op12_hard_negatives_slots": hard_negatives.ORACLE}
