@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, divergence, hard_negatives, html_text, language_id, line_dedup, mixing, quality_rules, repeats, simhash, token_files, toxicity
+from . import decontamination, divergence, hard_negatives, html_text, jaccard_join, language_id, line_dedup, mixing, quality_rules, repeats, simhash, token_files, toxicity
 from .common import Scratch, table
 from .language_id import fold
 
@@ -71,6 +71,10 @@ def op12_hard_negatives_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op13_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity_nnpu": op1_toxicity_nnpu,
     "op2_html_text_ratio": op2_html_text_ratio,
@@ -84,5 +88,6 @@ QUERIES = {
     "op10_language_cross_parsing": op10_language_cross_parsing,
     "op11_divergence_transducer": op11_divergence_transducer,
     "op12_hard_negatives_slots": op12_hard_negatives_slots,
+    "op13_grouped_prefix_join": op13_grouped_prefix_join,
 }
 ORACLES: dict[str, str] = {"op3_mixing_poisson": mixing.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op11_divergence_transducer": divergence.ORACLE, "op12_hard_negatives_slots": hard_negatives.ORACLE}
