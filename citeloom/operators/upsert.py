@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .publications import last_per_key
 
-__all__ = ["add_column_default", "incremental_files", "last_write_wins", "metadata_repair", "new_vs_seen", "union_org_ids", "upsert_entities", "upsert_nodes", "upsert_vectors"]
+__all__ = ["add_column_default", "incremental_files", "last_write_wins", "merge_mentions", "metadata_repair", "new_vs_seen", "union_org_ids", "upsert_entities", "upsert_nodes", "upsert_vectors"]
 
 
 def last_write_wins(df: DataFrame, *order: Column, key: str = "id") -> DataFrame:
@@ -41,6 +41,17 @@ def upsert_entities(mentions: DataFrame, key: str, ts: str, fields: list[str], o
     return out.select(key, *(F.col(f"m.{c}").alias(c) for c in fields), "created_at", "last_updated", *([org_ids] if org_ids else []))
 
 
+def merge_mentions(old: DataFrame, mentions: DataFrame, key: str, ts: str, fields: list[str]) -> DataFrame:
+    """``upsert_entities`` of all that came before (key, fields, created_at, last_updated) and of new mentions.
+
+    Least and greatest values only, so mentions may come in any order, in any batches, and again.
+    """
+    part = lambda df, first, last: df.select(key, F.col(first).alias("created_at"), F.struct(F.col(last).alias("last_updated"), *fields).alias("m"))
+    both = part(old, "created_at", "last_updated").unionByName(part(mentions, ts, ts))
+    out = both.groupBy(key).agg(F.min("created_at").alias("created_at"), F.max("m").alias("m"))
+    return out.select(key, *(F.col(f"m.{c}").alias(c) for c in fields), "created_at", F.col("m.last_updated").alias("last_updated"))
+
+
 def upsert_vectors(old: DataFrame, new: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     """(merged with a ``status`` of created, updated or kept; rejected rows of ``new``): vectors of another dimension,
     null and empty ones are rejected; missing counts are 0."""

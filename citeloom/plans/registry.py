@@ -9,13 +9,16 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.ids import NAMESPACES, stable_id
 from ..operators import entities, filters, graph, identity, publications, quality, search, stats, upsert, vectors
+from ..operators.manifest import Manifest
 from ..sources import io
+from ..sources.buckets import BucketedTable
 from ..streaming import watch
 from . import bindings as B
 
@@ -786,10 +789,125 @@ def embed_text(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(F.slice(vectors.embed_text(F.col("text")), 1, 4)).alias("i", "value"))
 
 
+# --- files and merges that survive a crash ----------------------------------------------------------------------------
+
+
 @query("@ SELECT 'author_' || id AS id, name, citation_count FROM authors")
 def write_entity_shards(spark, sf_dir):
-    """Written as shards and read again."""
+    """Written as shards of a measured size and read again by the shards' reader."""
     rows = B.authors(spark, sf_dir).select(F.concat(F.lit("author_"), F.col("id").cast("string")).alias("id"), "name", "citation_count")
     folder = f"{_state_folder(spark)}/shards"
-    io.write_entity_shards(rows, folder, estimated_bytes=1 << 20, target_bytes=1 << 18)
-    return spark.read.json(folder, schema="id string, name string, citation_count long")
+    io.write_entity_shards(rows, folder, "authors", target_bytes=4 << 10)
+    return io.read_entity_shards(spark, folder, "authors").select("id", "name", "citation_count")
+
+
+@query("SELECT 'topic_' || p_partkey AS id, p_name AS name, p_type AS field FROM part")
+def read_entity_shards(spark, sf_dir):
+    """Shards with a broken line after every tenth row, which the reader passes over."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    line = F.to_json(F.struct(F.concat(F.lit("topic_"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("field")))
+    lines = part.select(F.explode(F.when(F.col("p_partkey") % 10 == 0, F.array(line, F.lit("{broken"))).otherwise(F.array(line))).alias("value"))
+    folder = f"{_state_folder(spark)}/shards"
+    lines.repartition(3).write.option("compression", "gzip").text(f"{folder}/aside/rows")
+    io.name_shards(io.Files(spark, folder), "aside/rows", "topics", "aside")
+    return io.read_entity_shards(spark, folder, "topics").select("id", "name", "field")
+
+
+@query("""SELECT CASE WHEN s_suppkey % 10 <> 0 THEN 'pub.' || s_suppkey END AS publication_id, CASE WHEN s_suppkey % 10 <> 0 THEN s_name END AS title, CASE WHEN s_suppkey % 10 <> 0 THEN s_suppkey * 3 END AS citations_count,
+CASE WHEN s_suppkey % 10 = 0 THEN 'failed' ELSE 'processed' END AS status FROM supplier""")
+def read_publications(spark, sf_dir):
+    """A file a supplier; the count of every tenth isn't a number, so its document is kept as failed."""
+    key = F.col("s_suppkey")
+    cited = F.when(key % 10 == 0, F.lit("many")).otherwise((key * 3).cast("string"))
+    docs = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("pub."), key.cast("string")).alias("publication_id"), F.col("s_name").alias("title"), F.when(key % 10 != 0, key * 3).alias("citations_count"), F.when(key % 10 == 0, cited).alias("_bad"))
+    text = F.when(F.col("_bad").isNull(), F.to_json(F.struct("publication_id", "title", "citations_count"))).otherwise(F.to_json(F.struct("publication_id", "title", F.col("_bad").alias("citations_count"))))
+    folder = f"{_state_folder(spark)}/publications"
+    docs.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    read = io.read_publications(spark, folder, names="*.txt")
+    good = F.col("_corrupt").isNull()
+    return read.select(*(F.when(good, F.col(c)).alias(c) for c in ("publication_id", "title", "citations_count")), F.when(good, "processed").otherwise("failed").alias("status"))
+
+
+@query("""SELECT 'orders' AS target, (SELECT count(*) FROM orders) >= 100 AS skip UNION ALL SELECT 'customer', (SELECT count(*) FROM customer) >= 1000 UNION ALL SELECT 'nation', (SELECT count(*) FROM nation) >= 100 UNION ALL SELECT 'forced', false""")
+def load_guard(spark, sf_dir):
+    """Which loads are to be skipped, as their target is filled."""
+    at = lambda name, n: (name, io.load_guard(spark.read.parquet(f"{sf_dir}/{name}.parquet"), n))
+    rows = [at("orders", 100), at("customer", 1000), at("nation", 100), ("forced", io.load_guard(spark.read.parquet(f"{sf_dir}/orders.parquet"), force=True))]
+    return spark.createDataFrame(rows, "target string, skip boolean")
+
+
+@query("""SELECT 'pub.' || o_custkey AS publication_id, arg_max(title, (scraped_at, title)) AS title, arg_max(citations_count, (scraped_at, title)) AS citations_count, min(scraped_at) AS created_at, max(scraped_at) AS last_updated
+FROM (SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS scraped_at, 'Work ' || o_orderkey AS title, CAST(floor(o_totalprice) AS BIGINT) AS citations_count FROM orders) GROUP BY o_custkey""")
+def watch_publications(spark, sf_dir):
+    """Files cut from orders, each a scrape of its customer's publication, come in batches; the merge dies in the second
+    batch, and the restarted stream goes on from its checkpoint."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    top = _state_folder(spark)
+    scrapes = o.select(
+        F.concat(F.lit("pub."), F.col("o_custkey").cast("string")).alias("publication_id"), F.concat(F.lit("Work "), F.col("o_orderkey").cast("string")).alias("title"),
+        F.floor("o_totalprice").alias("citations_count"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("scraped_at"),
+    )
+    scrapes.repartition(6).write.json(f"{top}/in")
+    table = BucketedTable(spark, f"{top}/table", "publication_id", "publication_id string, title string, citations_count long, created_at string, last_updated string", buckets=16)
+    merge = watch.merging(table, "scraped_at", ["title", "citations_count"])
+
+    def dies(batch, number):
+        if number == 1:
+            raise RuntimeError("a merge that dies")
+        merge(batch, number)
+
+    for act in (dies, merge):
+        stream = watch.publication_stream(spark, f"{top}/in", per_batch=2, multi_line=False)
+        try:
+            watch.watch_publications(stream, act, f"{top}/checkpoint", once=True).awaitTermination()
+        except StreamingQueryException:
+            if act is merge:
+                raise
+    return table.read()
+
+
+@query(ORACLES["upsert_entities"])
+def stream_upsert_table(spark, sf_dir):
+    """The same upsert without state in the stream: batches are merged into a bucketed table."""
+    top = _state_folder(spark)
+    table = BucketedTable(spark, f"{top}/table", "user_id", "user_id long, event_type string, value double, created_at timestamp, last_updated timestamp", buckets=16)
+    watch.watch_publications(_event_stream(spark, sf_dir), watch.merging(table, "ts", ["event_type", "value"]), f"{top}/checkpoint", once=True).awaitTermination()
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return table.read().select("user_id", "event_type", "value", text("created_at"), text("last_updated"))
+
+
+@query("""SELECT 'orders/' || lpad(CAST(k AS VARCHAR), 2, '0') AS path, 'processed' AS status, CAST(CASE WHEN k >= 25 THEN 2 WHEN k % 7 = 0 THEN 3 ELSE 1 END AS BIGINT) AS attempts, n
+FROM (SELECT o_orderkey % 40 AS k, count(*) AS n FROM orders GROUP BY 1)""")
+def file_manifest(spark, sf_dir):
+    """Forty files of orders: 25 in the first run, of which some fail; a run that dies; and one that does the rest."""
+    top = _state_folder(spark)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("orders/"), F.lpad((F.col("o_orderkey") % 40).cast("string"), 2, "0")).alias("path"))
+    manifest = Manifest(spark, f"{top}/manifest")
+    table = BucketedTable(spark, f"{top}/table", "path", "path string, n long", buckets=8)
+
+    def process(todo, attempt):
+        good = todo if attempt > 1 else todo.where("cast(substr(path, 8) as int) % 7 <> 0")
+        table.merge(orders.join(good, "path", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("n")), lambda old, new: upsert.upsert_nodes(old, new, "path"), attempt)
+        if attempt == 2:
+            raise RuntimeError("a run that dies")
+        return good.select("path", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("reason"))
+
+    manifest.run(orders, process, limit=25)
+    try:
+        manifest.run(orders, process)
+    except RuntimeError:
+        manifest.run(orders, process)
+    return manifest.state().join(table.read(), "path").select("path", "status", "attempts", "n")
+
+
+@query("""@ SELECT id, CASE WHEN id % 10 = 0 THEN 'new ' || name ELSE name END AS name, citation_count FROM authors UNION ALL SELECT -id, name, NULL FROM authors WHERE id % 10 = 0""")
+def upsert_nodes_bucketed(spark, sf_dir):
+    """New and changed authors merged into a bucketed table; the merge that comes twice is applied once."""
+    a = B.authors(spark, sf_dir).select("id", "name", "citation_count")
+    none = F.lit(None).cast("long").alias("citation_count")
+    some = a.where("id % 10 = 0")
+    new = some.select("id", F.concat(F.lit("new "), "name").alias("name"), none).unionByName(some.select((-F.col("id")).alias("id"), "name", none))
+    table = BucketedTable(spark, f"{_state_folder(spark)}/authors", "id", "id long, name string, citation_count long", buckets=16)
+    for batch, rows in ((0, a), (1, new), (1, new)):
+        table.merge(rows, upsert.upsert_nodes, batch)
+    return table.read()

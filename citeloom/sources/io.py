@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import fnmatch
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ENTITIES, PUBLICATION
+from .files import Files
 
-
-#: Fixed value: names of the shards of an entity.
-SHARDS = "dtic_{entity}_*.jsonl.gz"
+#: Names of the shards of an entity.
+SHARDS, SHARD = "dtic_{entity}_*.jsonl.gz", "dtic_{entity}_{number}.jsonl.gz"
+#: Rows of the sample that tells how many bytes a row takes.
+SAMPLE = 20_000
 
 
 def _found(spark: SparkSession, glob: str) -> bool:
@@ -30,20 +35,58 @@ def read_entity_shards(spark: SparkSession, folder: str, entity: str, strict: bo
     return reader.option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", True).json(glob)
 
 
-def read_publications(spark: SparkSession, prefix: str) -> DataFrame:
+def read_publications(spark: SparkSession, prefix: str, names: str = "*.json") -> DataFrame:
     """One publication a file; ``_corrupt`` holds what could not be parsed, and ``path`` the file."""
     reader = spark.read.schema(f"{PUBLICATION}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    return reader.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(prefix).withColumn("path", F.col("_metadata.file_path"))
+    return reader.option("pathGlobFilter", names).option("recursiveFileLookup", True).json(prefix).withColumn("path", F.col("_metadata.file_path"))
 
 
 def load_stats(publications: DataFrame) -> DataFrame:
     return publications.agg(F.count_if(F.col("_corrupt").isNull()).alias("processed"), F.count_if(F.col("_corrupt").isNotNull()).alias("failed"))
 
 
-def write_entity_shards(df: DataFrame, folder: str, estimated_bytes: int, target_bytes: int = 50 << 20) -> None:
-    """Compressed JSON lines in shards of about ``target_bytes``, in order of id over all shards."""
-    n = max(1, -(-estimated_bytes // target_bytes))
-    df.repartitionByRange(n, "id").sortWithinPartitions("id").write.option("compression", "gzip").option("ignoreNullFields", True).json(folder)
+def packed_row_bytes(df: DataFrame, staging: str, sample: int = SAMPLE) -> tuple[float, int]:
+    """(compressed bytes a row, rows): measured on a written sample of at most about ``sample`` rows, in order of id."""
+    n = df.count()
+    if not n:
+        return 0.0, 0
+    spark, share = df.sparkSession, min(1.0, sample / n)
+    rows = df.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003) if share < 1 else df
+    rows.coalesce(1).sortWithinPartitions("id").write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", True).json(f"{staging}/sample")
+    size = sum(b for name, b in Files(spark, f"{staging}/sample").names() if name.startswith("part-"))
+    kept = spark.read.schema("id string").json(f"{staging}/sample").count()
+    Files(spark, staging).drop("sample")
+    return (size / kept if kept else 100.0), n
+
+
+def write_entity_shards(df: DataFrame, folder: str, entity: str, target_bytes: int = 50 << 20) -> list[str]:
+    """Writes an entity's rows as ``SHARDS`` of about ``target_bytes`` compressed, in order of id over all; returns their names.
+
+    How many shards it takes follows from a written sample.  They are written aside and then named, in place of the
+    entity's shards of before; whoever reads during the naming may see some of both.  No rows: no shards.
+    """
+    spark, files = df.sparkSession, Files(df.sparkSession, folder)
+    aside = f"_{entity}_{uuid.uuid4().hex[:8]}"
+    each, n = packed_row_bytes(df, f"{folder}/{aside}")
+    shards = max(1, round(each * n / target_bytes))
+    if n:
+        spread = df.repartitionByRange(shards, "id").sortWithinPartitions("id")
+        spread.write.option("compression", "gzip").option("ignoreNullFields", True).json(f"{folder}/{aside}/rows")
+    return name_shards(files, f"{aside}/rows", entity, aside)
+
+
+def name_shards(files: Files, written: str, entity: str, aside: str) -> list[str]:
+    """Gives the written parts, in their order, the names of an entity's shards, and drops the folder aside."""
+    before = [name for name, _ in files.names() if fnmatch.fnmatch(name, SHARDS.format(entity=entity))]
+    parts = [name for name, _ in files.names(written) if name.startswith("part-")]
+    width = max(3, len(str(len(parts))))
+    named = [SHARD.format(entity=entity, number=str(i).zfill(width)) for i in range(1, len(parts) + 1)]
+    for name in before:
+        files.drop(name)
+    for part, name in zip(parts, named):
+        files.move(f"{written}/{part}", name)
+    files.drop(aside)
+    return named
 
 
 def shard_stats(df: DataFrame, entity: Column) -> DataFrame:

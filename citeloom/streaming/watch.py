@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.upsert import merge_mentions
 from ..schemas import PUBLICATION
+from ..sources.buckets import BucketedTable
 
 
-def publication_stream(spark: SparkSession, folder: str, schema: str = PUBLICATION, per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json")
+def publication_stream(spark: SparkSession, folder: str, schema: str = PUBLICATION, per_batch: int | None = None, multi_line: bool = True) -> DataFrame:
+    """The JSON files of a folder as they come: a document a file, or a line with ``multi_line=False``."""
+    reader = spark.readStream.schema(f"{schema}, _corrupt string").option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json")
     return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).json(folder)
 
 
@@ -22,10 +25,34 @@ def watch_publications(stream: DataFrame, merge: Callable[[DataFrame, int], None
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
+def merging(table: BucketedTable, ts: str, fields: list[str]) -> Callable[[DataFrame, int], None]:
+    """What ``watch_publications`` calls to upsert its batches into a table (key, fields, created_at, last_updated).
+
+    A batch that comes again after a restart is applied once: its number is that of the table's commit.  Documents that
+    couldn't be parsed, or lack a key or time, are left out; the table's totals count ``processed`` and ``failed``.
+    """
+    key = table.key
+
+    def merge(batch: DataFrame, number: int) -> None:
+        bad = F.col(key).isNull() | F.col(ts).isNull()
+        if "_corrupt" in batch.columns:
+            bad = bad | F.col("_corrupt").isNotNull()
+        batch = batch.persist()
+        try:
+            failed, processed = batch.agg(F.count_if(bad), F.count_if(~bad)).first()
+            mentions = batch.where(~bad).select(key, ts, *fields)
+            table.merge(mentions, lambda old, new: merge_mentions(old, new, key, ts, fields), number, {"processed": processed, "failed": failed})
+        finally:
+            batch.unpersist()
+
+    return merge
+
+
 def stream_upsert(stream: DataFrame, key: str, ts: str, fields: list[str]) -> DataFrame:
     """The latest fields, first and last time of each key, kept up to date (output mode update or complete).
 
-    State is a row a key; for keys without bound, merge batches into a table in ``watch_publications`` instead.
+    State is a row a key; for keys without bound, ``watch_publications`` with ``merging`` keeps none and merges each batch
+    into a bucketed table.
     """
     latest = F.max(F.struct(ts, *fields)).alias("m")
     return stream.groupBy(key).agg(F.min(ts).alias("created_at"), F.max(ts).alias("last_updated"), latest).select(key, *(F.col(f"m.{c}").alias(c) for c in fields), "created_at", "last_updated")

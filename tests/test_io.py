@@ -1,9 +1,14 @@
 import gzip
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from citeloom.operators import upsert
+from citeloom.operators.manifest import Manifest
 from citeloom.sources import io
+from citeloom.sources.buckets import BucketedTable
 from citeloom.streaming import watch
 
 
@@ -17,13 +22,23 @@ def test_shards(spark, tmp_path):
 
 
 def test_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([(f"t{i:03}", f"n{i}", None) for i in range(50)], "id string, name string, field string")
-    io.write_entity_shards(df, f"{tmp_path}/out", estimated_bytes=300, target_bytes=100)
-    files = sorted((tmp_path / "out").glob("*.json.gz"))
+    df = spark.range(30_000).select(F.format_string("t%06d", "id").alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("name"), F.lit(None).cast("string").alias("field"))
+    names = io.write_entity_shards(df.repartition(3), f"{tmp_path}/out", "topics", target_bytes=200_000)
+    files = sorted((tmp_path / "out").glob("dtic_topics_*.jsonl.gz"))
+    assert [f.name for f in files] == names and names[0] == "dtic_topics_001.jsonl.gz" and not [f for f in (tmp_path / "out").iterdir() if f.is_dir()]
+    sizes = [f.stat().st_size for f in files]
+    assert len(sizes) > 5 and abs(sum(sizes) / len(sizes) - 200_000) < 40_000
     lines = [json.loads(x) for f in files for x in gzip.decompress(f.read_bytes()).decode().splitlines()]
-    assert len(files) == 3 and [x["id"] for x in lines] == sorted(x["id"] for x in lines) and "field" not in lines[0]
+    assert [x["id"] for x in lines] == sorted(x["id"] for x in lines) and "field" not in lines[0]
+    back = io.read_entity_shards(spark, f"{tmp_path}/out", "topics")
+    assert back.count() == 30_000 and back.select("id", "name", "field").exceptAll(df).count() == 0
     s = io.shard_stats(spark.read.json(f"{tmp_path}/out"), F.lit("topics")).first()
-    assert (s.rows, s.files) == (50, 3)
+    assert (s.rows, s.files) == (30_000, len(names))
+    again = io.write_entity_shards(df.limit(10), f"{tmp_path}/out", "topics")  # replaces the shards of before, and only the entity's
+    assert again == ["dtic_topics_001.jsonl.gz"] and io.read_entity_shards(spark, f"{tmp_path}/out", "topics").count() == 10
+    io.write_entity_shards(df.select("id", "name").limit(5), f"{tmp_path}/out", "orgs")
+    assert io.write_entity_shards(df.limit(0), f"{tmp_path}/out", "topics") == [] and io.read_entity_shards(spark, f"{tmp_path}/out", "topics").count() == 0
+    assert io.read_entity_shards(spark, f"{tmp_path}/out", "orgs").count() == 5
     io.write_sorted_jsonl(df.limit(1), f"{tmp_path}/sorted")
     assert next((tmp_path / "sorted").glob("*.txt")).read_text().startswith('{"id":')
 
@@ -57,6 +72,86 @@ def test_watch_once(spark, tmp_path):
     assert seen == ["p1", "p2"]
 
 
+ROWS = [(f"k{i % 37}", (i * 7) % 50, f"v{i}") for i in range(300)]
+TABLE = "id string, v string, created_at long, last_updated long"
+
+
+def cut(tmp_path, files=12):
+    (tmp_path / "in").mkdir()
+    for f in range(files):
+        lines = [json.dumps({"id": k, "ts": ts, "v": v}) for k, ts, v in ROWS[f::files]] + ["{broken"] * (f % 2)
+        (tmp_path / "in" / f"{f:02}.json").write_text("\n".join(lines))
+
+
+@pytest.mark.parametrize("dies", ["before", "between", "after"])
+def test_watch_survives_a_crash(spark, tmp_path, dies):
+    """A merge that dies before it writes, before it commits, or before the stream knows that it ended, is applied once."""
+    cut(tmp_path)
+    table = BucketedTable(spark, f"{tmp_path}/table", "id", TABLE, buckets=8)
+    good, put, deaths = watch.merging(table, "ts", ["v"]), table.files.put, []
+
+    def bad(batch, number):
+        if number == 2 and dies == "before":
+            raise RuntimeError("killed")
+        if number == 2 and dies == "between":
+            table.files.put = lambda *a: (_ for _ in ()).throw(RuntimeError("killed"))
+        good(batch, number)
+        if number == 2 and dies == "after":
+            raise RuntimeError("killed")
+
+    def run(merge):
+        stream = watch.publication_stream(spark, f"{tmp_path}/in", "id string, ts long, v string", per_batch=2, multi_line=False)
+        watch.watch_publications(stream, merge, f"{tmp_path}/check", once=True).awaitTermination(120)
+
+    with pytest.raises(StreamingQueryException):
+        run(bad)
+    table.files.put = put
+    run(good)
+    want = upsert.upsert_entities(spark.createDataFrame(ROWS, "id string, ts long, v string"), "id", "ts", ["v"])
+    assert sorted(map(tuple, table.read().collect())) == sorted((r.id, r.v, r.created_at, r.last_updated) for r in want.collect())
+    assert table.totals() == {"processed": 300, "failed": 6}
+    table.vacuum()
+    assert table.read().count() == 37 and table.last()[0] == 5
+
+
+def test_merges_leave_other_buckets_alone(spark, tmp_path):
+    table = BucketedTable(spark, f"{tmp_path}/t", "id", "id long, name string, n long", buckets=16)
+    merge = lambda rows, batch: table.merge(spark.createDataFrame(rows, "id long, name string, n long"), upsert.upsert_nodes, batch)
+    assert merge([(i, f"a{i}", i) for i in range(200)], 0)
+    files = set(table.read().inputFiles())
+    before = table.last()[1]["buckets"]
+    assert merge([(3, "new", None), (1000, "more", 1)], 1) and not merge([(4, "twice", 0)], 1)
+    after = table.last()[1]["buckets"]
+    assert 1 <= sum(after[b] != before.get(b) for b in after) <= 2
+    assert len(files & set(table.read().inputFiles())) == len(files) - sum(before[b] != after[b] for b in before)
+    want = upsert.upsert_nodes(spark.createDataFrame([(i, f"a{i}", i) for i in range(200)], "id long, name string, n long"), spark.createDataFrame([(3, "new", None), (1000, "more", 1)], "id long, name string, n long"))
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, want.collect()))
+    assert table.merge(spark.createDataFrame([], "id long, name string, n long"), upsert.upsert_nodes, 2) and table.read().count() == 201
+
+
+def test_manifest_with_a_crash(spark, tmp_path):
+    files = spark.createDataFrame([(f"f{i:02}",) for i in range(20)], "path string")
+    manifest = Manifest(spark, f"{tmp_path}/manifest")
+    broken, seen = {"f03", "f07"}, []
+
+    def process(todo, attempt):
+        seen.append([r.path for r in todo.orderBy("path").collect()])
+        return todo.where("path <> 'f19'").select("path", ~F.col("path").isin(*broken), F.when(F.col("path").isin(*broken), "bad JSON")).toDF("path", "ok", "reason")
+
+    def dies(todo, attempt):
+        raise RuntimeError("killed")
+
+    assert manifest.run(files, process, limit=8) == {"processed": 6, "failed": 2, "skipped": 0}
+    with pytest.raises(RuntimeError):
+        manifest.run(files, dies)
+    assert {r.path: r.status for r in manifest.state().collect()}["f15"] == "started"
+    broken.remove("f07")
+    assert manifest.run(files, process) == {"processed": 12, "failed": 2, "skipped": 6}  # f03 again, and f19 without an outcome
+    assert seen[0] == [f"f{i:02}" for i in range(8)] and seen[1] == ["f03", "f07"] + [f"f{i:02}" for i in range(8, 20)]
+    state = {r.path: (r.status, r.attempts, r.reason) for r in manifest.state().collect()}
+    assert state["f07"] == ("processed", 3, None) and state["f03"] == ("failed", 3, "bad JSON") and state["f19"] == ("failed", 2, "no outcome") and state["f00"] == ("processed", 1, None)
+
+
 def test_stream_upsert(spark, tmp_path):
     for k, (ts, v) in enumerate([(1, "x"), (5, "z"), (3, "y")]):
         (tmp_path / f"{k}.json").write_text(json.dumps({"id": "a", "ts": ts, "v": v}))
