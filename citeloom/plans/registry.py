@@ -900,13 +900,13 @@ def file_manifest(spark, sf_dir):
     return manifest.state().join(table.read(), "path").select("path", "status", "attempts", "n")
 
 
-@query("""@ SELECT id, CASE WHEN id % 10 = 0 THEN 'new ' || name ELSE name END AS name, citation_count FROM authors UNION ALL SELECT -id, name, NULL FROM authors WHERE id % 10 = 0""")
+@query("""@ SELECT id, CASE WHEN id % 10 = 0 THEN 'new ' || name ELSE name END AS name, citation_count FROM authors UNION ALL SELECT -1 - id, name, NULL FROM authors WHERE id % 10 = 0""")
 def upsert_nodes_bucketed(spark, sf_dir):
     """New and changed authors merged into a bucketed table; the merge that comes twice is applied once."""
     a = B.authors(spark, sf_dir).select("id", "name", "citation_count")
     none = F.lit(None).cast("long").alias("citation_count")
     some = a.where("id % 10 = 0")
-    new = some.select("id", F.concat(F.lit("new "), "name").alias("name"), none).unionByName(some.select((-F.col("id")).alias("id"), "name", none))
+    new = some.select("id", F.concat(F.lit("new "), "name").alias("name"), none).unionByName(some.select((-1 - F.col("id")).alias("id"), "name", none))
     table = BucketedTable(spark, f"{_state_folder(spark)}/authors", "id", "id long, name string, citation_count long", buckets=16)
     for batch, rows in ((0, a), (1, new), (1, new)):
         table.merge(rows, upsert.upsert_nodes, batch)
