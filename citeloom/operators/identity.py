@@ -9,7 +9,9 @@ from ..functions.scalars import clean_uid, fuzz_ratio, generated_email, surname,
 from .publications import first_per_key
 
 #: Names of a block of a lookup, which is sent to every task.
-FEW = 100_000
+FEW = 20_000
+#: Groups of letters of a signature; rare three-letter parts of a name, and entries of each, that give first guesses.
+GROUPS, RARE, POSTINGS = 6, 8, 64
 
 
 def org_name_list(orgs: DataFrame) -> DataFrame:
@@ -41,21 +43,78 @@ def exact_entries(directory: DataFrame, names: DataFrame) -> DataFrame:
     return first_per_key(found, "query", F.col("cn"), F.col("uid")).select("query", "cn", "mail")
 
 
+def _profile(df: DataFrame, name: str) -> DataFrame:
+    """Adds what bounds go by: ``_chars``, ``_bag`` (letters with the number of their occurrence) and ``_sig``, how many
+    letters each of ``GROUPS`` groups has."""
+    chars = F.filter(F.split(name, ""), lambda c: c != "")
+    bag = F.transform("_chars", lambda c, i: F.concat(c, F.size(F.filter(F.slice("_chars", F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+    counts = F.array(*(F.size(F.filter("_chars", lambda c: F.pmod(F.crc32(c.cast("binary")), F.lit(GROUPS)) == g)) for g in range(GROUPS)))
+    return df.withColumn("_chars", chars).withColumns({"_bag": bag, "_sig": counts})
+
+
+def _bound(common: Column, total: Column) -> Column:
+    """The ratio that ``common`` letters in both names of ``total`` letters would give, a rounding step above."""
+    return F.when(total == 0, 100.0).otherwise(200.0 * common / F.greatest(total, F.lit(1))) + 0.0051
+
+
+def _parts(df: DataFrame, name: str) -> DataFrame:
+    """(name, part): each name's different three-letter parts; a shorter name is its own."""
+    n = F.length(name)
+    parts = F.when(n < 3, F.array(F.col(name))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(3))))
+    return df.select(name, F.explode(F.array_distinct(parts)).alias("part"))
+
+
+def first_guesses(mailed: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    """(query, floor): a ratio that the ``top``-th best entry has at least; -1 where too few entries were found.
+
+    Entries that share one of a name's rarest three-letter parts are scored, some of each part: what is passed over only
+    makes the floor lower.
+    """
+    index = _parts(mailed, "cn")
+    sizes = index.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    some = index.withColumn("_r", F.row_number().over(Window.partitionBy("part").orderBy("cn"))).where(F.col("_r") <= POSTINGS).select("part", "cn")
+    rare = _parts(asked, "query").join(sizes, "part").withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("n", "part"))).where(F.col("_r") <= RARE)
+    scored = rare.join(some, "part").select("query", "cn").distinct().withColumn("score", fuzz_ratio(F.col("query"), F.col("cn")))
+    best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("_r") == top)
+    return asked.join(best.select("query", F.col("score").alias("floor")), "query", "left").select("query", F.coalesce("floor", F.lit(-1.0)).alias("floor"))
+
+
+def near_entries(mailed: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    """(query, floor, cn, mail): the pairs that may be among a query's ``top`` best; all others are below its floor.
+
+    Entries are indexed by signature.  A ratio is at most that of the letters that two signatures, then two names, have
+    in common, and of those letters that stand near enough: names of n and m letters with a common subsequence of k
+    align letters at most n + m - 2 k places apart.
+    """
+    entries = _profile(mailed.select("cn", "mail"), "cn")
+    floors = _profile(first_guesses(mailed, asked, top), "query")
+    q = floors.select("query", "floor", F.col("_chars").alias("q_chars"), F.col("_bag").alias("q_bag"), F.col("_sig").alias("q_sig"))
+    total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x + y), F.lit(0), lambda s, x: s + x)
+    shared = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    met = entries.select("_sig").distinct().join(F.broadcast(q), _bound(shared(F.col("_sig"), F.col("q_sig")), total(F.col("_sig"), F.col("q_sig"))) >= F.col("floor"))
+    pairs = entries.join(met, "_sig")
+    n, m = F.size("q_chars"), F.size("_chars")
+    same = F.size(F.array_intersect("q_bag", "_bag"))
+    apart = F.floor((n + m) * (1 - (F.col("floor") - 0.0051) / 100)).cast("int")  # n + m - 2 k
+    near = F.size(F.filter(F.transform("q_chars", lambda c, i: F.array_contains(F.slice("_chars", F.greatest(i + 1 - apart, F.lit(1)), 2 * apart + 1), c)), lambda x: x))
+    return pairs.where(_bound(same, n + m) >= F.col("floor")).where((F.col("floor") <= 0) | (_bound(near, n + m) >= F.col("floor"))).select("query", "floor", "cn", "mail")
+
+
 def identity_lookup(directory: DataFrame, names: DataFrame, top: int = 10, block: int = FEW) -> DataFrame:
     """(query, cn, mail, score, exact): the exact entry of each name, case aside, and the ``top`` most similar entries
     with an address; the exact entry's name is left out of those after the cut.
 
     Names are counted and, where they are more than ``block``, dealt into blocks by hash; each block is sent to every
-    task and meets the whole directory there.
+    task and meets the directory's signatures there.  Only entries that may be among the best are scored.
     """
     asked = names.select(F.col("name").alias("query")).where("query is not null").distinct()
     exact = exact_entries(directory, names).select("query", "cn", "mail", F.lit(100.0).alias("score"), F.lit(True).alias("exact"))
-    mailed = directory.where("mail is not null").groupBy("cn").agg(F.max_by("mail", "uid").alias("mail"))
+    mailed = directory.where("mail is not null and cn is not null").groupBy("cn").agg(F.max_by("mail", "uid").alias("mail"))
     n, out = max(1, -(-asked.count() * 5 // (4 * block))), exact  # room for uneven blocks
     for k in range(n):
         some = asked.where(F.pmod(F.xxhash64("query"), F.lit(n)) == k) if n > 1 else asked
-        scored = mailed.join(F.broadcast(some), F.lit(True)).withColumn("score", fuzz_ratio(F.col("query"), F.col("cn")))  # a block of queries against all rows
-        best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cn"))).where(F.col("_r") <= top)
+        scored = near_entries(mailed, some, top).withColumn("score", fuzz_ratio(F.col("query"), F.col("cn")))
+        best = scored.where("score >= floor").withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cn"))).where(F.col("_r") <= top)
         similar = best.join(exact.select("query", F.col("cn").alias("_cn")), "query", "left").where("_cn is null or cn <> _cn")
         out = out.unionByName(similar.select("query", "cn", "mail", "score", F.lit(False).alias("exact")))
     return out

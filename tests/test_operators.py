@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -296,3 +297,33 @@ def test_fill_authors(linked):
     extras = quality._fill_authors(authors, ["a00"], {"o01"}, 9)
     free = ["a12", "a24"]  # no works; without organizations, by name
     assert extras[:2] == sorted(free, key=lambda i: f"N{int(i[1:])}") and len(extras) == 8 and len(set(extras)) == 8
+
+
+def test_lookup_scores_few_pairs(spark):
+    """The same rows as scoring every name against every entry, from a small part of the pairs (the less, the more entries)."""
+    r = random.Random(2)
+    made = sorted({f"{r.choice(['Ana', 'Bo', 'Chen', 'Dmitri', 'Eva-Maria', 'José'])} {r.choice('ABC')}. {''.join(r.choice('aeiouklmnrst') for _ in range(r.randrange(4, 11)))}" for _ in range(500)} | {f"Customer#{i:09}" for i in range(0, 900, 3)})
+    d = spark.createDataFrame([(str(i), n, f"{i}@x" if i % 5 else None) for i, n in enumerate(made)] + [("a", "", "e@x"), ("b", None, "n@x"), ("c", made[1], "z@x")], "uid string, cn string, mail string")
+    asked = [n.replace("a", "e", 1) + "n" for n in made[::40]] + ["", "q", "Customer#00000012x", made[3].upper(), "JOSE", None]
+    asked = spark.createDataFrame([(x,) for x in asked], "name string")
+    mailed = sorted({n for i, n in enumerate(made) if i % 5} | {"", made[1]})
+
+    def ratio(a, b):
+        rows = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, rows[j] = rows[j], last + 1 if x == y else max(rows[j], rows[j - 1])
+        return round(200 * rows[-1] / (len(a) + len(b)) + 1e-9, 2) if a or b else 100.0
+
+    found = identity.identity_lookup(d, asked, top=10, block=30)
+    got, exact = {}, {x.query: x.cn for x in found.where("exact").collect()}
+    for x in found.where("not exact").collect():
+        got.setdefault(x.query, []).append((-x.score, x.cn))
+    for q in {x.name for x in asked.collect()} - {None}:
+        best = sorted((-ratio(q, n), n) for n in mailed)[:10]
+        assert sorted(got.get(q, [])) == [x for x in best if x[1] != exact.get(q)], q
+    names = asked.where("name <> '' and length(name) > 4").select(F.col("name").alias("query")).distinct()
+    of = d.where("mail is not null and cn is not null").groupBy("cn").agg(F.max("mail").alias("mail"))
+    scored = identity.near_entries(of, names, 10).count()
+    assert scored < 0.15 * names.count() * of.count()
