@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
@@ -22,10 +22,14 @@ def _none_if_empty(values: Column) -> Column:
 
 
 def org_map(organizations: Column) -> Column:
-    """Names of organizations with an id, to ids; of one name the last wins."""
+    """Names of organizations with an id, to ids; of one name the last wins.
+
+    The last of each name is found by one sort of (name, place), so the work is that of the sort.
+    """
     known = F.filter(F.coalesce(organizations, F.array()), lambda o: truthy(o["org_id"]).isNotNull() & truthy(o["name"]).isNotNull())
-    names = F.array_distinct(F.transform(known, lambda o: o["name"]))
-    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.element_at(F.filter(known, lambda o: o["name"] == n), -1)["org_id"])))
+    placed = F.array_sort(F.transform(known, lambda o, i: F.struct(o["name"].alias("name"), i.alias("i"), o["org_id"].alias("org_id"))))
+    last = F.filter(F.zip_with(placed, F.slice(placed, 2, F.greatest(F.size(placed), F.lit(1))), lambda o, after: F.when(after.isNull() | (after["name"] != o["name"]), o)), lambda o: o.isNotNull())
+    return F.map_from_entries(F.transform(last, lambda o: F.struct(o["name"], o["org_id"])))
 
 
 def resolve_work_authors(authors: Column, orgs_by_name: Column) -> Column:
@@ -71,13 +75,19 @@ def clean_authors(publications: DataFrame, run_ts: Column) -> DataFrame:
 
 
 def author_metrics_enrich(authors: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Adds ORCIDs as sources, works_count and citation_count from payloads (researcher_id, json) where there are any."""
-    p = payloads.select(F.col("researcher_id").alias("_rid"), F.from_json("json", AUTHOR_METRICS).alias("m"))
+    """Adds ORCIDs as sources, works_count and citation_count from payloads (researcher_id, json) where there are any.
+
+    Counts that a payload lacks stay as the row has them; of repeated payloads of a researcher the longest is used.
+    """
+    one = payloads.where("researcher_id is not null").groupBy(F.col("researcher_id").alias("_rid")).agg(F.max_by("json", F.struct(F.length("json"), "json")).alias("_json"))
+    p = one.select("_rid", F.from_json("_json", AUTHOR_METRICS).alias("m"))
     plus = F.get(F.filter("m.sources", lambda s: s["id"] == "publication_plus"), 0)
     cited = F.get(F.filter(plus["meta"], lambda x: x["id"] == "citations"), 0)["value"]
     orcids = F.transform(F.filter(F.coalesce(F.col("m.orcid"), F.array()), lambda o: truthy(o).isNotNull()), lambda o: F.struct(F.lit("orcid").alias("source"), o.alias("id")))
+    had = lambda c: F.col(c).cast("long") if c in authors.columns else F.lit(None).cast("long")
     joined = authors.join(p, F.col("researcher_id") == F.col("_rid"), "left")
-    return joined.withColumn("sources", F.concat("sources", orcids)).withColumn("works_count", plus["value"].try_cast("double").cast("long")).withColumn("citation_count", cited.cast("long")).drop("_rid", "m")
+    counts = {"works_count": F.coalesce(plus["value"].try_cast("double").cast("long"), had("works_count")), "citation_count": F.coalesce(cited.cast("long"), had("citation_count"))}
+    return joined.withColumns({"sources": F.concat(F.coalesce("sources", F.array()), orcids), **counts}).drop("_rid", "m")
 
 
 def clean_orgs(publications: DataFrame, run_ts: Column) -> DataFrame:
@@ -100,19 +110,22 @@ def topic_hierarchy(groups: DataFrame) -> DataFrame:
     """(name, data_id, field, subfield, domain) of each group's coded entities.
 
     Two leading digits: a field; four: a subfield, which joins the field of its first two digits, the last one of that
-    code.  A subfield stands alone where its field is missing; a field with subfields isn't a topic itself.
+    code.  A subfield stands alone where its field is missing; a field with subfields isn't a topic itself.  A group's
+    entities are one row's list, so nothing is shuffled.
     """
-    e = groups.where("data.entities is not null").select("publication_id", "grp", F.posexplode("data.entities").alias("pos", "e"))
-    name = F.col("e.details.name")
-    coded = e.select("publication_id", "grp", "pos", name.alias("name"), F.regexp_extract(name, r"^(\d+)", 1).alias("code"), F.coalesce(truthy(F.col("e.details.uber_cat_id")), truthy(F.col("e.id"))).alias("data_id")).where("data_id is not null")
-    last = Window.partitionBy("publication_id", "grp", "code").orderBy(F.desc("pos"))
-    fields = coded.where("length(code) = 2").withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
-    subs = coded.where("length(code) = 4").withColumn("two", F.substring("code", 1, 2))
-    f = fields.select("publication_id", "grp", F.col("code").alias("two"), F.col("name").alias("field"))
+    kind = "array<struct<name: string, code: string, data_id: string>>"
+    coded = F.transform("data.entities", lambda e: F.struct(e["details"]["name"].alias("name"), F.regexp_extract(e["details"]["name"], r"^(\d+)", 1).alias("code"), F.coalesce(truthy(e["details"]["uber_cat_id"]), truthy(e["id"])).alias("data_id")))
+    each = groups.where("data.entities is not null").select(F.filter(coded, lambda e: e["data_id"].isNotNull() & F.length(e["code"]).isin(2, 4)).cast(kind).alias("es"))
+    latest = each.select(
+        F.filter("es", lambda e: F.length(e["code"]) == 4).alias("subs"),
+        F.aggregate(F.filter("es", lambda e: F.length(e["code"]) == 2), F.array().cast(kind), lambda fs, e: F.concat(F.filter(fs, lambda f: f["code"] != e["code"]), F.array(e))).alias("fields"),
+    )
     none = F.lit(None).cast("string")
-    below = subs.join(f, ["publication_id", "grp", "two"], "left").select("name", "data_id", "field", F.col("name").alias("subfield"), none.alias("domain"))
-    alone = fields.withColumn("two", F.col("code")).join(subs.select("publication_id", "grp", "two").distinct(), ["publication_id", "grp", "two"], "left_anti")
-    return below.unionByName(alone.select("name", "data_id", F.col("name").alias("field"), none.alias("subfield"), none.alias("domain")))
+    below = F.transform("subs", lambda s: F.struct(
+        s["name"].alias("name"), s["data_id"].alias("data_id"), F.get(F.filter("fields", lambda f: f["code"] == F.substring(s["code"], 1, 2)), 0)["name"].alias("field"), s["name"].alias("subfield"), none.alias("domain")))
+    lone = F.filter("fields", lambda f: ~F.exists("subs", lambda s: F.substring(s["code"], 1, 2) == f["code"]))
+    alone = F.transform(lone, lambda f: F.struct(f["name"].alias("name"), f["data_id"].alias("data_id"), f["name"].alias("field"), none.alias("subfield"), none.alias("domain")))
+    return latest.select(F.inline(F.concat(below, alone)))
 
 
 def simple_topics(groups: DataFrame, payloads: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mock_email, short_label, work_year_label
@@ -66,18 +66,49 @@ def affiliation_orgs(authors: DataFrame, orgs: DataFrame) -> DataFrame:
     return each.join(orgs.select(F.col("id").alias("org_id"), "name", "country"), "org_id").select("author_id", "org_id", "name", "country")
 
 
-def collaborators(authored: DataFrame, author_id=None) -> DataFrame:
+#: Members of a block of a heavy group.
+BLOCK = 512
+
+
+def pairs_within(left: DataFrame, right: DataFrame, group: str, member: str, other: str, block: int = BLOCK) -> DataFrame:
+    """left (group, member, ...) and right (group, other): the pairs of different members of each group, once a pair of rows.
+
+    Groups of more than ``block`` rows are heavy: their rows are dealt into blocks, and each pair of blocks is a key of
+    its own, so that no task has more than a pair of blocks of a group at once.
+    """
+    heavy = right.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(group, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+
+    def dealt(df: DataFrame, key: str, mine: str, theirs: str) -> DataFrame:
+        placed = df.join(heavy, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+        own = F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")
+        return placed.withColumns({mine: own, theirs: F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))}).drop("_blocks")
+
+    met = dealt(left, member, "_i", "_j").join(dealt(right, other, "_j", "_i"), [group, "_i", "_j"])
+    return met.where(F.col(member) != F.col(other)).drop("_i", "_j")
+
+
+def collaborators(authored: DataFrame, author_id=None, block: int = BLOCK) -> DataFrame:
     """(author_id, collaborator_id), once each: other authors of a shared work; of one author, or of all."""
     mine = authored if author_id is None else authored.where(F.col("author_id") == F.lit(author_id))
     other = authored.select("work_id", F.col("author_id").alias("collaborator_id"))
-    return mine.join(other, "work_id").where("author_id <> collaborator_id").select("author_id", "collaborator_id").distinct()
+    return pairs_within(mine.select("work_id", "author_id"), other, "work_id", "author_id", "collaborator_id", block).select("author_id", "collaborator_id").distinct()
 
 
-def network_rows(roots: DataFrame, authored: DataFrame) -> DataFrame:
-    """(root, work_id, co_author): the works of each root and their other authors (null where there are none)."""
+def network_rows(roots: DataFrame, authored: DataFrame, max_rows: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(root, work_id, co_author): the works of each root and their other authors (null where there are none).
+
+    With ``max_rows`` only so many rows of a root stay, the first by work and co-author.
+    """
     mine = roots.select("root").join(authored.select(F.col("author_id").alias("root"), "work_id"), "root")
     other = authored.select("work_id", F.col("author_id").alias("co_author"))
-    return mine.alias("m").join(other.alias("o"), (F.col("m.work_id") == F.col("o.work_id")) & (F.col("m.root") != F.col("o.co_author")), "left").select("m.root", "m.work_id", "o.co_author")
+    pairs = pairs_within(mine, other, "work_id", "root", "co_author", block).select("root", "work_id", "co_author")
+    shared = other.groupBy("work_id").agg((F.min("co_author") != F.max("co_author")).alias("_shared"))
+    alone = mine.join(shared, "work_id", "left").where("not coalesce(_shared, false)").select("root", "work_id", F.lit(None).cast(other.schema["co_author"].dataType).alias("co_author"))
+    rows = pairs.unionByName(alone)
+    if max_rows is None:
+        return rows
+    first = Window.partitionBy("root").orderBy("work_id", "co_author")
+    return rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= max_rows).drop("_r")
 
 
 def node_union(*nodes: DataFrame) -> DataFrame:
@@ -88,12 +119,13 @@ def node_union(*nodes: DataFrame) -> DataFrame:
     return out.groupBy("root", "id").agg(F.min_by(F.struct("group", "label", "year", "email"), F.struct("group", "label")).alias("n")).select("root", "id", "n.*")
 
 
-def ego_network(roots: DataFrame, authors: DataFrame, works: DataFrame, orgs: DataFrame, authored: DataFrame, affiliated: DataFrame, all_edges: bool = False) -> tuple[DataFrame, DataFrame]:
+def ego_network(roots: DataFrame, authors: DataFrame, works: DataFrame, orgs: DataFrame, authored: DataFrame, affiliated: DataFrame, all_edges: bool = False, max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of each root author: works, co-authors, organizations.  Ids are texts with their kind in front.
 
-    A co-author's edge goes to the first shared work by id, or with ``all_edges`` to each.
+    A co-author's edge goes to the first shared work by id, or with ``all_edges`` to each.  ``max_rows`` bounds the pairs
+    of a work and a co-author that a root's network is made from (the first by id); without it nothing is left out.
     """
-    rows = network_rows(roots, authored)
+    rows = network_rows(roots, authored, max_rows)
     a = authors.select(F.col("id").alias("aid"), F.col("name"), *( ["email"] if "email" in authors.columns else [F.lit(None).cast("string").alias("email")]))
     key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     none = F.lit(None).cast("string")

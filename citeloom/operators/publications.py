@@ -76,20 +76,24 @@ def payload_keywords(payload: Column) -> Column:
 def amplify_keywords(publications: DataFrame, payloads: DataFrame, run_ts: Column) -> DataFrame:
     """Replaces each URL keyword by its fetched list (``payloads``: url, payload), in place; others stay.
 
-    Adds keywords_urls, keywords_amplified and keywords_amplified_at, null where nothing was fetched.
+    Adds keywords_amplified (whether anything was fetched), keywords_urls and keywords_amplified_at.  Rows that repeat a
+    publication_id each keep their own keywords; of repeated payloads of a URL the smallest is used.
     """
-    each = publications.select("publication_id", F.posexplode("keywords").alias("pos", "keyword"))
-    is_url = F.col("keyword").startswith("/") | F.col("keyword").startswith("http")
-    joined = each.join(payloads.select(F.col("url").alias("_url"), "payload"), is_url & (F.col("keyword") == F.col("_url")), "left")
-    parts = F.when(F.col("payload").isNotNull(), payload_keywords(F.col("payload"))).otherwise(F.array("keyword"))
-    rows = joined.select("publication_id", F.struct("pos", parts.alias("parts"), F.when(is_url, F.col("keyword")).alias("url"), F.col("payload").isNotNull().alias("hit")).alias("k"))
-    listed = rows.groupBy("publication_id").agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    hit = F.exists("ks", lambda k: k["hit"])
-    made = listed.select(
-        "publication_id", F.flatten(F.transform("ks", lambda k: k["parts"])).alias("_keywords"),
-        F.when(hit, F.transform(F.filter("ks", lambda k: k["url"].isNotNull()), lambda k: k["url"])).alias("keywords_urls"), hit.alias("keywords_amplified"), F.when(hit, run_ts).alias("keywords_amplified_at"),
-    )
-    return publications.join(made, "publication_id", "left").withColumn("keywords", F.coalesce("_keywords", "keywords")).drop("_keywords")
+    is_url = lambda k: k.startswith("/") | k.startswith("http")
+    asked = publications.select(F.explode(F.filter("keywords", is_url)).alias("url")).distinct()
+    fetched = payloads.where("payload is not null").groupBy("url").agg(F.min("payload").alias("payload"))
+    parts = asked.join(fetched, "url").select("url", payload_keywords(F.col("payload")).alias("parts"))
+
+    keyed = publications.withColumn("_row", F.xxhash64(F.to_json(F.struct(*publications.columns))))  # equal rows want equal lists
+    wanted = keyed.select("_row", F.explode(F.array_distinct(F.filter("keywords", is_url))).alias("url")).distinct().join(parts, "url")
+    lists = wanted.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("url", "parts"))).alias("_lists"))
+    joined = keyed.join(lists, "_row", "left")
+    hit = F.coalesce(F.exists("keywords", lambda k: is_url(k) & F.try_element_at("_lists", k).isNotNull()), F.lit(False))
+    of = lambda k: F.coalesce(F.try_element_at("_lists", k), F.array(k))
+    return joined.withColumns({
+        "keywords_urls": F.when(hit, F.filter("keywords", is_url)), "keywords_amplified": hit, "keywords_amplified_at": F.when(hit, run_ts),
+        "keywords": F.when(hit, F.flatten(F.transform("keywords", of))).otherwise(F.col("keywords")),
+    }).drop("_row", "_lists")
 
 
 def last_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:

@@ -53,27 +53,62 @@ def document_types(publications: DataFrame) -> DataFrame:
     return each.withColumn("pct", F.round(100 * F.col("count") / F.sum("count").over(Window.partitionBy()), 6)).orderBy(F.desc("count"), "document_type")  # a row a type
 
 
+#: Ranges that a round of rank selection counts; names of a block of a publication with many.
+RANGES, NAMES = 4096, 256
+
+
+def nth_largest(counts: DataFrame, rank: int, least: int, most: int) -> int | None:
+    """The value at a place (0: the largest) of a table of counts (v long, k), whose values are between two bounds.
+
+    Each round counts ranges of values, a bounded number of rows, and goes on in the one that holds the place.
+    """
+    low, high = least, most
+    while low < high:
+        width = -(-(high - low + 1) // RANGES)
+        v = F.col("v") if high - low < 1 << 62 and -(1 << 62) < low else F.col("v").cast("decimal(20,0)")
+        part = F.call_function("div", v - F.lit(low), F.lit(width)).alias("part")
+        found = counts.where(F.col("v").between(low, high)).groupBy(part).agg(F.sum("k").alias("k")).orderBy(F.desc("part")).collect()
+        for r in found:
+            if rank < r["k"]:
+                low, high = low + r["part"] * width, min(high, low + (r["part"] + 1) * width - 1)
+                break
+            rank -= r["k"]
+        else:
+            return None
+    return low
+
+
 def citation_stats(publications: DataFrame) -> DataFrame:
     """n, sum, mean, max, min and median of the citations that aren't null; the median is element n // 2 counted down.
 
-    The median comes from counts by value, which partial aggregates keep small.
+    The median is found by counts of ranges of values, so no task holds all values; all null where there are none.
     """
-    c = publications.where("citations_count is not null").groupBy(F.col("citations_count").alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    total = c.agg(F.sum("k").alias("n"), F.sum(F.col("v") * F.col("k")).alias("total"), F.max("v").alias("most"), F.min("v").alias("least"))
-    parts = c.agg(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("d"), "k"))).alias("vs"))  # a row for each different count
-    middle = F.aggregate("vs", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("m")), lambda s, x: F.struct((s["seen"] + x["k"]).alias("seen"), F.when(s["m"].isNull() & (s["seen"] + x["k"] > F.floor(F.col("n") / 2)), -x["d"]).otherwise(s["m"]).alias("m")))
-    return total.crossJoin(parts).select("n", F.col("total").alias("sum"), F.round(F.col("total") / F.col("n"), 6).alias("mean"), F.col("most").alias("max"), F.col("least").alias("min"), middle["m"].alias("median"))
+    c = publications.where("citations_count is not null").groupBy(F.col("citations_count").cast("long").alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    total = c.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.sum(F.col("v") * F.col("k")).alias("sum"), F.max("v").alias("max"), F.min("v").alias("min"))
+    known = total.first()
+    median = nth_largest(c, known["n"] // 2, known["min"], known["max"]) if known["n"] else None
+    return total.where("n > 0").select("n", "sum", F.round(F.col("sum") / F.col("n"), 6).alias("mean"), "max", "min", F.lit(median).cast("long").alias("median"))
 
 
 def top_cited(publications: DataFrame, n: int = 10) -> DataFrame:
     return publications.where("citations_count > 0").orderBy(F.desc("citations_count"), F.desc("title"), F.desc("publication_id")).select("publication_id", "title", "citations_count").limit(n)
 
 
-def collaboration_pairs(publications: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` pairs of names that share most publications, by count and then names, all descending."""
-    names = publications.select(F.array_sort(F.array_distinct(F.filter("authors.name", lambda x: truthy(x).isNotNull()))).alias("names"))
-    pairs = F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return names.where(F.size("names") > 1).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared")).orderBy(F.desc("shared"), F.desc("a"), F.desc("b")).limit(n)
+def collaboration_pairs(publications: DataFrame, n: int = 10, block: int = NAMES) -> DataFrame:
+    """The ``n`` pairs of names that share most publications, by count and then names, all descending.
+
+    A publication of more than ``block`` names is cut into blocks; pairs of blocks are dealt to tasks.
+    """
+    names = publications.select(F.array_sort(F.array_distinct(F.filter("authors.name", lambda x: truthy(x).isNotNull()))).alias("names")).where(F.size("names") > 1)
+    light = names.where(F.size("names") <= block).select(F.col("names").alias("left"), F.col("names").alias("right"), F.lit(True).alias("one"))
+    parts = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size("names") - 1, F.lit(block)).cast("int")), lambda i: F.slice("names", i * block + 1, block))
+    heavy = names.where(F.size("names") > block).select(F.posexplode(parts).alias("i", "left"), parts.alias("parts"))
+    heavy = heavy.select("left", F.posexplode(F.slice("parts", F.col("i") + 1, F.size("parts"))).alias("j", "right")).select("left", "right", (F.col("j") == 0).alias("one"))
+    heavy = heavy.repartition(F.xxhash64("left", "right"))
+    after = lambda a, i: F.when(F.col("one"), F.slice("right", i + 2, F.size("right"))).otherwise(F.col("right"))
+    pairs = F.flatten(F.transform("left", lambda a, i: F.transform(after(a, i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    each = light.unionByName(heavy).select(F.explode(pairs).alias("p"))
+    return each.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared")).orderBy(F.desc("shared"), F.desc("a"), F.desc("b")).limit(n)
 
 
 def node_counts(**tables: DataFrame) -> DataFrame:

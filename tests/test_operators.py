@@ -327,3 +327,45 @@ def test_lookup_scores_few_pairs(spark):
     of = d.where("mail is not null and cn is not null").groupBy("cn").agg(F.max("mail").alias("mail"))
     scored = identity.near_entries(of, names, 10).count()
     assert scored < 0.15 * names.count() * of.count()
+
+
+def test_heavy_works(spark):
+    """Blocks of a heavy work's authors give the rows that all pairs give; no cell has more than a pair of blocks."""
+    r = random.Random(4)
+    rows_ = sorted({(r.randrange(300), w) for w in range(40) for _ in range(2)} | {(a, 99) for a in range(120)} | {(7, 1000)})
+    authored = spark.createDataFrame(rows_, "author_id long, work_id long")
+    want = sorted({(a, b) for a, w in rows_ for b, x in rows_ if w == x and a != b})
+    assert rows(graph.collaborators(authored, block=16), "author_id", "collaborator_id") == want
+    assert rows(graph.collaborators(authored, 7, block=16), "collaborator_id") == [x for x in want if x[0] == 7]
+    roots = spark.createDataFrame([(7,), (1,), (5000,)], "root long")
+    net = sorted({(a, w, b) for a, w in rows_ for b, x in rows_ if w == x and a != b and a in (7, 1)} | {(a, w, None) for a, w in rows_ if a in (7, 1) and [b for b, x in rows_ if x == w] == [a]}, key=str)
+    assert sorted(map(tuple, graph.network_rows(roots, authored, block=16).collect()), key=str) == net
+    assert graph.network_rows(roots, authored, max_rows=5, block=16).groupBy("root").count().select("count").distinct().collect()[0][0] == 5
+    p = spark.createDataFrame([([(f"n{i:03}",) for i in range(70)] + [("n001",), ("",), (None,)],), ([("n001",), ("n002",)],), ([("x",)],), (None,)], "authors array<struct<name:string>>")
+    whole, cut = stats.collaboration_pairs(p, 5000), stats.collaboration_pairs(p, 5000, block=16)
+    assert rows(whole, "a", "b") == rows(cut, "a", "b") and whole.count() == 70 * 69 // 2 and tuple(whole.first()) == ("n001", "n002", 2)
+
+
+def test_median_by_ranges(spark):
+    for values in ([5], [1, 2], [3, 3, 1, 9, 9, 9, 2], list(range(-50_000, 70_001, 7)), [-(1 << 63), (1 << 63) - 1, 0, 5, 5], [1 << 62, 3, -(1 << 62)]):
+        got = stats.citation_stats(spark.createDataFrame([(v,) for v in values], "citations_count long").where("true")) if sum(values) < 1 << 62 else None
+        want = sorted(values, reverse=True)[len(values) // 2]
+        if got is not None and abs(sum(values)) < 1 << 62:
+            assert tuple(got.first())[-3:] == (max(values), min(values), want)
+        counts = spark.createDataFrame([(v, values.count(v)) for v in set(values)] if len(values) < 100 else [(v, 1) for v in values], "v long, k long")
+        assert stats.nth_largest(counts, len(values) // 2, min(values), max(values)) == want
+    assert stats.citation_stats(spark.createDataFrame([(None,)], "citations_count long")).count() == 0
+    many = spark.range(0, 10_000_000, 1, 8).select(((F.col("id") * 7919) % 10_000_000 * 3).alias("citations_count"))
+    assert stats.citation_stats(many).first()["median"] == 3 * (10_000_000 - 1 - 5_000_000)
+
+
+def test_payloads_and_repeats(spark):
+    a = spark.createDataFrame([("r1", [("dtic", "r1")], 5, 6), ("r2", None, 1, 2)], "researcher_id string, sources array<struct<source:string,id:string>>, works_count long, citation_count long")
+    full = json.dumps({"orcid": ["0-1"], "sources": [{"id": "publication_plus", "value": "9", "meta": [{"id": "citations", "value": 4.0}]}]})
+    got = entities.author_metrics_enrich(a, spark.createDataFrame([("r2", full), ("r2", "{}"), ("r3", full)], "researcher_id string, json string"))
+    assert {(r.researcher_id, r.works_count, r.citation_count, len(r.sources)) for r in got.collect()} == {("r1", 5, 6, 1), ("r2", 9, 4, 1)}
+    p = spark.createDataFrame([("p", ["/a", "x"]), ("p", ["/b", "/a", "/b"]), (None, ["/none"]), ("q", None), ("p", ["/a", "x"])], "publication_id string, keywords array<string>")
+    pay = spark.createDataFrame([("/a", '["1","2"]'), ("/a", '["9"]'), ("/b", "[]"), ("/c", "[]")], "url string, payload string")
+    out = publications.amplify_keywords(p, pay, F.lit("now"))
+    assert sorted(map(str, ((r.publication_id, r.keywords, r.keywords_urls, r.keywords_amplified, r.keywords_amplified_at) for r in out.collect()))) == sorted(map(str, [
+        ("p", ["1", "2", "x"], ["/a"], True, "now"), ("p", ["1", "2", "x"], ["/a"], True, "now"), ("p", ["1", "2"], ["/b", "/a", "/b"], True, "now"), (None, ["/none"], None, False, None), ("q", None, None, False, None)]))
