@@ -2,60 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import has_special_name
-from ..schemas import ORG_TYPES, ROLES, SOURCE_NAMES
+from ..schemas import RULES
 from .filters import work_flags
 
-_UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
-
-
-def _rules(kind: str, columns: list[str]) -> dict[str, Column]:
-    """Names of broken rules and when they are."""
-    no = F.lit(False)
-    c = lambda x: F.col(x) if x in columns else F.lit(None)
-    rules = {"id missing": c("id").isNull(), "id pattern": ~c("id").rlike(f"^{kind}_{_UUID}$"), f"{'title' if kind == 'work' else 'name'} missing": c("title" if kind == "work" else "name").isNull()}
-    for x in ("h_index", "citation_count", "works_count"):
-        if x in columns:
-            rules[f"{x} below 0"] = F.col(x) < 0
-    if kind == "org" and "type" in columns:
-        rules["type unknown"] = ~F.col("type").isin(*ORG_TYPES)
-    if "sources" in columns:
-        rules["source unknown"] = F.exists("sources", lambda s: ~s["source"].isin(*SOURCE_NAMES))
-    if kind == "work":
-        if "orgs" in columns:
-            rules["role unknown"] = F.exists("orgs", lambda o: ~o["role"].isin(*ROLES))
-        if "topics" in columns:
-            rules["score out of range"] = F.exists("topics", lambda t: (t["score"] < 0) | (t["score"] > 1))
-        if "publication_date" in columns:
-            rules["publication_date format"] = ~F.col("publication_date").rlike(r"^\d{4}-\d{2}-\d{2}$") | F.try_to_date("publication_date").isNull()
-    if kind == "author" and "org_ids" in columns:
-        rules["org_ids repeat"] = F.size(F.array_distinct("org_ids")) < F.size("org_ids")
-    return {k: F.coalesce(v, no) for k, v in rules.items()}
-
-
-ALLOWED = {
-    "author": {"id", "name", "org_ids", "h_index", "citation_count", "works_count", "sources", "last_updated", "created_at", "email", "uid", "org_name"},
-    "work": {"id", "title", "abstract", "publication_date", "year", "citation_count", "venue", "doi", "url", "authors", "orgs", "topics", "sources", "name", "type", "last_updated", "created_at"},
-    "org": {"id", "name", "country", "type", "sources", "last_updated", "created_at"},
-    "topic": {"id", "name", "field", "subfield", "domain", "sources", "last_updated", "created_at"},
-}
-
-
-def validate_entities(df: DataFrame, kind: str) -> DataFrame:
-    """The rows with ``errors``, the broken rules; repeated ids are errors of all their rows, unexpected fields of rows
-    that have a value in them."""
-    rules = _rules(kind, df.columns)
-    rules |= {f"unexpected field {c}": F.col(c).isNotNull() for c in df.columns if c not in ALLOWED[kind]}
+def compile_rules(schema: dict, kind: T.DataType, path: str = "") -> list[tuple[str, Callable[[Column], Column]]]:
+    """A JSON Schema as (name of a broken rule, when a value breaks it), for a column of type ``kind``.
+
+    type object (properties, required, additionalProperties), array (items, uniqueItems), string (pattern, enum, and
+    format date, date-time and uri), integer and number (minimum, maximum).  A null breaks ``required`` alone, or, in a
+    list, the rule that its items aren't null.  What a column's type already rules out isn't checked again.
+    """
+    rules: list[tuple[str, Callable[[Column], Column]]] = []
+    name = path.rstrip(".")
+    if schema.get("type") == "object":
+        fields = {f.name: f.dataType for f in kind.fields} if isinstance(kind, T.StructType) else {}
+        for field in schema.get("required", []):
+            rules.append((f"{path}{field} missing", (lambda c, field=field: c[field].isNull()) if field in fields else (lambda c: F.lit(True))))
+        for field, below in schema.get("properties", {}).items():
+            if field in fields:
+                rules += [(rule, lambda c, field=field, broken=broken: broken(c[field])) for rule, broken in compile_rules(below, fields[field], f"{path}{field}.")]
+        if schema.get("additionalProperties") is False:
+            rules += [(f"unexpected field {path}{field}", lambda c, field=field: c[field].isNotNull()) for field in fields if field not in schema.get("properties", {})]
+    elif schema.get("type") == "array" and isinstance(kind, T.ArrayType):
+        rules.append((f"{name} null item", lambda c: F.exists(c, lambda x: x.isNull())))
+        if schema.get("uniqueItems"):
+            rules.append((f"{name} repeat", lambda c: F.size(F.array_distinct(c)) < F.size(c)))
+        rules += [(rule, lambda c, broken=broken: F.exists(c, lambda x: x.isNotNull() & F.coalesce(broken(x), F.lit(False)))) for rule, broken in compile_rules(schema.get("items", {}), kind.elementType, path)]
+    elif schema.get("type") == "string" and isinstance(kind, T.StringType):
+        if "pattern" in schema:
+            rules.append((f"{name} pattern", lambda c: ~c.rlike(schema["pattern"])))
+        if "enum" in schema:
+            rules.append((f"{name} unknown", lambda c: ~c.isin(*schema["enum"])))
+        formats = {
+            "date": lambda c: ~c.rlike(r"^\d{4}-\d{2}-\d{2}$") | F.try_to_date(c).isNull(), "date-time": lambda c: ~c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}") | c.try_cast("timestamp").isNull(),
+            "uri": lambda c: ~c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s]+$"),
+        }
+        if schema.get("format") in formats:
+            rules.append((f"{name} format", formats[schema["format"]]))
+    elif schema.get("type") in ("integer", "number"):
+        if schema["type"] == "integer" and isinstance(kind, (T.FractionalType, T.StringType)):
+            rules.append((f"{name} not an integer", lambda c: c.try_cast("double").isNull() | (c.try_cast("double") != F.floor(c.try_cast("double")))))
+        for limit, beyond, word in (("minimum", lambda c, x: c < x, "below"), ("maximum", lambda c, x: c > x, "above")):
+            if limit in schema:
+                rules.append((f"{name} {word} {schema[limit]}", lambda c, beyond=beyond, x=schema[limit]: beyond(c.try_cast("double"), x)))
+    return rules
+
+
+def validate_entities(df: DataFrame, kind: str, schema: dict | None = None) -> DataFrame:
+    """The rows with ``errors``, the broken rules of the kind's schema (``RULES``), nested ones included; repeated ids are
+    errors of all their rows, unexpected fields of rows that have a value in them."""
+    rules = compile_rules(RULES[kind] if schema is None else schema, df.schema)
+    broken = {name: F.coalesce(when(_Columns()), F.lit(False)) for name, when in rules}
     repeated = df.groupBy("id").count().where("count > 1").select(F.col("id").alias("_id"), F.lit(True).alias("_twice"))
     checked = df.join(repeated, F.col("id") == F.col("_id"), "left").drop("_id")
-    rules["id repeats"] = F.coalesce("_twice", F.lit(False))
-    found = F.filter(F.array(*(F.when(v, F.lit(k)) for k, v in rules.items())), lambda e: e.isNotNull())
+    broken["id repeats"] = F.coalesce("_twice", F.lit(False))
+    found = F.filter(F.array(*(F.when(v, F.lit(k)) for k, v in broken.items())), lambda e: e.isNotNull())
     return checked.withColumn("errors", found).drop("_twice")
 
 
+class _Columns:
+    """A row's columns by name, as an object's fields are taken."""
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"`{name}`")
+
+
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantined rows)."""
     return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)

@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import l2_distance
 from ..schemas import EMBEDDING_DIM
+from ..sources.files import Files
 
 #: Queries of a block, which is sent to every task.
 MOST_QUERIES = 50_000
@@ -139,10 +140,76 @@ def ivf_index(vectors: DataFrame, nlist: int = 128, seed: int = 7, sample: int =
     return model.transform(as_vector).drop("_v"), model.clusterCenters()
 
 
-def ivf_search(indexed: DataFrame, centroids: list, queries: DataFrame, k: int = 10, nprobe: int = 10) -> DataFrame:
-    """(query_id, id, distance, rank) by the ``nprobe`` cells nearest to each query, then exact distances."""
-    centers = F.array(*(F.struct(F.lit(c).alias("cell"), F.array(*map(F.lit, map(float, v))).alias("v")) for c, v in enumerate(centroids)))
-    near = F.slice(F.array_sort(F.transform(centers, lambda c: F.struct(l2_distance(F.col("embedding"), c["v"], True).alias("d"), c["cell"].alias("cell")))), 1, nprobe)
-    probes = queries.select("query_id", F.col("embedding").alias("q"), F.explode(F.transform(near, lambda x: x["cell"])).alias("cell"))
-    met = probes.join(indexed.select("id", "embedding", "cell"), "cell").select("query_id", "id", l2_distance(F.col("embedding"), F.col("q")).alias("distance"))
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+def write_ivf(vectors: DataFrame, folder: str, nlist: int = 128, **how) -> None:
+    """Inverted lists (id, embedding) by cell, as a partitioned table that a search reads some cells of, and the centroids."""
+    indexed, centers = ivf_index(vectors, nlist, **how)
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
+    vectors.sparkSession.createDataFrame(rows, "cell int, center array<double>").coalesce(1).write.parquet(f"{folder}/centroids")
+    indexed.select("id", "embedding", "cell").hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{folder}/lists")
+
+
+def _cells_in_order(spark: SparkSession, folder: str, queries: np.ndarray) -> np.ndarray:
+    """(queries, cells): cells from the nearest centroid on."""
+    rows = spark.read.parquet(f"{folder}/centroids").orderBy("cell").collect()  # nlist rows
+    cells, centers = np.array([r["cell"] for r in rows]), np.array([r["center"] for r in rows], np.float64)
+    apart = (queries**2).sum(1)[:, None] + (centers**2).sum(1)[None, :] - 2 * queries @ centers.T
+    return cells[np.argsort(apart, axis=1, kind="stable")]
+
+
+def ivf_search(spark: SparkSession, folder: str, queries: DataFrame, k: int = 10, nprobe: int = 10, block: int = MOST_QUERIES) -> DataFrame:
+    """(query_id, id, distance, rank) by the ``nprobe`` cells nearest to each query, then exact distances.
+
+    Queries are dealt into blocks as in ``batch_knn``; a block reads the cells that it probes and no other.
+    """
+    n, out = max(1, -(-queries.count() * 5 // (4 * block))), None
+    for b in range(n):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) if n > 1 else queries
+        found = _probe(spark, folder, some.orderBy("query_id").collect(), k, nprobe)
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+
+
+def _probe(spark: SparkSession, folder: str, rows: list, k: int, nprobe: int) -> DataFrame:
+    ids, matrix = [r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
+    probed = _cells_in_order(spark, folder, matrix)[:, :nprobe] if rows else np.zeros((0, 0), int)
+    of_cell = {int(c): np.flatnonzero((probed == c).any(1)) for c in np.unique(probed)}
+    shared = spark.sparkContext.broadcast((ids, matrix, of_cell))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix, of_cell = shared.value
+        best: dict[int, list[tuple[float, int]]] = {}
+        for pdf in batches:
+            for cell, part in pdf.groupby("cell"):
+                x, keys, asked = np.stack(part["embedding"].to_numpy()).astype(np.float64), part["id"].to_numpy(), of_cell[int(cell)]
+                for a in range(0, len(asked), 256):
+                    some = asked[a : a + 256]
+                    near = np.maximum((matrix[some] ** 2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * matrix[some] @ x.T, 0)
+                    for q, row in zip(some.tolist(), near):
+                        few = np.flatnonzero(row <= np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1] + 1e-9)
+                        exact = np.sqrt(((x[few] - matrix[q]) ** 2).sum(1))
+                        best[q] = sorted(best.get(q, []) + list(zip(exact.tolist(), keys[few].tolist())))[:k]
+        yield pd.DataFrame([(ids[q], key, d) for q, found in best.items() for d, key in found], columns=["query_id", "id", "distance"])
+
+    lists = spark.read.parquet(f"{folder}/lists").where(F.col("cell").isin(sorted(of_cell)))  # the other cells' files aren't read
+    return lists.select("id", "embedding", "cell").mapInPandas(nearest, "query_id long, id long, distance double")
+
+
+def ivf_recall(spark: SparkSession, folder: str, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(nprobe, recall): the part of the queries' true ``k`` nearest that the nearest ``nprobe`` cells hold, for every
+    number of cells.  Queries are a sample that fits the driver."""
+    rows = queries.orderBy("query_id").collect()
+    order = _cells_in_order(spark, folder, np.array([r["embedding"] for r in rows], np.float64))
+    places = spark.createDataFrame([(r["query_id"], int(c), i) for r, cells in zip(rows, order) for i, c in enumerate(cells, 1)], "query_id long, cell int, place int")
+    lists = spark.read.parquet(f"{folder}/lists")
+    true = batch_knn(lists.select("id", "embedding"), queries, k).join(lists.select("id", "cell"), "id")
+    held = places.select("place").distinct().join(true.join(places, ["query_id", "cell"]).groupBy("place").count(), "place", "left")
+    sums = F.sum(F.coalesce("count", F.lit(0))).over(Window.orderBy("place"))  # a row a cell
+    every = F.sum(F.coalesce("count", F.lit(0))).over(Window.partitionBy())
+    return held.select(F.col("place").alias("nprobe"), F.round(sums / every, 6).alias("recall"))
+
+
+def ivf_bytes(spark: SparkSession, folder: str, cells: list[int] | None = None) -> int:
+    """Bytes of the inverted lists' files, of some cells or of all."""
+    files = Files(spark, f"{folder}/lists")
+    wanted = [name for name, _ in files.names() if name.startswith("cell=") and (cells is None or int(name[5:]) in cells)]
+    return sum(size for name in wanted for _, size in files.names(name))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import fnmatch
+import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,11 +122,43 @@ def export_publications_csv(publications: DataFrame, folder: str) -> None:
     csv_rows(publications).write.option("header", True).option("escape", '"').csv(folder)
 
 
-def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(root, value): ``{nodes, edges}`` of each root's network as JSON, both in order."""
-    n = nodes.groupBy("root").agg(F.sort_array(F.collect_list(F.struct(*(c for c in nodes.columns if c != "root")))).alias("nodes"))
-    e = edges.groupBy("root").agg(F.sort_array(F.collect_list(F.struct(*(c for c in edges.columns if c != "root")))).alias("edges"))
-    return n.join(e, "root", "left").select("root", F.to_json(F.struct("nodes", F.coalesce("edges", F.array()).alias("edges"))).alias("value"))
+def graph_pieces(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, piece): a document ``{"root", "nodes", "edges"}`` of each root of ``nodes``, as pieces in order.
+
+    Rows are sorted by root within partitions and turned into text one after another: a root may have any number of
+    edges, as no list of them is made.  Edges of a root without nodes are left out.
+    """
+    item = lambda df: F.to_json(F.struct(*(c for c in df.columns if c != "root")))
+    rows = nodes.select("root", F.lit(0).alias("part"), item(nodes).alias("text"))
+    rows = rows.unionByName(edges.join(nodes.select("root").distinct(), "root", "left_semi").select("root", F.lit(1).alias("part"), item(edges).alias("text")))
+    key = nodes.schema["root"].dataType.simpleString()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, 1
+        for batch in batches:
+            roots, out = [], []
+            for root, part, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if at is None or root != at[0]:
+                    if at is not None:
+                        roots.append(at[0])
+                        out.append("]}" if last else '], "edges": []}')
+                    at, last, before = (root,), 0, f'{{"root": {json.dumps(root)}, "nodes": ['
+                elif part != last:
+                    last, before = 1, '], "edges": ['
+                else:
+                    before = ","
+                roots.append(root)
+                out.append(before + text)
+            yield pa.RecordBatch.from_arrays([pa.array(roots, batch.schema.field(0).type), pa.array(out, pa.string())], ["root", "piece"])
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at[0]], batch.schema.field(0).type), pa.array(["]}" if last else '], "edges": []}'])], ["root", "piece"])
+
+    return rows.repartition("root").sortWithinPartitions("root", "part", "text").mapInArrow(pieces, f"root {key}, piece string")
+
+
+def export_graph_json(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """Text files of whole documents, one after another, each over as many lines as it has nodes and edges."""
+    graph_pieces(nodes, edges).select("piece").write.text(folder)
 
 
 def load_guard(target: DataFrame, threshold: int = 100, force: bool = False) -> bool:

@@ -54,6 +54,22 @@ def test_publications_and_guard(spark, tmp_path):
     assert io.limit_per_file(spark.range(10), 2, "id", F.col("id") % 3).count() == 6
 
 
+def test_graph_documents(spark, tmp_path):
+    nodes = spark.createDataFrame([(1, "a", "A"), (1, "b", None), (2, "c", 'say "x"'), (3, "d", "D")], "root long, id string, label string")
+    some = [(1, "a", f"t{i}") for i in range(100_000)] + [(2, "c", "d"), (9, "no", "node")]
+    edges = spark.createDataFrame(some, "root long, source string, target string")
+    io.export_graph_json(nodes, edges, f"{tmp_path}/g")
+    found, decoder = {}, json.JSONDecoder()
+    for f in (tmp_path / "g").glob("*.txt"):
+        text = f.read_text().strip()
+        while text:
+            doc, end = decoder.raw_decode(text)
+            found[doc["root"]], text = doc, text[end:].strip()
+    assert sorted(found) == [1, 2, 3] and found[3] == {"root": 3, "nodes": [{"id": "d", "label": "D"}], "edges": []}
+    assert found[2] == {"root": 2, "nodes": [{"id": "c", "label": 'say "x"'}], "edges": [{"source": "c", "target": "d"}]}
+    assert found[1]["nodes"] == [{"id": "a", "label": "A"}, {"id": "b"}] and sorted(e["target"] for e in found[1]["edges"]) == sorted(t for r, _, t in some if r == 1)
+
+
 def test_watch_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     seen = []

@@ -144,13 +144,25 @@ def test_vectors(spark):
         vectors.embed_text(F.lit("x"), "no such model")
 
 
-def test_ivf_recall(spark):
-    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    q = v.where("id % 10 = 0").select(F.col("id").alias("query_id"), "embedding")
-    exact = {(r.query_id, r.id) for r in vectors.batch_knn(v, q, 10).collect()}
-    indexed, centers = vectors.ivf_index(v, nlist=16)
-    found = {(r.query_id, r.id) for r in vectors.ivf_search(indexed, centers, q, 10, 12).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
+def test_ivf_recall(spark, tmp_path):
+    r = random.Random(3)
+    centers = [[r.gauss(0, 1) for _ in range(16)] for _ in range(20)]
+    data = [(i, [c + r.gauss(0, 0.4) for c in centers[i % 20]]) for i in range(1500)]
+    v = spark.createDataFrame(data, "id long, embedding array<float>")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    vectors.write_ivf(v, f"{tmp_path}/ivf")
+    measured = {x.nprobe: x.recall for x in vectors.ivf_recall(spark, f"{tmp_path}/ivf", q).collect()}
+    assert measured[10] >= 0.9 and max(measured) == 128 and measured[128] == 1.0  # ten of 128 cells are enough
+    true = {(x.query_id, x.id) for x in vectors.batch_knn(v, q, 10).collect()}
+    found = vectors.ivf_search(spark, f"{tmp_path}/ivf", q, 10, 10)
+    assert abs(len(true & {(x.query_id, x.id) for x in found.collect()}) / len(true) - measured[10]) < 1e-6
+    assert rows(vectors.ivf_search(spark, f"{tmp_path}/ivf", q, 10, 10, block=7), "query_id", "rank") == rows(found, "query_id", "rank")
+    assert rows(vectors.ivf_search(spark, f"{tmp_path}/ivf", q, 10, 128), "query_id", "rank") == rows(vectors.batch_knn(v, q, 10).select(found.columns), "query_id", "rank")
+    one = vectors.ivf_search(spark, f"{tmp_path}/ivf", q.where("query_id = 50"), 10, 10)
+    cells = vectors._cells_in_order(spark, f"{tmp_path}/ivf", vectors.np.array([data[50][1]]))[0, :10].tolist()
+    plan = one._jdf.queryExecution().toString()  # the scan itself is limited to the probed cells
+    assert "PartitionFilters: [cell#" in plan.replace("isnotnull(", "").replace("PartitionFilters: [(", "PartitionFilters: [") and "IN (" in plan
+    assert vectors.ivf_bytes(spark, f"{tmp_path}/ivf", cells) < 0.25 * vectors.ivf_bytes(spark, f"{tmp_path}/ivf")
 
 
 def test_rank_and_sort(spark):
@@ -369,3 +381,24 @@ def test_payloads_and_repeats(spark):
     out = publications.amplify_keywords(p, pay, F.lit("now"))
     assert sorted(map(str, ((r.publication_id, r.keywords, r.keywords_urls, r.keywords_amplified, r.keywords_amplified_at) for r in out.collect()))) == sorted(map(str, [
         ("p", ["1", "2", "x"], ["/a"], True, "now"), ("p", ["1", "2", "x"], ["/a"], True, "now"), ("p", ["1", "2"], ["/b", "/a", "/b"], True, "now"), (None, ["/none"], None, False, None), ("q", None, None, False, None)]))
+
+
+def test_every_rule_has_a_failing_row(spark):
+    uid = "00000000-0000-5000-8000-00000000000"
+    good = {"id": f"work_{uid}0", "title": "T", "publication_date": "2020-02-29", "citation_count": 0, "authors": [("a", None)], "orgs": [("o", "funder")], "topics": [("t", 0.5)], "sources": [("dtic", "x")], "url": "https://x/y?z", "last_updated": "2020-01-01T10:00:00Z"}
+    schema = "id string, title string, publication_date string, citation_count long, authors array<struct<author_id:string,org_id:string>>, orgs array<struct<org_id:string,role:string>>, topics array<struct<topic_id:string,score:double>>, sources array<struct<source:string,id:string>>, url string, last_updated string, extra int"
+    bad = {
+        "id pattern": {"id": "work_1"}, "title missing": {"title": None}, "publication_date format": {"publication_date": "2021-02-29"}, "citation_count below 0": {"citation_count": -1}, "authors.author_id missing": {"authors": [("a", None), (None, "o")]},
+        "authors null item": {"authors": [None]}, "orgs.org_id missing": {"orgs": [(None, "other")]}, "orgs.role missing": {"orgs": [("o", None)]}, "orgs.role unknown": {"orgs": [("o", "boss")]}, "topics.topic_id missing": {"topics": [(None, 1.0)]},
+        "topics.score missing": {"topics": [("t", None)]}, "topics.score below 0": {"topics": [("t", -0.1)]}, "topics.score above 1": {"topics": [("t", 1.5)]}, "sources.source missing": {"sources": [(None, "x")]}, "sources.id missing": {"sources": [("dtic", None)]},
+        "sources.source unknown": {"sources": [("web", "x")]}, "url format": {"url": "no scheme"}, "last_updated format": {"last_updated": "yesterday"}, "unexpected field extra": {"extra": 1},
+    }
+    names = [c.split(" ")[0] for c in ("id title publication_date citation_count authors orgs topics sources url last_updated extra").split(" ")]
+    made = [tuple((good | {"id": f"work_{uid[:-1]}{i:02x}"} | change).get(c) for c in names) for i, change in enumerate(bad.values())]
+    got = [set(r.errors) for r in quality.validate_entities(spark.createDataFrame(made, schema).coalesce(1), "work").collect()]
+    assert sorted(map(sorted, got)) == sorted([k] for k in bad)
+    assert quality.validate_entities(spark.createDataFrame([tuple(good.get(c) for c in names)], schema), "work").first().errors == []
+    assert quality.validate_entities(spark.createDataFrame([(None, 1.0)], "id string, h_index double"), "author").first().errors == ["id missing", "name missing"]
+    kinds = {"type": "object", "properties": {"id": {}, "n": {"type": "integer", "minimum": 2}, "o": {"type": "object", "properties": {"a": {"type": "string", "enum": ["x"]}}, "required": ["b"], "additionalProperties": False}}}
+    rows_ = spark.createDataFrame([("1", 1.5, ("y", 1))], "id string, n double, o struct<a:string,c:int>")
+    assert quality.validate_entities(rows_, "work", kinds).first().errors == ["n not an integer", "n below 2", "o.b missing", "o.a unknown", "unexpected field o.c"]
