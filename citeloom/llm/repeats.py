@@ -102,7 +102,7 @@ def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys[k], whole[k] = hashed(t[p : p + GRAM]), hashed(t[a : b + SPAN], (p - a) & 0xFFFF)
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()).take(pa.array(who)), *(pa.array((x + base).astype(np.int32)) for x in (lo, hi, anchor)), pa.array(keys.view(np.int64)), pa.array(whole.view(np.int64))],
-            ["doc_id", "lo", "hi", "anchor", "key", "seg"],
+            ["row", "lo", "hi", "anchor", "key", "seg"],
         )
 
     ids, bases, texts, size = [], [], [], 0
@@ -165,11 +165,11 @@ def maximal_repeats(rows: list[tuple[bytes, bytes]], span: int = SPAN) -> Iterat
                 yield before, after, inside[a : b + 1]
 
 
-RANGES = "doc_id long, a int, b int"
+RANGES = "row long, a int, b int"
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, back, front, doc_id, anchor) sorted by (key, front); a key may go on in the next batch."""
+    """Rows (key, back, front, row, anchor) sorted by (key, front); a key may go on in the next batch."""
     key, rows = None, []
 
     def solve(rows: list, out: list) -> None:
@@ -189,15 +189,15 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 solve(rows, out)
                 key, rows = row[0], []
             rows.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32())], ["doc_id", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32())], ["row", "a", "b"])
     out = []
     solve(rows, out)
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32())], ["doc_id", "a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32())], ["row", "a", "b"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, segments) to one row a segment, with its bytes before (reversed) and from its anchor."""
-    names = ["key", "back", "front", "doc_id", "anchor", "lo", "hi", "kinds"]
+    """(row, text, segments) to one row a segment, with its bytes before (reversed) and from its anchor."""
+    names = ["key", "back", "front", "row", "anchor", "lo", "hi", "kinds"]
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             out = []
@@ -217,30 +217,38 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = [t[s : s + SPAN] for s in range(hi - lo + 1)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([signed(one(p)) for p in parts], pa.int64()), pa.array([signed(two(p)) for p in parts], pa.int64()), pa.array([i] * len(parts), pa.int64()), pa.array(range(lo, hi + 1), pa.int32())],
-                ["w1", "w2", "doc_id", "a"],
+                ["w1", "w2", "row", "a"],
             )
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): row is a 64-bit hash of both, so that rows of one doc_id, or of none, are told apart by text."""
+    return common.texts(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+
+
 def repeated_ranges(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b): byte ranges that windows with another occurrence cover; ranges of a document may overlap."""
+    """(row, a, b): byte ranges that windows with another occurrence cover; ranges of a row may overlap.
+
+    ``row`` is that of ``told_apart``.
+    """
     scratch = common.Scratch(spark, "repeats")
-    texts = common.texts(docs).where("doc_id is not null and octet_length(text) >= " + str(SPAN))
-    found = texts.mapInArrow(_segmented, "doc_id long, lo int, hi int, anchor int, key long, seg long")
+    texts = told_apart(docs).select("row", "text").where(f"octet_length(text) >= {SPAN}")
+    found = texts.mapInArrow(_segmented, "row long, lo int, hi int, anchor int, key long, seg long")
     again = found.groupBy("key").count().where("count > 1").select("key")
     shared = scratch.save(found.join(again, "key", "left_semi"))
-    kinds = scratch.save(shared.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "lo", "hi", "anchor")).alias("one")))
+    kinds = scratch.save(shared.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "lo", "hi", "anchor")).alias("one")))
     copied = kinds.where("n > 1").select("key", "seg")
-    whole = shared.join(copied, ["key", "seg"], "left_semi").select("doc_id", F.col("lo").alias("a"), (F.col("hi") + SPAN).alias("b"))
+    whole = shared.join(copied, ["key", "seg"], "left_semi").select("row", F.col("lo").alias("a"), (F.col("hi") + SPAN).alias("b"))
     # a written table: joined with it, a key with many kinds is a shuffle partition that Spark can split
     mixed_keys = scratch.save(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
-    meeting = kinds.join(mixed_keys, "key").select("one.doc_id", F.struct("key", "one.lo", "one.hi", "one.anchor", "kinds").alias("part"))
-    asked = meeting.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))  # a document's own segments: bounded by its text
-    contexts = scratch.save(texts.join(asked, "doc_id").select("doc_id", "text", "parts").mapInArrow(_contexts, "key long, back binary, front binary, doc_id long, anchor int, lo int, hi int, kinds long"))
-    few = contexts.where(F.col("kinds") <= CROWD).select("key", "back", "front", "doc_id", "anchor")
+    meeting = kinds.join(mixed_keys, "key").select("one.row", F.struct("key", "one.lo", "one.hi", "one.anchor", "kinds").alias("part"))
+    asked = meeting.groupBy("row").agg(F.collect_list("part").alias("parts"))  # a document's own segments: bounded by its text
+    contexts = scratch.save(texts.join(asked, "row").select("row", "text", "parts").mapInArrow(_contexts, "key long, back binary, front binary, row long, anchor int, lo int, hi int, kinds long"))
+    few = contexts.where(F.col("kinds") <= CROWD).select("key", "back", "front", "row", "anchor")
     met = few.repartition("key").sortWithinPartitions("key", "front").mapInArrow(_ranges, RANGES)
-    crowd = contexts.where(F.col("kinds") > CROWD).mapInArrow(_windows, "w1 long, w2 long, doc_id long, a int")
+    crowd = contexts.where(F.col("kinds") > CROWD).mapInArrow(_windows, "w1 long, w2 long, row long, a int")
     twice = crowd.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    crowded = crowd.join(twice, ["w1", "w2"], "left_semi").select("doc_id", "a", (F.col("a") + SPAN).alias("b"))
+    crowded = crowd.join(twice, ["w1", "w2"], "left_semi").select("row", "a", (F.col("a") + SPAN).alias("b"))
     return whole.unionByName(met).unionByName(crowded)
 
 
@@ -261,7 +269,7 @@ SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 def _join_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = [[{"a": a, "b": b} for a, b in joined([(r["a"], r["b"]) for r in x])] for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, SPANS)], ["doc_id", "ranges"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, SPANS)], ["row", "ranges"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,15 +289,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every row of ``docs``.
 
-    A byte goes if a SPAN-byte string over it starts anywhere else too, in this document or another.  Null and empty
-    texts, and rows with a null doc_id, lose nothing.  doc_id names a document: rows that repeat one count as its
-    versions, and a range found in one is cut from all of them.
+    A byte goes if a SPAN-byte string over it starts anywhere else too, in this row or another.  Null and empty texts lose
+    nothing.  Rows that repeat a doc_id, and rows without one, are documents of their own: each loses what its own text
+    repeats, and what it has counts as another place for all others.
     """
     scratch = common.Scratch(spark, "cut")
-    found = repeated_ranges(spark, docs).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))  # bounded by the text
-    ranges = scratch.save(found.mapInArrow(_join_ranges, "doc_id long, ranges array<struct<a: int, b: int>>"))
+    found = repeated_ranges(spark, docs).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))  # bounded by the text
+    ranges = scratch.save(found.mapInArrow(_join_ranges, "row long, ranges array<struct<a: int, b: int>>"))
     n = ranges.agg(F.count(F.lit(1)), F.sum(F.size("ranges"))).first()
-    ranges = ranges.withColumnRenamed("doc_id", "_doc")
     ranges = F.broadcast(ranges) if n[0] <= FEW and (n[1] or 0) <= 4 * FEW else ranges
-    texts = common.texts(docs)
-    return texts.join(ranges, texts["doc_id"] == ranges["_doc"], "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return told_apart(docs).join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -123,6 +123,19 @@ def test_repeats(spark, monkeypatch, crowd):
     assert got == want
 
 
+@pytest.mark.parametrize("crowd", [2000, 2])
+def test_repeats_of_rows_that_share_or_lack_an_id(spark, monkeypatch, crowd):
+    """Rows are documents of their own: (id, text) by brute force over all rows."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    a, b, c = text(90), text(120), text(100)
+    rows = [(1, text(70)), (1, a + " " + text(40)), (1, text(9) + a), (None, b), (5, "xyz " + b), (None, c + "1"), (None, c + "2"), (2, text(80)), (2, None), (7, c[:250]), (8, a[:230]), (9, text(50)), (9, text(50))]
+    rows += [rows[0], (3, text(60)), (3, text(60))]  # a row that comes twice repeats as a whole
+    want = removed([(k, (t or "").encode()) for k, (_, t) in enumerate(rows)], 200)
+    got = repeats.remove_repeats(spark, docs_frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=repr) == sorted(((rows[k][0], *w) for k, w in want.items()), key=repr)
+    assert want[0][1] == len(rows[0][1].encode()) and want[3][1] > 0
+
+
 def test_repeats_odd_rows(spark):
     got = repeats.remove_repeats(spark, docs_frame(spark, ODD)).collect()
     assert len(got) == len(ODD) and next(r for r in got if r.doc_id == 6).n_removed == 60000 and next(r for r in got if r.doc_id is None).n_removed == 0
