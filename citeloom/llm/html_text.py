@@ -38,10 +38,10 @@ CLOSE_P = frozenset(
 SHUTS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 #: A class, id or role says furniture if one of these is a whole name in it ...
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices popup modal nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer header masthead comment comments replies disqus share sharing social related recommended recommendations newsletter subscribe login signup search pagination pager toolbar widget complementary contentinfo alert".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices popup modal nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer header masthead comment comments replies disqus share sharing social related recommended recommendations newsletter subscribe login signup search pagination pager toolbar widget complementary contentinfo alert commentlist respond responses colophon site-info siteinfo discussion-list discussion-thread".split()
 )
 #: ... or if all parts between hyphens and underscores are such names or these.
-PLACES = frozenset("site page main global left right top bottom list box bar block container wrapper area section links primary secondary user reader wrap inner outer".split())
+PLACES = frozenset("site page main global left right top bottom list box bar block container wrapper area section links primary secondary user reader wrap inner outer slot unit body entry item thread info".split())
 WHITE, PARTS = re.compile(r"\s+"), re.compile(r"[-_]+")
 #: Weights of furniture and of articles.
 LITTLE, MUCH = 0.002, 3.0
@@ -50,27 +50,28 @@ LITTLE, MUCH = 0.002, 3.0
 def says_furniture(names: str | None) -> bool:
     for name in (names or "").lower().split():
         parts = [p for p in PARTS.split(name) if p]
-        if any(p in MARKS for p in parts) and all(p in MARKS or p in PLACES or p.isdigit() for p in parts):
+        if name in MARKS or any(p in MARKS for p in parts) and all(p in MARKS or p in PLACES or p.isdigit() for p in parts):
             return True
     return False
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, tags in it, innermost container (a number; ``parents`` has those around), weight."""
+    """Collects lines: text, tags in it, innermost container (a number; ``parents`` has those around, ``kinds`` their
+    names), weight, letters in links."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         # of each open element: name, silent, innermost container, weight, in an article
         self.stack: list[tuple[str, bool, int, float, bool]] = [("", False, 0, 1.0, False)]
         self.open: Counter[str] = Counter()
-        self.parents, self.text, self.tags = [0], [], 0
-        self.lines: list[tuple[str, int, int, float]] = []
+        self.parents, self.kinds, self.text, self.tags, self.linked = [0], [""], [], 0, 0
+        self.lines: list[tuple[str, int, int, float, int]] = []
 
     def cut(self) -> None:
         text = WHITE.sub(" ", "".join(self.text)).strip()
         if text or self.tags:
-            self.lines.append((text, self.tags, self.stack[-1][2], self.stack[-1][3]))
-        self.text, self.tags = [], 0
+            self.lines.append((text, self.tags, self.stack[-1][2], self.stack[-1][3], min(self.linked, len(text))))
+        self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in CLOSE_P:
@@ -95,6 +96,7 @@ class Lines(HTMLParser):
             weight = max(weight * LITTLE, 1e-200)
         if tag in CONTAINERS:
             self.parents.append(inside)
+            self.kinds.append(tag)
             inside = len(self.parents) - 1
         self.stack.append((tag, silent or tag in SILENT, inside, weight, article))
         self.open[tag] += 1
@@ -126,6 +128,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.stack[-1][1]:
             self.text.append(data)
+            if self.open["a"]:
+                self.linked += len(data.strip())
 
 
 def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -147,6 +151,28 @@ def owners(inside: list[int], parents: list[int]) -> np.ndarray:
     return np.array([up[c] for c in inside], np.int64)
 
 
+def followers(which: np.ndarray, good: np.ndarray, sizes: np.ndarray, linked: np.ndarray, page: Lines, links: float = 0.5) -> np.ndarray:
+    """The clusters (container, weight) that follow one around them: chosen itself, or an article that mostly is."""
+    of = {(int(c), w): k for k, (c, w) in enumerate(which.T)}
+    within: dict[tuple[int, float], np.ndarray] = {}  # letters, and those chosen, of articles by weight
+    for (c, w), k in of.items():
+        while c:
+            if page.kinds[c] in ("article", "main"):
+                within[c, w] = within.get((c, w), np.zeros(2)) + sizes[k] * np.array([1, good[k]])
+            c = page.parents[c]
+    out = np.zeros(len(good), bool)
+    for (c, w), k in of.items():
+        if good[k] or linked[k] > links * sizes[k]:
+            continue
+        while c and page.kinds[c] != "body":
+            all_, chosen = within.get((c, w), (0, 0))
+            if (c, w) in of and good[of[c, w]] or 2 * chosen > all_:
+                out[k] = True
+                break
+            c = page.parents[c]
+    return out
+
+
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, majority: float = 0.4) -> str:
     """The blocks of main text in page order, joined by newlines; empty for null, empty or textless pages."""
     page = Lines()
@@ -163,11 +189,12 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, majority
     level = share * smoothed.std()
     content = (smoothed >= level) & full
     own = share * np.average(ratios, weights=sizes)  # what a cluster needs as a whole, unsmoothed: a share of the mean over all letters
-    _, cluster = np.unique(np.stack([owners([x[2] for x in page.lines], page.parents), weights]), axis=1, return_inverse=True)
+    which, cluster = np.unique(np.stack([owners([x[2] for x in page.lines], page.parents), weights]), axis=1, return_inverse=True)
     cluster = cluster.ravel()
     total = lambda x: np.bincount(cluster, x)
     as_whole = np.log1p(total(weights * sizes) / np.maximum(1, total(tags * full)))
     good = (total(sizes * content) >= majority * np.maximum(1, total(sizes))) & (as_whole >= own)
+    good |= followers(which, good, total(sizes), total(np.array([x[4] for x in page.lines], float)), page)
     chosen = good[cluster] | (content & (ratios >= own))
     return "\n".join(x[0] for x, yes in zip(page.lines, chosen) if yes and x[0])
 

@@ -227,3 +227,28 @@ def test_nnpu_learns_planted_words():
     w, b = toxicity.train(toxic, other, 20 / 320)
     s = toxicity.Scorer(w, b, toxic)
     assert s("an awful thing") > 0.5 > s("a fine thing") and s("") == s(None)
+
+
+PARAGRAPH = "<p>" + "This is a long paragraph of the article that says a good deal about its subject, with commas and more. " * 3 + "</p>"
+CELLS = "<table><tr><td>Alpha</td><td>12</td></tr><tr><td><p>Beta</p><p>one</p></td><td>15</td></tr></table>"
+COMMENTS = "".join(f"<div class=comment-body><p>I think that this is a really great article and I want to say so at length, {i}.</p></div>" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    ("body", "kept"),
+    [
+        (f"<article><h1>Title</h1>{PARAGRAPH}{CELLS}{PARAGRAPH}</article>", ["Title", "Alpha", "12", "Beta", "one", "15"]), (f"<div id=content><h1>Title</h1>{PARAGRAPH}{CELLS}{PARAGRAPH}</div>", ["Title", "Alpha", "12", "Beta", "one", "15"]),
+        (f"<article><h1>Title</h1>{PARAGRAPH}<section><h2>A</h2><p>Tiny.</p></section>{PARAGRAPH}</article>", ["Title", "A", "Tiny."]),
+        (f"<article><h1>Title</h1><section>{PARAGRAPH}{PARAGRAPH}</section><section><h2>A</h2><p>Tiny.</p></section><section><h2>B</h2><p>Short.</p></section></article>", ["A", "Tiny.", "B", "Short."]),
+        *((f"<article><h1>Title</h1>{PARAGRAPH}{PARAGRAPH}</article><div {c}>{COMMENTS}</div>", ["Title"]) for c in ('class="discussion-list"', 'id="responses"', 'class="commentlist"', 'class="entry-comments"')),
+        (f"<article><h1>Title</h1>{PARAGRAPH}{PARAGRAPH}</article><div class='site-info'><p>Contact us at the main office, open daily from nine to five.</p></div>", ["Title"]),
+        (f"<article><h1>Title</h1>{PARAGRAPH}<div class='ad-slot'><p>Buy this great thing now, cheap and good for all.</p></div>{PARAGRAPH}</article>", ["Title"]),
+        (f"<article><h1>Title</h1>{PARAGRAPH}<div><a href=a>See also this other page</a></div>{PARAGRAPH}</article>", ["Title"]),
+    ],
+)
+def test_short_blocks_and_furniture_around_an_article(body, kept):
+    nav = "<nav><ul>" + "".join(f"<li><a href=x>Menu {i}</a></li>" for i in range(12)) + "</ul></nav>"
+    foot = "<footer><p>Copyright 2024 by the site, all rights reserved, and more text in the footer.</p></footer>"
+    lines = html_text.main_text(f"<html><body>{nav}{body}{foot}</body></html>").split("\n")
+    assert set(kept) <= set(lines) and not [x for x in lines if "Menu" in x or "Copyright" in x or "great" in x or "office" in x]
+    assert sum(x.startswith("This is a long") for x in lines) == body.count(PARAGRAPH)
