@@ -12,6 +12,8 @@ from .publications import first_per_key
 FEW = 20_000
 #: Groups of letters of a signature; rare three-letter parts of a name, and entries of each, that give first guesses.
 GROUPS, RARE, POSTINGS = 6, 8, 64
+#: Organizations of a bucket that a directory picks from.
+IN_BUCKET = 64
 
 
 def org_name_list(orgs: DataFrame) -> DataFrame:
@@ -21,15 +23,23 @@ def org_name_list(orgs: DataFrame) -> DataFrame:
     return names.unionByName(default)
 
 
-def build_directory(authors: DataFrame, org_names: list[str], file_order: Column | None = None) -> DataFrame:
+def build_directory(authors: DataFrame, orgs: DataFrame | list[str], file_order: Column | None = None) -> DataFrame:
     """(uid, cn, sn, o, mail): entries of authors with a name, the first of each uid.
 
     Half of those without an address get a generated one; which half, and the organization where none is given, follow
-    the name's hash.  ``org_names`` is a list to pick from.
+    the name's hash.  Organizations are a table (name) of any size, or a list; they stand in buckets by hash, and a name's
+    hash picks a bucket and a place in it.
     """
+    spark = authors.sparkSession
+    table = orgs if isinstance(orgs, DataFrame) else spark.createDataFrame([(n,) for n in orgs], "name string")
+    names = org_name_list(table)
+    buckets = F.lit(max(1, names.count() // IN_BUCKET))
+    spread = names.groupBy(F.pmod(F.xxhash64("name"), buckets).alias("_b")).agg(F.array_sort(F.collect_set("name")).alias("_orgs"))
+    least = names.agg(F.min("name").alias("_least"))  # for a bucket that got none
     order = F.col("name") if file_order is None else file_order
-    named = authors.where(truthy(F.trim("name")).isNotNull()).withColumn("_o", order)
-    picked = F.array(*map(F.lit, org_names or ["DefaultOrg"]))[F.pmod(F.xxhash64("name"), F.lit(max(1, len(org_names)))).cast("int")]
+    named = authors.where(truthy(F.trim("name")).isNotNull()).withColumns({"_o": order, "_b": F.pmod(F.xxhash64("name", F.lit(11)), buckets)})
+    named = named.join(spread, "_b", "left").join(F.broadcast(least))  # one row
+    picked = F.coalesce(F.get("_orgs", F.pmod(F.xxhash64("name"), F.greatest(F.size("_orgs"), F.lit(1))).cast("int")), F.col("_least"))
     mail = F.coalesce(truthy(F.col("email")), F.when(F.pmod(F.xxhash64("name", F.lit(3)), F.lit(2)) == 0, generated_email(F.col("name"), F.col("name"))))
     uid = clean_uid(F.coalesce(truthy(F.col("uid")), F.replace(F.col("name"), F.lit(" "), F.lit(""))))
     entries = named.select(uid.alias("uid"), F.col("name").alias("cn"), surname(F.col("name")).alias("sn"), F.coalesce(truthy(F.col("org_name")), picked).alias("o"), mail.alias("mail"), "_o")

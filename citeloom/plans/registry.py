@@ -509,14 +509,23 @@ def extraction_stats(spark, sf_dir):
     return stats.extraction_stats(B.mentions(spark, sf_dir), "author_id")
 
 
-@query(f"""@, {_PUB}, l AS (SELECT work_id, string_agg(author_name, '; ' ORDER BY n, author_name, author_id, org_name, topic_name) AS a, string_agg(org_name, '; ' ORDER BY n, author_name, author_id, org_name, topic_name) AS o FROM lines GROUP BY work_id)
-SELECT p.publication_id, p.title, coalesce(p.abstract, '') AS abstract, coalesce(p.publication_date, '') AS publication_date, 'https://host/details/publication/' || p.publication_id || '?q=1' AS url, coalesce(p.doi, '') AS doi, coalesce(p.document_type, '') AS document_type, coalesce(CAST(p.citations_count AS VARCHAR), '') AS citations_count, coalesce(l.a, '') AS authors, coalesce(l.o, '') AS organizations
+_TWO = "CAST(30 + topic_id % 20 AS VARCHAR)"
+_FOUR = f"{_TWO} || lpad(CAST(topic_id % 100 AS VARCHAR), 2, '0')"
+_GROUP_JSON = (
+    "'{\"entities\":[{\"id\":\"f' || topic_id || '\",\"details\":{\"name\":\"' || " + _TWO + " || ' ' || field || '\",\"uber_cat_id\":\"9' || " + _TWO
+    + " || '\"}},{\"id\":\"s' || topic_id || '\",\"details\":{\"name\":\"' || " + _FOUR + " || ' ' || topic_name || '\",\"uber_cat_id\":\"8' || " + _FOUR + " || '\"}}]}'"
+)
+
+
+@query(f"""@, {_PUB}, l AS (SELECT work_id, string_agg(author_name, '; ' ORDER BY n, author_name, author_id, org_name, topic_name) AS a, string_agg(org_name, '; ' ORDER BY n, author_name, author_id, org_name, topic_name) AS o,
+  string_agg(topic_name, '; ' ORDER BY n, author_name, author_id, org_name, topic_name) || '; ' || string_agg({_GROUP_JSON}, '; ' ORDER BY n, author_name, author_id, org_name, topic_name, {_GROUP_JSON}) AS k FROM lines GROUP BY work_id)
+SELECT p.publication_id, p.title, coalesce(l.k, '') AS keywords, coalesce(p.abstract, '') AS abstract, coalesce(p.publication_date, '') AS publication_date, 'https://host/details/publication/' || p.publication_id || '?q=1' AS url, coalesce(p.doi, '') AS doi, coalesce(p.document_type, '') AS document_type, coalesce(CAST(p.citations_count AS VARCHAR), '') AS citations_count, coalesce(l.a, '') AS authors, coalesce(l.o, '') AS organizations
 FROM pubs p LEFT JOIN l ON p.id = l.work_id""")
 def export_publications_csv(spark, sf_dir):
-    return io.csv_rows(B.publications(spark, sf_dir)).drop("keywords")  # JSON groups among them
+    return io.csv_rows(B.publications(spark, sf_dir))
 
 
-@query()
+@query("""@ SELECT '{' || concat_ws(',', '"citation_count":' || citation_count, '"document_type":"' || document_type || '"', '"id":' || id, '"publication_date":"' || publication_date || '"', '"title":"' || title || '"', '"year":' || year) || '}' AS value FROM works""")
 def write_sorted_jsonl(spark, sf_dir):
     return io.sorted_json(B.works(spark, sf_dir))
 
@@ -550,7 +559,7 @@ def identity_lookup(spark, sf_dir):
 @query()
 def build_directory(spark, sf_dir):
     a = B.authors(spark, sf_dir).select("name", F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("uid"), F.lit(None).cast("string").alias("org_name"))
-    return identity.build_directory(a, ["Org A", "Org B", "Org C"])
+    return identity.build_directory(a, B.orgs(spark, sf_dir))
 
 
 @query("SELECT DISTINCT n_name AS name FROM nation")

@@ -311,6 +311,16 @@ def test_fill_authors(linked):
     assert extras[:2] == sorted(free, key=lambda i: f"N{int(i[1:])}") and len(extras) == 8 and len(set(extras)) == 8
 
 
+def test_directory_of_many_organizations(spark):
+    """Every organization of a table may be picked; the same name picks the same one again."""
+    orgs = spark.range(500).select(F.format_string("Org %03d", "id").alias("name"))
+    a = spark.range(4000).select(F.format_string("Name %d", "id").alias("name"), *(F.lit(None).cast("string").alias(c) for c in ("email", "uid", "org_name")))
+    one = {r.cn: r.o for r in identity.build_directory(a, orgs).collect()}
+    two = {r.cn: r.o for r in identity.build_directory(a.repartition(3), orgs.repartition(5)).collect()}
+    assert one == two and len(one) == 4000 and len(set(one.values())) > 450
+    assert identity.build_directory(a.limit(1), []).first().o == "DefaultOrg"
+
+
 def test_lookup_scores_few_pairs(spark):
     """The same rows as scoring every name against every entry, from a small part of the pairs (the less, the more entries)."""
     r = random.Random(2)
