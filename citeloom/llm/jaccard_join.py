@@ -58,7 +58,8 @@ def shingles(text: bytes | None, hashes: WordHashes, size: int = 4) -> np.ndarra
     for i in range(k):
         out = (out ^ each[i : i + n]) * MIX[i]
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def parity(found: np.ndarray) -> np.ndarray:
@@ -92,13 +93,16 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
         hashes, counters = WordHashes(), np.zeros(1 << COUNTERS, np.uint32)
         for batch in batches:
             for part in common.slices(batch, 1, 1024, 8 << 20):
-                ns, keys, bits = [], [], []
+                ns, keys, bits, cells = [], [], [], []
                 for text in part.column(1).to_pylist():
                     found = shingles(text, hashes, size)
-                    np.add.at(counters, (found >> np.uint64(64 - COUNTERS)).astype(np.int64), 1)
+                    cells.append((found >> np.uint64(64 - COUNTERS)).astype(np.int32))
                     ns.append(len(found))
                     keys.append(xxhash.xxh3_128_digest(found.tobytes()))
                     bits.append(parity(found))
+                cell = np.sort(np.concatenate(cells))  # counters are met in order, not all over the table
+                first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else cell
+                counters[cell[first]] += np.diff(np.append(first, len(cell))).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), lists(bits)], names)
         rows = counters.reshape(-1, ROW)
         some = np.flatnonzero(rows.any(1))
