@@ -25,11 +25,11 @@ def hashed_bag_of_words(texts: list[str], dim: int) -> np.ndarray:
     """Signed hash counts of lower-case words, scaled to length one: a stand-in encoder that needs no model files."""
     import zlib
 
-    out = np.zeros((len(texts), dim), np.float32)
-    for row, text in zip(out, texts):
-        for word in (text or "").lower().split():
-            h = zlib.crc32(word.encode())
-            row[(h >> 1) % dim] += 1.0 if h & 1 else -1.0
+    words = [(text or "").lower().split() for text in texts]
+    hashes = {w: zlib.crc32(w.encode("utf-8", "replace")) for w in set().union(*words)} if words else {}  # each word once a batch
+    h = np.fromiter((hashes[w] for x in words for w in x), np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(x) for x in words])
+    out = np.bincount(row * dim + (h >> 1) % dim, np.where(h & 1, 1.0, -1.0), len(texts) * dim).reshape(len(texts), dim).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
