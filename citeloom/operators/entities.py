@@ -17,19 +17,22 @@ def _source(key: Column) -> Column:
     return F.array(F.struct(F.lit("dtic").alias("source"), key.alias("id")))
 
 
-def _none_if_empty(values: Column) -> Column:
-    return F.when(F.size(values) > 0, values)
+def _none_if_empty(df: DataFrame, *lists: str) -> DataFrame:
+    """Lists without members are null.  A step of its own, so that each list is made once, and not again for its size."""
+    return df.withColumns({c: F.when(F.size(c) > 0, F.col(c)) for c in lists})
 
 
-def org_map(organizations: Column) -> Column:
-    """Names of organizations with an id, to ids; of one name the last wins.
+def with_org_map(publications: DataFrame) -> DataFrame:
+    """Adds ``_orgs``: names of a publication's organizations with an id, to ids; of one name the last wins.
 
-    The last of each name is found by one sort of (name, place), so the work is that of the sort.
+    The last of each name is found by one sort of (name, place), so the work is that of the sort; the sorted list is a
+    column of its own, made once.
     """
-    known = F.filter(F.coalesce(organizations, F.array()), lambda o: truthy(o["org_id"]).isNotNull() & truthy(o["name"]).isNotNull())
-    placed = F.array_sort(F.transform(known, lambda o, i: F.struct(o["name"].alias("name"), i.alias("i"), o["org_id"].alias("org_id"))))
-    last = F.filter(F.zip_with(placed, F.slice(placed, 2, F.greatest(F.size(placed), F.lit(1))), lambda o, after: F.when(after.isNull() | (after["name"] != o["name"]), o)), lambda o: o.isNotNull())
-    return F.map_from_entries(F.transform(last, lambda o: F.struct(o["name"], o["org_id"])))
+    known = F.filter(F.coalesce("organizations", F.array()), lambda o: truthy(o["org_id"]).isNotNull() & truthy(o["name"]).isNotNull())
+    placed = publications.withColumn("_placed", F.array_sort(F.transform(known, lambda o, i: F.struct(o["name"].alias("name"), i.alias("i"), o["org_id"].alias("org_id")))))
+    after = F.slice("_placed", F.lit(2), F.greatest(F.size("_placed"), F.lit(1)))
+    last = F.filter(F.zip_with("_placed", after, lambda o, n: F.when(n.isNull() | (n["name"] != o["name"]), o)), lambda o: o.isNotNull())
+    return placed.withColumn("_orgs", F.map_from_entries(F.transform(last, lambda o: F.struct(o["name"], o["org_id"])))).drop("_placed")
 
 
 def resolve_work_authors(authors: Column, orgs_by_name: Column) -> Column:
@@ -55,23 +58,26 @@ def work_topics(keywords: Column) -> Column:
 
 def clean_works(publications: DataFrame, run_ts: Column) -> DataFrame:
     """One row per publication with an id and a title; lists without members are null."""
-    return publications.where(truthy(F.col("publication_id")).isNotNull() & truthy(F.col("title")).isNotNull()).withColumn("_orgs", org_map(F.col("organizations"))).select(
+    whole = with_org_map(publications.where(truthy(F.col("publication_id")).isNotNull() & truthy(F.col("title")).isNotNull()))
+    works = whole.select(
         stable_id("work", F.col("publication_id")).alias("id"), "title", truthy(F.col("abstract")).alias("abstract"), pad_publication_date(truthy(F.col("publication_date"))).alias("publication_date"),
         F.col("citations_count").cast("long").alias("citation_count"), truthy(F.col("doi")).alias("doi"), truthy(F.col("url")).alias("url"), truthy(F.col("venue")).alias("venue"),
-        _none_if_empty(resolve_work_authors(F.col("authors"), F.col("_orgs"))).alias("authors"), _none_if_empty(work_orgs(F.col("organizations"))).alias("orgs"), _none_if_empty(work_topics(F.col("keywords"))).alias("topics"),
+        resolve_work_authors(F.col("authors"), F.col("_orgs")).alias("authors"), work_orgs(F.col("organizations")).alias("orgs"), work_topics(F.col("keywords")).alias("topics"),
         _source(F.col("publication_id")).alias("sources"), run_ts.alias("last_updated"),
     )
+    return _none_if_empty(works, "authors", "orgs", "topics")
 
 
 def clean_authors(publications: DataFrame, run_ts: Column) -> DataFrame:
     """One row per mention of an author with a name and a researcher id; org_ids of all affiliations the work names."""
-    each = publications.select(org_map(F.col("organizations")).alias("orgs"), F.explode("authors").alias("a"))
+    each = with_org_map(publications).select("_orgs", F.explode("authors").alias("a"))
     known = each.where(truthy(F.col("a.name")).isNotNull() & truthy(F.col("a.researcher_id")).isNotNull())
-    found = F.filter(F.transform(F.col("a.affiliations"), lambda x: F.try_element_at(F.col("orgs"), x)), lambda x: x.isNotNull())
-    return known.select(
+    found = F.filter(F.transform(F.col("a.affiliations"), lambda x: F.try_element_at(F.col("_orgs"), x)), lambda x: x.isNotNull())
+    authors = known.select(
         stable_id("author", F.col("a.researcher_id")).alias("id"), F.col("a.name").alias("name"), F.col("a.researcher_id").alias("researcher_id"),
-        _none_if_empty(F.transform(found, lambda g: stable_id("org", g))).alias("org_ids"), _source(F.col("a.researcher_id")).alias("sources"), run_ts.alias("last_updated"),
+        F.transform(found, lambda g: stable_id("org", g)).alias("org_ids"), _source(F.col("a.researcher_id")).alias("sources"), run_ts.alias("last_updated"),
     )
+    return _none_if_empty(authors, "org_ids")
 
 
 def author_metrics_enrich(authors: DataFrame, payloads: DataFrame) -> DataFrame:
