@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import sys
@@ -39,10 +40,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables in the shared folder: a written table cuts lineage and outlives a lost executor."""
+    """Parquet tables in the shared folder: a written table cuts lineage and outlives a lost executor.
+
+    They stay until somebody clears the folder, or, where they are made within ``freed``, until its end.
+    """
+
+    within: list[list[str]] = []
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.top, self.n = spark, f"{shared_folder(spark)}/citeloom-{what}-{uuid.uuid4().hex[:12]}", 0
+        if Scratch.within:
+            Scratch.within[-1].append(self.top)
 
     def path(self, name: str = "") -> str:
         self.n += 1
@@ -57,8 +65,23 @@ class Scratch:
     def drop(self, df: DataFrame | None) -> None:
         """Frees a table that nothing reads any more."""
         if where := getattr(df, "scratch_path", None):
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, where)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Frees, at its end, all scratch tables that operators make within: write what you need of their results before."""
+    Scratch.within.append([])
+    try:
+        yield
+    finally:
+        for top in Scratch.within.pop():
+            remove(spark, top)
 
 
 def arrow_rows(fields: list[tuple[str, pa.DataType]], each: Callable[..., tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -34,3 +34,17 @@ def test_stages(spark):
     assert {r.doc_id for r in mixed} <= {r.doc_id for r in clean} and len(tokens) == len(mixed)
     assert sorted(r.doc_id for r in tokens) == sorted(r.doc_id for r in mixed)
     assert corpus_pipeline.run(spark, SF).count() == len(tokens)
+
+
+def test_scratch_tables_are_freed(spark, tmp_path):
+    """What an operator keeps between its jobs goes with ``freed``; what was written from it stays."""
+    import os
+
+    from citeloom.llm import common, simhash
+
+    before = set(os.listdir(common.shared_folder(spark))) if os.path.isdir(common.shared_folder(spark)) else set()
+    docs = spark.createDataFrame([(i, f"one two three four five {i % 3}") for i in range(20)], "doc_id long, text string")
+    with common.freed(spark):
+        simhash.near_duplicates(spark, docs).write.parquet(f"{tmp_path}/out")
+        assert set(os.listdir(common.shared_folder(spark))) - before
+    assert set(os.listdir(common.shared_folder(spark))) <= before and spark.read.parquet(f"{tmp_path}/out").count() == 20
