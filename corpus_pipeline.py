@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import decontamination, language_id, mixing, simhash, token_files
-from citeloom.llm.common import Scratch, table
+from citeloom.llm.common import Scratch, freed, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -53,14 +53,17 @@ STAGES = [
     ("token-ID / binary output", write_token_ids),
 ]
 
-#: SQL has no suffix automata, XXH64 or BPE.  tests/llm/test_pipeline.py holds every stage against brute force.
+#: SQL has no suffix automata, XXH64 or BPE.  tests/llm/test_pipeline.py holds the stages' decisions against plain rules, and
+#: tests/llm/test_corpus.py and test_texts.py the operators against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every other stage's result is a table in the shared scratch folder."""
+    """The last stage's rows; every other stage's result is a table in the shared scratch folder, and what the stage kept
+    besides is freed."""
     scratch = Scratch(spark, "stages")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "_").replace("/", "_"))
+        with freed(spark):
+            docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "_").replace("/", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)
