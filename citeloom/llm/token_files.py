@@ -256,15 +256,17 @@ def cells(batch: pa.RecordBatch, column: int, kind: type) -> list[np.ndarray]:
 TOKENS = "doc_id long, ids binary, counts binary"
 
 
-def tokenize(docs: DataFrame, path: str) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, room: int = CACHE) -> DataFrame:
     """(doc_id, ids, counts): ids of a document in little-endian cells, the end id last.  Null text: the end id alone.
 
+    A worker remembers about ``room`` pieces, from task to task; fewer take less memory and more time.
+
     A task's last row has ids null, and in ``counts`` how often the task has met each id (64-bit cells).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = common.worker_state()  # a worker process keeps its store for its next task
-        words = state.get(path) or state.setdefault(path, Words(path))
+        words = state.get((path, room)) or state.setdefault((path, room), Words(path, room))
         total = np.zeros(0, np.int64)
         for batch in batches:
             for part in common.slices(batch, 1, 2048, AT_ONCE):
@@ -295,7 +297,7 @@ def id_counts(tokens: DataFrame) -> DataFrame:
 BLOCKS = "part int, block int, before long, doc_ids array<long>, lengths array<long>, payload binary, checkpoints array<long>"
 
 
-def write(spark: SparkSession, docs: DataFrame, path: str, folder: str, parts: int | None = None) -> None:
+def write(spark: SparkSession, docs: DataFrame, path: str, folder: str, parts: int | None = None, room: int = CACHE) -> None:
     """Encodes every text of ``docs`` (doc_id, text) and writes the files to ``folder``, in ascending doc_id order.
 
     Rows of one doc_id (or null, which comes first) stand in the order of their ids' bytes.  Texts are tokenized once
@@ -306,7 +308,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str, parts: i
 
     scratch = common.Scratch(spark, "tokens")
     kind = cell_type(Tokenizer.from_file(path).get_vocab_size())
-    tokens = scratch.save(tokenize(docs, path))
+    tokens = scratch.save(tokenize(docs, path, room))
     counts = {int(r.id): int(r.n) for r in id_counts(tokens).collect()}
     lengths = code_lengths(counts)
     spark.createDataFrame([(int(i), int(b)) for i, b in sorted(lengths.items())], "id long, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
