@@ -15,6 +15,8 @@ from citeloom.llm import decontamination, language_id, mixing, simhash, token_fi
 from citeloom.llm.common import Scratch, freed, table
 
 TOKENIZER = "word_bpe_49k.json"
+#: Pieces that a worker remembers: few, as the pipeline's other stages share its memory.
+PIECES = 100_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every copy of a document, from the files."""
     folder = Scratch(spark, "pipeline").path("files")
-    token_files.write(spark, docs, public_tokenizers.path(TOKENIZER), folder)
+    token_files.write(spark, docs, public_tokenizers.path(TOKENIZER), folder, room=PIECES)
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("cells").alias("ids_crc32"))
 
 
