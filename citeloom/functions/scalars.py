@@ -39,6 +39,7 @@ def author_relevance(similarity: Column, citations: Column, decades: Column, dig
     x = F.least(F.greatest(similarity.cast("double"), F.lit(0.0)), F.lit(1.0))
     y = F.greatest(citations.cast("double"), F.lit(0.0))
     t = F.least(F.greatest(decades.cast("double"), F.lit(0.0)), F.lit(4.0))
+    # fixed values: slope and middle of the citations, middle of the decades
     cited = 1 / (1 + F.exp(-0.005 * (y - 100)))
     recent = (1 - F.tanh(t - 2)) / 2
     return F.round(((1 - x) + cited + recent) / 3, digits)

@@ -150,6 +150,7 @@ CATEGORIES = (
 
 
 #: Rules that fill up the authors of a linked sample, in this order: condition and how many authors it may add.
+#: Edge cases of authors and how many of each a sample takes.
 _EDGE_AUTHORS = (("works_count = 0", 6), ("size(org_ids) = 0", 6), ("citation_count = 0 and works_count > 0", 4), ("special", 4), ("true", None))
 
 
@@ -215,6 +216,7 @@ def linked_subset(works: DataFrame, authors: DataFrame, orgs: DataFrame, topics:
     """
     refs = works.select("id", _clean_ids("authors.author_id").alias("authors"), _clean_ids("authors.org_id", "orgs.org_id").alias("orgs"), _clean_ids("topics.topic_id").alias("topics"))
     flags = work_flags(works).join(all_refs_present(works, authors, orgs, topics), "id").join(refs, "id").persist()
+    # fixed values: how many linked entities a sample may have
     budgets = {"authors": max(target - 6, 40), "orgs": max(target - 5, 45), "topics": target}
     seen: dict[str, set] = {k: set() for k in budgets}
     picks: dict = {}
