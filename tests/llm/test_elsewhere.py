@@ -18,7 +18,7 @@ for name in {names!r}:
 """
 
 
-@pytest.mark.parametrize("names", [["op10_language_cross_parsing", "op12_hard_negatives_slots"], ["op11_divergence_transducer", "op13_grouped_prefix_join"]])
+@pytest.mark.parametrize("names", [["op10_language_cross_parsing", "op12_hard_negatives_slots"], ["op1_toxicity_nnpu", "op6_token_huffman", "pipeline"], ["op11_divergence_transducer", "op13_grouped_prefix_join"]])
 def test_workers_need_not_have_the_package(tmp_path, names):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", CODE.format(root=ROOT, names=names)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
