@@ -226,32 +226,90 @@ def told_apart(docs: DataFrame) -> DataFrame:
     return common.texts(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
 
 
-def repeated_ranges(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(row, a, b): byte ranges that windows with another occurrence cover; ranges of a row may overlap.
-
-    ``row`` is that of ``told_apart``.
-    """
+def _met(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(shared, kinds, contexts): segments whose anchor others have, the different ones among them, and of anchors with
+    several different ones the bytes around the anchor."""
     scratch = common.Scratch(spark, "repeats")
     texts = told_apart(docs).select("row", "text").where(f"octet_length(text) >= {SPAN}")
     found = texts.mapInArrow(_segmented, "row long, lo int, hi int, anchor int, key long, seg long")
     again = found.groupBy("key").count().where("count > 1").select("key")
     shared = scratch.save(found.join(again, "key", "left_semi"))
     kinds = scratch.save(shared.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "lo", "hi", "anchor")).alias("one")))
-    copied = kinds.where("n > 1").select("key", "seg")
-    whole = shared.join(copied, ["key", "seg"], "left_semi").select("row", F.col("lo").alias("a"), (F.col("hi") + SPAN).alias("b"))
     # a written table: joined with it, a key with many kinds is a shuffle partition that Spark can split
     mixed_keys = scratch.save(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     meeting = kinds.join(mixed_keys, "key").select("one.row", F.struct("key", "one.lo", "one.hi", "one.anchor", "kinds").alias("part"))
     asked = meeting.groupBy("row").agg(F.collect_list("part").alias("parts"))  # a document's own segments: bounded by its text
     contexts = scratch.save(texts.join(asked, "row").select("row", "text", "parts").mapInArrow(_contexts, "key long, back binary, front binary, row long, anchor int, lo int, hi int, kinds long"))
-    few = contexts.where(F.col("kinds") <= CROWD).select("key", "back", "front", "row", "anchor")
-    met = few.repartition("key").sortWithinPartitions("key", "front").mapInArrow(_ranges, RANGES)
+    return shared, kinds, contexts
+
+
+def _crowded(contexts: DataFrame) -> DataFrame:
+    """(w1, w2, row, a): the windows of crowded anchors that occur twice or more."""
     crowd = contexts.where(F.col("kinds") > CROWD).mapInArrow(_windows, "w1 long, w2 long, row long, a int")
     twice = crowd.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    crowded = crowd.join(twice, ["w1", "w2"], "left_semi").select("row", "a", (F.col("a") + SPAN).alias("b"))
+    return crowd.join(twice, ["w1", "w2"], "left_semi")
+
+
+def repeated_ranges(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(row, a, b): byte ranges that windows with another occurrence cover; ranges of a row may overlap.
+
+    ``row`` is that of ``told_apart``.
+    """
+    shared, kinds, contexts = _met(spark, docs)
+    copied = kinds.where("n > 1").select("key", "seg")
+    whole = shared.join(copied, ["key", "seg"], "left_semi").select("row", F.col("lo").alias("a"), (F.col("hi") + SPAN).alias("b"))
+    few = contexts.where(F.col("kinds") <= CROWD).select("key", "back", "front", "row", "anchor")
+    met = few.repartition("key").sortWithinPartitions("key", "front").mapInArrow(_ranges, RANGES)
+    crowded = _crowded(contexts).select("row", "a", (F.col("a") + SPAN).alias("b"))
     return whole.unionByName(met).unionByName(crowded)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, back, front) sorted by (key, front) to maximal repeats: (content, size, key, seg, before) of each member."""
+    key, rows = None, []
+    digest, hashed = xxhash.xxh3_128_hexdigest, xxhash.xxh3_64_intdigest
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+
+    def solve() -> list:
+        out = []
+        for before, after, members in maximal_repeats(rows) if len(rows) > 1 else ():
+            back, front = rows[members[0]]
+            content = digest(back[:before][::-1] + front[:after])
+            out += [(content, before + after, key, signed(hashed(rows[k][0][::-1] + rows[k][1], len(rows[k][0]) & 0xFFFF)), before) for k in members]
+        return out
+
+    for batch in batches:
+        out: list = []
+        for k, back, front in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != key:
+                out += solve()
+                key, rows = k, []
+            rows.append((back, front))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["content", "size", "key", "seg", "before"])
+    out = solve()
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["content", "size", "key", "seg", "before"])
+
+
+def repeat_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(content, size, doc_id, row, start): maximal repeats of SPAN bytes or more with all their occurrences, a row each.
+
+    A group is the places of one content (named by its hash).  It is maximal around its anchor: within the windows that
+    share the anchor, not all occurrences extend alike to either side.  A longer repeat, of several anchors, shows as the
+    parts that each anchor's windows cover.  Segments that only occur as a whole are groups themselves, and of crowded
+    anchors each repeated window is one.
+    """
+    shared, kinds, contexts = _met(spark, docs)
+    few = contexts.where(F.col("kinds") <= CROWD).select("key", "back", "front")
+    members = few.repartition("key").sortWithinPartitions("key", "front").mapInArrow(_groups, "content string, size int, key long, seg long, before int")
+    tree = members.join(shared, ["key", "seg"]).select("content", "size", "row", (F.col("anchor") - F.col("before")).alias("start"))
+    name = lambda a, b: F.concat(F.lower(F.hex(a)), F.lit("-"), F.lower(F.hex(b)))
+    copied = shared.join(kinds.where("n > 1").select("key", "seg"), ["key", "seg"], "left_semi")
+    whole = copied.select(name("key", "seg").alias("content"), (F.col("hi") + SPAN - F.col("lo")).alias("size"), "row", F.col("lo").alias("start"))
+    windows = _crowded(contexts).select(name("w1", "w2").alias("content"), F.lit(SPAN).alias("size"), "row", F.col("a").alias("start"))
+    found = tree.unionByName(whole).unionByName(windows).distinct()
+    return found.join(told_apart(docs).select("row", "doc_id"), "row").select("content", "size", "doc_id", "row", "start")
+
+
 def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Ranges in order, those that overlap or touch as one."""
     out: list[tuple[int, int]] = []

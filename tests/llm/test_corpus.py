@@ -136,6 +136,27 @@ def test_repeats_of_rows_that_share_or_lack_an_id(spark, monkeypatch, crowd):
     assert want[0][1] == len(rows[0][1].encode()) and want[3][1] > 0
 
 
+def test_repeat_groups_have_all_occurrences(spark):
+    """A group of the tree is all places of its content, by brute force; together the groups cover what repeats."""
+    shared = [text(60), text(75), text(90)]
+    rows = [(k, " ".join(R.choice([text(R.randint(5, 30)), R.choice(shared), R.choice(shared)[R.randint(0, 60) :]]) for _ in range(3))) for k in range(25)] + [(90, shared[0] + "x"), (91, shared[0] + "y")]
+    raw = {k: t.encode() for k, t in rows}
+    found = repeats.repeat_groups(spark, docs_frame(spark, rows)).collect()
+    groups, covered = {}, {k: set() for k in raw}
+    for r in found:
+        groups.setdefault((r.content, r.size), set()).add((r.doc_id, r.start))
+        covered[r.doc_id].update(range(r.start, r.start + r.size))
+    assert groups and all(len(g) > 1 and size >= 200 for (_, size), g in groups.items())
+    for (content, size), places in groups.items():
+        texts = {raw[k][a : a + size] for k, a in places}
+        assert len(texts) == 1
+        if "-" not in content:  # of the tree; a segment as a whole names its copies alone
+            t = texts.pop()
+            assert places == {(k, a) for k, whole in raw.items() for a in range(len(whole) - size + 1) if whole.startswith(t, a)}
+    want = removed(list(raw.items()), 200)
+    assert {k: len(c) for k, c in covered.items()} == {k: w[1] for k, w in want.items()}
+
+
 def test_repeats_odd_rows(spark):
     got = repeats.remove_repeats(spark, docs_frame(spark, ODD)).collect()
     assert len(got) == len(ODD) and next(r for r in got if r.doc_id == 6).n_removed == 60000 and next(r for r in got if r.doc_id is None).n_removed == 0
