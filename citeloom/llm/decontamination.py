@@ -3,8 +3,8 @@
 A text's shingles are its runs of five words; an item of one to four words is one shingle of its own length.  An item's
 fingerprint is the majority, bit by bit, of the hashes of its shingles, repeats counted, and a window of a document that
 is as long as an item gets one the same way.  Fingerprints are found by a multi-index: two within RADIUS bits differ in
-at most FLIPS bits of one of four 16-bit blocks, so each item stands in the index under all values that near to its
-blocks, and a window looks up its own four.  Pairs within the radius are verified by exact weighted similarity: shared
+at most three bits of one of five blocks, so each item stands in the index under all values that near to its blocks, and a
+window looks up its own five.  Pairs within the radius are verified by exact weighted similarity: shared
 shingles over all shingles, each as often as it occurs.
 
 To fingerprint every window of a corpus in SQL functions would take 64 counters a word and item size.  A window of
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: At similarity 0.8 fingerprints differ in 9.6 of 64 bits on average, in over 15 with a probability of 0.02; at 0.85 of 0.001.
-WIDTH, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 15, 4
+#: At similarity 0.8 fingerprints differ in 9.6 of 64 bits on average, in over 15 with a probability of 0.02, in over 19 of 0.0005.
+WIDTH, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 19, 5
+#: First bits of the blocks, and the end.
+EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
 #: Broadcast up to so many benchmark shingles, index rows or matched document ids; beyond, Spark joins by shuffle.
 FEW = 1_000_000
 
@@ -66,14 +68,18 @@ def block_keys(number: int, value: F.Column) -> F.Column:
 
 def blocks(fp: str) -> list[F.Column]:
     """The values of a fingerprint's blocks."""
-    wide = 64 // BLOCKS
-    return [F.shiftrightunsigned(fp, wide * k).bitwiseAND(F.lit((1 << wide) - 1)) for k in range(BLOCKS)]
+    return [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(EDGES, EDGES[1:])]
 
 
-def near_values(value: F.Column, flips: int) -> F.Column:
+def masks(block: int, flips: int) -> list[int]:
+    """All ways to flip at most ``flips`` bits of a block."""
+    wide = EDGES[block + 1] - EDGES[block]
+    return [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(wide), n)]
+
+
+def near_values(block: int, value: F.Column, flips: int) -> F.Column:
     """All values that differ from a block's in at most ``flips`` bits."""
-    masks = [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(64 // BLOCKS), n)]
-    return F.transform(F.array(*map(F.lit, masks)), lambda m: value.bitwiseXOR(m.cast("long")))
+    return F.transform(F.array(*map(F.lit, masks(block, flips))), lambda m: value.bitwiseXOR(m.cast("long")))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -134,9 +140,9 @@ def _matches(scratch: Scratch, docs: DataFrame, benchmark: DataFrame, similarity
     asked = prints.select(*key, "fp_doc", F.explode(F.array(*(block_keys(b, v) for b, v in enumerate(blocks("fp_doc"))))).alias("block"))
     flips = radius // BLOCKS
     of_items = scratch.save(fingerprint(items, ["row", "size"], "sh"))
-    index = of_items.select("row", "size", "fp", F.explode(F.flatten(F.array(*(F.transform(near_values(v, flips), lambda x, b=b: block_keys(b, x)) for b, v in enumerate(blocks("fp")))))).alias("block"))
+    index = of_items.select("row", "size", "fp", F.explode(F.flatten(F.array(*(F.transform(near_values(b, v, flips), lambda x, b=b: block_keys(b, x)) for b, v in enumerate(blocks("fp")))))).alias("block"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_doc")))
-    met = asked.join(small(index, n_items * BLOCKS * sum(1 for n in range(flips + 1) for _ in combinations(range(64 // BLOCKS), n))), ["size", "block"])
+    met = asked.join(small(index, n_items * sum(len(masks(b, flips)) for b in range(BLOCKS))), ["size", "block"])
     near = scratch.save(met.withColumn("distance", distance).where(F.col("distance") <= radius).select(*key, "row", "distance").distinct())
     # 4. exact weighted similarity
     counts = items.select("row", "item_id", F.explode("sh").alias("h")).groupBy("row", "item_id", "h").agg(F.count(F.lit(1)).alias("k"))
