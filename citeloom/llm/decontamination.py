@@ -62,7 +62,7 @@ def fingerprint(rows: DataFrame, keys: list[str], hashes: str) -> DataFrame:
     return sums.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), (bit(b) for b in range(64))).alias("fp"))
 
 
-def block_keys(number: int, value: F.Column) -> F.Column:
+def block_key(number: int, value: F.Column) -> F.Column:
     return value * BLOCKS + number
 
 
@@ -82,6 +82,10 @@ def near_values(block: int, value: F.Column, flips: int) -> F.Column:
     return F.transform(F.array(*map(F.lit, masks(block, flips))), lambda m: value.bitwiseXOR(m.cast("long")))
 
 
+def near_keys(block: int, value: F.Column, flips: int) -> F.Column:
+    return F.transform(near_values(block, value, flips), lambda x: block_key(block, x))  # a second parameter would be the place
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= FEW else df
 
@@ -137,10 +141,10 @@ def _matches(scratch: Scratch, docs: DataFrame, benchmark: DataFrame, similarity
     filled = windows.join(held.dropDuplicates(["doc_id", "row_key"]), ["doc_id", "row_key"]).select(*key, F.slice("sh", F.col("start") + 1, F.col("w")).alias("win"))
     # 3. fingerprints, and the pairs within the radius by the multi-index
     prints = scratch.save(fingerprint(filled, key, "win")).withColumnRenamed("fp", "fp_doc")
-    asked = prints.select(*key, "fp_doc", F.explode(F.array(*(block_keys(b, v) for b, v in enumerate(blocks("fp_doc"))))).alias("block"))
+    asked = prints.select(*key, "fp_doc", F.explode(F.array(*(block_key(b, v) for b, v in enumerate(blocks("fp_doc"))))).alias("block"))
     flips = radius // BLOCKS
     of_items = scratch.save(fingerprint(items, ["row", "size"], "sh"))
-    index = of_items.select("row", "size", "fp", F.explode(F.flatten(F.array(*(F.transform(near_values(b, v, flips), lambda x, b=b: block_keys(b, x)) for b, v in enumerate(blocks("fp")))))).alias("block"))
+    index = of_items.select("row", "size", "fp", F.explode(F.flatten(F.array(*(near_keys(b, v, flips) for b, v in enumerate(blocks("fp")))))).alias("block"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_doc")))
     met = asked.join(small(index, n_items * sum(len(masks(b, flips)) for b in range(BLOCKS))), ["size", "block"])
     near = scratch.save(met.withColumn("distance", distance).where(F.col("distance") <= radius).select(*key, "row", "distance").distinct())
