@@ -281,6 +281,19 @@ def test_decontamination(spark):
     assert decontamination.matches(spark, docs_frame(spark, rows), b.limit(0)).count() == 0 and decontamination.clean(spark, docs_frame(spark, ODD), b).count() == len(ODD)
 
 
+def test_windows_of_the_least_similarity_are_found(spark):
+    """Items with one word of fifty changed, 41 of 51 shingles alike: every one is found, by the index as registered."""
+    r = random.Random(12)
+    items = [(k, " ".join(f"v{r.randrange(10**6)}" for _ in range(50))) for k in range(60)]
+    rows = []
+    for k, t in items:
+        words = t.split()
+        words[r.randrange(8, 42)] = "changed"
+        rows.append((k, " ".join(f"v{r.randrange(10**6)}" for _ in range(30)) + " " + " ".join(words) + " and so on it goes"))
+    found = decontamination.matches(spark, docs_frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id, x.start) for x in found} == {(k, k, 30) for k, _ in items} and {round(x.similarity, 4) for x in found} == {round(41 / 51, 4)}
+
+
 def test_decontamination_index(spark):
     """The multi-index alone finds all fingerprints within the radius, and few others; the radius finds windows of similarity 0.8."""
     rng = np.random.default_rng(8)
