@@ -3,9 +3,9 @@
 A text's shingles are its runs of five words; an item of one to four words is one shingle of its own length.  An item's
 fingerprint is the majority, bit by bit, of the hashes of its shingles, repeats counted, and a window of a document that
 is as long as an item gets one the same way.  Fingerprints are found by a multi-index: two within RADIUS bits differ in
-at most three bits of one of five blocks, so each item stands in the index under all values that near to its blocks, and a
-window looks up its own five.  Pairs within the radius are verified by exact weighted similarity: shared
-shingles over all shingles, each as often as it occurs.
+at most three bits of one of five blocks, so each item stands in the index under all values within two bits of its blocks,
+and a window looks up all values within one bit of its own.  Pairs within the radius are verified by exact weighted
+similarity: shared shingles over all shingles, each as often as it occurs.
 
 To fingerprint every window of a corpus in SQL functions would take 64 counters a word and item size.  A window of
 similarity s with an item of the same size shares at least 2 s / (1 + s) of its shingles with it, so windows with fewer
@@ -24,6 +24,8 @@ from .common import Scratch
 
 #: At similarity 0.8 fingerprints differ in 9.6 of 64 bits on average, in over 15 with a probability of 0.02, in over 19 of 0.0005.
 WIDTH, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 19, 5
+#: Bits of a block that the windows' side flips; the index, which is broadcast, flips the rest.
+ASKED = 1
 #: First bits of the blocks, and the end.
 EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
 #: Broadcast up to so many benchmark shingles, index rows or matched document ids; beyond, Spark joins by shuffle.
@@ -86,6 +88,16 @@ def near_keys(block: int, value: F.Column, flips: int) -> F.Column:
     return F.transform(near_values(block, value, flips), lambda x: block_key(block, x))  # a second parameter would be the place
 
 
+def flipped(radius: int) -> tuple[int, int]:
+    """Bits of a block that the index and the windows flip: together as many as two within the radius differ in, in one block."""
+    return radius // BLOCKS - min(ASKED, radius // BLOCKS), min(ASKED, radius // BLOCKS)
+
+
+def near_blocks(fp: str, flips: int) -> F.Column:
+    """The keys of all values that near to a fingerprint's blocks, one a row."""
+    return F.explode(F.flatten(F.array(*(near_keys(b, v, flips) for b, v in enumerate(blocks(fp))))))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= FEW else df
 
@@ -141,12 +153,12 @@ def _matches(scratch: Scratch, docs: DataFrame, benchmark: DataFrame, similarity
     filled = windows.join(held.dropDuplicates(["doc_id", "row_key"]), ["doc_id", "row_key"]).select(*key, F.slice("sh", F.col("start") + 1, F.col("w")).alias("win"))
     # 3. fingerprints, and the pairs within the radius by the multi-index
     prints = scratch.save(fingerprint(filled, key, "win")).withColumnRenamed("fp", "fp_doc")
-    asked = prints.select(*key, "fp_doc", F.explode(F.array(*(block_key(b, v) for b, v in enumerate(blocks("fp_doc"))))).alias("block"))
-    flips = radius // BLOCKS
+    held_by_index, asked_for = flipped(radius)
+    asked = prints.select(*key, "fp_doc", near_blocks("fp_doc", asked_for).alias("block"))
     of_items = scratch.save(fingerprint(items, ["row", "size"], "sh"))
-    index = of_items.select("row", "size", "fp", F.explode(F.flatten(F.array(*(near_keys(b, v, flips) for b, v in enumerate(blocks("fp")))))).alias("block"))
+    index = of_items.select("row", "size", "fp", near_blocks("fp", held_by_index).alias("block"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_doc")))
-    met = asked.join(small(index, n_items * sum(len(masks(b, flips)) for b in range(BLOCKS))), ["size", "block"])
+    met = asked.join(small(index, n_items * sum(len(masks(b, held_by_index)) for b in range(BLOCKS))), ["size", "block"])
     near = scratch.save(met.withColumn("distance", distance).where(F.col("distance") <= radius).select(*key, "row", "distance").distinct())
     # 4. exact weighted similarity
     counts = items.select("row", "item_id", F.explode("sh").alias("h")).groupBy("row", "item_id", "h").agg(F.count(F.lit(1)).alias("k"))

@@ -204,7 +204,7 @@ def _grouped(spark: SparkSession, prints: DataFrame) -> DataFrame:
     """``prints`` with ``component_id`` and ``node``, the least fingerprint of the group."""
     scratch = common.Scratch(spark, "simhash")
     distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))  # min passes over nulls
-    links = distinct.select("fp").mapInArrow(_keyed, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(_verified, "u long, v long").distinct()
+    links = distinct.select("fp").mapInArrow(_keyed, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(_verified, "u long, v long")  # ``components`` drops repeated ones
     linked = scratch.save(distinct.join(components(spark, links).select(F.col("node").alias("fp"), F.col("component").alias("node")), "fp"))
     firsts = scratch.save(linked.groupBy("node").agg(F.min("first").alias("component_id")))
     joined = linked.join(F.broadcast(firsts) if firsts.count() <= FEW else firsts, "node").select("fp", "node", "component_id")

@@ -307,6 +307,10 @@ def test_decontamination_index(spark):
             rows.append((k, d, p, q))
     D = decontamination
     df = spark.createDataFrame(rows, "k int, d int, p long, q long")
+    index, asked = D.flipped(D.RADIUS)
+    sides = df.where(F.col("d") <= D.RADIUS).select("k", "d", D.near_blocks("p", index).alias("block")).join(df.select("k", "d", D.near_blocks("q", asked).alias("block")), ["k", "d", "block"])
+    assert sides.select("k", "d").distinct().count() == 40 * (D.RADIUS + 1)
+    assert df.where("d = 0").select("k", D.near_blocks("p", index)).count() == 40 * (4 * 92 + 79)  # an item's rows in the broadcast index: 1,811 before
     hit = F.lit(False)
     for b, (x, y) in enumerate(zip(D.blocks("p"), D.blocks("q"))):
         hit = hit | F.array_contains(D.near_values(b, x, D.RADIUS // D.BLOCKS), y)
