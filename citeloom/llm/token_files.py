@@ -126,16 +126,17 @@ def byte_letters() -> list[str]:
 
 
 class Store:
-    """Runs of ids by number."""
+    """Runs of ids by number, and how often each was met again."""
 
     def __init__(self, kind: type):
         self.number: dict[str, int] = {}
         self.starts, self.sizes, self.used, self.ids = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), 0, np.zeros(1 << 14, kind)
+        self.again = np.zeros(1 << 12, np.int32)
 
     def add(self, names: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         n, k = len(self.number), self.used
         while n + len(names) > len(self.starts):
-            self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.starts, self.sizes, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.again))
         while k + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[k : k + len(ids)] = ids
@@ -147,6 +148,23 @@ class Store:
         """Numbers, -1 where unknown."""
         return np.fromiter(map(self.number.get, names, itertools.repeat(-1)), np.int64, len(names))
 
+    def meet(self, names: list[str]) -> np.ndarray:
+        """As ``find``, and counts what is known as met again."""
+        number = self.find(names)
+        self.again[number[number >= 0]] += 1
+        return number
+
+    def most_met(self, most: int) -> Store:
+        """A store of what was met again, the first ``most`` of it by how often, and of what has number 0; counts begin anew."""
+        n = len(self.number)
+        met = np.flatnonzero(self.again[1:n]) + 1
+        if len(met) > most:
+            met = np.sort(met[np.argpartition(-self.again[met], most)[:most]])
+        keep = np.concatenate([[0], met])[:n]
+        names, out = list(self.number), Store(self.ids.dtype)
+        out.add([names[k] for k in keep.tolist()], self.sizes[keep], self.runs(keep)[0])
+        return out
+
     def runs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all runs one after another, ends of the runs with 0 in front)."""
         sizes = self.sizes[numbers]
@@ -161,12 +179,12 @@ class Words:
     between ASCII white space, in order.  So Arrow cuts and numbers the pieces of a batch, only pieces not met before go
     to the library, many at a time, and numpy puts the ids of all pieces in place.  Where it lower-cases and then takes
     what matches a pattern, pieces of ``PLAIN`` letters share their matches ("units"), which go to the library's model.
-    What is kept is bounded: a full store starts anew.  Any other encoder gets whole texts.
+    What is kept is bounded: a full store keeps what was met again since it was last full.  Any other encoder gets whole texts.
     """
 
     def __init__(self, path: str, room: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.encoder, self.room = Tokenizer.from_file(path), room
         self.kind = cell_type(self.encoder.get_vocab_size())
@@ -179,10 +197,12 @@ class Words:
         known = kinds == ["NFC", "Replace", "Lowercase"] and len(splits) == 1 and splits[0]["invert"] and splits[0]["behavior"] == "Removed"
         self.split = regex.compile(splits[0]["pattern"]["Regex"] + "|\n").findall if known else None
         self.special = [x["content"] for x in plan.get("added_tokens", [])]
-        self.letters, self.model = byte_letters(), self.encoder.model
-        self.forget()
-
-    def forget(self) -> None:
+        self.letters, self.stop = str.maketrans({b: x for b, x in enumerate(byte_letters()) if chr(b) != x}), byte_letters()[10]
+        self.plain, stops = Tokenizer(self.encoder.model), self.encoder.model.tokenize(self.stop)  # the model, units as they are
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.stop_id = stops[0].id if len(stops) == 1 else None
+        if self.stop_id is None:
+            self.split = None
         self.pieces, self.units = Store(self.kind), Store(self.kind)
         self.units.add(["\n"], np.zeros(1, np.int64), np.zeros(0, self.kind))  # number 0: what stands between pieces
 
@@ -195,13 +215,17 @@ class Words:
             whole = "\n".join(plain)
         if plain:
             found = self.split(whole.lower())
-            number = self.units.find(found)
+            number = self.units.meet(found)
             if (new := np.flatnonzero(number < 0)).size:
                 names = [found[k] for k in new.tolist()]
                 fresh = list(dict.fromkeys(names))
-                letters, tokenize = self.letters, self.model.tokenize
-                made = [[t.id for t in tokenize("".join([letters[b] for b in u.encode()]))] for u in fresh]
-                self.units.add(fresh, np.fromiter(map(len, made), np.int64, len(made)), np.fromiter(itertools.chain.from_iterable(made), np.int64))
+                letters = [u if u.isascii() else u.encode().decode("latin-1").translate(self.letters) for u in fresh]  # ASCII here is printable
+                for a in range(0, len(fresh), TOGETHER):  # as one text, with the line break between units: it stands in none
+                    part = fresh[a : a + TOGETHER]
+                    made = self.plain.encode_batch_fast([f" {self.stop} ".join(letters[a : a + TOGETHER])], add_special_tokens=False)[0]
+                    ids = np.array(made.ids, np.int64)
+                    own = ids != self.stop_id
+                    self.units.add(part, np.bincount(np.cumsum(~own)[own], minlength=len(part)), ids[own])
                 number[new] = self.units.find(names)
             ids, ends = self.units.runs(number)
             last = np.append(ends[np.flatnonzero(number == 0)], len(ids))  # of each piece
@@ -224,9 +248,11 @@ class Words:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         names = strings(coded.dictionary)
-        if max(len(self.pieces.number), len(self.units.number)) > self.room:
-            self.forget()
-        number = self.pieces.find(names)
+        if len(self.pieces.number) > self.room:
+            self.pieces = self.pieces.most_met(self.room // 2)
+        if len(self.units.number) > self.room:
+            self.units = self.units.most_met(self.room // 2)
+        number = self.pieces.meet(names)
         if (new := np.flatnonzero(number < 0)).size:
             fresh = [names[k] for k in new.tolist()]
             self.learn(fresh)
@@ -261,13 +287,14 @@ def tokenize(docs: DataFrame, path: str, room: int = CACHE) -> DataFrame:
 
     A worker remembers about ``room`` pieces, from task to task; fewer take less memory and more time.
 
-    A task's last row has ids null, and in ``counts`` how often the task has met each id (64-bit cells).
+    A task's last row has ids null, the bytes of a cell as doc_id, and in ``counts`` how often the task has met each id
+    (64-bit cells).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = common.worker_state()  # a worker process keeps its store for its next task
         words = state.get((path, room)) or state.setdefault((path, room), Words(path, room))
-        total = np.zeros(0, np.int64)
+        total, cell = np.zeros(0, np.int64), np.dtype(words.kind).itemsize
         for batch in batches:
             for part in common.slices(batch, 1, 2048, AT_ONCE):
                 ids, sizes = words(part.column(1))
@@ -277,7 +304,7 @@ def tokenize(docs: DataFrame, path: str, room: int = CACHE) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(sizes * ids.itemsize)])
                 made = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), made.cast(pa.binary()), pa.nulls(len(sizes), pa.binary())], ["doc_id", "ids", "counts"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
 
     return common.texts(docs).mapInArrow(run, TOKENS)
 
@@ -302,13 +329,12 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str, parts: i
 
     Rows of one doc_id (or null, which comes first) stand in the order of their ids' bytes.  Texts are tokenized once
     and shuffled once, as ids; each part then encodes its own.  The driver gets one count for each id of the vocabulary,
-    never documents.
+    never documents or the tokenizer.
     """
-    from tokenizers import Tokenizer
-
     scratch = common.Scratch(spark, "tokens")
-    kind = cell_type(Tokenizer.from_file(path).get_vocab_size())
     tokens = scratch.save(tokenize(docs, path, room))
+    last = tokens.where("ids is null").select("doc_id").first()  # the workers know the vocabulary: it would stay in the driver's memory
+    kind = np.dtype(f"u{last.doc_id if last else 2}")
     counts = {int(r.id): int(r.n) for r in id_counts(tokens).collect()}
     lengths = code_lengths(counts)
     spark.createDataFrame([(int(i), int(b)) for i, b in sorted(lengths.items())], "id long, bits int").coalesce(1).write.parquet(f"{folder}/codebook")

@@ -423,6 +423,12 @@ def test_words_equal_the_library(monkeypatch):
             ends = np.cumsum(sizes)
             for t, a, b in zip(some, ends - sizes, ends):
                 assert ids[a:b].tolist() == [*words.encoder.encode(t or "", add_special_tokens=False).ids, 2]
+    words = token_files.Words(public_tokenizers.path("word_bpe_49k.json"), 100)
+    often = pa.array([" ".join(f"often{k % 9}é" for k in range(20)) + " " + " ".join(f"once{j}x{k}" for k in range(60)) for j in range(2)])
+    for k in range(2):
+        words(often.slice(k, 1))
+    words(pa.array(["new"]))  # the store is full: what both texts hold stays
+    assert set(words.pieces.number) >= {f"often{k}é" for k in range(9)} and len(words.pieces.number) <= 27
     assert token_files.cell_type(1 << 16) == np.uint16 and token_files.cell_type((1 << 16) + 1) == np.uint32
 
 
