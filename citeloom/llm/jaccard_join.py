@@ -34,26 +34,36 @@ COUNTERS, ROW, WORDS = 22, 4096, 16
 CENTRES, SIDE, FEW = 8, 2048, 500_000
 #: Odd multipliers of the hash of a shingle, by place.
 MIX = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: By byte: its code, A-Z as a-z; -1 for the six white ones.  Places of a word with random numbers of their own, and these.
+LETTER = np.array([-1 if b in b" \t\n\r\x0b\x0c" else bytes([b]).lower()[0] for b in range(256)], np.int16)
+PLACES = 32
+RANDOM = np.random.default_rng(42).integers(0, 1 << 64, PLACES * 256, np.uint64)
 
 
-class WordHashes(dict):
-    """The hash of each word, made once."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return value
-
-
-def shingles(text: bytes | None, hashes: WordHashes, size: int = 4) -> np.ndarray:
-    """The hashes of the distinct shingles in ascending order; fewer words than ``size`` are one, none give none."""
-    words = (text or b"").lower().split()  # bytes: A-Z and the six white bytes alone
-    if not words:
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word, A-Z as a-z: the sum of a random number for each of its bytes and places."""
+    codes = LETTER[np.frombuffer(text, np.uint8)]
+    inside = np.flatnonzero(codes >= 0)
+    if not len(inside):
         return np.zeros(0, np.uint64)
-    each = np.array([hashes[w] for w in words], np.uint64)
-    k = min(size, len(words))
-    n = len(words) - k + 1
+    codes = codes[inside]
+    new = np.concatenate([[True], inside[1:] != inside[:-1] + 1])
+    first = np.flatnonzero(new)
+    place = np.arange(len(inside), dtype=np.int32) - np.repeat(first.astype(np.int32), np.diff(np.append(first, len(inside))))
+    each = RANDOM[(place & (PLACES - 1)) * 256 + codes]
+    if len(far := np.flatnonzero(place >= PLACES)):  # each further run of places has numbers of its own
+        mixed = (each[far] ^ place[far].astype(np.uint64) // np.uint64(PLACES)) * MIX[7]
+        each[far] = (mixed ^ (mixed >> np.uint64(32))) * MIX[11]
+    return np.add.reduceat(each, first)
+
+
+def shingles(text: bytes | None, size: int = 4) -> np.ndarray:
+    """The hashes of the distinct shingles in ascending order; fewer words than ``size`` are one, none give none."""
+    each = word_hashes(text or b"")
+    if not len(each):
+        return each
+    k = min(size, len(each))
+    n = len(each) - k + 1
     out = np.full(n, k, np.uint64)
     for i in range(k):
         out = (out ^ each[i : i + n]) * MIX[i]
@@ -90,12 +100,12 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
     names = ["doc_id", "handle", "n", "key", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counters = WordHashes(), np.zeros(1 << COUNTERS, np.uint32)
+        counters = np.zeros(1 << COUNTERS, np.uint32)
         for batch in batches:
             for part in common.slices(batch, 1, 1024, 8 << 20):
                 ns, keys, bits, cells = [], [], [], []
                 for text in part.column(1).to_pylist():
-                    found = shingles(text, hashes, size)
+                    found = shingles(text, size)
                     cells.append((found >> np.uint64(64 - COUNTERS)).astype(np.int32))
                     ns.append(len(found))
                     keys.append(xxhash.xxh3_128_digest(found.tobytes()))
@@ -141,12 +151,12 @@ def _prefixes(docs: DataFrame, weights: np.ndarray, size: int, t: int) -> DataFr
     names = ["handle", "key", "n", "group_key", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, weight = WordHashes(), shared.value
+        weight = shared.value
         for batch in batches:
             for part in common.slices(batch, 1, 1024, 8 << 20):
                 handles, keys, ns, groups, prefixes = [], [], [], [], []
                 for handle, text in zip(*(c.to_pylist() for c in part.columns)):
-                    found = shingles(text, hashes, size)
+                    found = shingles(text, size)
                     n = len(found)
                     if n:
                         order = np.argsort(weight[(found >> np.uint64(64 - COUNTERS)).astype(np.int64)], kind="stable")  # ties stay by hash
@@ -341,10 +351,9 @@ class Join:
         texts = _texts(self.docs).select("handle", "text").join(F.broadcast(handles) if wanted.count() <= FEW else handles, "handle", "left_semi")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in batches:
                 for part in common.slices(batch, 1, 256, 4 << 20):
-                    found = [shingles(x, hashes, size).tobytes() for x in part.column(1).to_pylist()]
+                    found = [shingles(x, size).tobytes() for x in part.column(1).to_pylist()]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["handle", "key", "members"])
 
         def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,3 +90,15 @@ def test_one_prefix_many_members(spark):
 
 def test_empty_table(spark):
     assert jaccard_join.classes(spark, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_word_hashes():
+    """Words of any length, and by any place of a letter, are told apart; equal ones, whatever the case of A-Z, are not."""
+    r = random.Random(5)
+    words = {bytes(r.choices(b"ab\xc3\xa9z", k=r.choice([1, 2, 3, 31, 32, 33, 64, 65, 97, 300]))) for _ in range(5000)}
+    words |= {b"a" * k + b"b" + b"a" * (99 - k) for k in range(100)}
+    each = {w: int(jaccard_join.word_hashes(w)[0]) for w in words}
+    assert len(set(each.values())) == len(words) and jaccard_join.word_hashes(b" \t\n\r\x0b\x0c").size == 0
+    some = sorted(words)
+    assert jaccard_join.word_hashes(b"\n " + b"\x0b\t".join(some).upper() + b" ").tolist() == [each[w] for w in some]
+    assert jaccard_join.word_hashes(b"a\x1cb\x85")[0] != jaccard_join.word_hashes(b"a")[0]  # no white space here
