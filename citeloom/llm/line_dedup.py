@@ -13,6 +13,8 @@ beginnings and ends are cut off before.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,19 @@ BLANK = " \t\r\x0b\x0c"
 
 def lines_of(docs: DataFrame, *more: F.Column) -> DataFrame:
     """(doc_id, line_no, line), and ``more`` of the row: the non-blank lines, trimmed of ASCII white space."""
-    each = docs.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return each.withColumn("line", F.btrim("line", F.lit(BLANK))).where("line <> ''")
+    rows = docs.select("doc_id", "text", *more)  # below the generator, so that ``more`` is made once a row, not once a line
+    each = rows.select(*(c for c in rows.columns if c != "text"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return each.where(not_blank("line")).withColumn("line", trimmed("line"))
+
+
+def not_blank(line: F.Column | str) -> F.Column:
+    return F.ltrim(line, F.lit(BLANK)) != ""  # ends at the first letter
+
+
+def trimmed(line: str) -> F.Column:
+    """Without ASCII white space around.  To trim walks over the whole line, so it is left to lines that begin or end with some."""
+    blank = [f(F.col(line), F.lit(c)) for c in BLANK for f in (F.startswith, F.endswith)]
+    return F.when(reduce(lambda a, b: a | b, blank), F.btrim(line, F.lit(BLANK))).otherwise(F.col(line))
 
 
 def edits(length: F.Column, tau: int) -> F.Column:
@@ -198,7 +211,7 @@ def report(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> DataFrame:
     docs = docs.select("doc_id", "text")
     near = few(linked_texts(spark, near_texts(spark, docs, tau)))
     marks = Scratch(spark, "marks").save(lines_of(docs, row_hash()).select("doc_id", "line_no", "row", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2")))
-    n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != ""))
+    n_lines = F.size(F.filter(F.split("text", "\n"), not_blank))
     whole = docs.select("doc_id", row_hash(), "text", F.coalesce(F.when(F.col("text").isNotNull(), n_lines), F.lit(0)).cast("long").alias("n_lines"))
     first = marks.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("f")).join(near, "h", "left")
     first = first.select("f.doc_id", "f.row", F.when(F.coalesce("stays", F.lit(True)), F.col("f.line_no")).alias("line_no"), F.lit(1).cast("long").alias("n_first"), F.col("late").cast("long").alias("n_near"), F.col("k").alias("n_links"))
@@ -210,5 +223,5 @@ def report(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> DataFrame:
     gaps = F.transform(F.arrays_zip(F.col("stay").alias("at"), before.alias("last")), lambda z: F.concat(F.array_repeat(F.lit(False), z["at"] - z["last"] - 1), F.array(F.lit(True))))
     cut = F.when(F.col("text").isNotNull(), F.struct("row", "text", F.flatten(gaps).alias("stays")))  # line_no is a place in stays
     grouped = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(cut)).alias("cut"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("class_ids"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts))
-    left = lambda r: F.array_join(F.filter(F.split(r["text"], "\n"), lambda x, k: F.coalesce(F.get(r["stays"], k), F.lit(False)) | (F.btrim(x, F.lit(BLANK)) == "")), "\n")
+    left = lambda r: F.array_join(F.filter(F.split(r["text"], "\n"), lambda x, k: F.coalesce(F.get(r["stays"], k), F.lit(False)) | ~not_blank(x)), "\n")
     return grouped.select("doc_id", *counts, "class_ids", F.when(F.size("cut") > 0, F.array_join(F.transform("cut", left), "\n")).alias("text"))

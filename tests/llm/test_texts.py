@@ -252,3 +252,14 @@ def test_short_blocks_and_furniture_around_an_article(body, kept):
     lines = html_text.main_text(f"<html><body>{nav}{body}{foot}</body></html>").split("\n")
     assert set(kept) <= set(lines) and not [x for x in lines if "Menu" in x or "Copyright" in x or "great" in x or "office" in x]
     assert sum(x.startswith("This is a long") for x in lines) == body.count(PARAGRAPH)
+
+
+def test_lines_are_trimmed_by_need(spark):
+    """Lines are trimmed of the five blanks alone, as by a trim of each; the hash of a row's text stands below the lines' generator."""
+    from citeloom.llm import line_dedup
+
+    lines = ["", " ", "\t\r\x0b\x0c ", "a", " a", "a\x0c", "\ra b\t", " a ", "\x1ca\x1c", "é ", " ﬁ", "a  b"]
+    got = line_dedup.lines_of(spark.createDataFrame([(1, "\n".join(lines)), (2, None)], "doc_id long, text string"), line_dedup.row_hash())
+    assert [(r.line_no, r.line) for r in got.orderBy("line_no").collect()] == [(k, x.strip(" \t\r\x0b\x0c")) for k, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("xxhash64(text")
