@@ -447,6 +447,20 @@ def test_words_are_kept_once():
     assert [k for k, x in vars(words).items() if isinstance(x, token_files.Store)] == ["pieces"]
 
 
+def test_words_are_learned_once(monkeypatch):
+    """What is handed to the store grows with the different words, not with what stands around them."""
+    import pyarrow as pa
+
+    learned, add = [], token_files.Store.add
+    monkeypatch.setattr(token_files.Store, "add", lambda self, names, *a: (learned.extend(names), add(self, names, *a))[1])
+    words = token_files.Words(public_tokenizers.path("word_bpe_49k.json"), 1_000)
+    plain = [f"word{chr(97 + k // 10)}{chr(97 + k % 10)}é" for k in range(50)]
+    for sign in ("{}", "({})", "{},", "'{}.", "{}'s"):
+        for form in (str.lower, str.upper, str.title):
+            words(pa.array([" ".join(sign.format(form(w)) for w in plain)]))
+    assert sorted(learned) == sorted([*plain, "(", ")", ",", "'", ".", "'s"])
+
+
 def test_queries_cover_every_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op5_repeats_interval_tree", "op6_token_huffman", "op7_line_edit_join", "op8_simhash_golay"):
