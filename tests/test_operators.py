@@ -351,6 +351,31 @@ def test_lookup_scores_few_pairs(spark):
     assert scored < 0.15 * names.count() * of.count()
 
 
+def test_lookup_in_blocks_of_entries(spark):
+    """Numbered names have many entries near their floor: each block of entries gives the best of each name alone, and together
+    they give what scoring every pair gives."""
+
+    def common(a, b):
+        rows = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, rows[j] = rows[j], last + 1 if x == y else max(rows[j], rows[j - 1])
+        return rows[-1]
+
+    made = [f"Customer#{i:09}" for i in range(0, 2400, 2)] + ["n" * 150 + "é", "😀 Li"]
+    of = spark.createDataFrame([(n, f"{n}@x") for n in made], "cn string, mail string")
+    names = [f"Customer#{i:09}x" for i in range(0, 2400, 80)] + ["n" * 140, "😀Li"]
+    found = identity.near_entries(of, spark.createDataFrame([(n,) for n in names], "query string"), 10, block=8, entries=300).collect()
+    assert len(found) <= 10 * len(names) * 6
+    got = {}
+    for x in found:
+        assert x.common == common(x.query, x.cn) and x.mail == f"{x.cn}@x"
+        got.setdefault(x.query, []).append((-round(200 * x.common / (len(x.query) + len(x.cn)) + 1e-9, 2), x.cn))
+    for q in names:
+        assert sorted(got[q])[:10] == sorted((-round(200 * common(q, n) / (len(q) + len(n)) + 1e-9, 2), n) for n in made)[:10], q
+
+
 def test_heavy_works(spark):
     """Blocks of a heavy work's authors give the rows that all pairs give; no cell has more than a pair of blocks."""
     r = random.Random(4)
