@@ -130,7 +130,7 @@ def graph_pieces(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     item = lambda df: F.to_json(F.struct(*(c for c in df.columns if c != "root")))
     rows = nodes.select("root", F.lit(0).alias("part"), item(nodes).alias("text"))
-    rows = rows.unionByName(edges.join(nodes.select("root").distinct(), "root", "left_semi").select("root", F.lit(1).alias("part"), item(edges).alias("text")))
+    rows = rows.unionByName(edges.select("root", F.lit(1).alias("part"), item(edges).alias("text")))
     key = nodes.schema["root"].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +138,8 @@ def graph_pieces(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         for batch in batches:
             roots, out = [], []
             for root, part, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if part and (at is None or root != at[0]):
+                    continue  # a root without nodes, as those come first
                 if at is None or root != at[0]:
                     if at is not None:
                         roots.append(at[0])

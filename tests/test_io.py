@@ -70,6 +70,15 @@ def test_graph_documents(spark, tmp_path):
     assert found[1]["nodes"] == [{"id": "a", "label": "A"}, {"id": "b"}] and sorted(e["target"] for e in found[1]["edges"]) == sorted(t for r, _, t in some if r == 1)
 
 
+def test_graph_documents_shuffle_once(spark):
+    """Nodes and edges are dealt by root once, as texts; no table of roots is made beside them."""
+    nodes = spark.range(100).selectExpr("id % 9 as root", "cast(id as string) as id")
+    edges = spark.range(100).selectExpr("id % 12 as root", "cast(id as string) as source")
+    pieces = io.graph_pieces(nodes, edges)
+    assert pieces._jdf.queryExecution().sparkPlan().toString().count("Join") == 0 and pieces._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {r.root for r in pieces.collect()} == set(range(9))
+
+
 def test_watch_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     seen = []

@@ -393,6 +393,47 @@ def test_heavy_works(spark):
     assert rows(whole, "a", "b") == rows(cut, "a", "b") and whole.count() == 70 * 69 // 2 and tuple(whole.first()) == ("n001", "n002", 2)
 
 
+def test_networks_by_brute_force(spark):
+    """Nodes and edges of some roots, with repeated rows, unknown ids and a heavy work, as plain loops give them."""
+    r = random.Random(8)
+    pairs = [(r.randrange(40), r.randrange(30)) for _ in range(150)] + [(a, 99) for a in range(600)] + [(3, None), (None, 3), (3, 5), (3, 5)]
+    authored = spark.createDataFrame(pairs, "author_id long, work_id long")
+    authors = spark.createDataFrame([(a, f"A {a}") for a in range(590)] + [(3, "A 0"), (None, "none")], "id long, name string")
+    works = spark.createDataFrame([(w, f"T {w}", f"{2000 + w}-01", None) for w in range(25)] + [(99, "T", None, None), (5, "T 0", None, 1990)], "id long, title string, publication_date string, year int")
+    orgs = spark.createDataFrame([(0, "Uni"), (1, "Lab")], "id long, name string")
+    member = sorted({(a, a % 3) for a in range(60)})
+    affiliated = spark.createDataFrame(member + member[:5], "author_id long, org_id long")
+    asked = [3, 7, 8, 8, 595, 5000]
+    roots = spark.createDataFrame([(a,) for a in asked] + [(None,)], "root long")
+    by = {}
+    for a, w in set(pairs):
+        if a is not None and w is not None:
+            by.setdefault(w, set()).add(a)
+    title, name = {w: (f"T {w}", str(2000 + w)) for w in range(25)} | {99: ("T", "N/A"), 5: ("T 0", "1990")}, {a: f"A {a}" for a in range(590)} | {3: "A 0"}
+    nodes, edges, every = set(), set(), set()
+    for x in set(asked):
+        first = {}
+        if x in name:
+            nodes.add((x, f"author:{x}", "author", name[x], None))
+        for w in sorted(w for w, who in by.items() if x in who):
+            edges.add((x, f"author:{x}", f"work:{w}", "AUTHORED"))
+            if w in title:
+                nodes.add((x, f"work:{w}", "work", *title[w]))
+            for c in by[w] - {x}:
+                first.setdefault(c, w)
+                every.add((x, f"author:{c}", f"work:{w}", "AUTHORED"))
+        nodes |= {(x, f"author:{c}", "coauthor", name[c], None) for c in first if c in name}
+        nodes |= {(x, f"org:{o}", "organization", ("Uni", "Lab")[o], None) for a, o in member if a == x and o < 2}
+        edges |= {(x, f"author:{c}", f"work:{w}", "AUTHORED") for c, w in first.items()} | {(x, f"author:{x}", f"org:{o}", "AFFILIATED_WITH") for a, o in member if a == x}
+    net = lambda **how: graph.ego_network(roots, authors, works, orgs, authored, affiliated, **how)
+    plain = lambda rows_: sorted(map(tuple, rows_), key=str)
+    for how in ({}, {"together": True}, {"max_rows": 10_000}):
+        n, e = net(**how)
+        assert plain(n.drop("email").collect()) == plain(nodes), how
+        assert plain(e.collect()) == plain(edges), how
+    assert plain(net(all_edges=True)[1].collect()) == plain(edges | every)
+
+
 def test_median_by_ranges(spark):
     for values in ([5], [1, 2], [3, 3, 1, 9, 9, 9, 2], list(range(-50_000, 70_001, 7)), [-(1 << 63), (1 << 63) - 1, 0, 5, 5], [1 << 62, 3, -(1 << 62)]):
         got = stats.citation_stats(spark.createDataFrame([(v,) for v in values], "citations_count long").where("true")) if sum(values) < 1 << 62 else None
