@@ -434,6 +434,15 @@ def test_networks_by_brute_force(spark):
     assert plain(net(all_edges=True)[1].collect()) == plain(edges | every)
 
 
+def test_nodes_shuffle_ids_alone(spark, corpus):
+    """Nodes are never dealt by root and id, which would shuffle all their texts once more."""
+    works, authors, orgs, _ = corpus
+    e, f = graph.authored_edges(works, authors), graph.affiliated_edges(works, authors, orgs)
+    nodes = graph.ego_network(authors.select(F.col("id").alias("root")), authors, works, orgs, e, f)[0]
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(root" in plan and not any("hashpartitioning(root" in line and ", id#" in line for line in plan.splitlines())
+
+
 def test_median_by_ranges(spark):
     for values in ([5], [1, 2], [3, 3, 1, 9, 9, 9, 2], list(range(-50_000, 70_001, 7)), [-(1 << 63), (1 << 63) - 1, 0, 5, 5], [1 << 62, 3, -(1 << 62)]):
         got = stats.citation_stats(spark.createDataFrame([(v,) for v in values], "citations_count long").where("true")) if sum(values) < 1 << 62 else None
