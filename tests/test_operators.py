@@ -443,6 +443,18 @@ def test_nodes_shuffle_ids_alone(spark, corpus):
     assert "hashpartitioning(root" in plan and not any("hashpartitioning(root" in line and ", id#" in line for line in plan.splitlines())
 
 
+def test_facets_need_no_coauthors(spark, corpus):
+    """With the roots' table, facets of all of them come without a join for pairs of authors."""
+    works, authors, orgs, _ = corpus
+    e, f = graph.authored_edges(works, authors), graph.affiliated_edges(works, authors, orgs)
+    roots = spark.createDataFrame([("a1",), ("a2",), ("none",)], "root string")
+    nodes = graph.ego_network(roots, authors, works, orgs, e, f)[0]
+    facets = graph.distinct_facets(nodes, roots)
+    assert "co_author" not in facets._jdf.queryExecution().sparkPlan().toString()
+    assert rows(facets, "root") == [("a1", ["2020", "2016"], ["Uni"]), ("a2", ["2020"], []), ("none", [], [])]
+    assert rows(graph.distinct_facets(nodes), "root") == [("a1", ["2020", "2016"], ["Uni"]), ("a2", ["2020"], [])]
+
+
 def test_median_by_ranges(spark):
     for values in ([5], [1, 2], [3, 3, 1, 9, 9, 9, 2], list(range(-50_000, 70_001, 7)), [-(1 << 63), (1 << 63) - 1, 0, 5, 5], [1 << 62, 3, -(1 << 62)]):
         got = stats.citation_stats(spark.createDataFrame([(v,) for v in values], "citations_count long").where("true")) if sum(values) < 1 << 62 else None
