@@ -455,6 +455,16 @@ def test_facets_need_no_coauthors(spark, corpus):
     assert rows(graph.distinct_facets(nodes), "root") == [("a1", ["2020", "2016"], ["Uni"]), ("a2", ["2020"], [])]
 
 
+def test_view_of_works_needs_no_pairs(spark, corpus):
+    """Works of a year are found without a join for pairs of authors."""
+    works, authors, orgs, _ = corpus
+    e, f = graph.authored_edges(works, authors), graph.affiliated_edges(works, authors, orgs)
+    nodes = graph.ego_network(authors.select(F.col("id").alias("root")), authors, works, orgs, e, f)[0]
+    shown = filters.filter_graph_view(nodes, "author:a1", year="2016").where(F.col("group") == "work").select("root", "id")
+    assert "co_author" not in shown._jdf.queryExecution().sparkPlan().toString()
+    assert rows(shown, "root") == [("a1", "work:w2"), ("a3", "work:w2")]
+
+
 def test_median_by_ranges(spark):
     for values in ([5], [1, 2], [3, 3, 1, 9, 9, 9, 2], list(range(-50_000, 70_001, 7)), [-(1 << 63), (1 << 63) - 1, 0, 5, 5], [1 << 62, 3, -(1 << 62)]):
         got = stats.citation_stats(spark.createDataFrame([(v,) for v in values], "citations_count long").where("true")) if sum(values) < 1 << 62 else None
